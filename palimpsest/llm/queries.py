@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, extract, neardup, pieces, quality, sharding, tokencount, urlfilter, warc
+from . import decontam, extract, neardup, pieces, quality, repeats, sharding, tokencount, urlfilter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), ALLOW, BLOCK)
 
@@ -60,7 +64,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op3_url_filter, op4_token_counts, op5_benchmark_decontamination, op6_minhash_near_dedup, op7_sharding, op8_quality_rules, op9_warc, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_suffix_array_dedup, op3_url_filter, op4_token_counts, op5_benchmark_decontamination, op6_minhash_near_dedup, op7_sharding, op8_quality_rules, op9_warc, op10_sentencepiece)}
 
 ORACLE_SQL = {
     "op3_url_filter": r"""
