@@ -1,15 +1,755 @@
-"""Registered queries over the driver's tables, and the SQL each is compared with."""
+"""Registered queries over the driver's tables, and the SQL each is compared with.
+
+Conversations are messages (node = turn, parent = turn - 1), documents are content
+objects (project = source), events are an operation log, pages are captured addresses.
+Every query reads its whole tables; results are flat columns of fixed types.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.functions import text as T
+from palimpsest.operators import canonical, gate, graph, incremental, integrity, merge, objects, scoring, search, sequences, web
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+class Tables:
+    """``t.documents`` reads a table of a folder."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, folder: f(Tables(spark, folder))
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def L(x, name: str):
+    return (F.col(x) if isinstance(x, str) else x).cast("long").alias(name)
+
+
+def messages(t: Tables) -> DataFrame:
+    return t.conversations.select("conv_id", "turn", "role", "text", F.concat_ws(":", "conv_id", "turn").alias("key"), F.lit(True).alias("active"))
+
+
+WORDS_SQL = "list_distinct(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_+.-]{1,63}'))"
+SQUEEZE = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
+
+# --- search -------------------------------------------------------------------
+
+SCORE_SQL = f"""
+SELECT conv_id, turn, role, concat_ws(':', conv_id, turn) AS key,
+       round(CAST((CASE WHEN contains(lower(text), 'the and') THEN 100 ELSE 0 END) + (CASE WHEN contains(lower(text), 'the') THEN 9 ELSE 0 END)
+       + (CASE WHEN contains(lower(text), 'and') THEN 9 ELSE 0 END) + 8 + (CASE WHEN role = 'user' THEN 2 ELSE 0 END) AS DOUBLE), 6) AS score
+FROM conversations WHERE list_contains({WORDS_SQL}, 'the') AND list_contains({WORDS_SQL}, 'and')"""
+
+
+@query(f"SELECT conv_id, turn, role, score FROM ({SCORE_SQL})")
+def search_messages_ranked(t):
+    return search.search(messages(t), "the and", None).select("conv_id", "turn", "role", "score")
+
+
+@query(f"SELECT conv_id, turn, score FROM ({SCORE_SQL}) ORDER BY score DESC, key LIMIT 50")
+def search_messages_top_k(t):
+    return search.search(messages(t), "the and", 50).select("conv_id", "turn", "score")
+
+
+@query(f"SELECT token, count(*) AS messages FROM (SELECT unnest({WORDS_SQL}) AS token FROM conversations) GROUP BY token")
+def postings_by_token(t):
+    return search.postings(messages(t)).groupBy("token").agg(F.count("*").alias("messages"))
+
+
+@query(r"""
+SELECT id, score FROM (SELECT CAST(doc_id AS VARCHAR) AS id, source AS title, text AS body, TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * doc_id AS updated_at, lower(source || chr(10) || text || chr(10) || lang) AS w,
+  round(CAST((CASE WHEN contains(lower(source), 'src1') THEN 20 ELSE 0 END) + 3 + least(5.0, epoch_ms(TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * doc_id) / 1e13) AS DOUBLE), 6) AS score FROM documents)
+WHERE list_contains(regexp_extract_all(w, '[a-z0-9][a-z0-9_+.-]{1,63}'), 'src1')""")
+def search_content_objects(t):
+    rows = t.documents.select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("title"), F.col("text").alias("body"), F.array("lang").alias("tags"), (F.timestamp_add("HOUR", F.col("doc_id").cast("int"), F.to_timestamp(F.lit("2024-01-01")))).alias("updated_at"))
+    return search.search_objects(rows, "src1", None).select("id", "score")
+
+
+@query("SELECT conv_id, turn, role FROM conversations WHERE role IN ('user', 'system') AND conv_id % 2 = 1")
+def message_filter(t):
+    rows = messages(t).withColumn("archived", F.col("conv_id") % 2 == 1)
+    return search.narrowed(rows, roles=("user", "system"), archived=True, active_only=True).select("conv_id", "turn", "role")
+
+
+@query(f"""
+SELECT conv_id, turn, CASE WHEN start > 0 THEN '…' ELSE '' END || substr(c, CAST(start + 1 AS BIGINT), 80) || CASE WHEN start + 80 < length(c) THEN '…' ELSE '' END AS snippet
+FROM (SELECT conv_id, turn, c, greatest(0, CASE WHEN i < 0 THEN 0 ELSE i - 20 END) AS start FROM (SELECT conv_id, turn, {SQUEEZE} AS c, strpos(lower({SQUEEZE}), 'tion') - 1 AS i FROM conversations))""")
+def snippets(t):
+    return t.conversations.select("conv_id", "turn", T.snippet("text", "tion", 80).alias("snippet"))
+
+
+@query("SELECT conv_id, role, count(*) AS messages FROM conversations GROUP BY ALL")
+def conversation_role_counts(t):
+    return t.conversations.groupBy("conv_id", "role").agg(F.count("*").alias("messages"))
+
+
+@query("SELECT conv_id, count(*) AS messages, max(turn) AS last_turn FROM conversations GROUP BY conv_id ORDER BY last_turn DESC, conv_id LIMIT 200")
+def conversation_list(t):
+    return t.conversations.groupBy("conv_id").agg(F.count("*").alias("messages"), F.max("turn").alias("last_turn")).orderBy(F.desc("last_turn"), "conv_id").limit(200)
+
+
+@query("SELECT doc_id, source, n_chars FROM documents WHERE lang = 'en' ORDER BY n_chars DESC, doc_id LIMIT 100")
+def content_list(t):
+    return t.documents.where("lang = 'en'").orderBy(F.desc("n_chars"), "doc_id").limit(100).select("doc_id", "source", "n_chars")
+
+
+@query("SELECT doc_id, source FROM documents WHERE contains(lower(source || chr(10) || text || chr(10) || lang), 'ation') AND lang <> 'de'")
+def capture_list(t):
+    return t.documents.where(F.lower(F.concat_ws("\n", "source", "text", "lang")).contains("ation") & (F.col("lang") != "de")).select("doc_id", "source")
+
+
+@query("SELECT conv_id, turn, role, left(rtrim(left(text, 182)), 200) || CASE WHEN length(text) > 200 THEN '' ELSE '' END AS ignored, length(text) > 200 AS cut FROM conversations WHERE role = 'assistant'")
+def read_conversation(t):
+    rows = t.conversations.where("role = 'assistant'")
+    return rows.select("conv_id", "turn", "role", F.left(F.rtrim(F.left("text", F.lit(182))), F.lit(200)).alias("ignored"), (F.length("text") > 200).alias("cut"))
+
+
+# --- scalar functions ---------------------------------------------------------
+
+
+@query("SELECT conv_id, turn, CAST(greatest(1, ceil(length(text) / 4.0)) AS BIGINT) AS estimate, CAST(ceil(length(text) / 4.0) AS BIGINT) AS package_estimate FROM conversations")
+def token_estimates(t):
+    return t.conversations.select("conv_id", "turn", T.estimate("text").alias("estimate"), T.estimate_package("text").alias("package_estimate"))
+
+
+@query(r"SELECT doc_id, CASE WHEN length(text) <= 300 THEN text ELSE regexp_replace(left(text, 282), '\s+$', '') || chr(10) || '…[truncated]' END AS clipped FROM documents")
+def clipped_texts(t):
+    return t.documents.select("doc_id", T.clip("text", 300).alias("clipped"))
+
+
+URI_SQL = "'archive://content/' || doc_id || '?revision=' || (doc_id % 5 + 1) || '&hash=' || sha256(text)"
+
+
+@query(f"SELECT doc_id, {URI_SQL} AS uri, 'archive://conversation/' || source || '/node/n%20' || doc_id || '?evidence=' || lang AS message_uri FROM documents")
+def evidence_uris(t):
+    return t.documents.select("doc_id", T.content_uri("doc_id", F.col("doc_id") % 5 + 1, F.sha2("text", 256)).alias("uri"), T.message_uri("source", F.concat(F.lit("n "), F.col("doc_id").cast("string")), "lang").alias("message_uri"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN 'content' ELSE 'conversation' END AS kind, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE CAST(doc_id AS VARCHAR) END AS id, CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN '7' ELSE 'n 1' END AS part, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE lang END AS hash FROM documents")
+def evidence_uri_parts(t):
+    uri = F.when(F.col("doc_id") % 3 == 1, T.content_uri("doc_id", F.lit(7), "lang")).when(F.col("doc_id") % 3 == 2, T.message_uri("doc_id", F.lit("n 1"), "lang")).otherwise(F.concat(F.lit("archive://content/"), F.col("doc_id").cast("string")))
+    return t.documents.select("doc_id", T.parsed_uri(uri).alias("u")).select("doc_id", "u.kind", "u.id", "u.part", "u.hash")
+
+
+@query(r"SELECT doc_id, CASE WHEN s = '' THEN 'item' ELSE s END AS safe, left(trim(lower(regexp_replace(w, '[^\p{L}\p{N}]+', '-', 'g')), '-'), 120) AS slug FROM (SELECT doc_id, w, trim(regexp_replace(left(w, 300), '[^\p{L}\p{N}._:-]+', '-', 'g'), '-') AS s FROM (SELECT doc_id, left(trim(text, ' ' || chr(10)), 500) AS w FROM documents))")
+def safe_identifiers(t):
+    return t.documents.select("doc_id", T.safe_id("text").alias("safe"), T.slug("text").alias("slug"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN f = '' THEN 'untitled' ELSE f END AS file FROM (SELECT doc_id, regexp_replace(left(regexp_replace(regexp_replace(left(trim(text, ' ' || chr(10)), 500), '[<>:"/\\|?*\x00-\x1f]+', '-', 'g'), '\s+', ' ', 'g'), 80), '[. ]+$', '') AS f FROM documents)""")
+def safe_filenames(t):
+    return t.documents.select("doc_id", T.safe_filename("text").alias("file"))
+
+
+TOK = "list_distinct(regexp_extract_all({0}, '[a-z0-9][a-z0-9_+.-]{{1,63}}'))"
+
+
+@query(rf"""
+WITH b AS (SELECT item_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS x FROM benchmark)
+SELECT a.item_id AS a, b.item_id AS b, round(CASE WHEN a.x = b.x THEN 1.0 WHEN contains(a.x, b.x) OR contains(b.x, a.x) THEN least(length(a.x), length(b.x)) / greatest(length(a.x), length(b.x))
+  ELSE 2.0 * len(list_intersect({TOK.format('a.x')}, {TOK.format('b.x')})) / (len({TOK.format('a.x')}) + len({TOK.format('b.x')})) END, 6) AS similarity
+FROM b AS a JOIN b ON a.item_id < b.item_id""")
+def similarity_of_items(t):
+    a, b = t.benchmark.select(F.col("item_id").alias("a"), F.col("text").alias("x")), t.benchmark.select(F.col("item_id").alias("b"), F.col("text").alias("y"))
+    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(T.similarity("x", "y"), 6).alias("similarity"))  # the query set with itself
+
+
+@query("SELECT doc_id, CAST(len(list_distinct(list_filter(list_transform(regexp_split_to_array(text, '[,，\n#]'), lambda x: trim(x)), lambda x: x <> ''))[:50]) AS BIGINT) AS tags FROM documents")
+def tag_counts(t):
+    return t.documents.select("doc_id", L(F.size(T.tags("text")), "tags"))
+
+
+@query(rf"SELECT doc_id, left({SQUEEZE}, 160) AS preview FROM documents")
+def previews(t):
+    return t.documents.select("doc_id", T.preview("text").alias("preview"))
+
+
+@query(r"""SELECT page_id, CAST(len(list_distinct(regexp_extract_all(url || ' ' || html, 'https?://[^\s<>"'')\]]+'))) AS BIGINT) AS links FROM pages""")
+def page_links(t):
+    return t.pages.select("page_id", L(F.size(T.links(F.concat_ws(" ", "url", "html"))), "links"))
+
+
+@query("SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' ELSE printf('%.1f', round(n / 1024.0, 1)) || ' KB' END AS size FROM (SELECT doc_id, strlen(text) AS n FROM documents)")
+def readable_sizes(t):
+    return t.documents.select("doc_id", T.byte_size(F.octet_length("text")).alias("size"))
+
+
+FNV_SQL = "printf('%08x', list_reduce(list_prepend(2166136261::BIGINT, list_transform(range(1, length(source) + 1), lambda i: ascii(substr(source, i, 1))::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295))"
+
+
+@query(f"SELECT doc_id, {FNV_SQL} AS units, {FNV_SQL} AS bytes FROM documents")
+def fnv_fingerprints(t):
+    return t.documents.select("doc_id", T.fnv1a(T.code_units("source")).alias("units"), T.fnv1a(T.utf8_bytes("source")).alias("bytes"))
+
+
+@query("""
+SELECT page_id, left(regexp_replace(regexp_replace(regexp_replace(regexp_replace('Bearer abc.def/1 ' || url || ' file-a' || page_id || ' ws-x1 0a1b2c3d-0000-1111-2222-333344445555',
+ '(?i)Bearer\\s+[A-Za-z0-9._~+/-]+', 'Bearer <redacted>', 'g'), '(https?://[^\\s"<>?#]+)[?#][^\\s"<>]*', '\\1', 'g'), '(?i)file[-_][a-z0-9]+', '<file-id>', 'g'), '(?i)ws-[a-z0-9-]+', '<workspace-id>', 'g'), 500) AS raw FROM pages""".replace("333344445555',", "333344445555',").replace("'<workspace-id>', 'g')", "'<workspace-id>', 'g')"))
+def redaction(t):
+    raw = F.concat(F.lit("Bearer abc.def/1 "), "url", F.lit(" file-a"), F.col("page_id").cast("string"), F.lit(" ws-x1 0a1b2c3d-0000-1111-2222-333344445555"))
+    return t.pages.select("page_id", F.replace(T.redacted(raw), F.lit("<uuid>"), F.lit("0a1b2c3d-0000-1111-2222-333344445555")).alias("raw"))
+
+
+CODE_SQL = "[200, 401, 404, 413, 429, 500, 422, 403][CAST(event_id % 8 + 1 AS INTEGER)]"
+
+
+@query(f"""SELECT category, count(*) AS events FROM (SELECT CASE WHEN c IN (401, 403) OR regexp_matches(m, 'auth|token|permission') THEN 'AUTH' WHEN c = 404 THEN 'ENDPOINT_OR_FILE_NOT_FOUND' WHEN c = 413 THEN 'FILE_TOO_LARGE'
+ WHEN c = 429 OR regexp_matches(m, 'rate') THEN 'RATE_LIMIT' WHEN c >= 500 THEN 'UPSTREAM_SERVER' WHEN c = 422 THEN 'INTEGRITY_OR_SHAPE' WHEN regexp_matches(m, 'sandbox') THEN 'SANDBOX_REFERENCE_ONLY' ELSE 'OTHER' END AS category
+ FROM (SELECT {CODE_SQL} AS c, lower(event_type) AS m FROM events)) GROUP BY category""")
+def failure_histogram(t):
+    code = F.element_at(F.array(*map(F.lit, (200, 401, 404, 413, 429, 500, 422, 403))), (F.col("event_id") % 8 + 1).cast("int"))
+    return t.events.groupBy(T.failure_class(code, "event_type").alias("category")).agg(F.count("*").alias("events"))
+
+
+# --- canonical graphs ---------------------------------------------------------
+
+PARENT = "CASE WHEN turn > 0 THEN 'n' || (turn - 1) END"
+
+
+def raw(t):
+    return canonical.raw_of(t.conversations)
+
+
+@query(f"SELECT CAST(conv_id AS VARCHAR) AS conversation_id, 'n' || turn AS node_id, {PARENT} AS parent_id, 'm' || turn AS message_id, CASE WHEN role IN ('user', 'assistant', 'system', 'tool') THEN role ELSE 'unknown' END AS role, CASE role WHEN 'assistant' THEN 'assistant_final' WHEN 'tool' THEN 'tool_result' ELSE role END AS semantic, text FROM conversations")
+def canonical_nodes(t):
+    rows = canonical.nodes(raw(t))
+    return rows.select("conversation_id", "node_id", "parent_id", "message_id", "role", "semantic", F.array_join(F.transform("content", lambda p: p["text"]), "\n\n").alias("text"))
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS conversation_id, 'n' || turn AS node_id, max(turn) OVER (PARTITION BY conv_id) - turn AS depth FROM conversations")
+def active_path(t):
+    r = raw(t)
+    return canonical.branch(canonical.nodes(r), canonical.heads(r))[0].select("conversation_id", "node_id", "depth")
+
+
+@query("""SELECT CAST(conv_id AS VARCHAR) AS conversation_id, count(*) AS total_nodes, count(*) AS active_messages, count(*) FILTER (role = 'user') AS user_messages, count(*) FILTER (role = 'assistant') AS final_messages,
+ count(*) FILTER (role = 'system') AS technical, true AS root_reached, CASE WHEN count(*) FILTER (role IN ('user', 'assistant') AND trim(text) <> '') > 0 THEN 'COMPLETE' ELSE 'PARTIAL' END AS status FROM conversations GROUP BY conv_id""")
+def integrity_report(t):
+    r = raw(t)
+    return integrity.report(canonical.nodes(r), canonical.heads(r)).select("conversation_id", "total_nodes", "active_messages", "user_messages", "final_messages", "technical", "root_reached", "status")
+
+
+@query("SELECT CAST(c.conv_id AS VARCHAR) AS conversation_id, 'MISSING_PARENT' AS code, 'n' || c.turn AS node_id FROM conversations c WHERE c.turn % 3 <> 1 AND c.turn > 0 AND (c.turn - 1) % 3 = 1 UNION ALL SELECT CAST(conv_id AS VARCHAR), 'MISSING_CURRENT_NODE', 'n' || max(turn) FROM conversations GROUP BY conv_id HAVING max(turn) % 3 = 1")
+def integrity_issues(t):
+    r = raw(t)
+    nodes = canonical.nodes(r).where(F.substring("node_id", 2, 10).cast("int") % 3 != 1)
+    return integrity.issues(nodes, canonical.heads(r))
+
+
+@query("SELECT conv_id, turn, role, run, fragments, text FROM (SELECT conv_id, min(turn) AS turn, any_value(role) AS role, run, count(*) AS fragments, string_agg(text, '' ORDER BY turn) AS text FROM (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM (SELECT *, CASE WHEN r = lag(r) OVER (PARTITION BY conv_id ORDER BY turn) THEN 0 ELSE 1 END AS new FROM (SELECT conv_id, turn, text, turn // 2 AS r, CAST(turn // 2 AS VARCHAR) AS role FROM conversations))) GROUP BY conv_id, run) WHERE true".replace("sum(new) OVER (PARTITION BY conv_id ORDER BY turn)", "CAST(sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT)"))
+def coalesced_fragments(t):
+    rows = t.conversations.select("conv_id", "turn", F.floor(F.col("turn") / 2).cast("string").alias("role"), "text")
+    return sequences.coalesced(rows, "conv_id", "turn", ["role"]).select("conv_id", F.col("first").alias("turn"), "role", "run", "fragments", "text")
+
+
+@query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) AS k FROM conversations) WHERE k <= 3")
+def per_conversation_cap(t):
+    return sequences.capped(t.conversations, "conv_id", [F.desc(F.length("text")), "turn"], 3).select("conv_id", "turn", "role")
+
+
+@query("SELECT source, 'project-' || lpad(CAST(row_number() OVER (ORDER BY min(doc_id), source) AS VARCHAR), 3, '0') AS alias FROM documents GROUP BY source")
+def numbered_aliases(t):
+    return sequences.aliases(t.documents, "source", "doc_id", "project-").select("source", "alias")
+
+
+@query("SELECT conv_id, turn, CASE WHEN row_number() OVER (PARTITION BY conv_id ORDER BY turn) % 2 = 1 THEN 'user' ELSE 'assistant' END AS role FROM conversations")
+def roles_by_parity(t):
+    return sequences.parity_roles(t.conversations.withColumn("role", F.lit("unknown")), "conv_id", "turn").select("conv_id", "turn", "role")
+
+
+@query("SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS items FROM events GROUP BY ALL")
+def day_groups(t):
+    return sequences.days(t.events, "user_id", "ts").select("user_id", "day", "items")
+
+
+@query("SELECT conv_id, string_agg('## ' || role || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS markdown FROM conversations GROUP BY conv_id")
+def conversation_markdown(t):
+    return graph.markdown(t.conversations, "conv_id", "turn")
+
+
+@query("SELECT conv_id, turn, true AS fresh FROM conversations")
+def viewport_merge(t):
+    """Batches of six messages that overlap by two give every message once."""
+    rows = t.conversations.select("conv_id", "turn", F.sha2(F.concat_ws("\0", "turn", "text"), 256).alias("sign"))
+    batch = F.explode(F.array_distinct(F.array(F.floor(F.col("turn") / 4), F.greatest(F.lit(0), F.floor((F.col("turn") - 2) / 4)))))
+    return sequences.viewport(rows.withColumn("batch", batch), "conv_id", "batch", "turn", "sign").where("fresh").select("conv_id", "turn", "fresh")
+
+
+# --- rollups ------------------------------------------------------------------
+
+
+@query("SELECT count(DISTINCT doc_id) AS objects, count(DISTINCT source) AS projects, count(DISTINCT lang) AS tags, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents")
+def library_stats(t):
+    return t.documents.agg(F.count_distinct("doc_id").alias("objects"), F.count_distinct("source").alias("projects"), F.count_distinct("lang").alias("tags"), F.sum("n_chars").alias("chars"))
+
+
+@query("SELECT source AS project, count(*) AS objects, CAST(sum(n_chars) AS BIGINT) AS chars, max(doc_id) AS latest, max_by(lang, doc_id) AS title, count(quality) AS reviewed, CAST(coalesce(sum(toxic), 0) AS BIGINT) AS restricted FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
+def project_rollup(t):
+    rows = t.documents.select("doc_id", "source", "lang", "n_chars").join(t.labels, "doc_id", "left")
+    return rows.groupBy(F.col("source").alias("project")).agg(F.count("*").alias("objects"), F.sum("n_chars").alias("chars"), F.max("doc_id").alias("latest"), F.max_by("lang", "doc_id").alias("title"), F.count("quality").alias("reviewed"), F.coalesce(F.sum("toxic"), F.lit(0)).cast("long").alias("restricted"))
+
+
+@query("SELECT event_type, count(*) AS events, count(*) FILTER (value > 50) AS large, round(sum(value), 4) AS total, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY event_type")
+def job_counters(t):
+    return t.events.groupBy("event_type").agg(F.count("*").alias("events"), F.count_if(F.col("value") > 50).alias("large"), F.round(F.sum("value"), 4).alias("total"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+
+
+@query("SELECT text_hash AS key, copies FROM (SELECT sha256(text) AS text_hash, count(*) AS copies FROM documents GROUP BY 1) WHERE copies > 1")
+def duplicate_keys(t):
+    return t.documents.groupBy(F.sha2("text", 256).alias("key")).agg(F.count("*").alias("copies")).where("copies > 1")
+
+
+# --- objects and snapshots ----------------------------------------------------
+
+
+@query("SELECT doc_id, 'text:' || sha256(text) AS key FROM documents")
+def content_object_keys(t):
+    return t.documents.select("doc_id", F.concat(F.lit("text:"), F.sha2("text", 256)).alias("key"))
+
+
+@query("SELECT CAST(sum(b) AS BIGINT) AS logical_bytes, CAST(sum(one) AS BIGINT) AS physical_bytes, CAST(sum(b) - sum(one) AS BIGINT) AS saved_bytes, count(*) AS unique_objects FROM (SELECT sha256(text), sum(strlen(text)) AS b, max(strlen(text)) AS one FROM documents GROUP BY 1)")
+def dedup_saved_bytes(t):
+    return objects.sizes(t.documents.select(F.sha2("text", 256).alias("key"), F.octet_length("text").cast("long").alias("bytes"))).select("logical_bytes", "physical_bytes", "saved_bytes", "unique_objects")
+
+
+NODES_SQL = "SELECT CAST(conv_id AS VARCHAR) AS c, turn AS o, 'node:' || sha256(role || ':' || text) AS key, strlen(role || ':' || text) AS b FROM conversations"
+CHUNKS_SQL = f"SELECT c, ch, 'chunk:' || sha256(s) AS key, strlen(s) AS b FROM (SELECT c, o // 4 AS ch, string_agg(key, chr(10) ORDER BY o) AS s FROM ({NODES_SQL}) GROUP BY ALL)"
+STORE_SQL = f"""SELECT c AS conversation_id, 'node' AS kind, key, CAST(b AS BIGINT) AS bytes FROM ({NODES_SQL}) UNION ALL SELECT c, 'chunk', key, b FROM ({CHUNKS_SQL})
+UNION ALL SELECT c, 'manifest', 'manifest:' || sha256(s), strlen(s) FROM (SELECT c, string_agg(key, chr(10) ORDER BY ch) AS s FROM ({CHUNKS_SQL}) GROUP BY c)"""
+
+
+def stored(t, rows=None):
+    rows = t.conversations if rows is None else rows
+    return objects.plan(rows.select(F.col("conv_id").cast("string").alias("conversation_id"), F.col("turn").alias("ordinal"), F.col("turn").cast("string").alias("node_id"), F.concat_ws(":", "role", "text").alias("payload")), 4)
+
+
+@query(STORE_SQL)
+def storage_plan(t):
+    return stored(t).select("conversation_id", "kind", "key", "bytes")
+
+
+@query(f"""WITH n AS ({STORE_SQL}), o AS ({STORE_SQL.replace('FROM conversations', "FROM conversations WHERE turn < 5")})
+SELECT kind, count(*) FILTER (old IS NULL) AS inserted, count(*) FILTER (old IS NOT NULL) AS reused, CAST(coalesce(sum(bytes) FILTER (old IS NULL), 0) AS BIGINT) AS bytes_written, CAST(coalesce(sum(bytes) FILTER (old IS NOT NULL), 0) AS BIGINT) AS bytes_reused
+FROM (SELECT kind, key, max(bytes) AS bytes FROM n GROUP BY ALL) LEFT JOIN (SELECT DISTINCT key AS old FROM o) ON key = old GROUP BY kind""")
+def reuse_counters(t):
+    before = stored(t, t.conversations.where("turn < 5")).select("key").distinct()
+    return objects.reuse(stored(t), before)
+
+
+def tree(t):
+    """Documents as objects whose references are documents 2i + 1 and 2i + 2."""
+    return t.documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("key"), F.transform(F.array(F.col("doc_id") * 2 + 1, F.col("doc_id") * 2 + 2), lambda i: F.concat(F.lit("d"), i.cast("string"))).alias("refs"), F.col("n_chars").alias("bytes"))
+
+
+@query("WITH RECURSIVE live(i) AS (SELECT 1::BIGINT UNION SELECT i * 2 + k FROM live, (VALUES (1), (2)) v(k) WHERE i * 2 + k < (SELECT max(doc_id) + 1 FROM documents)) SELECT count(*) AS objects, CAST(sum(n_chars) AS BIGINT) AS bytes FROM documents WHERE doc_id NOT IN (SELECT i FROM live)")
+def garbage_collection(t):
+    rows = tree(t)
+    live = rows.where("key = 'd1'").select("key")
+    return objects.garbage(rows, live).agg(F.count("*").alias("objects"), F.sum("bytes").alias("bytes"))
+
+
+@query("WITH RECURSIVE live(i) AS (SELECT 1::BIGINT UNION SELECT i * 2 + k FROM live, (VALUES (1), (2)) v(k) WHERE i <= (SELECT max(doc_id) FROM documents)) SELECT i <= (SELECT max(doc_id) FROM documents) AS present, count(*) AS refs FROM live WHERE i <> 1 GROUP BY 1")
+def restore_dependencies(t):
+    rows = tree(t)
+    return objects.restored(rows.where("key = 'd1'").select("key"), rows).groupBy("present").agg(F.count("*").alias("refs"))
+
+
+BEFORE, AFTER = "doc_id % 7 <> 1", "doc_id % 5 <> 2"
+
+
+@query(f"SELECT change, count(*) AS n FROM (SELECT CASE WHEN b.doc_id IS NULL THEN 'added' WHEN a.doc_id IS NULL THEN 'removed' WHEN b.s = a.s THEN 'unchanged' ELSE 'updated' END AS change FROM (SELECT doc_id, n_chars AS s FROM documents WHERE {BEFORE}) b FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN n_chars + 1 ELSE n_chars END AS s FROM documents WHERE {AFTER}) a USING (doc_id)) GROUP BY change")
+def snapshot_diff(t):
+    d = t.documents.select("doc_id", F.col("n_chars").alias("s"))
+    after = d.where(AFTER).withColumn("s", F.when(F.col("doc_id") % 11 == 0, F.col("s") + 1).otherwise(F.col("s")))
+    return objects.difference(d.where(BEFORE), after, "doc_id", "s").groupBy("change").agg(F.count("*").alias("n"))
+
+
+@query("SELECT account, id, rank, rank = 1 OR (rank <= 5 AND created_at >= TIMESTAMP '2024-07-01' - INTERVAL 120 DAY) AS kept FROM (SELECT event_type AS account, event_id AS id, ts AS created_at, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rank FROM events)")
+def snapshot_retention(t):
+    rows = t.events.select(F.col("event_type").alias("account"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("created_at"))
+    return objects.retained(rows, "2024-07-01 00:00:00", 5, 120).select("account", "id", L("rank", "rank"), "kept")
+
+
+# --- merges -------------------------------------------------------------------
+
+
+def two(t):
+    d = t.documents.select(F.col("doc_id").alias("key"), F.sha2("text", 256).alias("digest"), F.col("doc_id").alias("updated_at"))
+    incoming = d.where("key % 4 <> 0").withColumn("digest", F.when(F.col("key") % 3 == 0, F.concat(F.lit("x"), "digest")).otherwise(F.col("digest"))).withColumn("updated_at", F.when(F.col("key") % 9 == 0, F.col("key") - 1).otherwise(F.col("key") + 1))
+    return d.where("key % 5 <> 0"), incoming
+
+
+UPSERT_SQL = "SELECT doc_id AS key, CASE WHEN doc_id % 5 = 0 THEN 'inserted' WHEN doc_id % 3 <> 0 THEN 'duplicate' WHEN doc_id % 9 = 0 THEN 'stale' ELSE 'updated' END AS status FROM documents WHERE doc_id % 4 <> 0"
+
+
+@query(UPSERT_SQL)
+def upsert_status(t):
+    return merge.upsert(*two(t)).select("key", "status")
+
+
+@query("SELECT CASE WHEN doc_id % 4 <> 0 AND (doc_id % 5 = 0 OR (doc_id % 3 = 0 AND doc_id % 9 <> 0)) THEN 'new' ELSE 'old' END AS version, count(*) AS n FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 4 <> 0 GROUP BY 1")
+def upsert_result(t):
+    return merge.applied(*two(t)).groupBy(F.when(F.col("updated_at") == F.col("key"), "old").otherwise("new").alias("version")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT user_id AS id, max(event_id) AS revision, max_by(event_type, event_id) AS kind FROM events GROUP BY user_id")
+def latest_versions(t):
+    return merge.latest(t.events.select(F.col("user_id").alias("id"), F.col("event_id").alias("revision"), F.col("event_type").alias("kind")))
+
+
+@query("SELECT user_id, bool_or(event_type = 'purchase') AS archived, max_by(event_type, event_id) AS title, CAST(count(DISTINCT event_type) AS BIGINT) AS collections FROM events GROUP BY user_id")
+def catalog_merge(t):
+    rows = t.events.select("user_id", "event_id", (F.col("event_type") == "purchase").alias("archived"), F.col("event_type").alias("title"), F.array("event_type").alias("collections"))
+    return merge.merged(rows, "user_id", "event_id", any_=["archived"], last=["title"], sets=["collections"]).withColumn("collections", L(F.size("collections"), "collections"))
+
+
+def versions(t):
+    d = t.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("project"))
+    rev = lambda df, r: df.withColumn("revision", r).withColumn("digest", F.concat_ws("v", "id", "revision"))
+    local = rev(d.where("id % 6 <> 0"), F.col("id") % 4 + 1)
+    incoming = rev(d, F.col("id") % 3 + 1).withColumn("digest", F.when(F.col("id") % 10 == 3, F.lit("other")).otherwise(F.col("digest"))).withColumn("project", F.when(F.col("id") % 13 == 0, "elsewhere").otherwise(F.col("project")))
+    history = lambda df, most: df.select("id", F.explode(F.sequence(F.lit(1).cast("long"), most)).alias("revision")).withColumn("digest", F.concat_ws("v", "id", "revision"))
+    return incoming, local, history(d, F.col("id") % 3 + 1).where("id % 7 <> 2"), history(local, F.col("revision"))
+
+
+@query("""
+WITH x AS (SELECT doc_id AS id, doc_id % 3 + 1 AS r, doc_id % 4 + 1 AS l, CASE WHEN doc_id % 10 = 3 THEN 'other' ELSE doc_id || 'v' || (doc_id % 3 + 1) END AS d, doc_id % 6 <> 0 AS here FROM documents)
+SELECT id, CASE WHEN NOT here THEN 'create' WHEN id % 13 = 0 THEN 'conflict:PROJECT_CONFLICT' WHEN r = l AND d = id || 'v' || l THEN 'skip:identical' WHEN r > l AND id % 7 <> 2 THEN 'fast_forward'
+  WHEN r < l AND d = id || 'v' || r THEN 'skip:local-ahead' WHEN r = l THEN 'conflict:REVISION_HASH_CONFLICT' ELSE 'conflict:DIVERGENT_HISTORY' END AS action FROM x""")
+def import_plan(t):
+    return merge.plan_objects(*versions(t)).select("id", "action")
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'add' WHEN doc_id % 3 = 0 THEN 'conflict:RECORD_ID_CONFLICT' ELSE 'skip:identical' END AS action FROM documents")
+def import_records(t):
+    d = t.documents.select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("digest"))
+    local = d.where("id % 2 = 1").withColumn("digest", F.when(F.col("id") % 3 == 0, "changed").otherwise(F.col("digest")))
+    return merge.plan_records(d, local, "id", "digest")
+
+
+@query("SELECT doc_id AS id, doc_id % 3 <> 0 AND (doc_id + 1) % 3 <> 0 AND doc_id + 1 <= (SELECT max(doc_id) FROM documents) AS ok FROM documents")
+def import_relations(t):
+    d = t.documents.select(F.col("doc_id").alias("id"))
+    relations = d.select("id", F.col("id").alias("from_id"), (F.col("id") + 1).alias("to_id"))
+    have = d.where("id % 3 <> 0")
+    return merge.plan_relations(relations, have.where("id % 2 = 0"), have.where("id % 2 = 1")).select("id", "ok")
+
+
+@query("SELECT doc_id AS id, 'OBJECT_CHANGED_AFTER_IMPORT' AS code FROM documents WHERE doc_id % 5 = 0 AND doc_id % 10 = 0 UNION ALL SELECT doc_id, 'DEPENDENT_RELATION_EXISTS' FROM documents WHERE doc_id % 5 = 0 AND doc_id % 15 = 0 UNION ALL SELECT doc_id, 'DEPENDENT_OPERATION_EXISTS' FROM documents WHERE doc_id % 5 = 0 AND doc_id % 20 = 5")
+def rollback_checks(t):
+    d = t.documents.select(F.col("doc_id").alias("id"), F.lit(1).alias("revision"), F.lit("h").alias("digest"))
+    created = d.where("id % 5 = 0")
+    current = d.withColumn("digest", F.when(F.col("id") % 10 == 0, "changed").otherwise(F.col("digest")))
+    relations = d.where("id % 3 = 0").select("id", F.col("id").alias("from_id"), F.col("id").alias("to_id"))
+    operations = d.where("id % 4 = 1").select("id", F.col("id").alias("object_id"))
+    none = d.where("id < 0").select("id")
+    return merge.rollback_conflicts(created, current, relations, operations, none, none)
+
+
+PATCH_ACTION = "CASE WHEN doc_id % 6 = 0 THEN 'add' WHEN doc_id % 6 = 1 THEN 'update' WHEN doc_id % 6 = 2 THEN 'supersede' END"
+
+
+def patches(t):
+    d = t.documents.select(F.col("doc_id").alias("id"), F.lit("active").alias("status"), F.col("lang").alias("title"))
+    kind = F.col("id") % 6
+    p = d.where("id % 6 < 3").select("id", F.when(kind == 0, "add").when(kind == 1, "update").otherwise("supersede").alias("action"), F.lit(None).cast("string").alias("status"), F.lit("new").alias("title"))
+    return d.where("id % 4 <> 0"), p
+
+
+@query(f"""
+SELECT id, CASE WHEN act = 'supersede' AND err IS NULL THEN 'superseded' WHEN there THEN 'active' END AS status, CASE WHEN act IS NOT NULL AND err IS NULL THEN 'new' WHEN there THEN lang END AS title, err AS error
+FROM (SELECT *, CASE WHEN act = 'add' AND there THEN 'already exists' WHEN act IN ('update', 'supersede') AND NOT there THEN 'not found' END AS err FROM (SELECT doc_id AS id, lang, doc_id % 4 <> 0 AS there, {PATCH_ACTION} AS act FROM documents)) WHERE there OR act IS NOT NULL""")
+def state_patch(t):
+    return merge.patched(*patches(t))
+
+
+@query(f"""
+SELECT 'decision.' || id AS path, CASE WHEN NOT there THEN 'add' ELSE 'change' END AS type FROM (SELECT doc_id AS id, lang, doc_id % 4 <> 0 AS there, {PATCH_ACTION} AS act FROM documents)
+WHERE (act = 'add' AND NOT there) OR (act IN ('update', 'supersede') AND there) OR (act IN ('update', 'supersede') AND NOT there)""")
+def state_diff(t):
+    before, p = patches(t)
+    return merge.changes(before, merge.patched(before, p).drop("error"), "id", "decision")
+
+
+@query("SELECT doc_id AS key, 'concurrent_change' AS code FROM documents WHERE doc_id % 3 = 0 AND doc_id % 4 = 0")
+def concurrent_changes(t):
+    d = t.documents.select(F.col("doc_id").alias("key"), F.sha2("text", 256).alias("digest"))
+    now = d.withColumn("digest", F.when(F.col("key") % 4 == 0, "changed").otherwise(F.col("digest")))
+    return merge.concurrent(d.where("key % 3 = 0").select("key"), d, now)
+
+
+@query("SELECT user_id AS object_id, event_id AS id, revision, event_id % 2 = 0 OR revision - 1 = 1 AS ok FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS revision FROM events)")
+def operation_log(t):
+    log = t.events.select(F.col("user_id").alias("object_id"), F.col("event_id").alias("id"), F.col("ts").alias("at"), F.when(F.col("event_id") % 2 == 1, 1).alias("expected"))
+    return merge.versioned(log).select("object_id", "id", L("revision", "revision"), "ok")
+
+
+@query("SELECT change, count(*) AS lines FROM (SELECT CASE WHEN x.k = 1 THEN 'added' ELSE 'removed' END AS change FROM (VALUES (1), (2)) x(k), documents WHERE (x.k = 1 AND doc_id % 2 = 0) OR (x.k = 2 AND doc_id % 3 = 0)) GROUP BY change")
+def memory_line_diff(t):
+    d = t.documents.select(F.col("doc_id").alias("id"), "text")
+    before = d.withColumn("text", F.when(F.col("id") % 3 == 0, F.concat_ws("\n", "text", F.lit("-- only before --"))).otherwise(F.col("text")))
+    after = d.withColumn("text", F.when(F.col("id") % 2 == 0, F.concat_ws("\n", "text", F.lit("-- only after --"))).otherwise(F.col("text")))
+    return merge.line_changes(before, after).groupBy("change").agg(F.count("*").alias("lines"))
+
+
+# --- gate, budgets, packing ---------------------------------------------------
+
+
+def candidates(t):
+    """Documents as gate candidates of their source; toxic ones are restricted, poor ones superseded."""
+    d = t.documents.select("doc_id", "source", "lang", "n_chars").join(t.labels, "doc_id", "left")
+    i = F.col("doc_id")
+    return d.select(
+        i.alias("id"), F.col("source").alias("project_id"), F.when(i % 17 == 0, "elsewhere").otherwise(F.col("source")).alias("scope"), F.when(F.col("quality") == 0, "superseded").when(i % 19 == 0, "done").otherwise("active").alias("status"),
+        F.lit(None).cast("string").alias("superseded_by"), F.when(i % 23 == 0, "2020-01-01 00:00:00").when(i % 29 == 0, "never").alias("expires_at"), F.when(F.col("toxic") == 1, "restricted").otherwise("internal").alias("sensitivity"),
+        F.when(i % 31 == 0, 1).otherwise(0).alias("conflicts"), F.when(i % 37 == 0, 1).otherwise(0).alias("bad_evidence"), (i % 3).cast("int").alias("evidence"), F.lit("approved_record").alias("source"),
+        F.when(i % 2 == 0, "task").otherwise("decision").alias("kind"), F.when(i % 4 == 0, "high").otherwise("medium").alias("priority"), (i % 41 == 0).alias("locked"), (i % 100).cast("int").alias("importance"),
+        F.ceil(F.col("n_chars") / 4).cast("long").alias("tokens"), i.alias("updated_at"),
+    )
+
+
+CANDIDATE_SQL = """SELECT doc_id AS id, source AS project_id, doc_id % 17 = 0 AS foreign_, quality = 0 AS old, doc_id % 19 = 0 AS done, doc_id % 23 = 0 AS expired, doc_id % 29 = 0 AND doc_id % 23 <> 0 AS odd, coalesce(toxic, 0) = 1 AS toxic,
+ doc_id % 31 = 0 AS clash, doc_id % 37 = 0 AS bad, doc_id % 3 = 0 AS bare, doc_id % 2 = 0 AS task, doc_id % 4 = 0 AS high, doc_id % 41 = 0 AS locked, doc_id % 100 AS importance, CAST(ceil(n_chars / 4.0) AS BIGINT) AS tokens FROM documents LEFT JOIN labels USING (doc_id)"""
+RULES_SQL = f"""SELECT *, CASE WHEN project_id <> 'src1' OR foreign_ THEN 'CROSS_PROJECT_SCOPE' WHEN coalesce(old, false) THEN 'SUPERSEDED' WHEN done THEN 'INACTIVE_RECORD' WHEN odd THEN 'INVALID_EXPIRY' WHEN expired THEN 'EXPIRED' WHEN toxic THEN 'SENSITIVE_EXTERNAL_TARGET'
+ WHEN clash THEN 'UNRESOLVED_CONFLICT' WHEN bad THEN 'INVALID_EVIDENCE_URI' WHEN locked THEN 'LOCKED_APPROVED_MEMORY' ELSE 'EVIDENCE_VERIFIED' END AS reason FROM ({CANDIDATE_SQL})"""
+
+
+@query(f"""SELECT id, CASE WHEN reason IN ('CROSS_PROJECT_SCOPE', 'SUPERSEDED', 'INACTIVE_RECORD', 'EXPIRED', 'SENSITIVE_EXTERNAL_TARGET') THEN 'EXCLUDE' WHEN reason IN ('INVALID_EXPIRY', 'UNRESOLVED_CONFLICT', 'INVALID_EVIDENCE_URI') THEN 'REVIEW' ELSE 'INCLUDE' END AS decision,
+ reason, CASE WHEN reason IN ('LOCKED_APPROVED_MEMORY', 'EVIDENCE_VERIFIED') THEN 'INTERNAL_MEMORY_ALLOWED_BY_BROAD_POLICY' END AS warning FROM ({RULES_SQL})""")
+def gate_rules(t):
+    return gate.decide(candidates(t), "src1", "2024-01-01 00:00:00", "broad", "external").select("id", "decision", "reason", "warning")
+
+
+RANKED_SQL = f"""SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY score DESC, id DESC) AS k FROM (SELECT id, project_id, locked, tokens, CAST((CASE WHEN locked THEN 1000 ELSE 0 END) + (CASE WHEN task THEN 80 ELSE 90 END) + (CASE WHEN high THEN 8 ELSE 4 END) + importance AS BIGINT) AS score FROM ({CANDIDATE_SQL}))"""
+
+
+def ranked(t):
+    return candidates(t).select("id", "project_id", "locked", "tokens", T.priority("kind", "priority", "importance", "locked").cast("long").alias("score"), "updated_at")
+
+
+@query(f"SELECT id, score FROM ({RANKED_SQL})")
+def priority_scores(t):
+    return ranked(t).select("id", "score")
+
+
+@query(f"""
+WITH RECURSIVE r AS MATERIALIZED ({RANKED_SQL}), f AS (
+  SELECT project_id, k, id, locked OR tokens <= 8192 AS taken, CASE WHEN locked OR tokens <= 8192 THEN tokens ELSE 0 END AS used FROM r WHERE k = 1
+  UNION ALL SELECT r.project_id, r.k, r.id, r.locked OR f.used + r.tokens <= 8192, f.used + CASE WHEN r.locked OR f.used + r.tokens <= 8192 THEN r.tokens ELSE 0 END FROM f JOIN r ON r.project_id = f.project_id AND r.k = f.k + 1)
+SELECT id, taken, CAST(used AS BIGINT) AS used FROM f""")
+def gate_budget(t):
+    return gate.budgeted(ranked(t), 8192).select("id", "taken", "used")
+
+
+@query(f"SELECT id, sum(tokens) OVER (PARTITION BY project_id ORDER BY k) <= 20000 AS taken FROM ({RANKED_SQL})")
+def package_budget(t):
+    return gate.stopped(ranked(t), 20000, "project_id", "tokens", [F.desc("score"), F.desc("id")]).select("id", "taken")
+
+
+@query("""
+WITH RECURSIVE r AS MATERIALIZED (SELECT source, doc_id, strlen(text) AS b, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents), f AS (
+  SELECT source, doc_id, k, CASE WHEN 1000 + b > 65536 THEN 1 ELSE 0 END::BIGINT AS volume, CASE WHEN 1000 + b > 65536 THEN b ELSE 1000 + b END AS used FROM r WHERE k = 1
+  UNION ALL SELECT r.source, r.doc_id, r.k, f.volume + CASE WHEN f.used + r.b > 65536 THEN 1 ELSE 0 END, CASE WHEN f.used + r.b > 65536 THEN r.b ELSE f.used + r.b END FROM f JOIN r ON r.source = f.source AND r.k = f.k + 1)
+SELECT doc_id, volume FROM f""")
+def volume_plan(t):
+    rows = t.documents.select("source", "doc_id", F.octet_length("text").cast("long").alias("b"))
+    return gate.volumes(rows, 65536, "source", "b", ["doc_id"], 1000).select("doc_id", "volume")
+
+
+# --- scoring ------------------------------------------------------------------
+
+
+def answers(t):
+    e = t.documents.select(F.col("source").alias("case"), F.col("doc_id").alias("id"), F.col("lang").alias("title"), F.lit("active").alias("status"), F.when(F.col("doc_id") % 2 == 0, "high").otherwise("low").alias("priority"))
+    a = e.where("id % 3 <> 0").withColumn("status", F.when(F.col("id") % 5 == 0, "done").otherwise(F.col("status"))).withColumn("priority", F.lit("high"))
+    return e.where("id % 7 <> 0"), a
+
+
+@query("""SELECT source AS "case", count(*) FILTER (e) AS expected, count(*) FILTER (a) AS actual, count(*) FILTER (e AND a) AS matched,
+ round(20.0 * (0.65 * count(*) FILTER (e AND a) / count(*) FILTER (e) + 0.35 * coalesce(sum((1.0 + CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 1 END + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END) / 3) FILTER (e AND a), 0) / count(*) FILTER (e)), 6) AS score
+FROM (SELECT *, doc_id % 7 <> 0 AS e, doc_id % 3 <> 0 AS a FROM documents) WHERE e OR a GROUP BY source""")
+def record_scores(t):
+    return scoring.records(*answers(t), 20.0, task=True).select("case", "expected", "actual", "matched", F.round("score", 6).alias("score"))
+
+
+@query("""SELECT source AS "case", count(*) FILTER (w) AS expected, count(*) FILTER (c) AS cited, count(*) FILTER (c AND NOT k) AS invalid,
+ round(CASE WHEN count(*) FILTER (w) > 0 THEN 10.0 * count(*) FILTER (w AND c AND k) / count(*) FILTER (w) WHEN count(*) FILTER (c AND k) > 0 OR count(*) FILTER (c) = 0 THEN 10 ELSE 0 END + CASE WHEN count(*) FILTER (c) > 0 THEN 5.0 * count(*) FILTER (c AND k) / count(*) FILTER (c) WHEN count(*) FILTER (w) > 0 THEN 0 ELSE 5 END, 6) AS score FROM (SELECT *, doc_id % 2 = 0 AS w, doc_id % 3 <> 0 AS c, doc_id % 5 <> 0 AS k FROM documents) WHERE w OR c GROUP BY source""")
+def evidence_scores(t):
+    d = t.documents.select(F.col("source").alias("case"), "doc_id", F.col("doc_id").cast("string").alias("uri"))
+    out = scoring.evidence(d.where("doc_id % 2 = 0"), d.where("doc_id % 3 <> 0"), d.where("doc_id % 5 <> 0"))
+    return out.select("case", "expected", "cited", "invalid", F.round("score", 6).alias("score"))
+
+
+@query("SELECT doc_id, CAST(CASE WHEN doc_id % 2 = 0 THEN 5 ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN 5 ELSE 0 END AS DOUBLE) AS score, CASE WHEN doc_id % 11 = 0 THEN 'FAIL' WHEN doc_id % 100 >= 85 THEN 'PASS' WHEN doc_id % 100 >= 65 THEN 'PARTIAL' ELSE 'FAIL' END AS verdict FROM documents")
+def status_scores(t):
+    d = t.documents.select("doc_id", F.lit("green").alias("e"), F.when(F.col("doc_id") % 2 == 0, " GREEN").otherwise("red").alias("a"), F.lit(1).alias("x"), F.when(F.col("doc_id") % 3 == 0, 1).otherwise(2).alias("y"))
+    return d.select("doc_id", (scoring.status_field("e", "a", "exact") + scoring.status_field("x", "y", "number")).alias("score"), scoring.verdict(F.col("doc_id") % 100, F.col("doc_id") % 11 == 0).alias("verdict"))
+
+
+@query()
+def greedy_best_match(t):
+    a, b = t.benchmark.select(F.col("item_id").alias("e"), F.col("text").alias("x")), t.benchmark.select(F.col("item_id").alias("a"), F.lower("text").alias("y"))
+    pairs = a.join(b, F.abs(F.col("e") - F.col("a")) <= 3).select((F.col("e") % 5).alias("case"), "e", "a", F.round(T.similarity("x", "y"), 6).alias("score"))
+    return scoring.matched(pairs).where("taken").select("case", "e", "a", "score")
+
+
+# --- knowledge graph ----------------------------------------------------------
+
+
+def project_graph(t):
+    """Sources are projects, conversations belong to project conv_id % 20, documents are records that cite a conversation."""
+    projects = t.documents.select(F.col("source").alias("project_id"), F.col("source").alias("title")).distinct()
+    talks = t.conversations.select(F.col("conv_id").alias("conversation_id"), F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string")).alias("project_id"), F.concat(F.lit("Conversation "), F.col("conv_id").cast("string")).alias("title")).distinct()
+    i = F.col("doc_id")
+    records = t.documents.select(
+        F.col("source").alias("project_id"), F.lit("decision").alias("kind"), i.cast("string").alias("id"), F.concat(F.lit("Record "), i.cast("string")).alias("title"), F.when(i % 4 == 0, (i - 20).cast("string")).alias("depends_on"), F.lit(None).cast("string").alias("superseded_by"),
+        F.when(i % 9 == 0, F.array(F.lit("bad"))).otherwise(F.array(T.message_uri(i % 1000, F.lit("n1"), F.lit("h")))).alias("evidence"),
+    )
+    assets = t.pages.select(F.col("page_id").cast("string").alias("id"), F.concat(F.lit("Page "), F.col("page_id").cast("string")).alias("title"), F.array((F.col("page_id") % 100).cast("string")).alias("conversations"))
+    return graph.compile(projects, talks, records, assets)
+
+
+@query("""SELECT kind, count(*) AS nodes FROM (SELECT DISTINCT 'project' AS kind, source AS x FROM documents UNION ALL SELECT DISTINCT 'conversation', CAST(conv_id AS VARCHAR) FROM conversations UNION ALL SELECT 'decision', CAST(doc_id AS VARCHAR) FROM documents UNION ALL SELECT 'asset', CAST(page_id AS VARCHAR) FROM pages) GROUP BY kind""")
+def graph_nodes(t):
+    return project_graph(t)[0].groupBy("kind").agg(F.count("*").alias("nodes"))
+
+
+@query("""SELECT relation, count(*) AS edges FROM (SELECT 'belongs_to' AS relation FROM documents UNION ALL SELECT 'belongs_to' FROM (SELECT DISTINCT conv_id FROM conversations) UNION ALL SELECT 'depends_on' FROM documents WHERE doc_id % 4 = 0 UNION ALL SELECT 'evidenced_by' FROM documents WHERE doc_id % 9 <> 0 UNION ALL SELECT 'contains' FROM pages) GROUP BY relation""")
+def graph_edges(t):
+    return project_graph(t)[1].groupBy("relation").agg(F.count("*").alias("edges"))
+
+
+@query("""
+WITH c AS (SELECT DISTINCT conv_id FROM conversations), i AS (
+ SELECT 'dangling_edge' AS code FROM documents WHERE doc_id % 4 = 0 AND doc_id < 20 AND doc_id > 0
+ UNION ALL SELECT 'dangling_edge' FROM documents WHERE doc_id % 9 <> 0 AND doc_id % 1000 NOT IN (SELECT conv_id FROM c)
+ UNION ALL SELECT 'dangling_edge' FROM pages WHERE page_id % 100 NOT IN (SELECT conv_id FROM c)
+ UNION ALL SELECT 'conversation_project_link_missing' FROM c WHERE conv_id % 20 <> 1
+ UNION ALL SELECT 'invalid_evidence_uri' FROM documents WHERE doc_id % 9 = 0
+ UNION ALL SELECT 'missing_evidence_conversation' FROM documents WHERE doc_id % 9 <> 0 AND doc_id % 1000 NOT IN (SELECT conv_id FROM c))
+SELECT code, count(*) AS issues FROM i GROUP BY code""")
+def graph_issues(t):
+    return graph.validate(*project_graph(t), "src1").groupBy("code").agg(F.count("*").alias("issues"))
+
+
+@query("""SELECT direction, relation, count(*) AS n FROM (SELECT 'out' AS direction, 'belongs_to' AS relation FROM (SELECT doc_id FROM documents UNION ALL SELECT DISTINCT conv_id FROM conversations)
+ UNION ALL SELECT 'in', 'belongs_to' FROM (SELECT doc_id FROM documents UNION ALL SELECT DISTINCT conv_id FROM conversations)) GROUP BY ALL""")
+def node_connections(t):
+    return graph.connections(*project_graph(t)).where("relation = 'belongs_to'").groupBy("direction", "relation").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'decision:' || doc_id AS id, 'note/' || lang || CASE WHEN k > 1 THEN ' ' || k ELSE '' END || '.md' AS path FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY 'decision:' || doc_id) AS k FROM documents)")
+def note_paths(t):
+    return graph.paths(t.documents.select(F.concat(F.lit("decision:"), F.col("doc_id").cast("string")).alias("id"), F.lit("note").alias("kind"), F.col("lang").alias("title")))
+
+
+@query("SELECT 'broken_link' AS code, 'd' || (doc_id + 1) AS item FROM documents WHERE doc_id = (SELECT max(doc_id) FROM documents)")
+def vault_issues(t):
+    i = F.col("doc_id")
+    return graph.vault_issues(t.documents.select(F.concat(F.lit("d"), i.cast("string"), F.lit(".md")).alias("path"), F.concat(F.lit("see [[d"), (i + 1).cast("string"), F.lit("#top|next]]")).alias("body")))
+
+
+# --- captured pages and assets ------------------------------------------------
+
+PROVIDERS = {"example.com": "one", "example.net": "two", "example.org": "three"}
+
+
+@query(r"SELECT page_id, CASE WHEN h = 'example.com' OR ends_with(h, '.example.com') THEN 'one' WHEN h = 'example.net' OR ends_with(h, '.example.net') THEN 'two' WHEN h = 'example.org' OR ends_with(h, '.example.org') THEN 'three' END AS provider FROM (SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS h FROM pages)")
+def page_providers(t):
+    return t.pages.select("page_id", web.provider("url", PROVIDERS).alias("provider"))
+
+
+@query("SELECT doc_id, doc_id % 3 <> 2 AS present, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'archived' END AS primary_type FROM documents")
+def location_choice(t):
+    place = lambda kind, there: F.struct(F.lit(kind).alias("type"), there.alias("present"))
+    none = F.filter(F.array(place("x", F.lit(True))), lambda _: F.lit(False))
+    i = F.col("doc_id") % 3
+    rows = t.documents.select("doc_id", F.when(i == 0, none).when(i == 1, F.array(place("regular", F.lit(None).cast("boolean")), place("archived", F.lit(False)))).otherwise(F.array(place("regular", F.lit(False)), place("archived", F.lit(False)))).alias("l"))
+    return rows.select("doc_id", web.present(F.col("l")).alias("present"), web.primary(F.col("l"), ["project", "archived", "regular"])["type"].alias("primary_type"))
+
+
+@query(r"SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN 'Talk ' || conv_id ELSE coalesce(nullif(trim(left(regexp_extract(min_by(text, turn), '^\s*([^.!?\n]+)', 1), 60)), ''), 'c' || conv_id) END AS title FROM conversations GROUP BY conv_id")
+def conversation_titles(t):
+    rows = t.conversations.groupBy("conv_id").agg(F.min_by("text", "turn").alias("first"))
+    name = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("Talk "), F.col("conv_id").cast("string"))).otherwise("Untitled chat")
+    return rows.select("conv_id", web.title("first", name, fallback=F.concat(F.lit("c"), F.col("conv_id").cast("string"))).alias("title"))
+
+
+@query("SELECT user_id AS key, bool_or(value > 50) AS downloadable, max(event_type || ':' || event_id) FILTER (s) AS name, count(DISTINCT d) AS conversations FROM (SELECT *, event_id % 9 AS d, event_id % 10 = max(event_id % 10) OVER (PARTITION BY user_id) AS s FROM events) GROUP BY user_id")
+def asset_merge(t):
+    refs = t.events.select(F.col("user_id").alias("key"), F.concat_ws(":", "event_type", "event_id").alias("name"), (F.col("event_id") % 10).alias("name_score"), (F.col("value") > 50).alias("downloadable"), (F.col("event_id") % 9).alias("conversation"))
+    return web.assets(refs).select("key", "downloadable", "name", "conversations")
+
+
+@query("SELECT state, count(*) AS assets FROM (SELECT CASE WHEN page_id % 2 = 0 THEN 'saved' WHEN page_id % 3 = 0 THEN 'failed' WHEN page_id % 5 = 0 THEN 'unsupported' ELSE 'missing' END AS state FROM pages) GROUP BY state")
+def asset_states(t):
+    p = t.pages.select(F.col("page_id").alias("key"), (F.col("page_id") % 5 != 0).alias("downloadable"))
+    return web.asset_states(p, p.where("key % 2 = 0"), p.where("key % 3 = 0")).groupBy("state").agg(F.count("*").alias("assets"))
+
+
+@query("SELECT doc_id AS key FROM documents WHERE source = 'src1' OR doc_id % 10 = 3")
+def project_assets(t):
+    d = t.documents.select(F.col("doc_id").alias("key"), F.col("source").alias("project_id"), F.array(F.col("doc_id") % 10, F.lit(-1).cast("long")).alias("conversations"))
+    one = t.documents.where("source = 'src1'").select(F.col("source").alias("project_id")).distinct()
+    return web.matched_assets(d, one, t.conversations.where("conv_id = 3").select(F.lit(3).cast("long").alias("conversation_id")).distinct())
+
+
+@query("SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'image' WHEN 1 THEN 'document' WHEN 2 THEN 'archive' WHEN 3 THEN 'audio' ELSE 'file' END AS kind, 'file-a' || page_id AS file_id FROM pages")
+def asset_kinds(t):
+    name = F.element_at(F.array(*map(F.lit, ("a.PNG", "b.pdf", "c.zip", "d.mp3", "e.bin"))), (F.col("page_id") % 5 + 1).cast("int"))
+    text = F.concat(F.lit("see file-a"), F.col("page_id").cast("string"), F.lit(" and file-a"), F.col("page_id").cast("string"))
+    return t.pages.select("page_id", web.asset_kind(name, F.lit("")).alias("kind"), F.array_join(web.file_ids(text), ",").alias("file_id"))
+
+
+# --- incremental --------------------------------------------------------------
+
+
+@query("SELECT doc_id AS id, n_chars + CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS version FROM documents WHERE doc_id % 3 = 0 OR doc_id % 4 = 0")
+def changed_to_fetch(t):
+    d = t.documents.select(F.col("doc_id").alias("id"), F.col("n_chars").alias("version"))
+    return incremental.to_fetch(d.where("id % 3 <> 0"), d.withColumn("version", F.col("version") + F.when(F.col("id") % 4 == 0, 1).otherwise(0)))
+
+
+@query("SELECT doc_id AS id, doc_id % 6 <> 0 AS present FROM documents")
+def membership_scan(t):
+    d = t.documents.select(F.col("doc_id").alias("id"))
+    return incremental.membership(d, d.where("id % 6 <> 0"))
+
+
+@query("SELECT event_id, CAST([15, 60, 360, 1440][CAST(least(greatest(event_id % 6, 1), 4) AS INTEGER)] AS BIGINT) AS minutes, CAST(least(500 * pow(2, event_id % 8), 15000) AS BIGINT) AS backoff, c IN (408, 409, 429) OR c >= 500 AS retryable FROM (SELECT event_id, 400 + event_id % 120 AS c FROM events)")
+def retry_ladder(t):
+    i = F.col("event_id")
+    return t.events.select("event_id", L(incremental.retry_minutes(i % 6), "minutes"), L(incremental.backoff_ms(i % 8 + 1), "backoff"), incremental.retryable(400 + i % 120).alias("retryable"))
+
 
-def search_messages_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    messages = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return messages.select("conv_id", "turn", F.lower("text").alias("t")).where(F.col("t").contains("the")).select("conv_id", "turn", F.length("t").cast("long").alias("n"))
+@query("""SELECT event_id, CAST(epoch(CASE WHEN event_id % 2 = 0 THEN d + INTERVAL 3 HOUR + CASE WHEN d + INTERVAL 3 HOUR > ts THEN INTERVAL 0 DAY ELSE INTERVAL 1 DAY END
+  ELSE w + INTERVAL 3 HOUR + CASE WHEN w + INTERVAL 3 HOUR > ts THEN INTERVAL 0 DAY ELSE INTERVAL 7 DAY END END) AS BIGINT) AS next_at
+FROM (SELECT event_id, ts, d, d + INTERVAL 1 DAY * ((2 - (dayofweek(d) + 1) + 7) % 7) AS w FROM (SELECT event_id, ts, date_trunc('day', ts)::TIMESTAMP AS d FROM events))""")
+def next_runs(t):
+    kind = F.when(F.col("event_id") % 2 == 0, "daily").otherwise("weekly")
+    at = F.col("ts").cast("timestamp")
+    return t.events.select("event_id", F.unix_seconds(incremental.next_run(at, kind, F.lit(3), F.lit(2))).alias("next_at"))
 
 
-QUERIES = {"search_messages_ranked": search_messages_ranked}
-ORACLE_SQL = {"search_messages_ranked": "SELECT conv_id, turn, CAST(length(text) AS BIGINT) AS n FROM conversations WHERE contains(lower(text), 'the')"}
+@query("SELECT event_id, round(CASE event_id % 5 WHEN 0 THEN 15 * s WHEN 1 THEN 15 + 55 * s WHEN 2 THEN 70 + 5 * s WHEN 3 THEN 75 + 24 * s ELSE 100 END, 6) AS percent FROM (SELECT event_id, (event_id % 50) / 50.0 AS s FROM events)")
+def backup_progress(t):
+    phase = F.element_at(F.array(*map(F.lit, ("indexing", "exporting", "asset_indexing", "asset_downloading", "completed"))), (F.col("event_id") % 5 + 1).cast("int"))
+    return t.events.select("event_id", F.round(incremental.progress(phase, F.col("event_id") % 50, F.lit(50)), 6).alias("percent"))
