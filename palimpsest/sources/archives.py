@@ -69,7 +69,7 @@ def entries(archives: DataFrame, max_entry: int = MAX_ENTRY, max_archive: int =
 
 def conversations(found: DataFrame) -> DataFrame:
     """fingerprint, name, raw (JSON) of every raw conversation in entries: own archives' raw.json and official exports; bad ones are skipped."""
-    text = F.decode("payload", F.lit("UTF-8"))
+    text = F.decode("payload", "UTF-8")
     good = found.where("error IS NULL AND payload IS NOT NULL").where(F.col("name").rlike(EXPORT) | F.col("name").rlike(r"(^|/)raw\.json$")).select("fingerprint", "name", text.alias("text"))
     listed = F.coalesce(F.from_json("text", "array<string>"), F.from_json(F.get_json_object("text", "$.conversations"), "array<string>"))
     export = good.where(F.col("name").rlike(EXPORT)).select("fingerprint", "name", F.explode(listed).alias("raw"))
@@ -80,7 +80,7 @@ def conversations(found: DataFrame) -> DataFrame:
 def own_candidates(found: DataFrame) -> DataFrame:
     """Directories of own archives that hold canonical.json, with their raw.json and source metadata."""
     folder = F.regexp_replace("name", r"[^/]+$", "")
-    text = F.decode("payload", F.lit("UTF-8"))
+    text = F.decode("payload", "UTF-8")
     part = lambda file: found.where(F.col("name").endswith(file) & F.col("error").isNull()).select("fingerprint", folder.alias("folder"), text.alias(file.split(".")[0].replace("-", "_")))
     return part("canonical.json").where(F.get_json_object("canonical", "$.conversationId").isNotNull()).join(part("raw.json"), ["fingerprint", "folder"]).join(part("source-metadata.json"), ["fingerprint", "folder"], "left")
 
