@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
-from palimpsest.operators import canonical, gate, graph, incremental, integrity, merge, objects, scoring, search, sequences, web
+from palimpsest.operators import canonical, capture, gate, graph, incremental, integrity, merge, objects, packages, records, scoring, search, sequences, web
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -753,3 +753,138 @@ def next_runs(t):
 def backup_progress(t):
     phase = F.element_at(F.array(*map(F.lit, ("indexing", "exporting", "asset_indexing", "asset_downloading", "completed"))), (F.col("event_id") % 5 + 1).cast("int"))
     return t.events.select("event_id", F.round(incremental.progress(phase, F.col("event_id") % 50, F.lit(50)), 6).alias("percent"))
+
+
+# --- captures, records, packages ----------------------------------------------
+
+
+@query("SELECT conv_id, 'visible-' || lpad(CAST(n AS VARCHAR), 4, '0') AS node_id, CASE WHEN n > 1 THEN 'visible-' || lpad(CAST(n - 1 AS VARCHAR), 4, '0') END AS parent_id, role FROM (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE regexp_replace(text, '\\s', '', 'g') <> '')")
+def visible_snapshots(t):
+    return capture.linear(t.conversations, "conv_id", "turn").select("conv_id", "node_id", "parent_id", "role")
+
+
+def attempt(i):
+    """Properties of a capture derived from a number."""
+    c = {k: i % m != 0 for k, m in (("viable", 11), ("exact_id", 7), ("direct", 3), ("root_reached", 5))}
+    c |= {"parent_breaks": F.when(i % 5 == 0, i % 2).otherwise(0), "cycle": i % 10 == 0, "leaf_mismatch": i % 13 == 0, "visible": i % 17, "max_turn": i % 19}
+    return c | {"active_messages": i % 40, "message_nodes": i % 60, "user_messages": i % 20, "assistant_messages": i % 21}
+
+
+SOUND_SQL = "event_id % 11 <> 0 AND event_id % 7 <> 0 AND event_id % 5 <> 0"
+
+
+@query(f"""SELECT event_id, CAST((CASE WHEN event_id % 11 <> 0 THEN 1000000 ELSE 0 END) + (CASE WHEN event_id % 7 <> 0 THEN 200000 ELSE -1000000 END) + (CASE WHEN event_id % 3 <> 0 THEN 100000 ELSE 0 END) + (CASE WHEN event_id % 5 <> 0 THEN 50000 ELSE 0 END)
+ - (CASE WHEN event_id % 5 = 0 THEN event_id % 2 ELSE 0 END) * 25000 - (CASE WHEN event_id % 10 = 0 THEN 50000 ELSE 0 END) + event_id % 40 * 1000 + event_id % 60 * 10 + event_id % 20 + event_id % 21 AS BIGINT) AS score,
+ CAST((CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END) + (CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END) + (CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END) + (CASE WHEN event_id % 5 = 0 AND event_id % 2 = 1 THEN 1 ELSE 0 END) + (CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END)
+ + (CASE WHEN event_id % 40 < event_id % 17 THEN 1 ELSE 0 END) + (CASE WHEN event_id % 19 > 0 AND event_id % 40 < event_id % 19 THEN 1 ELSE 0 END) + (CASE WHEN event_id % 13 = 0 THEN 1 ELSE 0 END) + (CASE WHEN {SOUND_SQL} AND event_id % 40 <= 12 THEN 1 ELSE 0 END) AS BIGINT) AS doubts,
+ {SOUND_SQL} AND event_id % 2 = 0 AND event_id % 40 >= event_id % 17 AND (event_id % 19 <= 0 OR event_id % 40 >= event_id % 19) AS backed FROM events""")
+def capture_scores(t):
+    i = F.col("event_id")
+    c = attempt(i)
+    return t.events.select("event_id", capture.score(c).alias("score"), L(F.size(capture.doubts(c)), "doubts"), capture.corroborated(c, i % 2 == 0, c["visible"]).alias("backed"))
+
+
+@query("SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")
+def best_capture(t):
+    return capture.best(t.events.select("user_id", "event_id"), "user_id", "event_id").select("user_id", "event_id")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 AND (event_id % 3 = 0 OR event_id % 5 = 0) THEN 'api' WHEN event_id % 2 = 0 AND event_id % 7 = 0 THEN 'page' WHEN event_id % 2 = 0 THEN 'api' WHEN event_id % 11 = 0 THEN 'debugger' WHEN event_id % 7 = 0 THEN 'page' ELSE 'none' END AS source FROM events")
+def capture_source(t):
+    i = F.col("event_id")
+    return t.events.select("event_id", capture.source(i % 2 == 0, i % 3 == 0, i % 5 == 0, i % 11 == 0, i % 7 == 0).alias("source"))
+
+
+@query("SELECT doc_id AS id, source FROM documents WHERE doc_id % 3 = 0 AND lang = 'en' AND contains(lower(source || chr(10) || text), 'ation')")
+def timeline_filter(t):
+    rows = t.documents.select(F.col("doc_id").alias("id"), "source", F.col("source").alias("title"), F.col("text").alias("body"), F.array().cast("array<string>").alias("tags"), F.when(F.col("doc_id") % 3 == 0, "active").otherwise("archived").alias("status"), F.lit("note").alias("kind"), F.col("lang").alias("project_id"), F.lit(None).cast("string").alias("project_title"), F.col("doc_id").alias("updated_at"))
+    return capture.timeline(rows, "active", "note", "en", "ation").select("id", "source")
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'refresh-session' WHEN 1 THEN 'choose-workspace' WHEN 2 THEN 'show-downloads' ELSE 'retry' END AS action, CASE WHEN event_id % 5 = 0 THEN 'danger' WHEN event_id % 3 = 0 THEN 'warning' ELSE 'good' END AS tone FROM events")
+def recovery_actions(t):
+    i = F.col("event_id")
+    text = F.element_at(F.array(*map(F.lit, ("error 401", "no Workspace", "write interrupted", "odd"))), (i % 4 + 1).cast("int"))
+    return t.events.select("event_id", capture.recovery(text).alias("action"), capture.quality(F.when(i % 5 == 0, 1).otherwise(0), F.when(i % 3 == 0, 1).otherwise(0)).alias("tone"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 3 = 0 THEN 'flash' WHEN doc_id % 3 = 1 THEN 'note' ELSE 'note' END AS kind, CASE WHEN doc_id % 4 = 0 THEN (CASE WHEN doc_id % 3 = 0 THEN left(trim(text, ' ' || chr(10)), 80) ELSE 'Untitled' END) ELSE source END AS title, CASE WHEN doc_id % 5 = 0 THEN 'trashed' ELSE 'active' END AS status, greatest(1, doc_id % 4 - 1) AS revision, CAST(CASE WHEN lang = 'en' THEN 1 ELSE 2 END AS BIGINT) AS tags FROM documents")
+def normalised_objects(t):
+    i = F.col("doc_id")
+    rows = t.documents.select(i.cast("string").alias("id"), F.when(i % 3 == 0, "flash").when(i % 3 == 1, "note").otherwise("novel").alias("kind"), F.col("source").alias("project_id"), F.when(i % 4 == 0, "  ").otherwise(F.col("source")).alias("title"), F.col("text").alias("body"), F.array("lang", F.lit("en"), F.lit(" ")).alias("tags"), F.when(i % 5 == 0, "trashed").otherwise("lost").alias("status"), (i % 4 - 1).alias("revision"))
+    return records.normalised(rows).select("id", "kind", "title", "status", "revision", L(F.size("tags"), "tags"))
+
+
+@query("SELECT path, count(*) AS objects FROM (SELECT 'title' AS path FROM documents WHERE doc_id % 4 = 0 UNION ALL SELECT 'revision' FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT 'contentHash' FROM documents WHERE doc_id % 5 = 0 UNION ALL SELECT 'schemaVersion' FROM documents WHERE doc_id % 7 = 0) GROUP BY path")
+def object_issues(t):
+    i = F.col("doc_id")
+    rows = t.documents.select(i.cast("string").alias("id"), F.when(i % 4 == 0, "").otherwise("t").alias("title"), (i % 3).alias("revision"), F.when(i % 5 == 0, "md5:x").otherwise("sha256:x").alias("digest"), F.when(i % 7 == 0, 2).otherwise(1).alias("schema_version"))
+    return records.issues(rows).groupBy("path").agg(F.count("*").alias("objects"))
+
+
+@query("SELECT reason, count(*) AS uris FROM (SELECT CASE WHEN doc_id % 5 = 0 THEN 'invalid_uri' WHEN doc_id % 2 = 0 THEN (CASE WHEN doc_id % 3 = 0 THEN 'content_version_not_found' WHEN doc_id % 7 = 0 THEN 'content_hash_mismatch' ELSE 'ok' END) ELSE (CASE WHEN doc_id % 3 = 0 THEN 'evidence_not_found' WHEN doc_id % 7 = 0 THEN 'node_not_found' ELSE 'ok' END) END AS reason FROM documents) GROUP BY reason")
+def evidence_verification(t):
+    i = F.col("doc_id")
+    uri = F.when(i % 5 == 0, F.concat(F.lit("bad"), i.cast("string"))).when(i % 2 == 0, T.content_uri(i, F.lit(1), F.lit("h"))).otherwise(T.message_uri(i, F.lit("n1"), F.lit("e")))
+    versions_ = t.documents.where("doc_id % 3 <> 0").select(i.cast("string").alias("id"), F.lit(1).alias("revision"), F.when(i % 7 == 0, "other").otherwise("h").alias("digest"))
+    held = t.documents.where("doc_id % 3 <> 0").select(i.cast("string").alias("conversation_id"), F.when(i % 7 == 0, "n2").otherwise("n1").alias("node_id"), F.lit("e").alias("evidence_hash"))
+    return records.verified(t.documents.select(uri.alias("uri")), versions_, held).groupBy("reason").agg(F.count("*").alias("uris"))
+
+
+@query("SELECT coalesce(a.source, b.source) AS project_id, CASE WHEN b.source IS NOT NULL THEN 'second' ELSE a.source END AS title FROM (SELECT DISTINCT source FROM documents) a FULL JOIN (SELECT DISTINCT source FROM documents WHERE lang = 'fr') b ON a.source = b.source")
+def project_catalogue(t):
+    one = t.documents.select(F.col("source").alias("project_id"), F.lit(None).cast("string").alias("title"))
+    two_ = t.documents.where("lang = 'fr'").select(F.col("source").alias("project_id"), F.lit("second").alias("title"))
+    return records.projects(one, two_)
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN (CASE WHEN s = 'active' THEN 'archived' END) WHEN 1 THEN (CASE WHEN s <> 'trashed' THEN 'trashed' END) ELSE (CASE WHEN s <> 'active' THEN 'active' END) END AS status FROM (SELECT event_id, ['active', 'archived', 'trashed'][CAST(event_id // 3 % 3 + 1 AS INTEGER)] AS s FROM events)")
+def state_transitions(t):
+    pick = lambda names, i: F.element_at(F.array(*map(F.lit, names)), (i % 3 + 1).cast("int"))
+    i = F.col("event_id")
+    return t.events.select("event_id", records.moved(pick(("active", "archived", "trashed"), F.floor(i / 3)), pick(("archive", "trash", "restore"), i)).alias("status"))
+
+
+@query("SELECT status, target, count(*) AS drafts FROM (SELECT CASE WHEN doc_id % 2 = 0 THEN 'approved' ELSE 'pending_review' END AS status, CASE WHEN lang = 'en' THEN 'task' ELSE 'decision' END AS target FROM documents) GROUP BY ALL")
+def promotion_review(t):
+    rows = t.documents.select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("project_id"), F.lit(1).alias("revision"), F.col("source").alias("title"), F.col("text").alias("body"), "lang", "doc_id")
+    drafts = records.promoted(rows, F.when(F.col("lang") == "en", "task").otherwise("decision"))
+    verdicts = drafts.where(F.col("source_id").cast("long") % 2 == 0).select("id", F.lit("approved").alias("verdict"))
+    return records.reviewed(drafts, verdicts).groupBy("status", "target").agg(F.count("*").alias("drafts"))
+
+
+@query("""SELECT code, count(*) AS items FROM (SELECT 'CURRENT_VERSION_MISSING' AS code FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT 'VERSION_IDENTITY_MISMATCH' FROM documents WHERE doc_id % 7 = 0 UNION ALL SELECT 'RELATION_ENDPOINT_MISSING' FROM documents WHERE doc_id = (SELECT max(doc_id) FROM documents)
+ UNION ALL SELECT 'CROSS_PROJECT_RELATION' FROM documents WHERE doc_id < (SELECT max(doc_id) FROM documents) UNION ALL SELECT 'OPERATION_OBJECT_MISSING' FROM documents WHERE doc_id % 5 = 0 UNION ALL SELECT 'PROMOTION_REVISION_INVALID' FROM documents WHERE doc_id % 2 = 1 UNION ALL SELECT 'SCOPE_PROJECT_MISMATCH' FROM documents WHERE source <> 'src1') GROUP BY code""")
+def package_validation(t):
+    i = F.col("doc_id")
+    things = t.documents.select(i.cast("string").alias("id"), F.col("source").alias("project_id"), F.lit(1).alias("revision"), F.lit("h").alias("digest"), "doc_id")
+    kept = t.documents.select(F.concat(i.cast("string"), F.when(i % 7 == 0, ":v2").otherwise(":v1")).alias("key"), i.cast("string").alias("object_id"), F.lit(1).alias("revision"), F.when(i % 3 == 0, "old").otherwise("h").alias("digest"))
+    links = t.documents.select(i.alias("id"), i.cast("string").alias("from_id"), (i + 1).cast("string").alias("to_id"))
+    log = t.documents.select(i.alias("id"), F.when(i % 5 == 0, "gone").otherwise(i.cast("string")).alias("object_id"))
+    drafts = t.documents.select(i.alias("id"), i.cast("string").alias("source_id"), (i % 2 + 1).alias("source_revision"))
+    return packages.package_issues(things, kept, links, log, drafts, "src1").groupBy("code").agg(F.count("*").alias("items"))
+
+
+@query("SELECT handoff_id, CASE WHEN n > 0 THEN 'BLOCKED' ELSE 'PASS' END AS status, n AS failures FROM (SELECT doc_id AS handoff_id, CAST((CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END) + (CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END) + (CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 1 THEN 1 ELSE 0 END) + (CASE WHEN n_chars > 3000 THEN 1 ELSE 0 END) AS BIGINT) AS n FROM documents)")
+def handoff_preflight(t):
+    i = F.col("doc_id")
+    s = lambda **c: F.struct(*(v.alias(k) for k, v in c.items()))
+    one = F.lit(1)
+    rows = t.documents.select(
+        s(handoff_id=i, bundle_hash=one).alias("manifest"), s(handoff_id=i, project_id=one, state_version=one, state_hash=one, policy=one, review_allowed=i % 2 == 0, overrun_allowed=F.lit(True), benchmark_id=one, budget=F.lit(3000)).alias("contract"),
+        s(handoff_id=F.when(i % 5 == 0, -1).otherwise(i), bundle_hash=one).alias("receipt"), s(project_id=one, version=F.when(i % 7 == 0, 2).otherwise(1), hash=one).alias("state"), s(project_id=one, policy=one, review=F.when(i % 3 == 0, 1).otherwise(0), overrun=one).alias("gate"),
+        s(benchmark_id=one).alias("challenge"), F.col("n_chars").alias("context_tokens"),
+    )
+    return packages.preflight(rows).select("handoff_id", "status", L(F.size("failures"), "failures"))
+
+
+@query("SELECT action, count(*) AS writes FROM (SELECT CASE WHEN doc_id % 2 = 0 THEN 'create' WHEN doc_id % 3 = 0 THEN 'fast_forward' ELSE 'skip' END AS action FROM documents) WHERE action <> 'skip' GROUP BY action")
+def import_receipt(t):
+    i = F.col("doc_id")
+    plan = t.documents.select(i.alias("id"), F.when(i % 2 == 0, "create").when(i % 3 == 0, "fast_forward").otherwise("skip:identical").alias("action"))
+    return packages.receipt(plan, "p", "2024-01-01").select("action", "writes")
+
+
+@query("SELECT doc_id, lang, (dense_rank() OVER (ORDER BY lang) - 1) * 400 AS x, (k - 1) * 120 AS y FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents) WHERE k <= 200")
+def canvas_layout(t):
+    return sequences.layout(t.documents.select("doc_id", "lang"), "lang", "doc_id").select("doc_id", "lang", L("x", "x"), L("y", "y"))
