@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
-from palimpsest.operators import canonical, capture, gate, graph, incremental, integrity, merge, objects, packages, records, scoring, search, sequences, web
+from palimpsest.operators import canonical, capture, gate, graph, incremental, integrity, merge, objects, packages, records, scoring, search, selection, sequences, web
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -888,3 +888,80 @@ def import_receipt(t):
 @query("SELECT doc_id, lang, (dense_rank() OVER (ORDER BY lang) - 1) * 400 AS x, (k - 1) * 120 AS y FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents) WHERE k <= 200")
 def canvas_layout(t):
     return sequences.layout(t.documents.select("doc_id", "lang"), "lang", "doc_id").select("doc_id", "lang", L("x", "x"), L("y", "y"))
+
+
+# --- selections, modes, comparisons -------------------------------------------
+
+
+@query("SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 2 = 0 AND conv_id % 3 = 1 AND contains(CAST(conv_id AS VARCHAR), '4')")
+def reference_filter(t):
+    rows = t.conversations.select("conv_id").distinct().select("conv_id", F.when(F.col("conv_id") % 2 == 0, "one").otherwise("two").alias("provider"), F.col("conv_id").cast("string").alias("id"), F.lit("talk").alias("title"), F.array(F.concat(F.lit("c"), (F.col("conv_id") % 3).cast("string"))).alias("collections"))
+    return selection.refs(rows, "one", "c1", "4").select("conv_id")
+
+
+@query("SELECT event_type || ':' || user_id AS key, row_number() OVER (ORDER BY min(event_id), event_type || ':' || user_id) AS position FROM events GROUP BY event_type, user_id")
+def selection_order(t):
+    return selection.chosen(t.events.select(F.col("event_type").alias("provider"), F.col("user_id").alias("id"), F.col("event_id").alias("at")))
+
+
+@query("SELECT 'd' || doc_id AS key FROM documents WHERE (doc_id % 2 = 0) <> (doc_id % 3 = 0)")
+def selection_toggle(t):
+    d = t.documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("key"), "doc_id")
+    return selection.toggled(d.where("doc_id % 2 = 0"), d.where("doc_id % 3 = 0"))
+
+
+@query("SELECT doc_id AS id, CAST((CASE WHEN contains(w, 'ation') THEN 1 ELSE 0 END) + (CASE WHEN contains(w, 'ment') THEN 1 ELSE 0 END) AS BIGINT) AS score FROM (SELECT doc_id, lower(source || chr(10) || text) AS w FROM documents WHERE doc_id % 5 <> 0) WHERE contains(w, 'ation') OR contains(w, 'ment')")
+def memory_selection(t):
+    rows = t.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.col("text").alias("body"), F.when(F.col("doc_id") % 5 == 0, "trashed").otherwise("active").alias("status"), F.col("doc_id").alias("updated_at"))
+    return selection.memories(rows, "ation ment").select("id", L("score", "score"))
+
+
+@query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 25 OFFSET 50")
+def result_page(t):
+    return selection.page(t.documents.select("doc_id", "n_chars"), [F.desc("n_chars"), "doc_id"], 3, 25)
+
+
+@query("SELECT event_id AS id, ['pending_review', 'conflict', 'approved', 'rejected'][CAST(event_id % 4 + 1 AS INTEGER)] AS status FROM events ORDER BY event_id % 4, ts DESC, event_id LIMIT 200")
+def proposal_list(t):
+    rows = t.events.select(F.col("event_id").alias("id"), F.element_at(F.array(*map(F.lit, ("pending_review", "conflict", "approved", "rejected"))), (F.col("event_id") % 4 + 1).cast("int")).alias("status"), F.col("ts").alias("created_at"))
+    return selection.proposals(rows).select("id", "status")
+
+
+@query("SELECT conv_id, count(*) AS path_nodes, count(*) FILTER (f) AS coalesced, count(*) FILTER (f AND role <> 'system') AS included, count(*) FILTER (f AND role <> 'system' AND trim(text) <> '') AS rendered FROM (SELECT *, NOT coalesce(role = lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AND turn // 3 = lag(turn // 3) OVER (PARTITION BY conv_id ORDER BY turn), false) AS f FROM conversations) GROUP BY conv_id")
+def render_funnel(t):
+    rows = t.conversations.select("conv_id", "turn", "text", F.when(F.col("role") == "assistant", "assistant_final").otherwise(F.col("role")).alias("semantic"), F.floor(F.col("turn") / 3).alias("stream_group"))
+    return selection.funnel(rows, "conv_id")
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE role = 'assistant'")
+def render_mode(t):
+    rows = t.conversations.withColumn("semantic", F.when(F.col("role") == "assistant", "assistant_final").otherwise(F.col("role")))
+    return selection.rendered(rows, "assistant-only").select("conv_id", "turn")
+
+
+@query('SELECT user_id, max(value) FILTER (event_id % 2 = 0) AS "off", max(value) FILTER (event_id % 2 = 1) AS "on", max(value) FILTER (event_id % 2 = 1) - max(value) FILTER (event_id % 2 = 0) AS delta FROM events GROUP BY user_id')
+def experiment_deltas(t):
+    return selection.compared(t.events.withColumn("arm", F.when(F.col("event_id") % 2 == 0, "off").otherwise("on")), "user_id", "arm", "value")
+
+
+@query("SELECT user_id, round(least(greatest(sum(CAST(event_id % 7 AS DOUBLE)), 0), 100), 2) AS total FROM events GROUP BY user_id")
+def benchmark_totals(t):
+    return selection.benchmark_total(t.events.select("user_id", (F.col("event_id") % 7).cast("double").alias("score")), "user_id")
+
+
+@query("""SELECT event_id, '{"items": [{"id": ' || event_id || '}], "kind": "' || event_type || '"}' AS props FROM events""")
+def secret_removal(t):
+    raw = F.format_string('{"kind": "%s", "access_token": "x", "items": [{"id": %d, "downloadUrl": "http://x"}]}', "event_type", "event_id")
+    return selection.without_secrets(t.events.select("event_id", raw.alias("props")), "props")
+
+
+@query("SELECT page_id, 'file-b1,file_a' || page_id AS refs FROM pages")
+def asset_references(t):
+    raw = F.format_string('{"parts": [{"pointer": "see file_a%d"}, ["file-b1", "file_a%d"]], "n": 3}', "page_id", "page_id")
+    return selection.asset_refs(t.pages.select("page_id", raw.alias("refs")), "refs")
+
+
+@query("SELECT event_id, least(greatest(event_id % 50, 5), 30) AS percent, '---' || chr(10) || 'kind: \"' || event_type || '\"' || chr(10) || 'user: \"' || user_id || '\"' || chr(10) || '---' AS front FROM events")
+def clamps_and_front_matter(t):
+    entries = F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("kind"), F.col("event_type"))
+    return t.events.select("event_id", selection.clamp((F.col("event_id") % 50).cast("string"), 5, 30, 0).alias("percent"), selection.yaml(entries).alias("front"))
