@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -415,9 +416,12 @@ def closed(rows: DataFrame, with_text: bool) -> DataFrame:
 
 
 def release(spark) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that are done with."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner drop the shuffle files of plans that are done with; it acts when the driver collects its garbage."""
+    for _ in range(2):  # what Python lets go, the JVM sees a moment later
+        gc.collect()
+        time.sleep(0.4)
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def spans(source: DataFrame, with_text: bool = False) -> DataFrame:
