@@ -127,11 +127,22 @@ class Rows:
 
     def __init__(self):
         self.rows: list[tuple] = []
-
-    def positions(self, kind: int, ids: np.ndarray, number: np.ndarray, parts: int) -> None:
-        for part, at in by_part(part_of(ids, parts)):
-            order = at[np.lexsort((number[at], ids[at]))]
-            self.rows.append((part, kind, None, Pack.dump(ids[order], number[order]), None))
+        self.held: dict[int, list] = {}
+
+    def positions(self, kind: int, ids: np.ndarray, number: np.ndarray, parts: int, most: int = 1 << 21) -> None:
+        """Keeps positions until there are many, so that few rows carry them; ``flush`` ends it."""
+        held = self.held.setdefault(kind, [])
+        held.append((ids, number))
+        if sum(len(i) for i, _ in held) >= most:
+            self.flush(parts)
+
+    def flush(self, parts: int) -> None:
+        for kind, held in self.held.items():
+            ids, number = joined(held)
+            for part, at in by_part(part_of(ids, parts)):
+                order = at[np.lexsort((number[at], ids[at]))]
+                self.rows.append((part, kind, None, Pack.dump(ids[order], number[order]), None))
+        self.held = {}
 
     def batch(self) -> pa.RecordBatch:
         types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
@@ -148,10 +159,10 @@ def later(key: np.ndarray) -> np.ndarray:
     return out
 
 
-def sampled(source: DataFrame, parts: int) -> DataFrame:
+def sampled(source: DataFrame, parts: int, buckets: int) -> DataFrame:
     """Step 1: sampled tuples, combined within the task, by bucket."""
 
-    def run(batches):
+    def sample_tuples(batches):
         out = Rows()
         for batch in batches:
             batch = batch.sort_by("id")
@@ -173,12 +184,14 @@ def sampled(source: DataFrame, parts: int) -> DataFrame:
                 out.positions(REPEATS, own[again], k[again], parts)
                 fresh = ~again
                 own, k, name, over = own[fresh], k[fresh], name[fresh], over[fresh]
-                for bucket, at in by_part(((name >> tk.U(40)) % tk.U(parts)).astype(np.int64)):
+                for bucket, at in by_part(((name >> tk.U(40)) % tk.U(buckets)).astype(np.int64)):
                     blob = Pack.dump(own[at], k[at], name[at].astype(np.uint32), over[at].astype(np.uint32), (over[at] >> tk.U(56)).astype(np.uint8))
                     out.rows.append((bucket, SAMPLES, None, blob, None))
                 yield out.batch()
+        out.flush(parts)
+        yield out.batch()
 
-    return source.mapInArrow(run, ROW)
+    return source.mapInArrow(sample_tuples, ROW)
 
 
 def dealt(rows: DataFrame) -> DataFrame:
@@ -205,7 +218,7 @@ def parts_in(batches, kind: int):
 def named(rows: DataFrame, parts: int) -> DataFrame:
     """Step 2: repeated members of classes, and the first members whose tuple stands in several classes."""
 
-    def run(batches):
+    def name_tuples(batches):
         out = Rows()
         for part, got in parts_in(batches, SAMPLES):
             if part is None:
@@ -224,15 +237,16 @@ def named(rows: DataFrame, parts: int) -> DataFrame:
                 out.positions(EDGES, ids[many], k[many], parts)
             if len(out.rows) > 500:
                 yield out.batch()
+        out.flush(parts)
         yield out.batch()
 
-    return dealt(rows).mapInArrow(run, ROW)
+    return dealt(rows).mapInArrow(name_tuples, ROW)
 
 
 def texts(source: DataFrame, parts: int) -> DataFrame:
     """Compressed texts as rows of ROW."""
 
-    def run(batches):
+    def pack_texts(batches):
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             ids = batch.column("id").to_numpy()
@@ -241,7 +255,7 @@ def texts(source: DataFrame, parts: int) -> DataFrame:
             cols = [pa.array(part, pa.int32()), pa.array([TEXT] * n, pa.int32()), batch.column("id"), pa.array(blob, pa.binary()), pa.nulls(n, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["part", "kind", "id", "blob", "known"])
 
-    return source.mapInArrow(run, ROW)
+    return source.mapInArrow(pack_texts, ROW)
 
 
 def settle(ids: np.ndarray, data: np.ndarray, off: np.ndarray, known: np.ndarray, which: np.ndarray, with_text: bool) -> pa.RecordBatch:
@@ -341,7 +355,7 @@ def with_positions(batches, limit: int = 400):
         yield known or tables(blobs), rows
 
 
-def opened(rows: DataFrame, parts: int, with_text: bool) -> DataFrame:
+def opened(rows: DataFrame, parts: int, buckets: int, with_text: bool) -> DataFrame:
     """Step 3: names of the strings that are still open by bucket, documents that have such, and results of the others."""
     schema = ROW + ", " + RESULT.replace("id long, ", "")
     blank = {c.split()[0]: {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[c.split()[1]] for c in RESULT.split(", ")[1:]}
@@ -353,7 +367,7 @@ def opened(rows: DataFrame, parts: int, with_text: bool) -> DataFrame:
         cols = [pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), batch.column("id"), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), *batch.columns[1:]]
         return pa.RecordBatch.from_arrays(cols, ["part", "kind", "id", "blob", "known", *blank])
 
-    def run(batches):
+    def open_strings(batches):
         out = Rows()
         for known, rows in with_positions(batches):
             for ids, data, off, own in text_groups(rows):
@@ -369,7 +383,7 @@ def opened(rows: DataFrame, parts: int, with_text: bool) -> DataFrame:
                     at, name = at[~again], name[~again]
                     doc = np.searchsorted(off, at, "right") - 1
                     waits[doc] = True
-                    for bucket, some in by_part(((name >> tk.U(40)) % tk.U(parts)).astype(np.int64)):
+                    for bucket, some in by_part(((name >> tk.U(40)) % tk.U(buckets)).astype(np.int64)):
                         out.rows.append((bucket, STRINGS, None, Pack.dump(ids[doc[some]], (at - off[doc])[some], name[some]), None))
                 for d in np.flatnonzero(waits).tolist():
                     runs = np.flatnonzero(np.diff(np.concatenate([[0], done[off[d] : off[d + 1]], [0]]))).astype(np.int32)
@@ -377,13 +391,13 @@ def opened(rows: DataFrame, parts: int, with_text: bool) -> DataFrame:
                 yield widen(out.batch())
                 yield widen(settle(ids, data, off, done, np.flatnonzero(~waits), with_text))
 
-    return dealt(rows).mapInArrow(run, schema)
+    return dealt(rows).mapInArrow(open_strings, schema)
 
 
 def merged(rows: DataFrame, parts: int) -> DataFrame:
     """Step 4: starts of strings that equal an earlier one."""
 
-    def run(batches):
+    def merge_strings(batches):
         out = Rows()
         for _, got in parts_in(batches, STRINGS):
             ids, start, name = joined([Pack.load(b, np.uint64) for b in got])
@@ -393,15 +407,16 @@ def merged(rows: DataFrame, parts: int) -> DataFrame:
             out.positions(STRINGS, ids[order[same]], start[order[same]], parts)
             if len(out.rows) > 500:
                 yield out.batch()
+        out.flush(parts)
         yield out.batch()
 
-    return dealt(rows).mapInArrow(run, ROW)
+    return dealt(rows).mapInArrow(merge_strings, ROW)
 
 
 def closed(rows: DataFrame, with_text: bool) -> DataFrame:
     """Results of the documents that waited for step 4."""
 
-    def run(batches):
+    def close_documents(batches):
         for known, rows in with_positions(batches):
             for ids, data, off, own in text_groups(rows):
                 done = np.zeros(len(data), bool)
@@ -412,7 +427,7 @@ def closed(rows: DataFrame, with_text: bool) -> DataFrame:
                 done[off[:-1][doc] + start] = True
                 yield settle(ids, data, off, done, np.arange(len(ids)), with_text)
 
-    return dealt(rows).mapInArrow(run, RESULT)
+    return dealt(rows).mapInArrow(close_documents, RESULT)
 
 
 def release(spark) -> None:
@@ -427,12 +442,13 @@ def release(spark) -> None:
 def spans(source: DataFrame, with_text: bool = False) -> DataFrame:
     """RESULT of rows (id, text) with unique ids."""
     spark = source.sparkSession
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * parts
     tk.tune(spark, 1000)
-    found = tk.stored(named(sampled(source, parts), parts), "uncompressed")
+    found = tk.stored(named(sampled(source, parts, buckets), parts), "uncompressed")
     release(spark)
     tk.tune(spark, 300)
-    step = tk.stored(opened(found.union(texts(source, parts)), parts, with_text), "uncompressed")
+    step = tk.stored(opened(found.union(texts(source, parts)), parts, buckets, with_text), "uncompressed")
     release(spark)
     names = [c.split()[0] for c in ROW.split(", ")]
     starts = merged(step.where(F.col("kind") == STRINGS).select(names), parts)
