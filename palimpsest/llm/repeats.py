@@ -484,17 +484,17 @@ def keep(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated strings cut from ``text`` (bytes of characters cut in two go as well), n_chars with it; all rows stay."""
     source, key = numbered(docs)
     clean = cleaned(spans(source, with_text=True).where("n_removed > 0"))
-    names = docs.columns
+    mine = docs["doc_id"].cast("long")
     if key is not None:
-        clean = key.join(clean, "id").withColumnsRenamed({"doc_id": "d", "digest": "g"}).drop("id")
-        on = docs["doc_id"].cast("long").eqNullSafe(F.col("d")) & (F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256) == F.col("g"))
+        clean = key.join(clean, "id").drop("id")
+        on = mine.eqNullSafe(clean["doc_id"]) & (F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256) == clean["digest"])
     else:
-        clean = clean.withColumnRenamed("id", "d")
-        on = docs["doc_id"].cast("long") == F.col("d")
-    out = docs.join(clean, on, "left").withColumn("text", F.coalesce("clean_text", docs["text"].cast("string")))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("clean_text").isNull(), F.col("n_chars")).otherwise(F.length("clean_text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
+        on = mine == clean["id"]
+    cut, text = clean["clean_text"], docs["text"].cast("string")
+    cols = {"text": F.coalesce(cut, text)}
+    if "n_chars" in docs.columns:
+        cols["n_chars"] = F.when(cut.isNull(), docs["n_chars"]).otherwise(F.length(cut)).cast(docs.schema["n_chars"].dataType)
+    return docs.join(clean, on, "left").select(*(cols[c].alias(c) if c in cols else docs[c] for c in docs.columns))
 
 
 def cleaned(rows: DataFrame) -> DataFrame:
