@@ -8,10 +8,11 @@ coordinates miss a pair of Jaccard 0.75 with probability (1 - 0.75^4)^32 < 6e-6.
 
 Documents with equal sets collapse to their smallest id first, so copies are
 never paired.  Each bucket then proposes its members against its smallest one;
-after these links are confirmed on full sets and joined to components, buckets
-that still hold several components propose the pairs across components, and only
-those.  So every candidate pair of every bucket is confirmed, refuted, or already
-within one component; nothing is capped.  Documents that many others meet get
+after these links are confirmed on full sets and joined to components, documents
+of buckets that still hold several components meet across components, and only
+there, behind size and prefix filters that every pair of the similarity passes.
+So every pair of every bucket is confirmed, refuted, or already within one
+component; nothing is capped.  Documents that many others meet get
 several salted copies, so that no task holds all partners of one.
 
 Defined cases: a null or empty text, or one without words, has an empty set and
@@ -158,6 +159,40 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = 75) -> DataFram
     return left.union(right).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first()).mapInArrow(run, "a long, b long")
 
 
+def across(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``rows`` (id, c) with different c that may have the similarity.
+
+    Shingles are ordered by how few documents hold them.  Two sets of the similarity
+    share one of the first n - ceil(percent / 100 * n) + 1 of both, and at their
+    first shared one enough shingles follow in both; other pairs cannot have it.
+    """
+
+    def unpack(batches):
+        press = zstandard.ZstdDecompressor()
+        for batch in batches:
+            full = sets([press.decompress(z) for z in batch.column("z").to_pylist()])
+            size = np.cumsum([0, *map(len, full)]).astype(np.int32)
+            flat = np.concatenate([*full, np.zeros(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("c"), pa.ListArray.from_arrays(pa.array(size), pa.array(flat))], ["id", "c", "s"])
+
+    source = rows.join(texts.withColumnRenamed("doc_id", "id"), "id").select("id", "c", "z")
+    full = tk.stored(source.mapInArrow(unpack, "id long, c long, s array<long>"))
+    token = full.select("id", F.explode("s").alias("s"))
+    often = token.groupBy("s").agg(F.count("*").alias("k"))
+    # one document's shingles meet in its row
+    ranked = token.join(often, "s").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "s"))).alias("r"))
+    n = F.size("r")
+    ranked = ranked.select("id", n.alias("n"), F.posexplode(F.expr(f"slice(r, 1, size(r) - cast(ceil({percent} * size(r) / 100) AS int) + 1)")).alias("i", "r"))
+    prefix = tk.stored(ranked.where("r.k > 1").join(rows, "id").select("id", "n", "c", "i", F.col("r.s").alias("s")))
+    tk.drop(full)
+    other = prefix.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("i").alias("j"), "s")
+    enough = f"1 + least(n - i - 1, m - j - 1) >= ceil({percent} * (n + m) / ({100 + percent}))"
+    found = prefix.join(other, "s").where(f"id > b AND c <> d AND 100 * least(n, m) >= {percent} * greatest(n, m) AND {enough}")
+    out = tk.stored(found.select(F.col("id").alias("a"), "b").distinct())
+    tk.drop(prefix)
+    return out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) of every linked id but the roots, by alternating large and small stars; root is the least id."""
     now = tk.stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
@@ -171,7 +206,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        now = tk.stored(large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", "m")).distinct())
+        old, now = now, tk.stored(large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", "m")).distinct())
+        tk.drop(old)
 
 
 def groups(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -193,14 +229,13 @@ def groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     links = tk.stored(confirmed(first, texts, percent))
     roots = components(links)
 
-    # what buckets hold beside their smallest member's component meets all of the bucket
-    named = shared.join(roots, "id", "left").withColumn("c", F.coalesce("root", "id")).drop("root")
-    named = named.join(roots.select(F.col("id").alias("pid"), F.col("root").alias("proot")), "pid", "left").withColumn("pc", F.coalesce("proot", "pid")).drop("proot")
-    named = tk.stored(named)
-    minor = named.where("c <> pc").select("band", F.col("id").alias("pid"), F.col("n").alias("pn"), F.col("c").alias("pc"))
-    across = named.select("band", "id", "n", "c").join(minor, "band").where(f"c <> pc AND {near}")
-    second = across.select(F.greatest("id", "pid").alias("a"), F.least("id", "pid").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    second = tk.stored(second)
+    # documents of buckets that hold several components meet across these
+    named = shared.select("band", "id").join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("c"))
+    mixed = named.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("band")
+    left = tk.stored(named.join(mixed, "band", "left_semi").select("id", "c").distinct())
+    apart = across(left, texts, percent)
+    second = tk.stored(apart.join(first, ["a", "b"], "left_anti"))
+    tk.drop(shared, left, apart, needed)
     if not second.isEmpty():
         more = tk.stored(confirmed(second, texts, percent))
         if not more.isEmpty():
@@ -210,6 +245,7 @@ def groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     known = member.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("c"))
     clash = known.groupBy("doc_id").agg(F.min("c").alias("c"), F.max("c").alias("d"), F.count("*").alias("k"))
     clash = tk.stored(clash)
+    tk.drop(first, second, texts, links)
     split = clash.where("c <> d").select(F.col("d").alias("a"), F.col("c").alias("b"))
     if not split.isEmpty():
         again = components(known.join(clash.where("c <> d").select("doc_id", F.col("c").alias("least")), "doc_id").select(F.col("c").alias("a"), F.col("least").alias("b")))
@@ -221,4 +257,4 @@ def groups(docs: DataFrame, percent: int = 75) -> DataFrame:
 def keep(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group, all columns as they were."""
     gone = groups(docs).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")

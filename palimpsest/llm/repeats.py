@@ -449,6 +449,7 @@ def spans(source: DataFrame, with_text: bool = False) -> DataFrame:
     release(spark)
     tk.tune(spark, 300)
     step = tk.stored(opened(found.union(texts(source, parts)), parts, buckets, with_text), "uncompressed")
+    tk.drop(found)
     release(spark)
     names = [c.split()[0] for c in ROW.split(", ")]
     starts = merged(step.where(F.col("kind") == STRINGS).select(names), parts)

@@ -41,7 +41,17 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it again."""
     spark, path = df.sparkSession, workdir(df.sparkSession)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote and nothing still to be computed reads."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
