@@ -172,7 +172,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 75) -> DataFrame
                     found += [(ids[row + d].as_py(), sent.value.ids[i], *rest) for d, i, *rest in sent.value.leaks(part, off, percent)]
                 yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(7)], [c.split()[0] for c in SCHEMA.split(", ")])
 
-        part = source.mapInArrow(run, SCHEMA)
+        part = source.mapInArrow(tk.tidy(run), SCHEMA)
         out = part if out is None else out.union(part)
     return out
 
@@ -193,5 +193,5 @@ def keep(docs: DataFrame, benchmark: DataFrame, percent: int = 75) -> DataFrame:
                         clean[row + found[0]] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = docs.mapInArrow(tk.tidy(run), schema)
     return docs

@@ -190,7 +190,7 @@ def parsed(pages: DataFrame) -> DataFrame:
 
     tk.tune(pages.sparkSession, 200)
     source = pages.select(F.monotonically_increasing_id().alias("tag"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host_of(F.col("url").cast("string")).alias("host"), F.col("html").cast("string").alias("html"))
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tk.tidy(run), schema)
 
 
 def templates(rows: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:

@@ -103,7 +103,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in schema.split(", ")])
 
     tk.tune(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tk.tidy(run), schema)
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def packed(docs: DataFrame) -> DataFrame:
             texts = batch.column("text").cast(pa.large_binary()).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([press.compress(t or b"") for t in texts], pa.binary())], ["doc_id", "z"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, z binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tk.tidy(run), "doc_id long, z binary")
 
 
 def sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -156,7 +156,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = 75) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     tk.tune(pairs.sparkSession, 300)
-    return left.union(right).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first()).mapInArrow(run, "a long, b long")
+    return left.union(right).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first()).mapInArrow(tk.tidy(run), "a long, b long")
 
 
 def across(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -176,7 +176,7 @@ def across(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("c"), pa.ListArray.from_arrays(pa.array(size), pa.array(flat))], ["id", "c", "s"])
 
     source = rows.join(texts.withColumnRenamed("doc_id", "id"), "id").select("id", "c", "z")
-    full = tk.stored(source.mapInArrow(unpack, "id long, c long, s array<long>"))
+    full = tk.stored(source.mapInArrow(tk.tidy(unpack), "id long, c long, s array<long>"))
     token = full.select("id", F.explode("s").alias("s"))
     often = token.groupBy("s").agg(F.count("*").alias("k"))
     # one document's shingles meet in its row

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 
 SPACE = "▁"
-LONG, BLOCK, CACHE, GROUP = 256, 8000, 600_000, 1 << 21
+LONG, BLOCK, CACHE, GROUP = 256, 8000, 200_000, 1 << 20
 #: Rank of a pair that makes no piece, above every real one.
 LAST = np.int64(1) << 40
 
@@ -54,7 +54,7 @@ class Pieces:
         for piece in normal:
             for char in piece:
                 symbol.setdefault(char, size + len(symbol))
-        self.char = np.full(0x110000, -1, np.int64)
+        self.char = np.full(0x110000, -1, np.int32)
         for piece, i in symbol.items():
             if len(piece) == 1:
                 self.char[ord(piece)] = i
@@ -77,11 +77,13 @@ class Pieces:
         self.cut = re.compile(".+" if crossing or lines else f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n", re.S)
         self.simple = not (crossing or lines)
         self.decimal = [f"{i} " for i in range(size)]
+        #: Decimal ids of stretches by name: those used since the table was last full, and those before.
         self.kept: dict[str, str] = {}
+        self.old: dict[str, str] = {}
 
     def _index(self) -> None:
         """A table of pairs by hash; those whose place is taken go to sorted arrays beside it."""
-        self.slot = np.full(1 << 21, -1, np.int64)
+        self.slot = np.full(1 << 21, -1, np.int32)
         order = np.arange(len(self.keys))[::-1]
         self.slot[self._hash(self.keys[order])] = order
         lost = np.setdiff1d(order, self.slot)
@@ -234,11 +236,14 @@ class Pieces:
 
     def batch(self, texts: list[str], checked: bool = True) -> list[str]:
         """For each text its decimal ids, a space after each, without the end id."""
-        kept, parts = self.kept, [self._words(t) for t in texts]
+        kept, old, parts = self.kept, self.old, [self._words(t) for t in texts]
         wanted = set(chain.from_iterable(parts))
-        new = list(wanted.difference(kept))
+        new = wanted.difference(kept)
+        kept.update({p: old[p] for p in new if p in old})
+        new = list(new.difference(kept))
         if len(kept) + len(new) > CACHE:  # what this group needs stays
-            self.kept = kept = {p: kept[p] for p in wanted if p in kept}
+            self.old, self.kept = kept, {p: kept[p] for p in wanted if p in kept}
+            kept = self.kept
         if new:
             # A name that begins with the space sign is a stretch as it stands behind it.
             real = [n[1:] if n[:1] == SPACE else n if n[:1] == "\n" else SPACE + n for n in new]
@@ -257,13 +262,8 @@ class Pieces:
         return [*map(int, self.batch([text])[0].split()), self.end]
 
 
-_loaded: dict[str, Pieces] = {}
-
-
 def load(path: str) -> Pieces:
-    if path not in _loaded:
-        _loaded[path] = Pieces(path)
-    return _loaded[path]
+    return tk.held(__name__, path, Pieces)
 
 
 def groups(texts: list[str], limit: int = GROUP):
@@ -279,16 +279,16 @@ def groups(texts: list[str], limit: int = GROUP):
         yield run
 
 
-def digest(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text; ``with_ids`` adds the ids and the decoded text."""
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
+def digest(docs: DataFrame, path: str, with_ids: bool = False, with_text: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text; ``with_ids`` adds ids, ``with_text`` the decoded text."""
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
 
     def run(batches):
         model = load(path)
         for batch in batches:
             ids, row = batch.column("doc_id"), 0
             for texts in groups([t or "" for t in batch.column("text").to_pylist()]):
-                count, one, two, more = [], [], [], []
+                count, one, two, numbers, back = [], [], [], [], []
                 for text, decimal in zip(texts, model.batch(texts), strict=True):
                     decimal += str(model.end)
                     decoded = text.replace(SPACE, " ")  # every stretch decodes to itself, as checked when it was new
@@ -296,12 +296,16 @@ def digest(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
                     one.append(hashlib.sha256(decimal.encode()).hexdigest())
                     two.append(hashlib.sha256(decoded.encode()).hexdigest())
                     if with_ids:
-                        more.append(([*map(int, decimal.split())], decoded))
+                        numbers.append(np.fromstring(decimal, np.int32, sep=" "))
+                    if with_text:
+                        back.append(decoded)
                 cols = [ids.slice(row, len(texts)), pa.array(count, pa.int64()), pa.array(one), pa.array(two)]
                 if with_ids:
-                    cols += [pa.array([m[0] for m in more], pa.list_(pa.int32())), pa.array([m[1] for m in more], pa.string())]
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *count]), pa.int32()), pa.array(np.concatenate(numbers))))
+                if with_text:
+                    cols.append(pa.array(back, pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in schema.split(", ")])
                 row += len(texts)
 
     tk.tune(docs.sparkSession, 200)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tk.tidy(run), schema)

@@ -207,7 +207,7 @@ def judge(docs: DataFrame, model: dict[str, list], share: float = 0.5) -> DataFr
                 yield pa.RecordBatch.from_arrays([ids.slice(row, n), *map(pa.array, cols)], [c.split()[0] for c in SCHEMA.split(", ")])
 
     tk.tune(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tk.tidy(run), SCHEMA)
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> dict[str, list]:
@@ -251,4 +251,4 @@ def keep(docs: DataFrame, model: dict[str, list]) -> DataFrame:
             yield batch.filter(pa.array(kept))
 
     tk.tune(docs.sparkSession)
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tk.tidy(run), schema)

@@ -47,7 +47,7 @@ LENGTH, V = 100, 57
 D = np.array([0, 1, 3, 13, 32, 36, 43, 52])
 WIDTH = LENGTH - V + 1
 POLY = tk.Poly(2)
-CHUNK = 3 << 20
+CHUNK = 1 << 21
 SAMPLES, REPEATS, EDGES, STRINGS, TEXT = range(5)
 ROW = "part int, kind int, id long, blob binary, known binary"
 RESULT = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -191,7 +191,7 @@ def sampled(source: DataFrame, parts: int, buckets: int) -> DataFrame:
         out.flush(parts)
         yield out.batch()
 
-    return source.mapInArrow(sample_tuples, ROW)
+    return source.mapInArrow(tk.tidy(sample_tuples), ROW)
 
 
 def dealt(rows: DataFrame) -> DataFrame:
@@ -240,7 +240,7 @@ def named(rows: DataFrame, parts: int) -> DataFrame:
         out.flush(parts)
         yield out.batch()
 
-    return dealt(rows).mapInArrow(name_tuples, ROW)
+    return dealt(rows).mapInArrow(tk.tidy(name_tuples), ROW)
 
 
 def texts(source: DataFrame, parts: int) -> DataFrame:
@@ -255,7 +255,7 @@ def texts(source: DataFrame, parts: int) -> DataFrame:
             cols = [pa.array(part, pa.int32()), pa.array([TEXT] * n, pa.int32()), batch.column("id"), pa.array(blob, pa.binary()), pa.nulls(n, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["part", "kind", "id", "blob", "known"])
 
-    return source.mapInArrow(pack_texts, ROW)
+    return source.mapInArrow(tk.tidy(pack_texts), ROW)
 
 
 def settle(ids: np.ndarray, data: np.ndarray, off: np.ndarray, known: np.ndarray, which: np.ndarray, with_text: bool) -> pa.RecordBatch:
@@ -391,7 +391,7 @@ def opened(rows: DataFrame, parts: int, buckets: int, with_text: bool) -> DataFr
                 yield widen(out.batch())
                 yield widen(settle(ids, data, off, done, np.flatnonzero(~waits), with_text))
 
-    return dealt(rows).mapInArrow(open_strings, schema)
+    return dealt(rows).mapInArrow(tk.tidy(open_strings), schema)
 
 
 def merged(rows: DataFrame, parts: int) -> DataFrame:
@@ -410,7 +410,7 @@ def merged(rows: DataFrame, parts: int) -> DataFrame:
         out.flush(parts)
         yield out.batch()
 
-    return dealt(rows).mapInArrow(merge_strings, ROW)
+    return dealt(rows).mapInArrow(tk.tidy(merge_strings), ROW)
 
 
 def closed(rows: DataFrame, with_text: bool) -> DataFrame:
@@ -427,7 +427,7 @@ def closed(rows: DataFrame, with_text: bool) -> DataFrame:
                 done[off[:-1][doc] + start] = True
                 yield settle(ids, data, off, done, np.arange(len(ids)), with_text)
 
-    return dealt(rows).mapInArrow(close_documents, RESULT)
+    return dealt(rows).mapInArrow(tk.tidy(close_documents), RESULT)
 
 
 def release(spark) -> None:
@@ -506,4 +506,4 @@ def cleaned(rows: DataFrame) -> DataFrame:
             texts = [k.decode("utf-8", "ignore") for k in batch.column("kept").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string())], ["id", "clean_text"])
 
-    return rows.select("id", "kept").mapInArrow(run, "id long, clean_text string")
+    return rows.select("id", "kept").mapInArrow(tk.tidy(run), "id long, clean_text string")

@@ -7,6 +7,8 @@ byte weights, finished with a mixer; windows never cross document borders.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -27,6 +29,43 @@ def tune(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+#: Tables that a worker keeps from task to task, by the module that made them and a name.
+HELD: dict[tuple[str, str], object] = {}
+
+
+def held(module: str, name: str, make):
+    """What ``make(name)`` returned when it was first asked for."""
+    if (module, name) not in HELD:
+        HELD[module, name] = make(name)
+    return HELD[module, name]
+
+
+def release() -> None:
+    """Hand back memory that stays with the allocators of numpy, Arrow and the C library."""
+    Poly.power = Poly.inverse = np.zeros(0, np.uint64)
+    Poly.size = 0
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run):
+    """``run`` for ``mapInArrow``.  A worker serves many tasks: it drops the tables of other operators first, and unused memory last."""
+
+    def tidied(batches):
+        for key in [k for k in HELD if k[0] != run.__module__]:
+            del HELD[key]
+        for batch in run(batches):
+            yield batch
+            pa.default_memory_pool().release_unused()
+        release()
+
+    tidied.__name__ = run.__name__
+    return tidied
+
+
 def workdir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -87,26 +126,30 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Poly:
-    """Fingerprints of byte ranges from prefix sums of ``weight[byte] * base**position``."""
+    """Fingerprints of byte ranges from prefix sums of ``weight[byte] * base**position``.
+
+    Kinds of fingerprints differ by their weights; all share the powers of one base,
+    which a worker holds once, from its first use on.
+    """
+
+    base, size = 0x5DEECE66D1CE4E5B, 0
+    power = inverse = np.zeros(0, np.uint64)
 
     def __init__(self, seed: int):
-        rng = np.random.default_rng(seed)
-        self.weight = rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-        self.base = int(rng.integers(1 << 20, 1 << 62)) * 2 + 1
-        self.size = 0
-        self._grow(CHUNK)
+        self.weight = np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64)
 
-    def _grow(self, size: int) -> None:
+    @classmethod
+    def _grow(cls, size: int) -> None:
         def powers(base: int) -> np.ndarray:
             out = np.full(size, base & ((1 << 64) - 1), np.uint64)
             out[0] = 1
             return np.multiply.accumulate(out)
 
-        self.power, self.inverse, self.size = powers(self.base), powers(pow(self.base, -1, 1 << 64)), size
+        cls.power, cls.inverse, cls.size = powers(cls.base), powers(pow(cls.base, -1, 1 << 64)), size
 
     def prefix(self, data: np.ndarray) -> np.ndarray:
         if len(data) >= self.size:
-            self._grow(1 << int(len(data)).bit_length())
+            self._grow(max(CHUNK, len(data) + len(data) // 8) + 1)
         out = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(self.weight[data] * self.power[: len(data)], out=out[1:])
         return out

@@ -256,13 +256,10 @@ class Counter:
 
 
 SEPARATORS = re.compile("[\x1c-\x1f]")
-_loaded: dict[str, Counter] = {}
 
 
 def load(path: str) -> Counter:
-    if path not in _loaded:
-        _loaded[path] = Counter(path)
-    return _loaded[path]
+    return tk.held(__name__, path, Counter)
 
 
 def count(docs: DataFrame, path: str, limit: int = 2048, with_prefixes: bool = False) -> DataFrame:
@@ -282,4 +279,4 @@ def count(docs: DataFrame, path: str, limit: int = 2048, with_prefixes: bool = F
                 row += len(texts)
 
     tk.tune(docs.sparkSession, 200)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tk.tidy(run), schema)

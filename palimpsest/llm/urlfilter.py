@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import textkit as tk
+
 #: Entries that may be broadcast; about 200 bytes each.
 MAX_RULES = 100_000
 
@@ -96,7 +98,7 @@ def judge(pages: DataFrame, allow: list[str], block: list[str], default: str = "
             rule, verdict = [f and f[0] for f in found], [f[1] if f else default for f in found]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string())], ["page_id", "host", "path", "rule", "verdict"])
 
-    return parts.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string")
+    return parts.mapInArrow(tk.tidy(run), "page_id long, host string, path string, rule string, verdict string")
 
 
 def joined(parts: DataFrame, rules: DataFrame, default: str) -> DataFrame:

@@ -102,7 +102,7 @@ def write(pages: DataFrame, path: str, dedup_bytes: int = 1000, segment_bytes: i
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
     tk.tune(pages.sparkSession, 200)
-    rows.mapInArrow(run, "value string").write.option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    rows.mapInArrow(tk.tidy(run), "value string").write.option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def parse(data: bytes):
@@ -191,10 +191,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             yield batch_of([close()])
 
     tk.tune(spark, 1)  # a file of at most FILE_RECORDS segments at a time
-    parsed = tk.stored(spark.read.format("binaryFile").load(path).select("content").mapInArrow(files, FIELDS))
+    parsed = tk.stored(spark.read.format("binaryFile").load(path).select("content").mapInArrow(tk.tidy(files), FIELDS))
     tk.tune(spark, 200)
     single = parsed.where("segment IS NULL")
-    parts = parsed.where("segment IS NOT NULL").repartition("origin").sortWithinPartitions("origin", "segment").mapInArrow(joined, FIELDS)
+    parts = parsed.where("segment IS NOT NULL").repartition("origin").sortWithinPartitions("origin", "segment").mapInArrow(tk.tidy(joined), FIELDS)
     return single.union(parts).drop("block", "total")
 
 

@@ -40,10 +40,18 @@ def test_difference_raises(monkeypatch):
 
 def test_digest(spark, odd, empty):
     model = pieces.load(PATH)
-    rows = pieces.digest(odd, PATH, with_ids=True).collect()
+    rows = pieces.digest(odd, PATH, with_ids=True, with_text=True).collect()
     assert len(rows) == odd.count()
     given = sorted((r["text"] or "" for r in odd.collect()))
     expect = sorted((hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(model.library.decode(ids).encode()).hexdigest(), len(ids)) for ids in (model.library.encode(t, add_eos=True) for t in given))
     assert sorted((r["ids_sha256"], r["decoded_sha256"], r["n_tokens"]) for r in rows) == expect
-    assert all(len(r["ids"]) == r["n_tokens"] for r in rows)
+    assert all(r["ids"] == model.library.encode(r["decoded"], add_eos=True) for r in rows)
     assert pieces.digest(empty, PATH).count() == 0
+
+
+def test_kept_stretches_turn_over(monkeypatch):
+    """The table of stretches may be full at any time; ids stay the library's."""
+    model = pieces.Pieces(PATH)
+    monkeypatch.setattr(pieces, "CACHE", 5)
+    for text in ["a b c d", "c d e f g h", "a b a b", "", "x y\nz  w", "a c e x h"] * 2:
+        assert model.encode(text) == model.library.encode(text, add_eos=True)
