@@ -34,7 +34,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text: doc_id, n_tokens, ids_sha256, decoded_sha256, ids."""
-    return pieces.digest(docs, tokenizer("piece_bpe_32k.model"), with_ids=True).drop("decoded")
+    return pieces.digest(docs, tokenizer("piece_bpe_32k.model"), with_ids=True)
 
 
 STAGES = [
