@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 
@@ -24,9 +25,13 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def tune(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep an Arrow batch to ``rows`` whole documents, so that Python holds few at once."""
+def tune(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """Keep an Arrow batch to ``rows`` and about ``size`` bytes of whole documents, so that Python holds few at once.
+
+    These are session settings, read when a plan runs, so they stay set behind the operator that sets them.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 #: Tables that a worker keeps from task to task, by the module that made them and a name.
@@ -67,9 +72,11 @@ def tidy(run):
 
 
 def workdir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share; only a local session may have none and gets one of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)

@@ -48,13 +48,27 @@ def test_against_brute_force(spark):
 
 
 @settings(max_examples=20, deadline=None)
-@given(st.lists(st.tuples(st.integers(-(2**62), 2**62), st.integers(0, 2**31 - 1)), max_size=30), st.randoms())
-def test_pack(rows, _):
-    rows = sorted(set(rows))
-    ids, number = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
-    extra = np.arange(len(rows), dtype=np.uint64)
-    back = repeats.Pack.load(repeats.Pack.dump(ids, number, extra), np.uint64)
-    assert all((a == b).all() for a, b in zip(back, (ids, number, extra), strict=True))
+@given(st.lists(st.integers(-(2**62), 2**62), max_size=30), st.lists(st.binary(min_size=50, max_size=50), max_size=9))
+def test_pack(numbers, tuples):
+    numbers, tuples = np.array(sorted(numbers), np.int64), np.array(tuples, "S50")
+    a, b, c = repeats.unpack(repeats.pack(repeats.steps(numbers), tuples, numbers.astype(np.uint16)))
+    assert (np.cumsum(a) == numbers).all() and (b == tuples).all() and (c == numbers.astype(np.uint16)).all()
+
+
+def test_equal_fingerprints_decide_nothing(spark, monkeypatch):
+    """Fingerprints of 4 bits put nearly every tuple among the candidates; bytes alone decide."""
+    real = repeats.POLY.ranges
+    monkeypatch.setattr(repeats.POLY, "ranges", lambda *a: real(*a) & np.uint64(15))
+    rows = corpus(3)
+    assert results(repeats.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == brute([(i, t.encode()) for i, t in rows])
+
+
+def test_many_blocks_and_ranges(spark, monkeypatch):
+    """Small chunks, blocks and ranges give the same rows."""
+    for name, value in (("CHUNK", 700), ("BLOCK", 37), ("PART_BYTES", 1500)):
+        monkeypatch.setattr(repeats, name, value)
+    rows = corpus(4)
+    assert results(repeats.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == brute([(i, t.encode()) for i, t in rows])
 
 
 def test_kept_texts(spark):
