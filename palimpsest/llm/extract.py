@@ -1,12 +1,14 @@
 """HTML extraction: the article of a page without site templates.
 
-A page is parsed once into text blocks and the fingerprints of the element
+A page is parsed once into text blocks and the fingerprints of all element
 subtrees that hold them.  Fingerprints are counted per host in Spark, over pages
 whose main texts differ, so that copies of a page do not make its article look like a
 template; subtrees that recur on at least MIN_PAGES such pages and MIN_SHARE of a
-host's pages are deleted.  Elements that by tag, role or class are menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader
-comments go as well, as does all outside the article where there is one.
+host's pages are deleted, outside of marked main text from BESIDE_PAGES and
+BESIDE_SHARE on.  Of what is left, elements that by tag, role or class
+are menus, headers, footers, sidebars, notices, adverts, forms or reader
+comments go as well, as does all outside the article where there is one.  Scripts,
+styles and other elements without readable text are no blocks at all.
 
 Defined cases: a null or empty html has an empty text; a null url has the empty
 host; repeated rows are pages by themselves but count once for templates;
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .urlfilter import host_of
 
-MIN_PAGES, MIN_SHARE = 5, 0.5
+#: Pages, and shares of a host's pages, on which a template recurs: anywhere, and outside of marked main text.
+MIN_PAGES, MIN_SHARE, BESIDE_PAGES, BESIDE_SHARE = 5, 0.5, 3, 0.02
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template iframe svg math object canvas textarea title xmp noembed noframes".split())
 DROP = RAW | set("head nav footer aside form button select option menu dialog datalist fieldset audio video".split())
@@ -41,13 +44,16 @@ CLASSES = set(
 #: First parts of class names that tell what stands beside an element, not what it is.
 LAYOUT = set("has with no without is not".split())
 #: Elements whose end a start tag of the same kind implies.
-CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 BLOCKS_CLOSE_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 RAW_END = {name: re.compile(rf"</{name}\s*[^>]*>", re.I) for name in RAW}
 SPLIT = re.compile(r"[\s_]+|-")
 SPACE = re.compile(r"\s+")
+MAIN_ROLE = re.compile(r"role\s*=\s*[\"']?main")
+#: Elements that hold the page's own text as a whole; no template.
+WHOLE = set("html body article main".split())
 
 
 def junk(name: str, attributes: str, article: bool) -> bool:
@@ -75,13 +81,28 @@ class Element:
         self.name, self.first, self.parts, self.kind = name, first, [name], kind
 
 
-def parse(page: str) -> tuple[list[str], list[tuple[int, int, int]]]:
-    """Blocks of the main text, and (fingerprint, first block, end block) of the subtrees that hold them."""
+#: Kinds of blocks: what the rules refuse, text outside of main elements, within one, within an article.
+JUNK, PLAIN, MAIN, ARTICLE = -1, 0, 1, 2
+
+
+def parse(page: str) -> tuple[list[str], list[int], list[tuple[int, int, int, bool]]]:
+    """All text blocks of a page, their kinds, and (fingerprint, first block, end block, beside) of every element subtree that holds some.
+
+    ``beside`` tells that the page marks its main text and the element stands outside of it.
+
+    A fingerprint is that of the element's name, its text and its children's
+    fingerprints in order; attributes do not count, since links often differ.
+    """
     blocks: list[str] = []
     kinds: list[int] = []
-    trees: list[tuple[int, int, int]] = []
+    trees: list[tuple[int, int, int, int]] = []
     text: list[str] = []
-    stack = [Element("", 0, 0)]
+    stack = [Element("", 0, PLAIN)]
+    # how often each name is open: within the outermost refused element there is one, else on the page
+    outside: dict[str, int] = {}
+    inside: dict[str, int] = {}
+    refused = 0  # depth of that element
+    held: list[list[str]] = []  # the text around a refused inline element, which does not end a block
 
     def flush() -> None:
         if text:
@@ -92,21 +113,35 @@ def parse(page: str) -> tuple[list[str], list[tuple[int, int, int]]]:
                 kinds.append(stack[-1].kind)
                 stack[-1].parts.append(joined)
 
+    def open_element(name: str, kind: int) -> None:
+        nonlocal refused
+        if kind == JUNK and not refused:
+            refused = len(stack)
+        count = inside if refused else outside
+        count[name] = count.get(name, 0) + 1
+        stack.append(Element(name, len(blocks), kind))
+
     def close() -> None:
+        nonlocal refused
         flush()
         element = stack.pop()
+        (inside if refused else outside)[element.name] -= 1
+        if refused == len(stack):
+            refused = 0
+            inside.clear()
+            if held:
+                text[:] = held.pop()
         mark = hashlib.blake2b("\0".join(element.parts).encode("utf-8", "surrogatepass"), digest_size=8).digest()
         stack[-1].parts.append(mark.hex())
-        if element.first < len(blocks) and element.name not in ("html", "body", "article", "main"):
-            trees.append((int.from_bytes(mark, "little", signed=True), element.first, len(blocks)))
+        if element.first < len(blocks) and element.name not in WHOLE:
+            trees.append((int.from_bytes(mark, "little", signed=True), element.first, len(blocks), element.kind))
 
-    at, end, skip = 0, len(page), None  # skip: depth of the junk element that is open
-    depth: list[str] = []
+    at, end = 0, len(page)
     for_token = TOKEN.search
     while at < end:
         match = for_token(page, at)
         start = match.start() if match else end
-        if skip is None and start > at:
+        if start > at:
             text.append(references.unescape(page[at:start]))
         if not match:
             break
@@ -114,79 +149,80 @@ def parse(page: str) -> tuple[list[str], list[tuple[int, int, int]]]:
         if name is None:
             continue
         name, closing, attributes = name.lower(), match[1], match[3]
-        if skip is not None:  # within junk only its own end counts
-            if name in RAW and not closing:
-                stop = RAW_END[name].search(page, at)
-                at = stop.end() if stop else end
-            elif name == skip:
-                if closing:
-                    depth.pop()
-                    if not depth:
-                        skip = None
-                elif not attributes.endswith("/"):
-                    depth.append(name)
-            continue
         if closing:
-            if name in INLINE:
-                continue
             if name == "br":
                 text.append("\n")
-                continue
-            if any(e.name == name for e in stack[1:]):
+            elif (inside if refused else outside).get(name):
                 while stack[-1].name != name:
                     close()
                 close()
-            else:
+            elif name not in INLINE:
                 flush()
             continue
         if name in VOID:
             if name in ("br", "hr"):
                 flush()
             continue
-        article = any(e.kind for e in stack)
-        if junk(name, attributes, article):
+        if name in RAW:
             if name not in INLINE:
                 flush()
-            if name in RAW:
-                stop = RAW_END[name].search(page, at)
-                at = stop.end() if stop else end
-            elif not attributes.endswith("/"):
-                skip, depth = name, [name]
+            stop = RAW_END[name].search(page, at)
+            at = stop.end() if stop else end
+            continue
+        parent = stack[-1].kind
+        if parent != JUNK and junk(name, attributes, parent > PLAIN):
+            if attributes.endswith("/"):
+                continue
+            if name in INLINE:
+                held = [text.copy()]
+                text.clear()
+            else:
+                flush()
+            imply(name, stack, close)
+            open_element(name, JUNK)
             continue
         if name in INLINE:
+            if refused and name == stack[refused].name:  # so that its end does not close the refused one
+                open_element(name, JUNK)
             continue
         flush()
-        implied = CLOSES.get(name, set()) | ({"p"} if name in BLOCKS_CLOSE_P else set())
-        while len(stack) > 1 and stack[-1].name in implied:
-            close()
-        kind = max(stack[-1].kind, 2 if name == "article" else 1 if name == "main" or "main" in attributes and re.search(r"role\s*=\s*[\"']?main", attributes) else 0)
-        stack.append(Element(name, len(blocks), kind))
+        imply(name, stack, close)
+        parent = stack[-1].kind
+        own = ARTICLE if name == "article" else MAIN if name == "main" or "main" in attributes and MAIN_ROLE.search(attributes) else PLAIN
+        open_element(name, parent if parent == JUNK else max(parent, own))
     while len(stack) > 1:
         close()
     flush()
-    # the articles where there are some, else the main element, else all
-    want = max(kinds, default=0)
-    if want == 0 or min(kinds) == want:
-        return blocks, trees
-    kept = [k == want for k in kinds]
-    place = [0]
-    for k in kept:
-        place.append(place[-1] + k)
-    return [b for b, k in zip(blocks, kept, strict=True) if k], [(h, place[a], place[b]) for h, a, b in trees if place[a] < place[b]]
+    marked = max(kinds, default=JUNK) > PLAIN
+    return blocks, kinds, [(h, a, b, marked and kind <= PLAIN) for h, a, b, kind in trees]
+
+
+def imply(name: str, stack: list[Element], close) -> None:
+    """Close the elements whose end the start tag ``name`` implies."""
+    implied = CLOSES.get(name, set()) | ({"p"} if name in BLOCKS_CLOSE_P else set())
+    while len(stack) > 1 and stack[-1].name in implied:
+        close()
+
+
+def main_blocks(blocks: list[str], kinds: list[int]) -> list[str]:
+    """The articles' blocks where there are some, else the main element's, else all that the rules leave."""
+    want = max(kinds, default=JUNK)
+    return [b for b, k in zip(blocks, kinds, strict=True) if k == want] if want > JUNK else []
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """tag (a row's own number), page_id, url, host, main (fingerprint of the main text), blocks, trees."""
-    schema = "tag long, page_id long, url string, host string, main long, blocks array<string>, trees array<struct<h: long, a: int, b: int>>"
-    tree = pa.list_(pa.struct([("h", pa.int64()), ("a", pa.int32()), ("b", pa.int32())]))
+    """tag (a row's own number), page_id, url, host, main (fingerprint of the main text), blocks, kinds, trees."""
+    schema = "tag long, page_id long, url string, host string, main long, blocks array<string>, kinds array<tinyint>, trees array<struct<h: long, a: int, b: int, beside: boolean>>"
+    tree = pa.list_(pa.struct([("h", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("beside", pa.bool_())]))
 
     def run(batches):
         for batch in batches:
             found = [parse(h or "") for h in batch.column("html").to_pylist()]
-            main = [int.from_bytes(hashlib.blake2b("\0".join(b).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for b, _ in found]
-            cols = [*(batch.column(c) for c in ("tag", "page_id", "url", "host")), pa.array(main, pa.int64()), pa.array([b for b, _ in found], pa.list_(pa.string()))]
-            cols.append(pa.array([[{"h": h, "a": a, "b": b} for h, a, b in t] for _, t in found], tree))
-            yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in schema.split(", ")[:6]] + ["trees"])
+            main = [hashlib.blake2b("\0".join(main_blocks(b, k)).encode("utf-8", "surrogatepass"), digest_size=8).digest() for b, k, _ in found]
+            cols = [*(batch.column(c) for c in ("tag", "page_id", "url", "host")), pa.array([int.from_bytes(m, "little", signed=True) for m in main], pa.int64())]
+            cols += [pa.array([f[0] for f in found], pa.list_(pa.string())), pa.array([f[1] for f in found], pa.list_(pa.int8()))]
+            cols.append(pa.array([[{"h": h, "a": a, "b": b, "beside": o} for h, a, b, o in f[2]] for f in found], tree))
+            yield pa.RecordBatch.from_arrays(cols, ["tag", "page_id", "url", "host", "main", "blocks", "kinds", "trees"])
 
     tk.tune(pages.sparkSession, 200)
     source = pages.select(F.monotonically_increasing_id().alias("tag"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host_of(F.col("url").cast("string")).alias("host"), F.col("html").cast("string").alias("html"))
@@ -194,26 +230,27 @@ def parsed(pages: DataFrame) -> DataFrame:
 
 
 def templates(rows: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(site, h): subtrees that recur on many pages, with differing main texts, of a host."""
+    """(site, h, anywhere): subtrees that recur on many pages, with differing main texts, of a host; ``anywhere`` if within the main text too."""
     seen = rows.select(F.xxhash64("host").alias("site"), "main", "trees")
-    size = seen.groupBy("site", "main").agg(F.lit(1).alias("one")).groupBy("site").agg(F.count("*").alias("pages")).where(f"pages >= {min_pages}")
+    least, share = min(min_pages, BESIDE_PAGES), min(min_share, BESIDE_SHARE)
+    size = seen.groupBy("site", "main").agg(F.lit(1).alias("one")).groupBy("site").agg(F.count("*").alias("pages")).where(f"pages >= {least}")
     marks = seen.select("site", "main", F.explode(F.array_distinct("trees.h")).alias("h")).distinct()
-    often = marks.groupBy("site", "h").agg(F.count("*").alias("k")).where(f"k >= {min_pages}")
-    return often.join(size, "site").where(f"k >= {min_share} * pages").select("site", "h")
+    often = marks.groupBy("site", "h").agg(F.count("*").alias("k")).where(f"k >= {least}")
+    return often.join(size, "site").where(f"k >= {share} * pages").select("site", "h", F.expr(f"k >= {min_pages} AND k >= {min_share} * pages").alias("anywhere"))
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """page_id, url, text, n_chars, n_templates (deleted subtrees) of every row."""
     rows = tk.stored(parsed(pages))
     found = tk.stored(templates(rows, min_pages, min_share))
-    whole = F.array_join("blocks", " ")
-    if found.isEmpty():
-        out = rows.select("page_id", "url", whole.alias("text"), F.lit(0).cast("long").alias("n_templates"))
-    else:
-        spans = rows.select("tag", F.xxhash64("host").alias("site"), F.explode("trees").alias("t")).select("tag", "site", F.col("t.h").alias("h"), "t.a", "t.b")
-        gone = spans.join(found, ["site", "h"], "left_semi").groupBy("tag").agg(F.collect_list(F.struct("a", "b")).alias("gone"))
-        left = F.expr("filter(blocks, (x, i) -> NOT exists(gone, g -> g.a <= i AND i < g.b))")
-        out = rows.select("tag", "page_id", "url", "blocks").join(gone, "tag", "left").select(
-            "page_id", "url", F.when(F.col("gone").isNull(), whole).otherwise(F.array_join(left, " ")).alias("text"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_templates")
-        )
+    spans = rows.select("tag", F.xxhash64("host").alias("site"), F.explode("trees").alias("t")).select("tag", "site", F.col("t.h").alias("h"), "t.a", "t.b", "t.beside")
+    gone = spans.join(found, ["site", "h"]).where("anywhere OR beside").groupBy("tag").agg(F.collect_list(F.struct("a", "b")).alias("gone"))
+    # first the templates go, then what the rules refuse
+    left = rows.join(gone, "tag", "left").select(
+        "page_id", "url", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_templates"),
+        F.expr("filter(arrays_zip(blocks, kinds), (x, i) -> gone IS NULL OR NOT exists(gone, g -> g.a <= i AND i < g.b))").alias("left"),
+    )
+    left = left.withColumn("want", F.array_max("left.kinds"))
+    text = F.when(F.col("want") > JUNK, F.array_join(F.expr("transform(filter(left, x -> x.kinds = want), x -> x.blocks)"), " ")).otherwise("")
+    out = left.select("page_id", "url", text.alias("text"), "n_templates")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_templates")

@@ -3,6 +3,8 @@
 import gzip
 import hashlib
 import random
+from collections import Counter
+from html.parser import HTMLParser
 
 import pytest
 
@@ -38,6 +40,70 @@ def test_templates(spark):
     assert found[3] == "Story number 3 is here." and found[12] == found[19] == "Read our best stories Story number 99 is here." and found[30].startswith("Read our")
 
 
+class Tree(HTMLParser):
+    """The subtrees of a well-formed page by the standard library's parser, as nested tuples."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.open, self.all = [["page"]], []
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        self.open.append([tag])
+
+    def handle_endtag(self, tag):
+        done = tuple(self.open.pop())
+        self.open[-1].append(done)
+        self.all.append(done)
+
+    def handle_data(self, data):
+        self.open[-1].append(data)
+
+
+def site(rnd, host, pages):
+    """(url, html, article text, recurring boxes) of a host whose boxes no rule knows."""
+    menu = "<section><ul>" + "".join(f"<li>m{rnd.randrange(99)}</li>" for _ in range(4)) + "</ul></section>"
+    box = f"<div><p>Word of {host}</p><p>Write to us</p></div>"
+    for k in range(pages):
+        paras = [f"Story {host} {k} {j} {rnd.random()}" for j in range(rnd.randint(1, 4))]
+        body = [f"<p>{p}</p>" for p in paras]
+        body.insert(rnd.randint(0, len(body)), box)
+        yield f"http://{host}/{k}", f"<html><body>{menu}<div>{''.join(body)}</div></body></html>", " ".join(paras)
+
+
+def test_counts_per_host(spark):
+    """Against subtrees counted by the standard library's parser."""
+    rnd, pages = random.Random(7), []
+    for host, many in (("a.example", 12), ("b.example", 6), ("c.example", 4)):
+        pages += site(rnd, host, many)
+    count, size = Counter(), Counter(u.split("/")[2] for u, _, _ in pages)
+    for url, html, _ in pages:
+        count.update((url.split("/")[2], t) for t in set(Tree(html).all))
+    rows = [(k, u, h) for k, (u, h, _) in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    found = {r["page_id"]: r for r in extract.extract(df).collect()}
+    off = {r["page_id"]: r["text"] for r in extract.extract(df, min_pages=1000).collect()}
+    for k, (url, html, text) in enumerate(pages):
+        host = url.split("/")[2]
+        often = [t for t in Tree(html).all if count[host, t] >= 5 and 2 * count[host, t] >= size[host]]
+        assert found[k]["n_templates"] == len(often)
+        assert (found[k]["text"] == text) == (size[host] >= 5) and off[k] != text and (found[k]["text"] == off[k]) == (size[host] < 5)
+
+
+def test_templates_of_real_hosts(spark):
+    """Menus that a host repeats are found by counting, before any rule sees them."""
+    rows = extract.extract(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    assert rows.agg({"n_templates": "sum"}).first()[0] > 0
+
+
+def test_hard_pages(spark):
+    """Deep nesting, long texts, repeated rows and null ids."""
+    deep, long = "<div>" * 20_000 + "deep", "<p>" + "word " * 400_000
+    rows = [(1, "u", deep), (2, "u", long), (None, "u", "<p>x"), (3, "u", "<p>y"), (3, "u", "<p>y"), (4, "u", "<b class='ad'>no</b>yes<b>!</b>"), (5, "u", "a<span class=ad>no<div>no</span>b"), (6, "u", "<head><meta x><body>text")]
+    found = [(r["page_id"], r["text"]) for r in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    assert sorted(found, key=str) == sorted([(1, "deep"), (2, ("word " * 400_000).strip()), (None, "x"), (3, "y"), (3, "y"), (4, "yes!"), (5, "ab"), (6, "text")], key=str)
+
+
 def test_extract_empty(spark):
     assert extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
