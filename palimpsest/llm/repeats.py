@@ -15,7 +15,8 @@ to LENGTH bytes matters, so the sort stops there:
    recursion ends here.  Of samples with equal names all but the first repeat the first.
 3. Merge of the remaining suffixes.  Where a tuple stands in several such classes, the
    suffixes over the classes' first members that are still open, sampled or not,
-   are dealt by range and sorted by their first LENGTH bytes.
+   lose those whose prefix of LENGTH bytes has a fingerprint that occurs once; the
+   rest are dealt by range and sorted by their first LENGTH bytes.
 4. Adjacent prefixes of LENGTH bytes that are equal: all but the first are repeats.
 
 What a task holds twice is combined before each shuffle, so a tuple or string that many
@@ -155,6 +156,19 @@ class Rows:
         if sum(len(i) for i, _ in held) >= most:
             self._flush()
 
+    def names(self, ids: np.ndarray, number: np.ndarray, name: np.ndarray, buckets: int) -> None:
+        """Fingerprints by bucket, each once; positions whose fingerprint stands here twice are FOUND already."""
+        order = np.argsort(name, kind="stable")
+        same = name[order][1:] == name[order][:-1]
+        again, often = np.zeros(len(name), bool), np.zeros(len(name), bool)
+        again[order[1:]] = often[order[1:]] = same
+        often[order[:-1]] |= same
+        if often.any():
+            self.positions(FOUND, ids[often], number[often])
+        ids, number, name = ids[~again], number[~again], name[~again]
+        for bucket, some in by_part(((name >> tk.U(40)) % tk.U(buckets)).astype(np.int64)):
+            self.add(bucket, SAMPLES, None, pack(steps(ids[some]), steps(number[some]), name[some].astype(np.uint32)))
+
     def _flush(self) -> None:
         for kind, held in self.held.items():
             ids, number = joined(held)
@@ -199,15 +213,7 @@ def sampled(source: DataFrame, parts: int, buckets: int) -> DataFrame:
                 at = off[:-1][doc] + position(k, size[doc])
                 name = POLY.ranges(POLY.prefix(part), at, at + V)
                 out.add(0, SPLIT, None, pack(strings(part, at[:: max(1, len(at) // SPLITS)], V)))
-                own, order = ids[row + doc], np.argsort(name, kind="stable")
-                same = name[order][1:] == name[order][:-1]
-                again, any_twice = np.zeros(len(name), bool), np.zeros(len(name), bool)
-                again[order[1:]] = any_twice[order[1:]] = same
-                any_twice[order[:-1]] |= same
-                out.positions(FOUND, own[any_twice], k[any_twice])
-                own, k, name = own[~again], k[~again], name[~again]
-                for bucket, some in by_part(((name >> tk.U(40)) % tk.U(buckets)).astype(np.int64)):
-                    out.add(bucket, SAMPLES, None, pack(steps(own[some]), steps(k[some]).astype(np.int32), name[some].astype(np.uint32)))
+                out.names(ids[row + doc], k, name, buckets)
                 yield from out.full()
         yield from out.last()
 
@@ -244,7 +250,7 @@ def repeated(rows: DataFrame, parts: int) -> DataFrame:
     def find_repeated(batches):
         out = Rows(parts)
         for _, got in passed(SAMPLES, batches, out):
-            ids, k, name = joined([[np.cumsum(a), np.cumsum(b, dtype=np.int64), c] for a, b, c in (unpack(r["blob"]) for r in got)])
+            ids, k, name = joined([[np.cumsum(a), np.cumsum(b), c] for a, b, c in (unpack(r["blob"]) for r in got)])
             some = tk.twice(name)
             out.positions(FOUND, ids[some], k[some])
             yield from out.full()
@@ -497,17 +503,39 @@ def cover(k: np.ndarray, doc: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.cumsum(edge)[: off[-1]] > 0
 
 
-def opened(rows: DataFrame, parts: int, cuts: np.ndarray, with_text: bool) -> DataFrame:
-    """Step 3: suffixes that are still open by range, documents that have such, and results of the others."""
-    schema = ROW + ", " + RESULT.replace("id long, ", "")
-    blank = {c.split()[0]: {"long": pa.int64(), "string": pa.string()}[c.split()[1]] for c in RESULT.split(", ")[1:]}
+#: Columns of RESULT behind the id, and rows of both kinds in one table.
+BLANK = {c.split()[0]: {"long": pa.int64(), "string": pa.string()}[c.split()[1]] for c in RESULT.split(", ")[1:]}
+EITHER = ROW + ", " + RESULT.replace("id long, ", "")
+
+
+def widen(batch: pa.RecordBatch) -> pa.RecordBatch:
+    n = len(batch)
+    if "part" in batch.schema.names:
+        return pa.RecordBatch.from_arrays([*batch.columns, *(pa.nulls(n, t) for t in BLANK.values())], [*batch.schema.names, *BLANK])
+    cols = [pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), batch.column("id"), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), *batch.columns[1:]]
+    return pa.RecordBatch.from_arrays(cols, [*NAMES, *BLANK])
+
+
+def passed_on(out: Rows, part: int, ids, data, off, own, done: np.ndarray, waits: np.ndarray, with_text: bool):
+    """Documents that wait for a later step, with the starts that are done, and results of the others."""
+    for d in np.flatnonzero(waits).tolist():
+        runs = np.flatnonzero(np.diff(np.concatenate([[0], done[off[d] : off[d + 1]], [0]]))).astype(np.int64)
+        out.add(part, TEXT, int(ids[d]), own[d]["blob"], runs.tobytes())
+    yield from map(widen, out.full())
+    yield widen(settle(ids, data, off, done, np.flatnonzero(~waits), with_text))
 
-    def widen(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n = len(batch)
-        if "part" in batch.schema.names:
-            return pa.RecordBatch.from_arrays([*batch.columns, *(pa.nulls(n, t) for t in blank.values())], [*batch.schema.names, *blank])
-        cols = [pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), batch.column("id"), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), *batch.columns[1:]]
-        return pa.RecordBatch.from_arrays(cols, [*NAMES, *blank])
+
+def known_starts(own: list[dict], off: np.ndarray) -> np.ndarray:
+    """The starts that ``passed_on`` wrote down."""
+    done = np.zeros(off[-1], bool)
+    for d, row in enumerate(own):
+        for a, b in np.frombuffer(row["known"], np.int64).reshape(-1, 2).tolist():
+            done[off[d] + a : off[d] + b] = True
+    return done
+
+
+def opened(rows: DataFrame, parts: int, buckets: int, with_text: bool) -> DataFrame:
+    """Step 3: fingerprints of the suffixes that are still open, documents that have such, and results of the others."""
 
     def open_strings(batches):
         out = Rows(parts)
@@ -515,8 +543,28 @@ def opened(rows: DataFrame, parts: int, cuts: np.ndarray, with_text: bool) -> Da
             doc, k = spread(ids, known[REPEATS])
             done = cover(k, doc, off)
             doc, k = spread(ids, known[EDGES])
-            open_at = np.flatnonzero(cover(k, doc, off) & ~done)
+            at = np.flatnonzero(cover(k, doc, off) & ~done)
             waits = np.zeros(len(ids), bool)
+            if len(at):
+                doc = np.searchsorted(off, at, "right") - 1
+                waits[doc] = True
+                out.names(ids[doc], at - off[doc], POLY.ranges(POLY.prefix(data), at, at + LENGTH), buckets)
+            yield from passed_on(out, part, ids, data, off, own, done, waits, with_text)
+        yield from map(widen, out.last())
+
+    return dealt(rows).mapInArrow(tk.tidy(open_strings), EITHER)
+
+
+def sorted_strings(rows: DataFrame, parts: int, cuts: np.ndarray, with_text: bool) -> DataFrame:
+    """Step 3: the suffixes that may repeat by range, each once for a block, documents that have such, and results of the others."""
+
+    def deal_strings(batches):
+        out = Rows(parts)
+        for part, _, known, ids, data, off, own in chunks(batches, (FOUND,)):
+            done = known_starts(own, off)
+            doc, start = spread(ids, known[FOUND])
+            open_at, waits = off[:-1][doc] + start, np.zeros(len(ids), bool)
+            waits[doc] = True
             for low in range(0, len(open_at), BLOCK):
                 at = open_at[low : low + BLOCK]
                 suffix = strings(data, at, LENGTH)
@@ -526,18 +574,13 @@ def opened(rows: DataFrame, parts: int, cuts: np.ndarray, with_text: bool) -> Da
                 done[at[same]] = True
                 at, suffix = at[~same], suffix[~same]
                 doc = np.searchsorted(off, at, "right") - 1
-                waits[doc] = True
                 for r, first, end in ranged(suffix, cuts):
                     out.add(r, STRINGS, None, pack(suffix[first:end], ids[doc[first:end]], (at - off[doc])[first:end]))
                     yield from map(widen, out.full())
-            for d in np.flatnonzero(waits).tolist():
-                runs = np.flatnonzero(np.diff(np.concatenate([[0], done[off[d] : off[d + 1]], [0]]))).astype(np.int64)
-                out.add(part, TEXT, int(ids[d]), own[d]["blob"], runs.tobytes())
-            yield from map(widen, out.full())
-            yield widen(settle(ids, data, off, done, np.flatnonzero(~waits), with_text))
+            yield from passed_on(out, part, ids, data, off, own, done, waits, with_text)
         yield from map(widen, out.last())
 
-    return dealt(rows).mapInArrow(tk.tidy(open_strings), schema)
+    return dealt(rows).mapInArrow(tk.tidy(deal_strings), EITHER)
 
 
 def merged(rows: DataFrame, parts: int) -> DataFrame:
@@ -563,10 +606,7 @@ def closed(rows: DataFrame, with_text: bool) -> DataFrame:
 
     def close_documents(batches):
         for _, _, known, ids, data, off, own in chunks(batches, (STRINGS,)):
-            done = np.zeros(len(data), bool)
-            for d, row in enumerate(own):
-                for a, b in np.frombuffer(row["known"], np.int64).reshape(-1, 2).tolist():
-                    done[off[d] + a : off[d] + b] = True
+            done = known_starts(own, off)
             doc, start = spread(ids, known[STRINGS])
             done[off[:-1][doc] + start] = True
             yield settle(ids, data, off, done, np.arange(len(ids)), with_text)
@@ -598,12 +638,16 @@ def spans(source: DataFrame, n_bytes: int, with_text: bool = False) -> DataFrame
     classes = tk.stored(classed(grouped(answers, parts, parts), parts), "uncompressed")
     tk.drop(answers)
     release(spark, n_bytes)
-    step = tk.stored(opened(classes.union(texts(source, parts)), parts, cuts, with_text), "uncompressed")
+    step = tk.stored(opened(classes.union(texts(source, parts)), parts, parts, with_text), "uncompressed")
     tk.drop(classes)
     release(spark, n_bytes)
-    starts = merged(step.where(F.col("kind") == STRINGS).select(NAMES), parts)
-    last = closed(starts.union(step.where(F.col("kind") == TEXT).select(NAMES)), with_text)
-    return step.where(F.col("kind").isNull()).select([c.split()[0] for c in RESULT.split(", ")]).union(last)
+    kind, names = F.col("kind"), [c.split()[0] for c in RESULT.split(", ")]
+    often = repeated(step.where(kind.isin(SAMPLES, FOUND)).select(NAMES), parts)
+    last_step = tk.stored(sorted_strings(often.union(step.where(kind == TEXT).select(NAMES)), parts, cuts, with_text), "uncompressed")
+    release(spark, n_bytes)
+    starts = merged(last_step.where(kind == STRINGS).select(NAMES), parts)
+    last = closed(starts.union(last_step.where(kind == TEXT).select(NAMES)), with_text)
+    return step.where(kind.isNull()).select(names).union(last_step.where(kind.isNull()).select(names)).union(last)
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, int, DataFrame | None]:
