@@ -4,10 +4,11 @@ An item of L words is held against every window of L words of a document.  Both
 get a 64-bit SimHash of their 5-word shingles, weighted by how often they occur.  The 64
 bits form BLOCKS blocks; fingerprints within RADIUS bits differ by at most RADIUS // BLOCKS
 bits in one block at least, so looking up each block's value and its neighbours
-within that many bits finds every fingerprint within the radius.  Candidates are
+within that many bits finds every fingerprint within the radius.  The tables hold, for each
+item size, block and value, the items with a value within reach.  Candidates are
 then confirmed by the exact weighted Jaccard similarity of their shingles, sum of
 least weights over sum of greatest, at 0.75 or more.  A window that shares no
-shingle with an item has similarity 0 and is not looked up.
+shingle with any item of its size has similarity 0 and is not looked up.
 
 The benchmark is the query set: it is broadcast in blocks of bounded size, one
 after the other, against all documents.
@@ -31,6 +32,8 @@ POLY = tk.Poly(5)
 WORDS, RADIUS, BLOCKS = 5, 24, 8
 #: Bounds of one broadcast block of the benchmark.
 ITEMS, ITEM_BYTES = 20_000, 32 << 20
+#: Windows that are fingerprinted at once.
+WINDOWS = 4096
 NEIGHBOURS = np.bitwise_count(np.arange(256)[:, None] ^ np.arange(256)[None, :]) <= RADIUS // BLOCKS
 SCHEMA = "doc_id long, item_id long, start_word long, n_words long, distance long, common long, united long"
 
@@ -53,43 +56,50 @@ def fingerprint(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1).reshape(-1, 8)
 
 
+class Sized:
+    """Items of one size: SimHash, shingle weights, and the tables of the multi-index."""
+
+    def __init__(self, size: int, items: np.ndarray, bags: list[tuple[np.ndarray, np.ndarray]]):
+        self.size, self.items, self.bags = size, items, bags
+        self.shingle = np.unique(np.concatenate([keys for keys, _ in bags]))
+        sums = [(marks(keys).astype(np.int64) * times[:, None]).sum(0) for keys, times in bags]
+        sign = fingerprint(np.stack(sums))
+        self.sign = sign.view(np.uint64).ravel()
+        #: (block, value) -> the items with a value within reach there, as bits.
+        bits = np.zeros((BLOCKS, 256, -(-len(items) // 64) * 64), bool)
+        for block in range(BLOCKS):
+            bits[block, :, : len(items)] = NEIGHBOURS[:, sign[:, block]]
+        self.tables = np.packbits(bits, axis=2, bitorder="little").view(np.uint64)
+
+    def near(self, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index, item of this size, distance) of fingerprints within the radius of an item's, by looking up each block."""
+        found = self.tables[0][sign[:, 0]]
+        for block in range(1, BLOCKS):
+            found = found | self.tables[block][sign[:, block]]
+        at, item = np.nonzero(np.unpackbits(found.view(np.uint8), axis=1, bitorder="little"))
+        distance = np.bitwise_count(sign.view(np.uint64).ravel()[at] ^ self.sign[item])
+        close = distance <= RADIUS
+        return at[close], item[close], distance[close].astype(np.int64)
+
+
 class Index:
-    """Items of one block: SimHash, shingle weights, and the tables of the multi-index."""
+    """Items of one block of the benchmark, by size."""
 
     def __init__(self, items: list[tuple[int, str]]):
         data, offsets = tk.flat(pa.array([t for _, t in items], pa.string()))
         word, first, value, row, _ = shingled(data, offsets)
         self.ids, self.words = [i for i, _ in items], np.diff(first)
         cut = np.searchsorted(row, np.arange(len(items) + 1))
-        self.weights = [np.unique(value[cut[i] : cut[i + 1]], return_counts=True) for i in range(len(items))]
-        self.sign = np.zeros((len(items), 8), np.uint8)
-        for i in range(len(items)):
-            if cut[i + 1] > cut[i]:
-                self.sign[i] = fingerprint(marks(value[cut[i] : cut[i + 1]]).sum(0, dtype=np.int64)[None, :])[0]
-        # shingle -> items, sorted by shingle
-        long = self.words >= WORDS
-        owner = np.repeat(np.arange(len(items)), [len(w[0]) for w in self.weights])
-        every = np.concatenate([w[0] for w in self.weights]) if items else np.zeros(0, np.uint64)
-        every, owner = every[long[owner]], owner[long[owner]]
-        order = np.argsort(every, kind="stable")
-        self.shingle, self.owner = every[order], owner[order]
+        bag = lambda i: np.unique(value[cut[i] : cut[i + 1]], return_counts=True)
+        self.sizes = [Sized(int(n) - WORDS + 1, own, [bag(i) for i in own]) for n in np.unique(self.words[self.words >= WORDS]) for own in [np.flatnonzero(self.words == n)]]
         self.filter = np.zeros(1 << 20, bool)
-        self.filter[(self.shingle >> tk.U(44)).astype(np.int64)] = True
+        for sized in self.sizes:
+            self.filter[(sized.shingle >> tk.U(44)).astype(np.int64)] = True
         self.short = {int(n): {int(value[cut[i]]): [] for i in np.flatnonzero(self.words == n)} for n in range(1, WORDS) if (self.words == n).any()}
         for n, table in self.short.items():
             for i in np.flatnonzero(self.words == n):
                 table[int(value[cut[i]])].append(int(i))
 
-    def near(self, sign: np.ndarray, item: int) -> np.ndarray:
-        """Distances of fingerprints that share a block's neighbourhood with the item's; -1 for the others."""
-        found = np.zeros(len(sign), bool)
-        for block in range(BLOCKS):
-            found |= NEIGHBOURS[self.sign[item, block]][sign[:, block]]
-        distance = np.bitwise_count(sign[found] ^ self.sign[item]).sum(1, dtype=np.int64)
-        out = np.full(len(sign), -1)
-        out[found] = np.where(distance <= RADIUS, distance, -1)
-        return out
-
     def leaks(self, data: np.ndarray, offsets: np.ndarray, percent: int) -> list[tuple[int, int, int, int, int, int, int]]:
         """(row, item, start word, words, distance, common, united) of the best window of each leak."""
         word, first, value, row, at = shingled(data, offsets)
@@ -104,46 +114,57 @@ class Index:
                         seen.add((of[k], item))
                         out.append((int(of[k]), item, int(begin[k] - first[of[k]]), n, 0, 1, 1))
         maybe = np.flatnonzero(self.filter[(value >> tk.U(44)).astype(np.int64)])
-        low, high = (np.searchsorted(self.shingle, value[maybe], side) for side in ("left", "right"))
-        hit, many = maybe[high > low], (high - low)[high > low]
-        if not len(hit):
+        if not len(maybe):
             return out
-        place = np.repeat(hit, many)
-        item = self.owner[np.repeat(low[high > low], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
-        order = np.lexsort((place, item, row[place]))
-        place, item = place[order], item[order]
-        pair = row[place] * len(self.ids) + item
-        begin = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-        for low, high in zip(begin, [*begin[1:], len(pair)], strict=True):
-            found = self._best(value, row, at, first, place[low:high], int(item[low]), percent)
-            if found:
-                out.append(found)
+        cut = np.searchsorted(row, np.arange(len(offsets)))
+        best: dict[tuple[int, int], tuple] = {}
+        for sized in self.sizes:
+            spot = np.minimum(np.searchsorted(sized.shingle, value[maybe]), len(sized.shingle) - 1)
+            hit = maybe[sized.shingle[spot] == value[maybe]]
+            if len(hit):
+                self._windows(sized, value, row, cut, hit, percent, best)
+        for (doc, item), (common, united, start, distance) in best.items():
+            here = int(first[doc + 1] - first[doc])
+            out.append((doc, item, int(at[start] - first[doc]), min(int(self.words[item]), here), distance, common, united))
         return out
 
-    def _best(self, value, row, at, first, hits, item, percent):
-        """The most similar window of one document and item, among those that hold a hit."""
-        doc, n = int(row[hits[0]]), int(self.words[item])
-        begin, stop = (int(x) for x in np.searchsorted(row, [doc, doc + 1]))
-        size = min(n - WORDS + 1, stop - begin)  # shingles of a window
-        keys, weights = self.weights[item]
-        best = None
-        # runs of windows around hits: window s holds shingles s .. s + size - 1
-        left = np.maximum(hits - size + 1, begin)
-        right = np.minimum(hits, stop - size)
-        cut = np.flatnonzero(np.concatenate([[True], left[1:] > np.maximum.accumulate(right)[:-1] + 1]))
-        for low, high in zip(cut, [*cut[1:], len(hits)], strict=True):
-            a, b = int(left[low]), int(right[low:high].max())
-            sums = np.zeros((b + size - a + 1, 64), np.int32)
-            np.cumsum(marks(value[a : b + size]), axis=0, out=sums[1:])
-            distance = self.near(fingerprint(sums[size:] - sums[:-size]), item)
-            for k in np.flatnonzero(distance >= 0).tolist():
-                own, times = np.unique(value[a + k : a + k + size], return_counts=True)
-                spot = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                common = int(np.minimum(times, weights[spot])[keys[spot] == own].sum())
-                united = size + int(weights.sum()) - common
-                if 100 * common >= percent * united and (best is None or common * best[6] > best[5] * united):
-                    best = (doc, item, int(at[a + k] - first[doc]), min(n, int(first[doc + 1] - first[doc])), int(distance[k]), common, united)
-        return best
+    def _windows(self, sized: Sized, value, row, cut, hit, percent, best) -> None:
+        """Fingerprints the windows of one size that hold a hit, looks them up and verifies what is near."""
+        room = np.minimum(sized.size, np.diff(cut))  # shingles of a document's windows
+        doc = row[hit]
+        edge = np.zeros(len(value) + 1, np.int32)
+        np.add.at(edge, np.maximum(hit - room[doc] + 1, cut[doc]), 1)
+        np.add.at(edge, np.minimum(hit, cut[doc + 1] - room[doc]) + 1, -1)
+        start = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
+        width = room[row[start]]
+        edge[:] = 0
+        np.add.at(edge, start, 1)
+        np.add.at(edge, start + width, -1)
+        held = np.cumsum(edge)[:-1] > 0
+        inside, values = np.cumsum(held) - 1, value[held]  # the windows' shingles without the gaps between
+        for low in range(0, len(start), WINDOWS):
+            s, w = start[low : low + WINDOWS], width[low : low + WINDOWS]
+            c = inside[s]
+            a, b = int(c[0]), int((c + w).max())
+            sums = np.zeros((b - a + 1, 64), np.int32)
+            np.cumsum(marks(values[a:b]), axis=0, out=sums[1:])
+            index, item, distance = sized.near(fingerprint(sums[c - a + w] - sums[c - a]))
+            for kind in np.unique(item * (sized.size + 1) + w[index]).tolist():
+                i, n = divmod(kind, sized.size + 1)
+                of = np.flatnonzero((item == i) & (w[index] == n))
+                keys, weights = sized.bags[i]
+                for part in np.array_split(of, -(-len(of) // WINDOWS)):
+                    shingles = values[c[index[part]][:, None] + np.arange(n)]
+                    spot = np.minimum(np.searchsorted(keys, shingles), len(keys) - 1)
+                    line, place = np.nonzero(keys[spot] == shingles)
+                    times = np.bincount(line * len(keys) + spot[line, place], minlength=len(part) * len(keys)).reshape(len(part), -1)
+                    common = np.minimum(times, weights).sum(1)
+                    united = n + int(weights.sum()) - common
+                    for k in np.flatnonzero(100 * common >= percent * united).tolist():
+                        begin = int(s[index[part[k]]])
+                        key, now = (int(row[begin]), int(sized.items[i])), (int(common[k]), int(united[k]), begin, int(distance[part[k]]))
+                        if key not in best or now[0] * best[key][1] > best[key][0] * now[1]:
+                            best[key] = now
 
 
 def blocks(benchmark: DataFrame):

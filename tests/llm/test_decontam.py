@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+
 from palimpsest.llm import decontam
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -65,17 +67,44 @@ def test_against_brute_force(spark, monkeypatch):
 
 
 def test_multi_index_is_complete():
-    """Fingerprints within the radius always share a neighbourhood in one block."""
-    import numpy as np
-
-    rng = np.random.default_rng(1)
-    for _ in range(300):
-        a = rng.integers(0, 256, 8, dtype=np.uint8)
-        flips = rng.choice(64, decontam.RADIUS, replace=False)
-        mask = np.zeros(64, np.uint8)
-        mask[flips] = 1
-        b = a ^ np.packbits(mask)
-        assert any(decontam.NEIGHBOURS[x, y] for x, y in zip(a, b, strict=True))
+    """The tables give every item for every fingerprint within the radius of its own, and no other."""
+    rng, items = np.random.default_rng(1), corpus()[1]
+    index = decontam.Index([(i, t) for i, t in items if t])
+    for sized in index.sizes:
+        own = sized.sign.view(np.uint8).reshape(-1, 8)
+        for _ in range(40):
+            flips = np.zeros((len(own), 64), np.uint8)
+            for row in flips:
+                row[rng.choice(64, rng.integers(0, 32), replace=False)] = 1
+            sign = own ^ np.packbits(flips, axis=1)
+            want = {(a, b) for a in range(len(own)) for b in range(len(own)) if np.bitwise_count(sign[a] ^ own[b]).sum() <= decontam.RADIUS}
+            at, item, distance = sized.near(sign)
+            assert set(zip(at.tolist(), item.tolist(), strict=True)) == want and (distance <= decontam.RADIUS).all()
+
+
+def test_recall_of_the_radius():
+    """Of windows whose exact similarity is 0.75 or a little more, in short and long items, at least 99 % lie within the radius."""
+    rnd, found, total = random.Random(4), 0, 0
+    for n in (7, 8, 10, 12, 20, 40, 60):
+        for _ in range(150):
+            words = [f"w{rnd.randrange(10**6)}" for _ in range(n + 4)]
+            other, gone = list(words), 0
+            while 4 * (n - gone - 1) >= 3 * (n + gone + 1):  # cut shingles from the end, one at a time
+                gone += 1
+                other = [*words[: len(words) - gone], *(f"x{rnd.randrange(10**6)}" for _ in range(gone))]
+            sized = decontam.Index([(1, " ".join(words))]).sizes[0]
+            found += len(sized.near(decontam.Index([(1, " ".join(other))]).sizes[0].sign.view(np.uint8).reshape(-1, 8))[0])
+            total += 1
+    assert found >= 0.99 * total
+
+
+def test_line_of_all_items(spark):
+    """A line that every item holds costs each document its windows, not its windows times the items."""
+    line = "answer the question below with one of the four letters"
+    items = [(i, f"{line} q{i} a{i} b{i} c{i} d{i} e{i} f{i} g{i}") for i in range(1500)]
+    docs = [(d, f"{line} " * 5 + (items[d][1] if d % 2 else "nothing")) for d in range(40)]
+    found = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(d, d) for d in range(40) if d % 2}
 
 
 def test_odd_rows(spark, odd, empty):
