@@ -6,8 +6,9 @@ agendas of all new stretches of an Arrow batch advance together, one merge each
 round, in numpy; stretches over LONG symbols use a heap.  A text is cut into
 stretches only where no vocabulary piece can cross (checked when the model is
 loaded), so the ids of a text are those of its stretches in a row.  Every new
-stretch of a batch is compared with the sentencepiece library's ids and its
-decoding; a difference raises.
+stretch of a batch is compared with the sentencepiece library's ids and the text
+that the library decodes from them; a difference raises.  A row's decoded text is
+put together from what the ids of its stretches decode to.
 
 Defined cases: a null or empty text gives the end id alone and decodes to the
 empty string; repeated rows are encoded each by itself; a null doc_id stays
@@ -77,9 +78,9 @@ class Pieces:
         self.cut = re.compile(".+" if crossing or lines else f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n", re.S)
         self.simple = not (crossing or lines)
         self.decimal = [f"{i} " for i in range(size)]
-        #: Decimal ids of stretches by name: those used since the table was last full, and those before.
-        self.kept: dict[str, str] = {}
-        self.old: dict[str, str] = {}
+        #: Decimal ids of stretches, and what these decode to, by name: those used since the table was last full, and those before.
+        self.kept: dict[str, tuple[str, str]] = {}
+        self.old: dict[str, tuple[str, str]] = {}
 
     def _index(self) -> None:
         """A table of pairs by hash; those whose place is taken go to sorted arrays beside it."""
@@ -202,11 +203,13 @@ class Pieces:
                 wrong = [(t, i) for t, i in zip(part, ids, strict=True) if self.library.encode("\n" + t.replace(SPACE, " "))[2:] != i]
                 raise ValueError(f"ids differ from the library's: {wrong[:5]}")
             back = self.decode(have)
+            if back != self.library.decode(have):
+                raise ValueError(f"ids decode to another text than the library's: {part}")
             if back != "\n" + "\n".join(part).replace(SPACE, " ") + "\n":
                 raise ValueError(f"a stretch does not decode to itself: {part}")
 
-    def decode(self, ids: list[int]) -> str:
-        """Pieces in a row, byte pieces as UTF-8, spaces restored, without the space put before a text."""
+    def decode(self, ids: list[int], whole: bool = True) -> str:
+        """Pieces in a row, byte pieces as UTF-8, spaces restored; of a ``whole`` text without the space put before it."""
         out, run = [], bytearray()
         for i in ids:
             if i in self.of_byte:
@@ -219,8 +222,8 @@ class Pieces:
                 out.append(self.names[i])
         if run:
             out.append(run.decode("utf-8", "replace"))
-        text = "".join(out)
-        return (text[1:] if text.startswith(SPACE) else text).replace(SPACE, " ")
+        text = "".join(out).replace(SPACE, " ")
+        return text.removeprefix(" ") if whole else text
 
     def _words(self, text: str) -> list[str]:
         """Stretches of a text, of which one after a single space is named without it, and one after a line end with it.
@@ -234,8 +237,11 @@ class Pieces:
             return text.replace("\n", " \n").split(" ")
         return [SPACE + p for p in self.cut.findall(SPACE + text.replace(" ", SPACE))]
 
-    def batch(self, texts: list[str], checked: bool = True) -> list[str]:
-        """For each text its decimal ids, a space after each, without the end id."""
+    def batch(self, texts: list[str], checked: bool = True) -> list[tuple[str, str]]:
+        """For each text its decimal ids, a space after each, without the end id; and the text that the ids decode to.
+
+        A stretch holds the bytes of its characters whole, so a text's ids decode to what its stretches' ids do in a row.
+        """
         kept, old, parts = self.kept, self.old, [self._words(t) for t in texts]
         wanted = set(chain.from_iterable(parts))
         new = wanted.difference(kept)
@@ -253,13 +259,16 @@ class Pieces:
             if checked:
                 self._check(one, found)
             name = self.decimal
-            text_of = dict(zip(one, ["".join([name[i] for i in ids]) for ids in found], strict=True))
-            kept.update(zip(new, ["".join([text_of[p] for p in row]) for row in pieces], strict=True))
-        get = kept.__getitem__
-        return ["".join(map(get, row)) for row in parts]
+            both = {p: ("".join([name[i] for i in ids]), self.decode(ids, whole=False)) for p, ids in zip(one, found, strict=True)}
+            kept.update(zip(new, [tuple(map("".join, zip(*[both[p] for p in row], strict=True))) for row in pieces], strict=True))
+        out = []
+        for row in parts:
+            ids, back = zip(*map(kept.__getitem__, row), strict=True) if row else ((), ())
+            out.append(("".join(ids), "".join(back).removeprefix(" ")))
+        return out
 
     def encode(self, text: str) -> list[int]:
-        return [*map(int, self.batch([text])[0].split()), self.end]
+        return [*map(int, self.batch([text])[0][0].split()), self.end]
 
 
 def load(path: str) -> Pieces:
@@ -289,9 +298,8 @@ def digest(docs: DataFrame, path: str, with_ids: bool = False, with_text: bool =
             ids, row = batch.column("doc_id"), 0
             for texts in groups([t or "" for t in batch.column("text").to_pylist()]):
                 count, one, two, numbers, back = [], [], [], [], []
-                for text, decimal in zip(texts, model.batch(texts), strict=True):
+                for decimal, decoded in model.batch(texts):
                     decimal += str(model.end)
-                    decoded = text.replace(SPACE, " ")  # every stretch decodes to itself, as checked when it was new
                     count.append(decimal.count(" ") + 1)
                     one.append(hashlib.sha256(decimal.encode()).hexdigest())
                     two.append(hashlib.sha256(decoded.encode()).hexdigest())

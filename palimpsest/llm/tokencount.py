@@ -10,7 +10,8 @@ an Arrow batch go through the table together in numpy.
 Defined cases: a null or empty text has 0 tokens; repeated rows are counted each
 by itself; a null doc_id stays null; texts of any length are counted whole;
 strings of special tokens inside a text count as one token, as the library's
-default has it.
+default has it.  Texts with characters that Python's Unicode tables treat in another way
+than the library's are normalised and cut by the library; the counting stays the same.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
+import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,12 @@ from .pieces import groups
 END = "</w>"
 NEVER = np.int64(1) << 40
 BLOCK, CACHE = 8000, 600_000
+#: Bytes from which a word is counted by itself, and starts of it that are looked up together.
+LONG, LONG_BLOCK = 512, 1 << 16
+#: Stands before a piece that the library cut itself; no other stretch begins with white space.
+PIECE = "\n"
+#: Characters that are compared with the library when a vocabulary is loaded, as ranges; the library reads texts with others.
+SCANNED = [(0x1, 0x3100), (0x3400, 0xA000), (0xAC00, 0xD7A4), (0xFF00, 0xFFF0), (0x1F300, 0x1FB00)]
 
 
 def byte_of_char() -> dict[str, int]:
@@ -108,8 +116,45 @@ class Counter:
         self.whole, self.closed = np.array(whole), np.array(closed)
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.special_cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.piece = regex.compile(next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"])
+        pattern = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
+        self.piece = regex.compile(pattern)
+        self.normalizer = tokenizers.Tokenizer.from_file(path).normalizer
+        self.splitter = tokenizers.pre_tokenizers.Split(tokenizers.Regex(pattern), behavior="removed", invert=True)
+        self.unsafe = self._unsafe()
         self.kept: dict[str, int] = {}
+        # for long words, one at a time
+        self.merge, self.made_by = pairs, (self.birth.tolist(), self.left.tolist(), self.right.tolist())
+        self.known_apart: dict[int, bool] = {}
+
+    def _unsafe(self) -> re.Pattern:
+        """Characters outside of SCANNED, or that Python and the library lower-case, compose or class differently: they follow Unicode of different years."""
+        every = [chr(c) for low, high in SCANNED for c in range(low, high) if chr(c) != "|"]
+        ours = regex.sub(r"\s+", " ", self.plain("|".join(every))).split("|")
+        theirs = self.normalizer.normalize_str("|".join(every)).split("|")
+        if len(ours) == len(theirs) == len(every):
+            safe = [c for c, a, b in zip(every, ours, theirs, strict=True) if a == b]
+        else:
+            safe = [c for c in every if regex.sub(r"\s+", " ", self.plain(c)) == self.normalizer.normalize_str(c)]
+        for other in "x!":  # a letter, and neither letter nor number
+            line = [other + self.plain(c) for c in safe]
+            found = [p for p, _ in self.splitter.pre_tokenize_str(" ".join(line))]
+            if found != self.piece.findall(" ".join(line)):
+                safe = [c for c, w in zip(safe, line, strict=True) if [p for p, _ in self.splitter.pre_tokenize_str(w)] == self.piece.findall(w)]
+        code, ranges = sorted(map(ord, [*safe, "|"])), []
+        for c in code:
+            if ranges and ranges[-1][1] == c - 1:
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
+        return re.compile("[^" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in ranges) + "]")
+
+    def read(self, segment: str) -> tuple[str, list[tuple[str, int]]]:
+        """A text without special tokens as the vocabulary reads it, and its pieces with their places."""
+        if segment.isascii() or not self.unsafe.search(segment):
+            segment = self.plain(segment)
+            return segment, [(m[0], m.start()) for m in self.piece.finditer(segment)]
+        segment = self.normalizer.normalize_str(segment)
+        return segment, [(p, at) for p, (at, _) in self.splitter.pre_tokenize_str(segment)]
 
     def apart(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """Whether the merges leave token ``one`` before token ``two`` as they are.
@@ -168,6 +213,59 @@ class Counter:
                         out[at, end] = opened[at, start] + 1
         return out if every else out[:, -1]
 
+    def _one_apart(self, one: int, two: int) -> bool:
+        """``apart`` of one pair."""
+        birth, left, right = self.made_by
+        gone_one = gone_two = int(NEVER) - 1
+        while True:
+            merge = self.merge.get(one * self.many + two, int(NEVER))
+            if merge < gone_one and merge <= gone_two:
+                return False
+            if birth[one] < 0 and birth[two] < 0:
+                return True
+            if birth[one] > birth[two]:
+                gone_one, one = birth[one], right[one]
+            else:
+                gone_two, two = birth[two], left[two]
+
+    def long_table(self, word: bytes, every: bool = False) -> np.ndarray:
+        """``table`` of one long word: tokens from all starts of a block are found together, then taken up start by start."""
+        data, size = np.frombuffer(word, np.uint8), len(word)
+        opened, last, out = [-1] * (size + 1), [-1] * (size + 1), [0] * (size + 1)
+        opened[0], known = 0, self.known_apart
+        for low in range(0, size, LONG_BLOCK):
+            start, node, found = np.arange(low, min(size, low + LONG_BLOCK)), np.zeros(min(size, low + LONG_BLOCK) - low, np.int64), []
+            for length in range(1, size - low + 1):
+                node = self.next[node, data[start + length - 1]]
+                start, node = start[node >= 0], node[node >= 0]
+                if not len(start):
+                    break
+                for whole, of in ((True, self.whole), (False, self.closed)):
+                    token = of[node]
+                    end = start + length
+                    some = (token >= 0) & ((end < size) if whole else ((end == size) | every))
+                    found.append(np.stack([start[some], end[some], token[some], np.full(some.sum(), whole)]))
+                start, node = start[start + length < size], node[start + length < size]
+            found = np.concatenate(found, axis=1)
+            for s, e, token, whole in found[:, np.argsort(found[0], kind="stable")].T.tolist():
+                if (opened[e] >= 0) if whole else out[e]:
+                    continue
+                before = last[s]
+                if before >= 0:
+                    key = before * self.many + token
+                    good = known.get(key)
+                    if good is None:
+                        if len(known) >= CACHE:
+                            known.clear()
+                        good = known[key] = self._one_apart(before, token)
+                    if not good:
+                        continue
+                if whole:
+                    opened[e], last[e] = opened[s] + 1, token
+                else:
+                    out[e] = opened[s] + 1
+        return np.array(out, np.int64)
+
     def counts(self, words: list[bytes]) -> np.ndarray:
         """Tokens of each word."""
         out, size = np.zeros(len(words), np.int64), np.array([*map(len, words)], np.int64)
@@ -175,6 +273,9 @@ class Counter:
         size = size[order]
         for length in np.unique(size).tolist():
             low, high = np.searchsorted(size, [length, length + 1])
+            if length > LONG:
+                out[order[low:high]] = [self.long_table(words[i])[-1] for i in order[low:high]]
+                continue
             block = max(1, min(BLOCK, (1 << 22) // max(1, length)))
             for at in range(low, high, block):
                 part = order[at : min(high, at + block)]
@@ -198,6 +299,8 @@ class Counter:
         for k, part in enumerate(cut):
             if k % 2:
                 out.append(part)
+            elif part and not part.isascii() and self.unsafe.search(part):
+                out += [PIECE + p for p, _ in self.read(part)[1]]
             elif part:
                 part = self.plain(part)
                 # these count as spaces for str.split only
@@ -213,7 +316,7 @@ class Counter:
             self.kept = kept = {p: kept[p] for p in wanted if p in kept}
         if new:
             special = set(self.special)
-            pieces = [[] if p in special else self.piece.findall(p) for p in new]
+            pieces = [[] if p in special else [p[1:]] if p[0] == PIECE else self.piece.findall(p) for p in new]
             one = list(set(chain.from_iterable(pieces)))
             count = dict(zip(one, self.counts([p.encode() for p in one]).tolist(), strict=True)).__getitem__
             kept.update((p, 1 if p in special else sum(map(count, row))) for p, row in zip(new, pieces, strict=True))
@@ -232,17 +335,17 @@ class Counter:
                 out.append(before)
                 read.append(segment)
                 continue
-            segment = self.plain(segment)
+            segment, pieces = self.read(segment)
             read.append(segment)
             place = 0
-            for match in self.piece.finditer(segment):
-                out += [before] * (match.start() - place)
-                place, piece = match.end(), match[0]
+            for piece, start in pieces:
+                out += [before] * (start - place)
+                place = start + len(piece)
                 if piece[0] == "'" and len(piece) > 1 and piece[1].isalpha():  # cut short it is another split
-                    cut = [int(sum(self.counts([p.encode() for p in self.piece.findall(piece[:e])]))) for e in range(1, len(piece) + 1)]
+                    cut = [int(sum(self.counts([p.encode() for p, _ in self.read(piece[:e])[1]]))) for e in range(1, len(piece) + 1)]
                 else:
                     raw = piece.encode()
-                    row = self.table(np.frombuffer(raw, np.uint8)[None, :], every=True)[0]
+                    row = self.long_table(raw, every=True) if len(raw) > LONG else self.table(np.frombuffer(raw, np.uint8)[None, :], every=True)[0]
                     cut = row[np.cumsum([len(c.encode()) for c in piece])].tolist()
                 out += [before + c for c in cut]
                 before += cut[-1]

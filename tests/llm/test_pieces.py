@@ -24,6 +24,16 @@ def test_ids_and_decoding():
         assert model.decode(ids) == model.library.decode(ids)
 
 
+def test_all_planes():
+    """Random code points of all planes: ids and decoded texts of a row are the library's."""
+    rnd, model = random.Random(9), pieces.load(PATH)
+    draw = lambda: chr(rnd.choice([rnd.randrange(0x20, 0x7F), 0x20, 0x2581, rnd.randrange(0xD800), rnd.randrange(0xE000, 0x110000)]))
+    many = ["".join(draw() for _ in range(rnd.randint(1, 40))) for _ in range(10_000)] + texts()
+    want = model.library.encode(many, num_threads=1)
+    assert [[int(i) for i in ids.split()] for ids, _ in model.batch(many)] == want
+    assert [back for _, back in model.batch(many)] == model.library.decode(want)
+
+
 def test_heap_and_rounds_agree():
     model = pieces.load(PATH)
     words = ["▁" + w for w in ("international", "characteristics", "zzzz", "éééé日本")]

@@ -1,5 +1,6 @@
 import os
 import random
+import time
 
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -27,6 +28,29 @@ def test_counts():
     assert counter.batch(texts()) == [count(t) for t in texts()]
 
 
+def test_all_planes():
+    """Random code points of all planes, and each code point that Python may know by another year's tables, between two letters."""
+    rnd, counter = random.Random(9), tokencount.load(PATH)
+    draw = lambda: chr(rnd.choice([rnd.randrange(0x20, 0x7F), rnd.randrange(0xD800), rnd.randrange(0xE000, 0x110000), rnd.randrange(0x10000, 0x20000)]))
+    many = ["".join(draw() for _ in range(rnd.randint(1, 40))) for _ in range(10_000)]
+    many += [f"a{chr(c)}b" for c in range(0xA640, 0xAC00)] + ["}\U00014e36\U00019f1b쬘ʝ", "\ua7cb", "\ua7dc"]
+    want = [len(e.ids) for e in LIBRARY.encode_batch(many, add_special_tokens=False)]
+    assert counter.batch(many) == want
+
+
+def test_long_words():
+    rnd, counter = random.Random(3), tokencount.load(PATH)
+    for letters in ("a", "ab", "etaoinshr", "abcdefghijklmnopqrstuvwxyz", "日本éa"):
+        for size in (400, 513, 3000):
+            word = "".join(rnd.choice(letters) for _ in range(size))
+            assert counter.batch([word]) == [count(word)]
+    word = "".join(rnd.choice("abcdefghij") for _ in range(700))
+    assert counter.long_table(word.encode(), every=True)[1:].tolist() == [count(word[:k]) for k in range(1, 701)]
+    word, began = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000)), time.time()
+    found = counter.batch([word])
+    assert time.time() - began < 60 and found == [count(word)]
+
+
 def test_every_prefix():
     counter = tokencount.load(PATH)
     for text in texts()[:60]:
