@@ -15,7 +15,7 @@ def postings(messages: DataFrame, key: str = "key", text: str = "text") -> DataF
 
 
 def holding_all(index: DataFrame, query: str, key: str = "key") -> DataFrame | None:
-    """Keys that hold every token of the query; None if the query has no token.
+    """Keys of a stored index that hold every token of the query; None if the query has no token.
 
     Only the query's postings are read; counting them needs one shuffle however
     long a common token's list is, and partial counts shrink it first.
@@ -26,6 +26,19 @@ def holding_all(index: DataFrame, query: str, key: str = "key") -> DataFrame | N
     return index.where(F.col("token").isin(wanted)).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") == len(wanted)).select(key)
 
 
+def holds_all(text, query: str):
+    """Whether a text has every index token of the query, row by row: no posting is built, nothing is shuffled.
+
+    The plain containment tests come first and spare most texts the tokenizer.
+    """
+    wanted = query_tokens(query)
+    low = F.lower(F.coalesce(T.col(text), F.lit("")))
+    test = F.lit(True)
+    for token in wanted:
+        test = test & low.contains(token)
+    return test & (F.size(F.array_intersect(T.tokens(text), F.array(*map(F.lit, wanted)))) == len(wanted))
+
+
 def narrowed(rows: DataFrame, roles=None, project=None, archived=None, active_only=False, source_kind=None, date_from=None, date_to=None, ids=None, title_has=None) -> DataFrame:
     """Message filter; an undated row fails ``date_from`` and passes ``date_to``."""
     if roles:
@@ -55,8 +68,7 @@ def search(messages: DataFrame, query: str, limit: int | None = 100, recency: st
 
     ``phrase_only`` counts a phrase match alone; ``recency`` names a timestamp that adds up to 5 points.
     """
-    keys = holding_all(postings(messages, key, text), query, key)
-    found = messages.join(keys, key, "left_semi") if keys is not None else messages.where(F.lower(text).contains(query.lower().strip()))
+    found = messages.where(holds_all(text, query) if query_tokens(query) else F.lower(text).contains(query.lower().strip()))
     active = F.col("active") if "active" in messages.columns else F.lit(False)
     user = F.col("role") == "user" if "role" in messages.columns else F.lit(False)
     score = T.search_score(text, query, active, user, phrase_only).cast("double")
@@ -71,12 +83,7 @@ def search_objects(objects: DataFrame, query: str, limit: int | None = 20) -> Da
     """Content objects (id, title, body, tags, updated_at): 20 for the phrase in the title, 3 a matched token, up to 5 for recency."""
     q, words = query.lower().strip(), query_tokens(query)
     whole = F.lower(F.concat_ws("\n", "title", "body", F.array_join("tags", " ")))
-    hit = whole.contains(q)
-    if words:
-        keys = holding_all(postings(objects.withColumn("whole", whole), "id", "whole"), query, "id")
-        objects = objects.join(keys, "id", "left_semi")
-    else:
-        objects = objects.where(hit)
+    objects = objects.where(holds_all(whole, query) if words else whole.contains(q))
     points = F.when(F.lower("title").contains(q), 20).otherwise(0) + sum((F.when(whole.contains(w), 3).otherwise(0) for w in words), F.lit(0))
     score = points + F.least(F.lit(5.0), F.coalesce(F.unix_millis("updated_at"), F.lit(0)) / 1e13)
     found = objects.withColumn("score", F.round(score.cast("double"), 6))

@@ -1,6 +1,6 @@
 import pytest
 
-from palimpsest.plans import catalogue
+from palimpsest.plans import catalogue, governed  # noqa: F401
 
 from .oracle import FOLDER, actual, expected
 
