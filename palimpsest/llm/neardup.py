@@ -35,6 +35,8 @@ WORDS = 5
 BANDS, WIDTH = 32, 4
 #: Partners of one document in one task.
 SALT = 512
+#: Tasks over which the members of one group of equal sets spread.
+SLOTS = 1024
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,17 +142,21 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = 75) -> DataFram
         press, key, own = zstandard.ZstdDecompressor(), None, []
         for batch in batches:
             b, salt, a = (batch.column(c).to_pylist() for c in ("b", "salt", "a"))
-            full = sets([press.decompress(z) for z in batch.column("z").to_pylist()])
+            # a text that stands in several pairs of a batch is taken apart once
+            texts = batch.column("z").to_pylist()
+            once = {z: k for k, z in enumerate(dict.fromkeys(texts))}
+            full = sets([press.decompress(z) for z in once])
             found = []
             for i in range(len(b)):
+                mine = full[once[texts[i]]]
                 if (b[i], salt[i]) != key:
                     key, own = (b[i], salt[i]), []
                 if a[i] is None:
-                    own.append(full[i])
+                    own.append(mine)
                     continue
                 for other in own:
-                    both = len(np.intersect1d(full[i], other, assume_unique=True))
-                    if 100 * both >= percent * (len(full[i]) + len(other) - both):
+                    both = len(np.intersect1d(mine, other, assume_unique=True))
+                    if 100 * both >= percent * (len(mine) + len(other) - both):
                         found.append((a[i], b[i]))
                         break
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
@@ -185,9 +191,13 @@ def across(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     ranked = ranked.select("id", n.alias("n"), F.posexplode(F.expr(f"slice(r, 1, size(r) - cast(ceil({percent} * size(r) / 100) AS int) + 1)")).alias("i", "r"))
     prefix = tk.stored(ranked.where("r.k > 1").join(rows, "id").select("id", "n", "c", "i", F.col("r.s").alias("s")))
     tk.drop(full)
+    # components that share a token meet first, so that members of one never meet each other
+    token = prefix.select("s", "c").distinct()
+    meet = token.join(token.withColumnRenamed("c", "d"), "s").where("c < d")
     other = prefix.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("i").alias("j"), "s")
     enough = f"1 + least(n - i - 1, m - j - 1) >= ceil({percent} * (n + m) / ({100 + percent}))"
-    found = prefix.join(other, "s").where(f"id > b AND c <> d AND 100 * least(n, m) >= {percent} * greatest(n, m) AND {enough}")
+    found = meet.join(prefix, ["s", "c"]).join(other, ["s", "d"]).where(f"100 * least(n, m) >= {percent} * greatest(n, m) AND {enough}")
+    found = found.select(F.greatest("id", "b").alias("id"), F.least("id", "b").alias("b")).where("id > b")
     out = tk.stored(found.select(F.col("id").alias("a"), "b").distinct())
     tk.drop(prefix)
     return out
@@ -214,10 +224,13 @@ def groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     sign = tk.stored(signed(docs))
     full = sign.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    rep = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    member = full.select("doc_id", "k1", "k2").join(rep, ["k1", "k2"]).select("doc_id", "rep")
+    rep = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("k"))
+    # members of a large group learn its least id in many slots, each of which asks once for it
+    salted = full.select("doc_id", "k1", "k2", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot"))
+    slots = salted.select("k1", "k2", "slot").distinct().join(rep.where("k > 1").drop("k"), ["k1", "k2"])
+    member = salted.join(slots, ["k1", "k2", "slot"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
     # a row for each set, and one bucket row for each of its bands
-    lead = full.join(rep.withColumnRenamed("rep", "doc_id"), ["k1", "k2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "k1", "k2"])
+    lead = full.join(rep.select("k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "k1", "k2"])
     bucket = lead.select(F.explode("bands").alias("band"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
     pivot = bucket.groupBy("band").agg(F.min(F.struct("id", "n")).alias("p"), F.count("*").alias("size")).where("size > 1")
     shared = tk.stored(bucket.join(pivot.select("band", F.col("p.id").alias("pid"), F.col("p.n").alias("pn")), "band"))

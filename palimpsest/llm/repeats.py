@@ -618,9 +618,9 @@ def release(spark, n_bytes: int) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that are done with; it acts when the driver collects its garbage.  Small ones can wait."""
     for _ in range(2 if n_bytes > 1 << 26 else 0):  # what Python lets go, the JVM sees a moment later
         gc.collect()
-        time.sleep(0.4)
+        time.sleep(1)
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
+        time.sleep(1)
 
 
 def spans(source: DataFrame, n_bytes: int, with_text: bool = False) -> DataFrame:
@@ -644,10 +644,12 @@ def spans(source: DataFrame, n_bytes: int, with_text: bool = False) -> DataFrame
     kind, names = F.col("kind"), [c.split()[0] for c in RESULT.split(", ")]
     often = repeated(step.where(kind.isin(SAMPLES, FOUND)).select(NAMES), parts)
     last_step = tk.stored(sorted_strings(often.union(step.where(kind == TEXT).select(NAMES)), parts, cuts, with_text), "uncompressed")
+    settled = tk.stored(step.where(kind.isNull()).select(names))
+    tk.drop(step)
     release(spark, n_bytes)
     starts = merged(last_step.where(kind == STRINGS).select(NAMES), parts)
     last = closed(starts.union(last_step.where(kind == TEXT).select(NAMES)), with_text)
-    return step.where(kind.isNull()).select(names).union(last_step.where(kind.isNull()).select(names)).union(last)
+    return settled.union(last_step.where(kind.isNull()).select(names)).union(last)
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, int, DataFrame | None]:
