@@ -47,7 +47,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; tables of the stages before are dropped once the next one is written, but for the one that the result reads."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = tk.stored(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, tk.stored(stage(spark, docs, sf_dir))
+        if k:
+            tk.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
