@@ -188,7 +188,7 @@ def utf8_bytes(x: Column | str) -> Column:
 
 
 def redacted(x: Column | str, limit: int = 500) -> Column:
-    """Without bearer tokens, address queries, file, project and workspace ids and UUIDs."""
+    """Without bearer tokens, address queries, file, project and workspace ids and UUIDs.  Fixed values: the patterns and what stands for them."""
     out = F.coalesce(col(x), F.lit(""))
     for pattern, with_ in (
         (r"(?i)Bearer\s+[A-Za-z0-9._~+/-]+", "Bearer <redacted>"),
@@ -203,6 +203,7 @@ def redacted(x: Column | str, limit: int = 500) -> Column:
 
 
 def failure_class(code: Column | str, message: Column | str) -> Column:
+    """The class of a failure, by its status or its message.  Fixed values: the classes, in order, and what they are known by."""
     n, text = col(code), F.lower(F.coalesce(col(message), F.lit("")))
     return (
         F.when(n.isin(401, 403) | text.rlike("登录|auth|token|permission|权限"), "AUTH").when(n == 404, "ENDPOINT_OR_FILE_NOT_FOUND")

@@ -47,11 +47,11 @@ def reuse(objects: DataFrame, stored: DataFrame) -> DataFrame:
     return rows.groupBy("kind").agg(F.count_if(new).alias("inserted"), F.count_if(~new).alias("reused"), F.coalesce(F.sum(F.when(new, F.col("bytes"))), F.lit(0)).cast("long").alias("bytes_written"), F.coalesce(F.sum(F.when(~new, F.col("bytes"))), F.lit(0)).cast("long").alias("bytes_reused"))
 
 
-def closure(start: DataFrame, objects: DataFrame, rounds: int = 64) -> DataFrame:
-    """All keys that ``start`` (key) reaches through refs; cycles end by the anti-join with what is known."""
+def closure(start: DataFrame, objects: DataFrame) -> DataFrame:
+    """All keys that ``start`` (key) reaches through refs, however long the chains; cycles end by the anti-join with what is known."""
     edges = objects.select("key", F.explode("refs").alias("ref"))
     known, fresh = start.select("key").distinct(), start.select("key").distinct()
-    for _ in range(rounds):
+    while True:
         fresh = cut(fresh.join(edges, "key").select(F.col("ref").alias("key")).distinct().join(known, "key", "left_anti"))
         if fresh.isEmpty():
             break
@@ -59,6 +59,11 @@ def closure(start: DataFrame, objects: DataFrame, rounds: int = 64) -> DataFrame
     return known
 
 
+def duplicates(objects: DataFrame, key: str = "key") -> DataFrame:
+    """(key, copies) of keys that occur more than once."""
+    return objects.groupBy(key).agg(F.count("*").alias("copies")).where("copies > 1")
+
+
 def garbage(objects: DataFrame, live: DataFrame) -> DataFrame:
     """Objects that nothing live reaches."""
     return objects.join(closure(live, objects), "key", "left_anti")

@@ -55,6 +55,32 @@ def projects(*sources: DataFrame) -> DataFrame:
     return rows.groupBy("project_id").agg(F.max_by("title", F.struct("rank", "title")).alias("title"))
 
 
+def statistics(objects: DataFrame, project: str = "project_id", tag: str = "tag", size: str = "size", key: str = "id") -> DataFrame:
+    """One row about a library: objects, projects, tags and their text."""
+    return objects.agg(F.count_distinct(key).alias("objects"), F.count_distinct(project).alias("projects"), F.count_distinct(tag).alias("tags"), F.sum(size).alias("chars"))
+
+
+def rollup(objects: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Per project: objects (id, project, title, chars), their text, the latest one and its title, and what reviews (id, quality, toxic) say."""
+    rows = objects.join(reviews, "id", "left")
+    return rows.groupBy("project").agg(
+        F.count("*").alias("objects"), F.sum("chars").alias("chars"), F.max("id").alias("latest"), F.max_by("title", "id").alias("title"), F.count("quality").alias("reviewed"), F.coalesce(F.sum("toxic"), F.lit(0)).cast("long").alias("restricted")
+    )
+
+
+def counters(log: DataFrame, kind: str, value: str, key: str, over: float) -> DataFrame:
+    """Per kind of a log: entries, those over a value, the total, first and last."""
+    return log.groupBy(kind).agg(F.count("*").alias("events"), F.count_if(F.col(value) > over).alias("large"), F.round(F.sum(value), 4).alias("total"), F.min(key).alias("first"), F.max(key).alias("last"))
+
+
+def listed(objects: DataFrame, order: list, limit: int = 100, **equal) -> DataFrame:
+    """The first objects in an order, of those whose columns have the given values (None: any)."""
+    for name, value in equal.items():
+        if value is not None:
+            objects = objects.where(F.col(name) == value)
+    return objects.orderBy(*order).limit(limit)
+
+
 def moved(status: Column, action: Column) -> Column:
     """The state after archive, trash or restore; null where the action does not apply."""
     return (

@@ -50,6 +50,12 @@ def verdict(score, critical):
     return F.when(critical, "FAIL").when(score >= 85, "PASS").when(score >= 65, "PARTIAL").otherwise("FAIL")
 
 
+def similar(one: DataFrame, two: DataFrame, by: str = "case") -> DataFrame:
+    """(by, a, b, similarity) of the texts (id, text) of one case in both tables; pairs of other cases never meet."""
+    pairs = one.select(by, F.col("id").alias("a"), F.col("text").alias("x")).join(two.select(by, F.col("id").alias("b"), F.col("text").alias("y")), by)
+    return pairs.select(by, "a", "b", similarity("x", "y").alias("similarity"))
+
+
 def matched(pairs: DataFrame, by: str = "case", least: float = 0.55) -> DataFrame:
     """Greedy best match of scored pairs (case, e, a, score): each expected item in order takes its best free answer, if at ``least``.
 

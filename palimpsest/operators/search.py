@@ -63,6 +63,21 @@ def narrowed(rows: DataFrame, roles=None, project=None, archived=None, active_on
     return rows
 
 
+def counted(messages: DataFrame, *by: str) -> DataFrame:
+    """Messages of each conversation, or of each of its roles."""
+    return messages.groupBy(*by).agg(F.count("*").alias("messages"))
+
+
+def conversations(messages: DataFrame, key: str = "conversation_id", turn: str = "turn", limit: int = 200) -> DataFrame:
+    """(key, messages, last_turn): conversations with the most turns first."""
+    return messages.groupBy(key).agg(F.count("*").alias("messages"), F.max(turn).alias("last_turn")).orderBy(F.desc("last_turn"), key).limit(limit)
+
+
+def containing(rows: DataFrame, needle: str, *columns: str) -> DataFrame:
+    """Rows whose columns, one after the other, contain the text, whatever its case; an empty one keeps all."""
+    return rows.where(F.lower(F.concat_ws("\n", *columns)).contains(needle.strip().lower())) if needle.strip() else rows
+
+
 def search(messages: DataFrame, query: str, limit: int | None = 100, recency: str | None = None, key: str = "key", text: str = "text", phrase_only: bool = False) -> DataFrame:
     """Messages that hold all tokens of the query, best first; without tokens a substring filter.
 

@@ -98,28 +98,30 @@ def snippets(t):
 
 @query("SELECT conv_id, role, count(*) AS messages FROM conversations GROUP BY ALL")
 def conversation_role_counts(t):
-    return t.conversations.groupBy("conv_id", "role").agg(F.count("*").alias("messages"))
+    return search.counted(t.conversations, "conv_id", "role")
 
 
 @query("SELECT conv_id, count(*) AS messages, max(turn) AS last_turn FROM conversations GROUP BY conv_id ORDER BY last_turn DESC, conv_id LIMIT 200")
 def conversation_list(t):
-    return t.conversations.groupBy("conv_id").agg(F.count("*").alias("messages"), F.max("turn").alias("last_turn")).orderBy(F.desc("last_turn"), "conv_id").limit(200)
+    return search.conversations(t.conversations, "conv_id")
 
 
 @query("SELECT doc_id, source, n_chars FROM documents WHERE lang = 'en' ORDER BY n_chars DESC, doc_id LIMIT 100")
 def content_list(t):
-    return t.documents.where("lang = 'en'").orderBy(F.desc("n_chars"), "doc_id").limit(100).select("doc_id", "source", "n_chars")
+    return records.listed(t.documents, [F.desc("n_chars"), "doc_id"], 100, lang="en").select("doc_id", "source", "n_chars")
 
 
 @query("SELECT doc_id, source FROM documents WHERE contains(lower(source || chr(10) || text || chr(10) || lang), 'ation') AND lang <> 'de'")
 def capture_list(t):
-    return t.documents.where(F.lower(F.concat_ws("\n", "source", "text", "lang")).contains("ation") & (F.col("lang") != "de")).select("doc_id", "source")
+    return search.containing(t.documents.where("lang <> 'de'"), "ation", "source", "text", "lang").select("doc_id", "source")
 
 
-@query("SELECT conv_id, turn, role, left(rtrim(left(text, 182)), 200) || CASE WHEN length(text) > 200 THEN '' ELSE '' END AS ignored, length(text) > 200 AS cut FROM conversations WHERE role = 'assistant'")
+@query(r"SELECT conv_id, turn, role, CASE WHEN length(text) <= 200 THEN text ELSE regexp_replace(left(text, 182), '\s+$', '') || chr(10) || '…[truncated]' END AS text FROM conversations WHERE role = 'assistant' AND conv_id = 1 ORDER BY turn")
 def read_conversation(t):
-    rows = t.conversations.where("role = 'assistant'")
-    return rows.select("conv_id", "turn", "role", F.left(F.rtrim(F.left("text", F.lit(182))), F.lit(200)).alias("ignored"), (F.length("text") > 200).alias("cut"))
+    from palimpsest import api
+
+    rows = messages(t).select("conv_id", "turn", "role", "text", "active", F.col("conv_id").cast("string").alias("conversation_id"), F.concat(F.lit("n"), F.col("turn").cast("string")).alias("node_id"), F.col("turn").alias("depth"))
+    return api.read_conversation(api.Bundle(rows, None, None, None), "1", ("assistant",), max_chars=200).select("conv_id", "turn", "role", "text")
 
 
 # --- scalar functions ---------------------------------------------------------
@@ -166,10 +168,10 @@ TOK = "list_distinct(regexp_extract_all({0}, '[a-z0-9][a-z0-9_+.-]{{1,63}}'))"
 WITH b AS (SELECT item_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS x FROM benchmark)
 SELECT a.item_id AS a, b.item_id AS b, round(CASE WHEN a.x = b.x THEN 1.0 WHEN contains(a.x, b.x) OR contains(b.x, a.x) THEN least(length(a.x), length(b.x)) / greatest(length(a.x), length(b.x))
   ELSE 2.0 * len(list_intersect({TOK.format('a.x')}, {TOK.format('b.x')})) / (len({TOK.format('a.x')}) + len({TOK.format('b.x')})) END, 6) AS similarity
-FROM b AS a JOIN b ON a.item_id < b.item_id""")
+FROM b AS a JOIN b ON a.item_id // 10 = b.item_id // 10 WHERE a.item_id < b.item_id""")
 def similarity_of_items(t):
-    a, b = t.benchmark.select(F.col("item_id").alias("a"), F.col("text").alias("x")), t.benchmark.select(F.col("item_id").alias("b"), F.col("text").alias("y"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(T.similarity("x", "y"), 6).alias("similarity"))  # the query set with itself
+    rows = t.benchmark.select(F.floor(F.col("item_id") / 10).alias("case"), F.col("item_id").alias("id"), "text")
+    return scoring.similar(rows, rows).where("a < b").select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query("SELECT doc_id, CAST(len(list_distinct(list_filter(list_transform(regexp_split_to_array(text, '[,，\n#]'), lambda x: trim(x)), lambda x: x <> ''))[:50]) AS BIGINT) AS tags FROM documents")
@@ -200,12 +202,13 @@ def fnv_fingerprints(t):
     return t.documents.select("doc_id", T.fnv1a(T.code_units("source")).alias("units"), T.fnv1a(T.utf8_bytes("source")).alias("bytes"))
 
 
-@query("""
-SELECT page_id, left(regexp_replace(regexp_replace(regexp_replace(regexp_replace('Bearer abc.def/1 ' || url || ' file-a' || page_id || ' ws-x1 0a1b2c3d-0000-1111-2222-333344445555',
- '(?i)Bearer\\s+[A-Za-z0-9._~+/-]+', 'Bearer <redacted>', 'g'), '(https?://[^\\s"<>?#]+)[?#][^\\s"<>]*', '\\1', 'g'), '(?i)file[-_][a-z0-9]+', '<file-id>', 'g'), '(?i)ws-[a-z0-9-]+', '<workspace-id>', 'g'), 500) AS raw FROM pages""".replace("333344445555',", "333344445555',").replace("'<workspace-id>', 'g')", "'<workspace-id>', 'g')"))
+@query(r"""
+SELECT page_id, left(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace('Bearer abc.def/1 ' || url || ' file-a' || page_id || ' ws-x1 0a1b2c3d-0000-1111-2222-333344445555',
+ '(?i)Bearer\s+[A-Za-z0-9._~+/-]+', 'Bearer <redacted>', 'g'), '(https?://[^\s"<>?#]+)[?#][^\s"<>]*', '\1', 'g'), '(?i)file[-_][a-z0-9]+', '<file-id>', 'g'), '(?i)ws-[a-z0-9-]+', '<workspace-id>', 'g'),
+ '(?i)\b[a-f0-9]{8}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{12}\b', '<uuid>', 'g'), 500) AS raw FROM pages""")
 def redaction(t):
     raw = F.concat(F.lit("Bearer abc.def/1 "), "url", F.lit(" file-a"), F.col("page_id").cast("string"), F.lit(" ws-x1 0a1b2c3d-0000-1111-2222-333344445555"))
-    return t.pages.select("page_id", F.replace(T.redacted(raw), F.lit("<uuid>"), F.lit("0a1b2c3d-0000-1111-2222-333344445555")).alias("raw"))
+    return t.pages.select("page_id", T.redacted(raw).alias("raw"))
 
 
 CODE_SQL = "[200, 401, 404, 413, 429, 500, 422, 403][CAST(event_id % 8 + 1 AS INTEGER)]"
@@ -298,23 +301,23 @@ def viewport_merge(t):
 
 @query("SELECT count(DISTINCT doc_id) AS objects, count(DISTINCT source) AS projects, count(DISTINCT lang) AS tags, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents")
 def library_stats(t):
-    return t.documents.agg(F.count_distinct("doc_id").alias("objects"), F.count_distinct("source").alias("projects"), F.count_distinct("lang").alias("tags"), F.sum("n_chars").alias("chars"))
+    return records.statistics(t.documents, "source", "lang", "n_chars", "doc_id")
 
 
 @query("SELECT source AS project, count(*) AS objects, CAST(sum(n_chars) AS BIGINT) AS chars, max(doc_id) AS latest, max_by(lang, doc_id) AS title, count(quality) AS reviewed, CAST(coalesce(sum(toxic), 0) AS BIGINT) AS restricted FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
 def project_rollup(t):
-    rows = t.documents.select("doc_id", "source", "lang", "n_chars").join(t.labels, "doc_id", "left")
-    return rows.groupBy(F.col("source").alias("project")).agg(F.count("*").alias("objects"), F.sum("n_chars").alias("chars"), F.max("doc_id").alias("latest"), F.max_by("lang", "doc_id").alias("title"), F.count("quality").alias("reviewed"), F.coalesce(F.sum("toxic"), F.lit(0)).cast("long").alias("restricted"))
+    rows = t.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("project"), F.col("lang").alias("title"), F.col("n_chars").alias("chars"))
+    return records.rollup(rows, t.labels.withColumnRenamed("doc_id", "id"))
 
 
 @query("SELECT event_type, count(*) AS events, count(*) FILTER (value > 50) AS large, round(sum(value), 4) AS total, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY event_type")
 def job_counters(t):
-    return t.events.groupBy("event_type").agg(F.count("*").alias("events"), F.count_if(F.col("value") > 50).alias("large"), F.round(F.sum("value"), 4).alias("total"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+    return records.counters(t.events, "event_type", "value", "event_id", 50)
 
 
 @query("SELECT text_hash AS key, copies FROM (SELECT sha256(text) AS text_hash, count(*) AS copies FROM documents GROUP BY 1) WHERE copies > 1")
 def duplicate_keys(t):
-    return t.documents.groupBy(F.sha2("text", 256).alias("key")).agg(F.count("*").alias("copies")).where("copies > 1")
+    return objects.duplicates(t.documents.select(F.sha2("text", 256).alias("key")))
 
 
 # --- objects and snapshots ----------------------------------------------------
@@ -606,8 +609,8 @@ def status_scores(t):
 
 @query()
 def greedy_best_match(t):
-    a, b = t.benchmark.select(F.col("item_id").alias("e"), F.col("text").alias("x")), t.benchmark.select(F.col("item_id").alias("a"), F.lower("text").alias("y"))
-    pairs = a.join(b, F.abs(F.col("e") - F.col("a")) <= 3).select((F.col("e") % 5).alias("case"), "e", "a", F.round(T.similarity("x", "y"), 6).alias("score"))
+    rows = t.benchmark.select(F.floor(F.col("item_id") / 10).alias("case"), F.col("item_id").alias("id"), "text")
+    pairs = scoring.similar(rows, rows.withColumn("text", F.lower("text"))).select("case", F.col("a").alias("e"), F.col("b").alias("a"), F.round("similarity", 6).alias("score"))
     return scoring.matched(pairs).where("taken").select("case", "e", "a", "score")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from palimpsest import api
 from palimpsest.functions import text as T
-from palimpsest.operators import canonical, governance, jobs, providers, versions
+from palimpsest.operators import canonical, governance, integrity, jobs, providers, versions
 
 from .catalogue import SCORE_SQL, L, query, raw
 
@@ -220,6 +220,60 @@ def raw_traces(t):
     return providers.raw_trace(canonical.nodes(r), canonical.heads(r))
 
 
+# --- branching graphs ----------------------------------------------------------
+
+# Messages of the answer by doc_id % 8: JSON without its id, and the role, class, parts and text that come of it.
+ANSWERS = [
+    ('"author":{"role":"assistant"},"content":{"content_type":"text","parts":["x",{"content_type":"code","text":"y"}]}', "assistant", "assistant_final", "text,code", "x|y"),
+    ('"author":{"role":"assistant"},"channel":"analysis","content":{"content_type":"text","parts":["x"]}', "assistant", "reasoning", "reasoning_summary", "x"),
+    ('"author":{"role":"assistant"},"recipient":"browser","content":{"content_type":"text","parts":["x"]}', "assistant", "tool_call", "tool_call", "x"),
+    ('"author":{"role":"assistant"},"status":"in_progress","content":{"content_type":"text","parts":["x"]}', "assistant", "assistant_intermediate", "text", "x"),
+    ('"author":{"role":"tool"},"content":{"content_type":"text","parts":["x"]}', "tool", "tool_result", "tool_result", "x"),
+    ('"author":{"role":"assistant"},"content":{"content_type":"execution_output","text":"x"}', "assistant", "tool_result", "tool_result", "x"),
+    ('"author":{"role":"user"},"metadata":{"is_voice":true},"content":{"content_type":"text","transcript":"x"}', "user", "user_voice_transcript", "text", "x"),
+    ('"author":{"role":"developer"},"content":{"content_type":"text","parts":[{"content_type":"some_widget","text":"x"}]}', "system", "developer", "unknown", "x"),
+]
+
+
+def forked(t):
+    """A raw graph for each document: a silent top, two questions below it, three answers below the first, one of them current; every tenth breaks off above its questions."""
+    i = F.col("doc_id").cast("string")
+    answer = F.element_at(F.array(*(F.lit(a[0]) for a in ANSWERS)), (F.col("doc_id") % 8 + 1).cast("int"))
+    say = lambda node, parent, body: F.concat(F.lit(f'"{node}":{{"parent":'), parent, F.lit(f',"children":[],"message":{{"id":"{node}-'), i, F.lit('",'), body, F.lit("}}"))
+    other = F.lit('"author":{"role":"assistant"},"content":{"content_type":"text","parts":["z"]}')
+    ask = F.lit('"author":{"role":"user"},"content":{"content_type":"text","parts":["q"]}')
+    top = F.when(F.col("doc_id") % 10 == 0, '"nowhere"').otherwise('"top"')
+    nodes = [F.lit('"top":{"parent":null,"children":[],"message":null}'), say("ask", top, ask), say("ask2", top, ask), say("left", F.lit('"ask"'), other), say("mid", F.lit('"ask"'), answer), say("right", F.lit('"ask"'), other)]
+    return t.documents.select("doc_id", F.concat(F.lit('{"id":"d'), i, F.lit('","title":"t","current_node":"mid","mapping":{'), F.concat_ws(",", *nodes), F.lit("}}")).alias("raw"))
+
+
+def by_answer(k: int) -> str:
+    return "CASE doc_id % 8 " + " ".join(f"WHEN {n} THEN '{a[k]}'" for n, a in enumerate(ANSWERS)) + " END"
+
+
+@query(f"""SELECT 'd' || doc_id AS conversation_id, node AS node_id, CASE WHEN node IN ('ask', 'ask2') THEN CASE WHEN doc_id % 10 = 0 THEN 'nowhere' ELSE 'top' END WHEN node <> 'top' THEN 'ask' END AS parent_id,
+ CASE node WHEN 'top' THEN 'unknown' WHEN 'ask' THEN 'user' WHEN 'ask2' THEN 'user' WHEN 'mid' THEN {by_answer(1)} ELSE 'assistant' END AS role, CASE node WHEN 'top' THEN 'unknown' WHEN 'ask' THEN 'user' WHEN 'ask2' THEN 'user' WHEN 'mid' THEN {by_answer(2)} ELSE 'assistant_final' END AS semantic,
+ CASE node WHEN 'top' THEN '' WHEN 'mid' THEN {by_answer(3)} ELSE 'text' END AS kinds, CASE node WHEN 'top' THEN '' WHEN 'ask' THEN 'q' WHEN 'ask2' THEN 'q' WHEN 'mid' THEN {by_answer(4)} ELSE 'z' END AS text FROM documents, (VALUES ('top'), ('ask'), ('ask2'), ('left'), ('mid'), ('right')) v(node)""")
+def canonical_classes(t):
+    part = lambda name: F.transform("content", lambda p: p[name])
+    return canonical.nodes(forked(t)).select("conversation_id", "node_id", "parent_id", "role", "semantic", F.array_join(part("type"), ",").alias("kinds"), F.array_join(part("text"), "|").alias("text"))
+
+
+@query("SELECT 'd' || doc_id AS conversation_id, 2 AS message_nodes, doc_id % 10 <> 0 AS root_reached, CASE WHEN doc_id % 10 = 0 THEN 1 ELSE 0 END AS parent_breaks, false AS cycle FROM documents")
+def forked_traces(t):
+    r = forked(t)
+    return providers.raw_trace(canonical.nodes(r), canonical.heads(r))
+
+
+@query("SELECT 'd' || doc_id AS conversation_id, 6 AS total_nodes, 2 AS active_messages, CASE WHEN doc_id % 8 = 6 THEN 2 ELSE 1 END AS user_messages, CASE WHEN doc_id % 8 = 0 THEN 1 ELSE 0 END AS final_messages, CASE WHEN doc_id % 10 = 0 THEN 2 ELSE 0 END AS missing FROM documents")
+def forked_integrity(t):
+    r = forked(t)
+    nodes, heads = canonical.nodes(r), canonical.heads(r)
+    missing = integrity.issues(nodes, heads).where("code = 'MISSING_PARENT'").groupBy("conversation_id").agg(F.count("*").alias("missing"))
+    rows = integrity.report(nodes, heads).join(missing, "conversation_id", "left")
+    return rows.select("conversation_id", "total_nodes", "active_messages", "user_messages", "final_messages", F.coalesce("missing", F.lit(0)).alias("missing"))
+
+
 # --- jobs ---------------------------------------------------------------------
 
 

@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 
 from palimpsest.functions import text as T
 from palimpsest.functions.driver import query_tokens
-from palimpsest.operators import gate, merge, objects, sequences
+from palimpsest.operators import gate, merge, objects, scoring, sequences
 
 
 def test_cjk_tokens(spark):
@@ -65,3 +65,26 @@ def test_upsert_again_is_duplicate(spark):
     once = merge.applied(none, rows)
     assert {r["status"] for r in merge.upsert(once, rows).collect()} == {"duplicate"}
     assert merge.applied(once, rows).count() == 2
+
+
+def test_greedy_match(spark):
+    """Against a loop over expected items in order; ties go to the smaller answer."""
+    import random
+
+    rnd = random.Random(6)
+    pairs = [(c, e, a, round(rnd.choice([0.2, 0.5, 0.55, 0.7, 0.7, 0.9]), 2)) for c in range(6) for e in range(7) for a in range(rnd.randint(0, 7))]
+    rnd.shuffle(pairs)
+    want, used = set(), set()
+    for c, e in sorted({(c, e) for c, e, _, _ in pairs}):
+        able = [(-s, a) for c2, e2, a, s in pairs if (c2, e2) == (c, e) and s >= 0.55 and (c, a) not in used]
+        if able:
+            used.add((c, min(able)[1]))
+            want.add((c, e, min(able)[1]))
+    found = scoring.matched(spark.createDataFrame(pairs, "case int, e int, a int, score double").repartition(3)).where("taken")
+    assert {(r["case"], r["e"], r["a"]) for r in found.collect()} == want
+
+
+def test_closure_of_a_long_chain(spark):
+    """A chain of more references than any fixed number of rounds."""
+    chain = spark.range(80).selectExpr("concat('k', id) key", "array(concat('k', id + 1)) refs")
+    assert objects.closure(spark.createDataFrame([("k0",)], "key string"), chain).count() == 81
