@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import io
 import json
+import re
+import tempfile
+import uuid
 import zipfile
 import zlib
 
@@ -67,6 +70,50 @@ def entries(archives: DataFrame, max_entry: int = MAX_ENTRY, max_archive: int =
     return archives.mapInArrow(run, schema)
 
 
+def packed(rows: DataFrame, archive: str, name: str, payload: str) -> DataFrame:
+    """(path, fingerprint, content): a stored ZIP of each archive's entries, in order of name; an archive has at most MAX_ARCHIVE bytes, as for reading.
+
+    Entries stream, sorted, through the task that writes their archive.
+    """
+    schema = "path string, content binary"
+
+    def run(batches):
+        now, buffer, out = None, None, []
+
+        def close():
+            writer.close()
+            out.append((now, buffer.getvalue()))
+
+        for batch in batches:
+            for key, entry, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now:
+                    if buffer is not None:
+                        close()
+                    now, buffer = key, io.BytesIO()
+                    writer = zipfile.ZipFile(buffer, "w", zipfile.ZIP_STORED)
+                if buffer.tell() > MAX_ARCHIVE:
+                    raise ValueError(f"archive {key} is larger than {MAX_ARCHIVE} bytes")
+                writer.writestr(zipfile.ZipInfo(entry), body or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.binary())], ["path", "content"])
+            out.clear()
+        if buffer is not None:
+            close()
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.binary())], ["path", "content"])
+
+    keyed = rows.select(F.col(archive).cast("string").alias("path"), F.col(name).alias("name"), F.col(payload).cast("binary").alias("payload"))
+    return keyed.repartition("path").sortWithinPartitions("path", "name").mapInArrow(run, schema).select("path", F.sha2("content", 256).alias("fingerprint"), "content")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared checkpoint folder; only a local session may have none and gets a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
+    return f"{base.rstrip('/')}/palimpsest-{uuid.uuid4().hex}"
+
+
 def conversations(found: DataFrame) -> DataFrame:
     """fingerprint, name, raw (JSON) of every raw conversation in entries: own archives' raw.json and official exports; bad ones are skipped."""
     text = F.decode("payload", "UTF-8")
