@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .objects import difference
@@ -36,6 +36,22 @@ def merged(rows: DataFrame, key: str, order: str, any_: list[str] = (), last: li
     return rows.groupBy(key).agg(*aggs)
 
 
+def locations(before: Column, after: Column) -> Column:
+    """Two arrays of locations (type, project_id, ...) as one: of one type and project the later stays, at the place of the first."""
+    same = lambda x, y: (x["type"] == y["type"]) & x["project_id"].eqNullSafe(y["project_id"])
+    kept = F.transform(before, lambda x: F.coalesce(F.get(F.filter(after, lambda y: same(x, y)), F.lit(0)), x))
+    return F.concat(kept, F.filter(after, lambda y: ~F.exists(before, lambda x: same(x, y))))
+
+
+def refreshed(known: DataFrame, seen: DataFrame, key: str = "id") -> DataFrame:
+    """(key, title, version, locations, refresh) of known and newly seen metadata (title, version, locations): new values where there are some, and whether the content is to be fetched again."""
+    old = known.select(key, *(F.col(c).alias(f"old_{c}") for c in ("title", "version", "locations")), F.lit(True).alias("there"))
+    rows = seen.join(old, key, "full_outer")
+    none = F.filter(F.coalesce("locations", "old_locations"), lambda _: F.lit(False))
+    fresh = F.col("version").isNotNull() & ~F.col("version").eqNullSafe(F.col("old_version"))
+    return rows.select(key, F.coalesce("title", "old_title").alias("title"), F.coalesce("version", "old_version").alias("version"), locations(F.coalesce("old_locations", none), F.coalesce("locations", none)).alias("locations"), fresh.alias("refresh"))
+
+
 def plan_objects(incoming: DataFrame, local: DataFrame, incoming_versions: DataFrame, local_versions: DataFrame) -> DataFrame:
     """(id, action) of incoming objects (id, project, revision, digest) against local ones and both version histories (id, revision, digest)."""
     here = local.select("id", F.col("project").alias("l_project"), F.col("revision").alias("l_revision"), F.col("digest").alias("l_digest"))

@@ -78,6 +78,27 @@ def project_metadata(rows: DataFrame, raw: str = "raw", fallback: str = "untitle
     return out.where("project_id IS NOT NULL")
 
 
+def conversation_metadata(rows: DataFrame, raw: str = "raw", source: str | None = None, fallback: str = "untitled conversation") -> DataFrame:
+    """(id, title, created, updated, archived, location) of list entries; ``source`` names the list they came from, else an archived flag tells.
+
+    location is a struct(type, project_id, project_title, workspace_id, present); entries without an id go.
+    """
+    j = F.col(raw)
+    flag = F.coalesce(F.get_json_object(j, "$.is_archived").try_cast("boolean"), F.lit(False))
+    kind = F.lit(source) if source else F.when(flag, "archived").otherwise("regular")
+    location = F.struct(kind.alias("type"), first_text(j, "$.gizmo_id", "$.project_id").alias("project_id"), first_text(j, "$.project_title").alias("project_title"), first_text(j, "$.workspace_id").alias("workspace_id"), F.lit(True).alias("present"))
+    out = rows.select(
+        first_text(j, "$.id", "$.conversation_id", "$.conversationId").alias("id"), F.coalesce(first_text(j, "$.title"), F.lit(fallback)).alias("title"), first_text(j, "$.create_time", "$.created_at", "$.createTime").alias("created"),
+        first_text(j, "$.update_time", "$.updated_at", "$.updateTime").alias("updated"), ((kind == "archived") | flag).alias("archived"), location.alias("location"),
+    )
+    return out.where("id IS NOT NULL")
+
+
+def body_text(body: Column, encoded: Column) -> Column:
+    """The text of a network body that may be base64; null where it does not decode."""
+    return F.when(encoded, F.try_to_binary(body, F.lit("base64")).cast("string")).otherwise(body)
+
+
 def project_files(rows: DataFrame, project: str = "project_id", files: str = "files") -> DataFrame:
     """One row for each file of a JSON array with an id: (project_id, position, file_id, name, mime)."""
     each = rows.select(project, F.posexplode(F.from_json(files, "array<string>")).alias("position", "f"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
-from palimpsest.operators import canonical, capture, incremental, objects, scoring, web
+from palimpsest.operators import canonical, capture, incremental, merge, objects, providers, scoring, web
 from palimpsest.sources import archives
 from palimpsest.streaming import ingest
 
@@ -56,6 +56,45 @@ def bundle_round_trip(t):
     return out
 
 
+@query("""WITH o AS (SELECT doc_id FROM documents WHERE source = 'src1') SELECT 'content_objects' AS name, count(*) AS rows FROM o UNION ALL SELECT 'content_versions', 2 * count(*) FROM o UNION ALL SELECT 'content_relations', count(*) FROM o WHERE doc_id + 20 IN (SELECT doc_id FROM o)""")
+def bundle_manifest(t):
+    """A manifest's row counts: what belongs to a project's objects goes with them, a relation only with both of its ends."""
+    path, i = archives.scratch(t.spark), F.col("doc_id")
+    things = t.documents.select(i.alias("id"), F.col("source").alias("project_id"))
+    version = t.documents.select(i.alias("object_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("revision"))
+    archives.write_bundle({"content_objects": things, "content_versions": version, "content_relations": t.documents.select(i.alias("from_id"), (i + 20).alias("to_id"))}, path, "src1")
+    return t.spark.read.schema("table string, rows long").json(f"{path}/manifest").select(F.col("table").alias("name"), "rows")
+
+
+@query("SELECT 'c' || doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN 'untitled conversation' ELSE lang END AS title, doc_id % 3 = 0 AS archived, CASE WHEN doc_id % 3 = 0 THEN 'archived' ELSE 'regular' END AS kind, CASE WHEN doc_id % 2 = 0 THEN source END AS project_id FROM documents WHERE doc_id % 7 <> 0")
+def conversation_entries(t):
+    i, n = F.col("doc_id"), F.col("doc_id").cast("string")
+    raw = F.concat(
+        F.lit('{"'), F.when(i % 2 == 0, "id").otherwise("conversation_id"), F.lit('": "'), F.when(i % 7 != 0, F.concat(F.lit("c"), n)).otherwise(""), F.lit('", "title": "'), F.when(i % 4 != 0, F.col("lang")).otherwise(" "), F.lit('"'),
+        F.when(i % 3 == 0, ', "is_archived": true').otherwise(""), F.when(i % 2 == 0, F.concat(F.lit(', "gizmo_id": "'), "source", F.lit('"'))).otherwise(""), F.lit("}"),
+    )
+    return providers.conversation_metadata(t.documents.select(raw.alias("raw"))).select("id", "title", "archived", F.col("location.type").alias("kind"), "location.project_id")
+
+
+@query("""SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'old' ELSE 'new' END AS title, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE doc_id % 2 END AS version, doc_id % 3 <> 0 AND (doc_id % 3 = 1 OR doc_id % 2 = 0) AS refresh,
+ CASE doc_id % 3 WHEN 0 THEN 'regular:true,project:true' WHEN 1 THEN 'project:false,archived:true' ELSE 'regular:true,project:false,archived:true' END AS locations FROM documents""")
+def metadata_refresh(t):
+    """Known at version 1, seen at version id % 2: every third is only known, every third only seen."""
+    i, there = F.col("doc_id"), F.lit(True)
+    place = lambda kind, project, present: F.struct(F.lit(kind).alias("type"), F.lit(project).cast("string").alias("project_id"), present.alias("present"))
+    known = t.documents.where("doc_id % 3 <> 1").select(i.alias("id"), F.lit("old").alias("title"), F.lit(1).cast("long").alias("version"), F.array(place("regular", None, there), place("project", "p", there)).alias("locations"))
+    seen = t.documents.where("doc_id % 3 <> 0").select(i.alias("id"), F.lit("new").alias("title"), (i % 2).alias("version"), F.array(place("project", "p", F.lit(False)), place("archived", None, there)).alias("locations"))
+    return merge.refreshed(known, seen).withColumn("locations", F.array_join(F.transform("locations", lambda x: F.concat_ws(":", x["type"], x["present"].cast("string"))), ","))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN NULL ELSE lang END AS body FROM documents")
+def body_decoding(t):
+    """Plain and base64 bodies; what does not decode is null."""
+    i = F.col("doc_id")
+    body = F.when(i % 3 == 0, F.base64(F.col("lang").cast("binary"))).when(i % 3 == 1, F.col("lang")).otherwise("?!")
+    return t.documents.select("doc_id", providers.body_text(body, i % 3 != 1).alias("body"))
+
+
 @query("SELECT doc_id, CASE WHEN doc_id % 5 < 4 THEN 2 END AS items, CASE WHEN doc_id % 5 = 1 THEN doc_id WHEN doc_id % 5 = 3 THEN 7 END AS total FROM documents")
 def list_responses(t):
     i = F.col("doc_id").cast("string")

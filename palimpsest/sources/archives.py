@@ -139,14 +139,37 @@ def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = True)
     return spark.read.schema(schema + ", _corrupt_record string").option("mode", "PERMISSIVE").json(path)
 
 
+#: Tables that belong to rows of another: (column, table, its key); a row stays if all of them do.
+OWNERS = {
+    "messages": [("conversation_id", "conversations", "conversation_id")], "evidence": [("conversation_id", "conversations", "conversation_id")], "content_versions": [("object_id", "content_objects", "id")],
+    "content_relations": [("from_id", "content_objects", "id"), ("to_id", "content_objects", "id")], "content_operations": [("object_id", "content_objects", "id")], "content_promotions": [("source_id", "content_objects", "id")],
+}
+
+
+def scoped(tables: dict[str, DataFrame], project: str | None) -> dict[str, DataFrame]:
+    """The tables of one project: its own rows, and by semi-joins what belongs to them; tables that know neither stay whole."""
+    if project is None:
+        return dict(tables)
+    out = {name: df.where(F.col("project_id") == project) if "project_id" in df.columns and name not in OWNERS else df for name, df in tables.items()}
+    for name, owners in OWNERS.items():
+        for column, owner, key in owners:
+            if name in out and owner in out and column in out[name].columns and key in out[owner].columns:
+                out[name] = out[name].join(out[owner].select(F.col(key).alias(column)), column, "left_semi").select(tables[name].columns)
+    return out
+
+
 def write_bundle(tables: dict[str, DataFrame], path: str, project: str | None = None) -> None:
-    """A bundle: one JSON-lines folder a table, rows of the project only, sorted within files."""
-    for name, rows in tables.items():
-        if project is not None and "project_id" in rows.columns:
-            rows = rows.where(F.col("project_id") == project)
-        rows.sortWithinPartitions(*rows.columns[:1]).write.mode("overwrite").json(f"{path}/{name}")
-    spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([("agent-bundle", 3, project)], "format string, version int, project_id string").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    """A bundle: one JSON-lines folder a table, rows of the project in order, and a manifest with rows and a fingerprint of each table."""
+    from palimpsest.operators.objects import fingerprint
+
+    found = scoped(tables, project)
+    marks = None
+    for name, rows in found.items():
+        rows.orderBy(*rows.columns).write.mode("overwrite").json(f"{path}/{name}")
+        mark = fingerprint(rows, *rows.columns).crossJoin(rows.agg(F.count("*").alias("rows"))).withColumn("table", F.lit(name))  # one row each
+        marks = mark if marks is None else marks.union(mark)
+    manifest = marks.select(F.lit("agent-bundle").alias("format"), F.lit(3).alias("version"), F.lit(project).cast("string").alias("project_id"), "table", "rows", "fingerprint")
+    manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")  # a row a table
 
 
 def read_bundle(spark: SparkSession, path: str, schemas: dict[str, str]) -> dict[str, DataFrame]:

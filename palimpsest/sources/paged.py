@@ -50,8 +50,31 @@ class PagedReader(DataSourceReader):
             yield partition.offset + k, json.dumps(item)
 
 
+class CursorReader(PagedReader):
+    """Pages that each name the next one's cursor: ``fetch(cursor, limit)`` returns ``(items, next cursor)``; one task follows them, since no page is known before the one in front of it.
+
+    A cursor that comes again ends the scan with an error: such a source would never end.
+    """
+
+    def partitions(self):
+        return [Page(0)]
+
+    def read(self, partition):
+        cursor, seen, position = None, set(), 0
+        while True:
+            items, cursor = fetched(self._fetch(), cursor, self.limit)
+            for item in items:
+                yield position, json.dumps(item)
+                position += 1
+            if cursor in (None, ""):
+                return
+            if cursor in seen:
+                raise ValueError(f"cursor {cursor!r} came again")
+            seen.add(cursor)
+
+
 class PagedSource(DataSource):
-    """``spark.dataSource.register(PagedSource)``, then ``spark.read.format("paged").option("fetch", "module:function").load()``."""
+    """``spark.dataSource.register(PagedSource)``, then ``spark.read.format("paged").option("fetch", "module:function").load()``; ``.option("by", "cursor")`` follows cursors."""
 
     @classmethod
     def name(cls):
@@ -61,4 +84,4 @@ class PagedSource(DataSource):
         return "position long, item string"
 
     def reader(self, schema):
-        return PagedReader(self.options)
+        return CursorReader(self.options) if self.options.get("by") == "cursor" else PagedReader(self.options)

@@ -65,6 +65,24 @@ def test_paged(spark):
     assert sorted(r["position"] for r in rows.collect()) == list(range(25))
 
 
+def follow(cursor, limit):
+    at = int(cursor or 0)
+    return [{"id": i} for i in range(at, min(at + limit, 25))], str(at + limit) if at + limit < 25 else None
+
+
+def circle(cursor, limit):
+    return [{"id": 1}], "same"
+
+
+def test_cursors(spark):
+    spark.dataSource.register(PagedSource)
+    os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.environ.get("PYTHONPATH")]))
+    load = lambda name: spark.read.format("paged").option("fetch", f"tests.test_sources:{name}").option("by", "cursor").option("limit", "10").load()
+    assert sorted(r["position"] for r in load("follow").collect()) == list(range(25))
+    with pytest.raises(Exception, match="came again"):
+        load("circle").collect()
+
+
 def test_stream_replay(spark, tmp_path):
     """Draining twice adds nothing; a late older version keeps its evidence and never becomes current."""
     source, log, checkpoint = (f"file://{tmp_path}/{n}" for n in ("in", "log", "checkpoint"))
