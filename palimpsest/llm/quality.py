@@ -23,6 +23,8 @@ from . import textkit as tk
 FEATURES = ("symbol_heavy", "symbol_some", "upper_heavy", "bars", "repeats_line", "few_words", "low_variety", "long_words", "no_stop", "digits_heavy", "bangs")
 #: Bounds of the training sample: labelled documents, and bytes of one of them.
 SAMPLE_DOCS, SAMPLE_BYTES = 1200, 20_000
+#: Lines, with padding, of labelled documents that the driver takes up at once while it fits.
+CELLS = 100_000
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 RANGE = np.zeros((6, 256), bool)
@@ -114,6 +116,28 @@ def default_weights() -> dict[str, list]:
     return {"emit": [2.0] * len(FEATURES) + [-2.5], "step": [[0.5, -0.5], [-0.5, 0.5]]}
 
 
+def by_length(sequences: list[np.ndarray], cells: int = CELLS) -> list[list[int]]:
+    """Indices of chains of like length, so many at a time that their padded table has about ``cells`` cells."""
+    out: list[list[int]] = []
+    for i in sorted(range(len(sequences)), key=lambda i: len(sequences[i])):
+        if not out or (len(out[-1]) + 1) * len(sequences[i]) > cells or len(sequences[i]) > 2 * len(sequences[out[-1][0]]) + 8:
+            out.append([])
+        out[-1].append(i)
+    return out
+
+
+def group(sequences: list[np.ndarray], labels: np.ndarray, part: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Line codes of chains, padded to the longest, which places are live, and the labels that each line may have."""
+    longest = max(len(sequences[i]) for i in part)
+    code, live = np.zeros((len(part), longest), np.int64), np.zeros((len(part), longest), bool)
+    for row, i in enumerate(part):
+        code[row, : len(sequences[i])], live[row, : len(sequences[i])] = sequences[i], True
+    y, allowed = labels[part], np.ones((*code.shape, 2), bool)
+    allowed[y == 0, :, 1] = False
+    allowed[(y == 1)[:, None] & (code != 0), 0] = False
+    return code, live, allowed
+
+
 def fit(sequences: list[np.ndarray], labels: list[int], rounds: int = 60, rate: float = 0.8) -> dict[str, list]:
     """Maximum-likelihood chain weights from documents' line codes; all lines of one bear its label (1: boilerplate).
 
@@ -123,21 +147,15 @@ def fit(sequences: list[np.ndarray], labels: list[int], rounds: int = 60, rate:
     """
     if len(set(labels)) < 2:
         return default_weights()
-    n, longest = len(sequences), max(map(len, sequences))
-    code, live = np.zeros((n, longest), np.int64), np.zeros((n, longest), bool)
-    for i, s in enumerate(sequences):
-        code[i, : len(s)], live[i, : len(s)] = s, True
-    y = np.array(labels)
-    allowed = np.ones((n, longest, 2), bool)
-    allowed[y == 0, :, 1] = False
-    allowed[(y == 1)[:, None] & (code != 0), 0] = False
-    x = bits(code)
-    weight, step = np.zeros(x.shape[-1]), np.zeros((2, 2))
+    every = bits(np.arange(1 << len(FEATURES)))  # the features of each line code
+    weight, step = np.zeros(every.shape[1]), np.zeros((2, 2))
     grown = [np.zeros_like(weight), np.zeros_like(step)]
+    groups = [group(sequences, np.array(labels), part) for part in by_length(sequences)]
 
-    def expect(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def expect(code: np.ndarray, live: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Expected boilerplate marks and steps under the labels that ``mask`` allows."""
-        score = np.where(mask, np.stack([np.zeros((n, longest)), x @ weight], -1), -1e9)
+        n, longest = code.shape
+        score = np.where(mask, np.stack([np.zeros((n, longest)), (every @ weight)[code]], -1), -1e9)
         forward = np.empty((n, longest, 2))
         forward[:, 0] = score[:, 0]
         for t in range(1, longest):
@@ -151,12 +169,13 @@ def fit(sequences: list[np.ndarray], labels: list[int], rounds: int = 60, rate:
         norm = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
         mark = np.exp(forward + backward - norm[:, None, None])[..., 1] * live
         pair = forward[:, :-1, :, None] + step + (score + backward)[:, 1:, None, :] - norm[:, None, None, None]
-        return np.einsum("nt,ntf->f", mark, x), (np.exp(np.minimum(pair, 0)) * live[:, 1:, None, None]).sum((0, 1))
+        return np.bincount(code.ravel(), mark.ravel(), len(every)) @ every, (np.exp(np.minimum(pair, 0)) * live[:, 1:, None, None]).sum((0, 1))
 
+    total = max(1, sum(map(len, sequences)))
     for _ in range(rounds):
-        told, free = expect(allowed), expect(np.ones_like(allowed))
+        told, free = ([sum(x) for x in zip(*(expect(code, live, mask if bound else np.ones_like(mask)) for code, live, mask in groups), strict=True)] for bound in (True, False))
         for part, (a, b, g) in enumerate(zip(told, free, grown, strict=True)):
-            slope = (a - b) / max(1, live.sum()) - 1e-4 * (weight, step)[part]
+            slope = (a - b) / total - 1e-4 * (weight, step)[part]
             g += slope**2
             (weight, step)[part][...] += rate * slope / np.sqrt(g + 1e-12)
     return {"emit": weight.tolist(), "step": step.tolist()}

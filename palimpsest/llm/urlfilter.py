@@ -105,10 +105,14 @@ def joined(parts: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     """The same by equi-joins, for entries of any number: distinct (host, path) pairs meet the entries on host suffix and path prefix."""
     pairs = parts.select("host", "path").distinct()
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, -n, n), "."))
-    keys = pairs.select("host", "path", F.explode(suffixes).alias("rule_host")).select("*", F.explode(F.transform(F.sequence(F.lit(0), F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))).alias("rule_path"))
+    # an entry without a host fits every host
+    suffixes = F.array_distinct(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, -n, n), "."))))
     entries = rules.select("rule", "verdict", F.lower(F.substring_index("rule", "/", 1)).alias("rule_host"), F.expr("substring(rule, length(substring_index(rule, '/', 1)) + 1)").alias("rule_path"))
     entries = entries.groupBy("rule_host", "rule_path").agg(F.max_by("rule", "verdict").alias("rule"), F.max("verdict").alias("verdict"))
-    order = F.struct(F.size(F.split("rule_host", r"\.")).alias("a"), F.length("rule_path").alias("b"))
+    # prefixes of the lengths that entries have; these are few, whatever the number of entries
+    lengths = F.array(*(F.lit(r[0]) for r in entries.select(F.length("rule_path").alias("n")).distinct().orderBy("n").collect()))
+    prefixes = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
+    keys = pairs.select("host", "path", F.explode(suffixes).alias("rule_host")).select("*", F.explode(prefixes).alias("rule_path"))
+    order = F.struct(F.when(F.col("rule_host") == "", 0).otherwise(F.size(F.split("rule_host", r"\."))).alias("a"), F.length("rule_path").alias("b"))
     best = keys.join(entries, ["rule_host", "rule_path"]).groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), order).alias("best"))
     return parts.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))

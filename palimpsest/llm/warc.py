@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 
 SEGMENT_BYTES, CHUNK_BYTES, FILE_RECORDS = 16 << 10, 8 << 10, 1500
+#: Tasks over which the pages of one payload spread.
+SLOTS = 64
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -91,7 +94,10 @@ def write(pages: DataFrame, path: str, dedup_bytes: int = 1000, segment_bytes: i
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html).alias("digest"), F.octet_length(html).alias("n"))
     top = rows.where(f"n >= {dedup_bytes}").groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("k")).where("k > 1 AND top IS NOT NULL").select("digest", "top")
-    rows = rows.join(top, "digest", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("top")), F.col("top")))
+    # pages of one payload spread over slots, each of which asks once for the response
+    rows = rows.withColumn("slot", F.pmod(F.xxhash64("page_id", "url"), F.lit(SLOTS)))
+    asked = rows.where(f"n >= {dedup_bytes}").select("digest", "slot").distinct().join(top, "digest")
+    rows = rows.join(asked, ["digest", "slot"], "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("top")), F.col("top")))
     rows = rows.select("page_id", "url", "html", "digest", "refers_to", F.monotonically_increasing_id().alias("tag"))
 
     def run(batches):
@@ -105,15 +111,27 @@ def write(pages: DataFrame, path: str, dedup_bytes: int = 1000, segment_bytes: i
     rows.mapInArrow(tk.tidy(run), "value string").write.option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
+def unpacked(data: bytes) -> bytes:
+    """The bytes of a gzip file, as far as it is whole."""
+    try:
+        return gzip.decompress(data)
+    except (EOFError, zlib.error):
+        return zlib.decompressobj(31).decompress(data)
+
+
 def parse(data: bytes):
-    """(headers, block) of every record of an archive."""
+    """(headers, block) of every record of an archive; the block of one that is cut short is None, and what follows no record's end is not read."""
     at = 0
     while data.startswith(b"WARC/", at):
-        end = data.index(b"\r\n\r\n", at)
+        end = data.find(b"\r\n\r\n", at)
+        if end < 0:
+            return
         lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
         head = {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
-        size = int(head["content-length"])
-        yield head, data[end + 4 : end + 4 + size]
+        length = head.get("content-length", "")
+        size = int(length) if length.isdecimal() else len(data)
+        block = data[end + 4 : end + 4 + size]
+        yield head, block if len(block) == size else None
         at = end + 4 + size + 4
 
 
@@ -152,13 +170,17 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column("content"):
                 rows = []
-                for head, block in parse(gzip.decompress(content.as_py())):
-                    kind, name = head["warc-type"], head["warc-record-id"].strip("<>")
+                for head, block in parse(unpacked(content.as_py())):
+                    kind, name = head.get("warc-type", "unknown"), head.get("warc-record-id", "").strip("<>")
                     digest = head.get("warc-payload-digest", "").removeprefix("sha1:") or None
                     segment, total = (int(head[k]) if k in head else None for k in ("warc-segment-number", "warc-segment-total-length"))
                     row = {"origin": head.get("warc-segment-origin-id", name).strip("<>"), "kind": kind, "segment": segment, "total": total, "digest": digest}
                     row |= {"page_id": page_of(row["origin"]), "refers_to": page_of(head.get("warc-refers-to"))}
-                    if segment is not None:
+                    if block is None:
+                        row["status"] = "cut short"
+                        if segment is not None:  # its origin misses a segment
+                            row |= {"segment": 0, "block": b""}
+                    elif segment is not None:
                         row["block"] = block
                     elif kind == "revisit":
                         row["status"] = "complete"

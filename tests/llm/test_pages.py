@@ -172,3 +172,32 @@ def test_framing():
     data = "aé日".encode() * 999
     assert warc.unframed(warc.framed(data, 64)) == data and warc.unframed(warc.framed(b"")) == b""
     assert warc.unframed(b"zz\r\n") is None and warc.unframed(b"5\r\nabc\r\n") is None
+
+
+@pytest.mark.parametrize("most", [100, 0])
+def test_rules_without_a_host_and_long_paths(spark, most):
+    """The trie and the joins agree on entries that fit every host, on very long paths and on repeated rows."""
+    long = "http://a.example.org/en/" + "x" * 20_000
+    urls = ["http://b.net/en/1", "http://net/de/", long, long, "http://c.org/", "no scheme"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = {r["page_id"]: (r["rule"], r["verdict"]) for r in urlfilter.judge(pages, ["/en/", "example.org/en/xx"], ["net/", "/"], max_rules=most).collect()}
+    assert found == {0: ("net/", "block"), 1: ("net/", "block"), 2: ("example.org/en/xx", "allow"), 3: ("example.org/en/xx", "allow"), 4: ("/", "block"), 5: (None, "allow")}
+
+
+def test_damaged_archives(spark, tmp_path):
+    """A record cut short is told, what stands before it is read, and nothing fails."""
+    whole = b"".join((r + "\n").encode() for k in range(3) for r in warc.records(k, "http://a/", b"text %d" % k, hashlib.sha1(b"text %d" % k).hexdigest(), None, k, 1 << 14))
+    for name, data in (("cut", whole[:-12]), ("head", whole + b"WARC/1.1\r\nWARC-Type: resp"), ("odd", whole + b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: many\r\n\r\n")):
+        (tmp_path / f"{name}.gz").write_bytes(gzip.compress(data))
+    (tmp_path / "torn.gz").write_bytes(gzip.compress(whole)[:-20])
+    found = warc.read(spark, f"file://{tmp_path}").collect()
+    assert sum(r["status"] == "complete" for r in found) >= 2 + 3 + 3 and sum(r["status"] == "cut short" for r in found) >= 2
+
+
+def test_many_pages_of_one_payload(spark):
+    """All but the last of many equal pages revisit it, wherever they are."""
+    big = "payload " * 200
+    rows = [(k, f"http://h{k}/", big) for k in range(300)]
+    found = warc.roundtrip(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()
+    assert {(r["page_id"], r["record_type"], r["refers_to"]) for r in found} == {(k, "response" if k == 299 else "revisit", None if k == 299 else 299) for k in range(300)}
+    assert all(r["payload_bytes"] == len(big) and r["status"] == "complete" for r in found)

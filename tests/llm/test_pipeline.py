@@ -18,3 +18,15 @@ def test_stages(spark):
     assert {r["doc_id"]: model.library.encode(r["text"], add_eos=True) for r in docs.collect()} == {i: r["ids"] for i, r in final.items()}
     whole = corpus_pipeline.run(spark, FOLDER)
     assert {(r["doc_id"], r["ids_sha256"]) for r in whole.collect()} == {(i, r["ids_sha256"]) for i, r in final.items()}
+
+
+def test_stages_take_odd_rows(spark, odd, empty):
+    """Null and repeated ids, null, empty and long texts, clashing names, and no rows at all, through every stage."""
+    extra = ("id", "part", "kind", "clean_text", "gone_id")
+    for rows in (odd, empty):
+        docs = rows
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            before, docs = docs, stage(spark, docs, FOLDER).cache()
+            assert docs.columns == before.columns and set(extra) <= set(docs.columns)
+        out = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER)
+        assert out.count() == docs.count()

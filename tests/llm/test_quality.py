@@ -68,3 +68,31 @@ def test_without_labels(spark, odd, empty):
     assert kept.columns == odd.columns
     assert quality.judge(odd, quality.default_weights()).count() == odd.count()
     assert quality.judge(empty, quality.default_weights()).count() == 0 and quality.keep(empty, quality.default_weights()).count() == 0
+
+
+def test_fit_takes_chains_by_length(monkeypatch):
+    """However the chains are cut into tables, the weights are the same."""
+    import random
+
+    import numpy as np
+
+    rnd = random.Random(2)
+    chains = [np.array([rnd.choice([0, 0, 1, 4, 33]) for _ in range(rnd.choice([1, 2, 5, 40, 90]))]) for _ in range(60)]
+    labels = [rnd.randint(0, 1) for _ in chains]
+    one = quality.fit(chains, labels)
+    monkeypatch.setattr(quality, "by_length", lambda s: [[i] for i in range(len(s))])
+    two = quality.fit(chains, labels)
+    assert np.allclose(one["emit"], two["emit"], atol=1e-6) and np.allclose(one["step"], two["step"], atol=1e-6)
+
+
+def test_held_out_labels(spark):
+    """Kept documents are those of good quality on labelled rows that the chain was not fitted on."""
+    from pyspark.sql import functions as F
+
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    half = F.pmod(F.xxhash64("doc_id", F.lit("split")), F.lit(2))
+    model = quality.train(spark, docs, labels.where(half == 0))
+    judged = quality.judge(docs, model).join(labels.where(half == 1), "doc_id")
+    good, bad = (judged.where(f"quality = {q}").agg(F.avg(F.col("kept").cast("int"))).first()[0] for q in (1, 0))
+    assert good > 0.9 and good > bad
