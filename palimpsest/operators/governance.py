@@ -60,16 +60,18 @@ def touched(kind: Column, record: Column, record_type: Column, target: Column, r
     return F.when(kind == "project_status", F.array(F.lit("status"))).when(kind.isin("decision", "task"), F.array(F.concat_ws(":", kind, record))).otherwise(pair)
 
 
-def approvals(proposals: DataFrame, current: DataFrame) -> DataFrame:
+def approvals(proposals: DataFrame, current: DataFrame, conflicts: DataFrame | None = None) -> DataFrame:
     """(id, project_id, outcome, from_version, to_version) of an approval of every proposal.
 
-    proposals: id, project_id, status, base_version, base_hash, created_at; current: project_id, version, hash.
+    proposals: id, project_id, status, base_version, base_hash (of the state that the review saw), created_at;
+    current: project_id, version, hash; conflicts: ids of proposals whose touched keys changed since they were made.
     A project without a state is at version 0 with no hash.
     """
     now = current.select("project_id", F.col("version").alias("v"), F.col("hash").alias("h"))
     rows = proposals.join(now, "project_id", "left").withColumn("from_version", F.coalesce("v", F.lit(0)).cast("long"))
+    rows = rows.join(conflicts.select("id", F.lit(True).alias("clash")).distinct(), "id", "left").withColumn("clash", F.coalesce("clash", F.lit(False))) if conflicts is not None else rows.withColumn("clash", F.lit(False))
     fits = (F.col("base_version") == F.col("from_version")) & F.col("base_hash").eqNullSafe(F.col("h"))
-    rows = rows.withColumn("outcome", F.when(F.col("status").isin("approved", "rejected"), F.concat(F.lit("refused:already_"), "status")).when(~fits, "refused:state_changed").otherwise("approved"))
+    rows = rows.withColumn("outcome", F.when(F.col("status").isin("approved", "rejected"), F.concat(F.lit("refused:already_"), "status")).when(F.col("clash"), "refused:conflict").when(~fits, "refused:state_changed").otherwise("approved"))
     first = F.row_number().over(Window.partitionBy("project_id", "outcome").orderBy("created_at", "id"))
     rows = rows.withColumn("outcome", F.when((F.col("outcome") == "approved") & (first > 1), "refused:state_changed").otherwise(F.col("outcome")))
     return rows.select("id", "project_id", "outcome", "from_version", F.when(F.col("outcome") == "approved", F.col("from_version") + 1).alias("to_version"))

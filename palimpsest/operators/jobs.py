@@ -10,7 +10,9 @@ from palimpsest.functions.text import safe_filename, slug, tags, trimmed
 from .selection import clamp
 
 VERSION = 3
-SCHEDULE = {"interval_days": (7, 1, 365), "idle_seconds": (60, 30, 3600), "max_asset_bytes": (64 << 20, 1 << 20, 64 << 20), "max_snapshots": (12, 1, 365), "max_age_days": (365, 1, 3650)}
+# Default, least and greatest numbers of a schedule, and its default time.
+SCHEDULE = {"interval_days": (3, 1, 365), "idle_seconds": (120, 30, 3600), "max_asset_bytes": (8 << 20, 1 << 20, 64 << 20), "max_snapshots": (30, 1, 365), "max_age_days": (180, 1, 3650)}
+TIME = "03:30"
 
 
 def migrated(jobs: DataFrame) -> DataFrame:
@@ -122,10 +124,10 @@ def appended(log: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
 
 
 def schedule(rows: DataFrame) -> DataFrame:
-    """Schedule settings (all strings or null) with bounds and defaults.  Fixed values: SCHEDULE, (default, least, greatest)."""
+    """Schedule settings (all strings or null) with bounds and defaults; hours and minutes beyond a day's are taken as its last."""
     numbers = [clamp(F.col(name), low, high, default).alias(name) for name, (default, low, high) in SCHEDULE.items()]
-    time = F.regexp_extract(F.coalesce("local_time", F.lit("")), r"^([01]?\d|2[0-3]):([0-5]\d)$", 0)
-    hour = F.when(time == "", "03:00").otherwise(F.lpad(time, 5, "0"))
+    number = lambda k, most: F.lpad(F.least(F.regexp_extract("local_time", r"^(\d{1,2}):(\d{2})$", k).try_cast("int"), F.lit(most)).cast("string"), 2, "0")
+    hour = F.when(F.col("local_time").rlike(r"^\d{1,2}:\d{2}$"), F.concat(number(1, 23), F.lit(":"), number(2, 59))).otherwise(TIME)
     policy = F.when(F.col("asset_policy").isin("references-only", "download"), F.col("asset_policy")).otherwise("references-only")
     return rows.select("id", F.coalesce(F.col("enabled"), F.lit(False)).alias("enabled"), hour.alias("local_time"), policy.alias("asset_policy"), *numbers)
 
@@ -142,15 +144,19 @@ def rough_size(raw: Column) -> Column:
 
 
 def undo(status: Column) -> Column:
-    """What an undo of a capture's state does."""
+    """What an undo of a capture's state does.  Fixed values: its names."""
     return F.when(status == "archived", "archive").when(status == "trashed", "trash").otherwise("none")
 
 
-def selection_state(selected: Column, source: Column, target: Column) -> Column:
-    """State of choosing a relation's two ends among selected ids (an array): idle, ready, or what is missing."""
+def relation_ends(selected: Column, source: Column, target: Column) -> Column:
+    """struct(ready, from_id, to_id) of a relation between selected ids (an array): the ends asked for where they are selected, else the first ids that differ."""
     ids = F.array_distinct(F.filter(selected, lambda x: x.isNotNull() & (x != "")))
-    ends = F.array_contains(ids, source) & F.array_contains(ids, target) & (source != target)
-    return F.when(F.size(ids) < 2, "needs-two").when(F.coalesce(ends, F.lit(False)), "ready").otherwise("choose-ends")
+    asked = lambda x, k: F.when(F.array_contains(ids, x), x).otherwise(F.get(ids, F.lit(k)))
+    one = asked(F.coalesce(source, F.lit("")), 0)
+    two = asked(F.coalesce(target, F.lit("")), 1)
+    other = F.when(two == one, F.get(F.filter(ids, lambda x: x != one), F.lit(0))).otherwise(two)
+    few = F.size(ids) < 2
+    return F.struct((~few).alias("ready"), F.coalesce(F.when(few, F.get(ids, F.lit(0))).otherwise(one), F.lit("")).alias("from_id"), F.when(few, "").otherwise(other).alias("to_id"))
 
 
 def preflight(rows: DataFrame) -> DataFrame:
@@ -163,7 +169,7 @@ def preflight(rows: DataFrame) -> DataFrame:
 
 
 def guidance(on_page: Column, library: Column, status: Column, saved: Column, volumes: Column, written: Column) -> Column:
-    """What to do next: the first of six states that fits."""
+    """What to do next: the first of six states that fits.  Fixed values: the states' names."""
     complete = F.coalesce(status.isin("completed", "completed_with_errors"), F.lit(False))
     return (
         F.when(~on_page, "needs-chat").when(status.isNotNull() & ~complete, "resume-backup").when(complete & (volumes > written), "finish-computer-backup")

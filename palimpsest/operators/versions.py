@@ -119,7 +119,7 @@ def grouped_sets(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 
 # States of a task that is still open.
-OPEN = ("todo", "in_progress", "blocked", "waiting")
+OPEN = ("todo", "in_progress", "blocked")
 
 
 def challenge(decisions: DataFrame, tasks: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -52,19 +52,24 @@ def proposed(t):
     return rows, current
 
 
+def approved(t):
+    rows, current = proposed(t)
+    return governance.approvals(rows, current, rows.where("id % 11 = 0").select("id"))
+
+
 APPROVAL_SQL = """SELECT id, project_id, from_version, CASE WHEN outcome = 'approved' AND row_number() OVER (PARTITION BY project_id, outcome ORDER BY ts, id) > 1 THEN 'refused:state_changed' ELSE outcome END AS outcome FROM (
  SELECT event_id AS id, user_id AS project_id, ts, CASE WHEN user_id % 3 = 0 THEN user_id % 4 ELSE 0 END AS from_version,
- CASE WHEN event_id % 5 = 0 THEN 'refused:already_approved' WHEN event_id % 7 = 0 THEN 'refused:already_rejected' WHEN user_id % 3 <> 0 AND event_id % 2 = 1 THEN 'refused:state_changed' ELSE 'approved' END AS outcome FROM events)"""
+ CASE WHEN event_id % 5 = 0 THEN 'refused:already_approved' WHEN event_id % 7 = 0 THEN 'refused:already_rejected' WHEN event_id % 11 = 0 THEN 'refused:conflict' WHEN user_id % 3 <> 0 AND event_id % 2 = 1 THEN 'refused:state_changed' ELSE 'approved' END AS outcome FROM events)"""
 
 
 @query(f"SELECT id, project_id, outcome, from_version, CASE WHEN outcome = 'approved' THEN from_version + 1 END AS to_version FROM ({APPROVAL_SQL})")
 def proposal_approvals(t):
-    return governance.approvals(*proposed(t))
+    return approved(t)
 
 
 @query(f"SELECT action, count(*) AS n, CAST(sum(version) AS BIGINT) AS versions FROM (SELECT 'approved' AS action, from_version + 1 AS version FROM ({APPROVAL_SQL}) WHERE outcome = 'approved' UNION ALL SELECT 'initial', 0 FROM ({APPROVAL_SQL}) WHERE outcome = 'approved' AND from_version = 0) GROUP BY action")
 def approval_versions(t):
-    return governance.approval_rows(governance.approvals(*proposed(t))).groupBy("action").agg(F.count("*").alias("n"), F.sum("version").alias("versions"))
+    return governance.approval_rows(approved(t)).groupBy("action").agg(F.count("*").alias("n"), F.sum("version").alias("versions"))
 
 
 @query("SELECT i AS id, CASE WHEN i < 0 THEN 'not_found' WHEN i % 5 = 0 THEN 'approved' ELSE 'rejected' END AS status, CASE WHEN i < 0 OR i % 5 = 0 OR i % 7 = 0 THEN NULL ELSE 'proposal_rejected' END AS event FROM (SELECT event_id AS i FROM events WHERE event_id % 3 = 0 UNION ALL SELECT -1)")
@@ -371,12 +376,12 @@ def import_log(t):
     return jobs.appended(rows.where("id % 2 = 0").withColumn("origin", F.lit("old")), new.union(new))
 
 
-@query("""SELECT doc_id AS id, doc_id % 2 = 0 AS enabled, CASE doc_id % 3 WHEN 0 THEN '09:30' WHEN 1 THEN '23:05' ELSE '03:00' END AS local_time, CASE WHEN doc_id % 4 = 0 THEN 'download' ELSE 'references-only' END AS asset_policy, CASE WHEN doc_id % 5 = 0 THEN 7 ELSE least(greatest(doc_id, 1), 365) END AS interval_days,
- 60 AS idle_seconds, 67108864 AS max_asset_bytes, 12 AS max_snapshots, 1 AS max_age_days FROM documents""")
+@query("""SELECT doc_id AS id, doc_id % 2 = 0 AS enabled, CASE doc_id % 4 WHEN 0 THEN '09:30' WHEN 1 THEN '23:59' WHEN 2 THEN '03:30' ELSE '07:05' END AS local_time, CASE WHEN doc_id % 4 = 0 THEN 'download' ELSE 'references-only' END AS asset_policy, CASE WHEN doc_id % 5 = 0 THEN 3 ELSE least(greatest(doc_id, 1), 365) END AS interval_days,
+ 120 AS idle_seconds, 67108864 AS max_asset_bytes, 30 AS max_snapshots, 1 AS max_age_days FROM documents""")
 def schedule_settings(t):
     i, none = F.col("doc_id"), F.lit(None).cast("string")
     rows = t.documents.select(
-        i.alias("id"), F.when(i % 2 == 0, True).alias("enabled"), F.when(i % 3 == 0, "9:30").when(i % 3 == 1, "23:05").otherwise("24:00").alias("local_time"), F.when(i % 4 == 0, "download").otherwise("all").alias("asset_policy"), F.when(i % 5 != 0, i.cast("string")).alias("interval_days"),
+        i.alias("id"), F.when(i % 2 == 0, True).alias("enabled"), F.when(i % 4 == 0, "9:30").when(i % 4 == 1, "24:75").when(i % 4 == 2, "noon").otherwise("07:05").alias("local_time"), F.when(i % 4 == 0, "download").otherwise("all").alias("asset_policy"), F.when(i % 5 != 0, i.cast("string")).alias("interval_days"),
         none.alias("idle_seconds"), F.lit("1e12").alias("max_asset_bytes"), F.lit("x").alias("max_snapshots"), F.lit("-4").alias("max_age_days"),
     )
     return jobs.schedule(rows)
@@ -389,15 +394,16 @@ def asset_paths(t):
     return t.documents.select("doc_id", path.alias("path"), jobs.rough_size(F.col("text")).alias("size"))
 
 
-@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'archive' WHEN 1 THEN 'trash' ELSE 'none' END AS undo, CASE WHEN doc_id % 4 = 0 THEN 'needs-two' WHEN doc_id % 4 = 1 THEN 'choose-ends' ELSE 'ready' END AS state,
+@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'archive' WHEN 1 THEN 'trash' ELSE 'none' END AS undo, CASE doc_id % 4 WHEN 0 THEN 'false:a:' WHEN 1 THEN 'true:a:b' WHEN 2 THEN 'true:b:a' ELSE 'true:a:c' END AS ends,
  CASE WHEN doc_id % 7 = 0 THEN 'needs-chat' WHEN doc_id % 5 = 0 THEN 'resume-backup' WHEN doc_id % 5 = 1 THEN 'finish-computer-backup' WHEN doc_id % 5 = 2 THEN 'index-library' WHEN doc_id % 5 = 3 THEN 'search-library' ELSE 'save-current' END AS guidance FROM documents""")
 def next_steps(t):
     i = F.col("doc_id")
     five = lambda *v: F.element_at(F.array(*map(F.lit, v)), (i % 5 + 1).cast("int"))
-    ids = F.when(i % 4 == 0, F.array(F.lit("a"), F.lit("a"), F.lit(""))).otherwise(F.array(F.lit("a"), F.lit("b")))
+    ids = F.when(i % 4 == 0, F.array(F.lit("a"), F.lit("a"), F.lit(""))).otherwise(F.array(F.lit("a"), F.lit("b"), F.lit("c")))
+    ends = jobs.relation_ends(ids, F.when(i % 4 == 2, "b").otherwise("x"), F.when(i % 4 == 3, "c").when(i % 4 == 2, "b"))
     status = five("running", "completed", "completed_with_errors", "completed", None)
     guide = jobs.guidance(i % 7 != 0, five(9, 9, 0, 9, 0), status, five(1, 1, 1, 1, 0), five(0, 3, 1, 1, 0), five(0, 1, 1, 1, 0))
-    return t.documents.select("doc_id", jobs.undo(F.when(i % 3 == 0, "archived").when(i % 3 == 1, "trashed").otherwise("active")).alias("undo"), jobs.selection_state(ids, F.lit("a"), F.when(i % 4 == 1, "a").otherwise("b")).alias("state"), guide.alias("guidance"))
+    return t.documents.select("doc_id", jobs.undo(F.when(i % 3 == 0, "archived").when(i % 3 == 1, "trashed").otherwise("active")).alias("undo"), F.concat_ws(":", ends["ready"].cast("string"), ends["from_id"], ends["to_id"]).alias("ends"), guide.alias("guidance"))
 
 
 @query("SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 7 + doc_id % 5 WHEN doc_id % 3 = 1 THEN nullif(doc_id, 0) END AS conversations, CASE WHEN doc_id % 2 = 0 THEN greatest(0, 1000 - doc_id) END AS free_bytes, doc_id % 4 = 0 AS resume FROM documents")
