@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, extract, neardup, pieces, quality, repeats, sharding, tokencount, urlfilter, warc
+from . import decontam, divergence, extract, neardup, pieces, quality, repeats, sharding, tokencount, urlfilter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,7 +64,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_suffix_array_dedup, op3_url_filter, op4_token_counts, op5_benchmark_decontamination, op6_minhash_near_dedup, op7_sharding, op8_quality_rules, op9_warc, op10_sentencepiece)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_suffix_array_dedup, op3_url_filter, op4_token_counts, op5_benchmark_decontamination, op6_minhash_near_dedup, op7_sharding, op8_quality_rules, op9_warc, op10_sentencepiece, op11_source_divergence)}
 
 ORACLE_SQL = {
     "op3_url_filter": r"""
@@ -102,4 +106,28 @@ WITH RECURSIVE d AS (
 SELECT doc_id, n_bytes, CAST(b.depth AS INTEGER) AS depth, s.prefix, CASE WHEN b.depth = 0 THEN '' ELSE substr(lpad(bin(h), 60, '0'), 1, CAST(b.depth AS INTEGER)) END AS bits,
        s.shard_bytes, s.shard_rows, s.shard_bytes > {SHARD_BYTES} AS oversized
 FROM best b JOIN sums s ON s.depth = b.depth AND s.prefix = b.h >> (60 - b.depth)""",
+    "op11_source_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), t AS (SELECT id, lang, source, unnest(terms) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT id) >= 10),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+lc AS (SELECT lang, term, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY ALL),
+g AS (SELECT lang, source, CAST(coalesce(sum(n), 0) AS BIGINT) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v, CAST(sum(n) AS BIGINT) AS total FROM lc GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, CAST(1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (g.total + 2 * v.v) AS HUGEINT) AS p
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), q AS (SELECT lang, term, CAST(1 + 1000000000::HUGEINT * (n + 2) // (total + 2 * v) AS HUGEINT) AS q FROM lc JOIN v USING (lang)),
+pair AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source
+  LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL
+), term AS (
+  SELECT lang, source, term AS item, CAST((p - q) * (p - q) // (p + q) AS BIGINT) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT lang, source, 'pair' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM pair
+UNION ALL
+SELECT * FROM (SELECT lang, source, 'term' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM term) WHERE rank <= 10""",
 }
