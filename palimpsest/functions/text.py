@@ -128,9 +128,14 @@ def safe_filename(x: Column | str, limit: int = 80, fallback: str = "untitled")
     return F.when(out == "", fallback).otherwise(out)
 
 
+def squeezed(x: Column | str) -> Column:
+    """Lower case, trimmed, white space of any kind as one space; null is empty."""
+    return F.regexp_replace(F.lower(trimmed(F.coalesce(col(x), F.lit("")))), r"(?U)\s+", " ")
+
+
 def similarity(a: Column | str, b: Column | str) -> Column:
     """1 if equal, the ratio of lengths if one holds the other, else Dice over index tokens."""
-    left, right = (F.regexp_replace(F.lower(trimmed(F.coalesce(col(x), F.lit("")))), r"(?U)\s+", " ") for x in (a, b))
+    left, right = squeezed(a), squeezed(b)
     one, two = tokens(left), tokens(right)
     dice = F.when((F.size(one) == 0) | (F.size(two) == 0), 0.0).otherwise(2.0 * F.size(F.array_intersect(one, two)) / (F.size(one) + F.size(two)))
     ratio = F.least(F.length(left), F.length(right)) / F.greatest(F.length(left), F.length(right))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions.folders import shared
 from palimpsest.functions.text import instant, trimmed
 
 # Content types and channels that decide a message's class, and field names.
@@ -151,14 +149,8 @@ def branch(nodes_: DataFrame, heads_: DataFrame, rounds: int = 40) -> tuple[Data
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared checkpoint folder; only a local session, as in tests, may have none and gets a temporary one."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
+    """Cut the lineage in the shared checkpoint folder."""
+    shared(df.sparkSession)
     return df.checkpoint()
 
 

@@ -1,4 +1,4 @@
-"""Policy gate, token budgets and bin packing."""
+"""Policy gate and token budgets."""
 
 from __future__ import annotations
 
@@ -71,18 +71,6 @@ def stopped(rows: DataFrame, budget: int, key: str, cost: str, order: list) -> D
     return ordered(rows, key, order, step, lambda: (0, True), "taken boolean, used long")
 
 
-def volumes(rows: DataFrame, capacity: int, key: str, size: str, order: list, reserve: int = 0) -> DataFrame:
-    """Next-fit packing: a row that does not fit opens the next volume; the first starts with ``reserve`` used; adds ``volume``."""
-
-    def step(state, row):
-        volume, used, some = state
-        if used + row[size] > capacity and (some or used):
-            volume, used = volume + 1, 0
-        return (volume, used + row[size], True), (volume,)
-
-    return ordered(rows, key, order, step, lambda: (0, reserve, False), "volume long")
-
-
 def candidates(states: DataFrame) -> DataFrame:
     """Gate candidates of approved project states (project_id, title, version, updated_at, status, decisions, tasks)."""
     base = ["project_id", "updated_at"]

@@ -201,4 +201,4 @@ def captured(forms: DataFrame) -> DataFrame:
     kind = F.coalesce(F.nullif("kind", F.lit("")), F.lit("flash"))
     cut = F.when(kind == "flash", F.substring(F.regexp_replace(body, r"\s+", " "), 1, 42)).otherwise("Untitled note")
     url = F.nullif(trimmed(F.coalesce("source_url", F.lit(""))), F.lit(""))
-    return forms.where(body != "").select("id", kind.alias("kind"), slug(project).alias("project_id"), project.alias("project_title"), F.coalesce(F.nullif(trimmed(F.coalesce("title", F.lit(""))), F.lit("")), cut).alias("title"), body.alias("body"), tags("tags").alias("tags"), F.when(url.isNotNull(), "web").otherwise("mobile").alias("provider"), url.alias("source_url"))
+    return forms.where(body != "").select("id", kind.alias("kind"), F.when(project.isNotNull(), slug(project)).alias("project_id"), project.alias("project_title"), F.coalesce(F.nullif(trimmed(F.coalesce("title", F.lit(""))), F.lit("")), cut).alias("title"), body.alias("body"), tags("tags").alias("tags"), F.when(url.isNotNull(), "web").otherwise("mobile").alias("provider"), url.alias("source_url"))

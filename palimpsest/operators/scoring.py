@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import similarity
+from palimpsest.functions.text import similarity, squeezed, tokens
 
+from .canonical import cut
 from .fold import ordered
 
 
@@ -50,10 +51,47 @@ def verdict(score, critical):
     return F.when(critical, "FAIL").when(score >= 85, "PASS").when(score >= 65, "PARTIAL").otherwise("FAIL")
 
 
-def similar(one: DataFrame, two: DataFrame, by: str = "case") -> DataFrame:
-    """(by, a, b, similarity) of the texts (id, text) of one case in both tables; pairs of other cases never meet."""
-    pairs = one.select(by, F.col("id").alias("a"), F.col("text").alias("x")).join(two.select(by, F.col("id").alias("b"), F.col("text").alias("y")), by)
-    return pairs.select(by, "a", "b", similarity("x", "y").alias("similarity"))
+def _grams(size: int) -> Column:
+    last = F.length("x") - (size - 1)
+    return F.when(last < 1, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.col("x").substr(i, F.lit(size))))
+
+
+def alike(one: DataFrame, two: DataFrame, by: str = "case", least: float = 0.55) -> DataFrame:
+    """(by, a, b, similarity) of the texts (id, text) of one case in both tables that are similar by ``least`` or more; ids are unique in a case.
+
+    Pairs meet on what they must share.  A text within another has all its grams
+    of three characters there, so it looks its rarest one up.  A Dice ratio of t
+    wants t / (2 - t) of either text's tokens in common, so two such texts share
+    one of their rarest tokens, all but that many.  What meets is scored.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("least is above 0, at most 1")
+    a, b = (cut(df.select(by, F.col("id").alias(k), squeezed("text").alias("x")).withColumn("t", tokens("x"))) for df, k in ((one, "a"), (two, "b")))
+
+    def within(inner: DataFrame, i: str, outer: DataFrame, o: str) -> DataFrame:
+        """Pairs of which one may hold the other: texts of up to two characters are looked up whole."""
+        tiny = F.when(F.length("x") * least <= 2, F.concat(_grams(1), _grams(2), F.array("x"))).otherwise(F.array().cast("array<string>"))
+        holds = outer.select(by, o, F.length("x").alias("longer"), F.explode(F.array_distinct(F.concat(_grams(3), tiny))).alias("g"))
+        often = holds.groupBy(by, "g").agg(F.count("*").alias("n"))
+        asked = inner.select(by, i, F.length("x").alias("shorter"), F.explode(F.when(F.length("x") < 3, F.array("x")).otherwise(F.array_distinct(_grams(3)))).alias("g"))
+        rarest = asked.join(often, [by, "g"]).groupBy(by, i, "shorter").agg(F.min_by("g", F.struct("n", "g")).alias("g"))
+        return rarest.join(holds, [by, "g"]).where((F.col("shorter") <= F.col("longer")) & (F.col("shorter") >= F.col("longer") * least)).select(by, "a", "b")
+
+    each = [df.select(by, k, F.size("t").alias("size"), F.explode("t").alias("token")) for df, k in ((a, "a"), (b, "b"))]
+    often = each[0].select(by, "token").union(each[1].select(by, "token")).groupBy(by, "token").agg(F.count("*").alias("n"))
+    share = least / (2 - least)
+
+    def rarest(rows: DataFrame, k: str) -> DataFrame:
+        first = F.array_sort(F.collect_list(F.struct("n", "token")))  # a text's tokens, at most MAX_TOKENS
+        few = F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 1
+        ranked = rows.join(often, [by, "token"]).groupBy(by, k, "size").agg(first.alias("ts"))
+        return ranked.select(by, k, F.col("size").alias(f"{k}_size"), F.explode(F.slice("ts", F.lit(1), few.cast("int"))["token"]).alias("token"))
+
+    near = (F.col("b_size") >= F.col("a_size") * share - 1e-9) & (F.col("a_size") >= F.col("b_size") * share - 1e-9)
+    met = rarest(each[0], "a").join(rarest(each[1], "b"), [by, "token"]).where(near).select(by, "a", "b")
+    met = met.union(within(a, "a", b, "b")).union(within(b, "b", a, "a")).distinct()
+    rows = met.join(a.select(by, "a", F.col("x").alias("x")), [by, "a"]).join(b.select(by, "b", F.col("x").alias("y")), [by, "b"])
+    return rows.select(by, "a", "b", similarity("x", "y").alias("similarity")).where(F.col("similarity") >= least)
 
 
 def matched(pairs: DataFrame, by: str = "case", least: float = 0.55) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
-from palimpsest.operators import canonical, capture, gate, graph, incremental, integrity, merge, objects, packages, records, scoring, search, selection, sequences, web
+from palimpsest.operators import canonical, capture, gate, graph, incremental, integrity, merge, objects, packages, packing, records, scoring, search, selection, sequences, web
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -165,13 +165,15 @@ TOK = "list_distinct(regexp_extract_all({0}, '[a-z0-9][a-z0-9_+.-]{{1,63}}'))"
 
 
 @query(rf"""
-WITH b AS (SELECT item_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS x FROM benchmark)
-SELECT a.item_id AS a, b.item_id AS b, round(CASE WHEN a.x = b.x THEN 1.0 WHEN contains(a.x, b.x) OR contains(b.x, a.x) THEN least(length(a.x), length(b.x)) / greatest(length(a.x), length(b.x))
-  ELSE 2.0 * len(list_intersect({TOK.format('a.x')}, {TOK.format('b.x')})) / (len({TOK.format('a.x')}) + len({TOK.format('b.x')})) END, 6) AS similarity
-FROM b AS a JOIN b ON a.item_id // 10 = b.item_id // 10 WHERE a.item_id < b.item_id""")
+WITH t AS (SELECT doc_id AS id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS x, lang FROM documents UNION ALL SELECT -1 - item_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), 'en' FROM benchmark),
+b AS (SELECT *, {TOK.format('x')} AS t FROM t)
+SELECT * FROM (SELECT a.id AS a, b.id AS b, round(CASE WHEN a.x = b.x THEN 1.0 WHEN a.x = '' OR b.x = '' THEN 0 WHEN contains(a.x, b.x) OR contains(b.x, a.x) THEN least(length(a.x), length(b.x)) / greatest(length(a.x), length(b.x))
+  WHEN len(a.t) = 0 OR len(b.t) = 0 THEN 0 ELSE 2.0 * len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t)) END, 6) AS similarity
+FROM b AS a JOIN b ON a.lang = b.lang WHERE a.id < b.id) WHERE similarity >= 0.55""")
 def similarity_of_items(t):
-    rows = t.benchmark.select(F.floor(F.col("item_id") / 10).alias("case"), F.col("item_id").alias("id"), "text")
-    return scoring.similar(rows, rows).where("a < b").select("a", "b", F.round("similarity", 6).alias("similarity"))
+    """Documents and benchmark items of one language that are similar by 0.55 or more."""
+    rows = t.documents.select(F.col("lang").alias("case"), F.col("doc_id").alias("id"), "text").union(t.benchmark.select(F.lit("en"), -1 - F.col("item_id"), "text"))
+    return scoring.alike(rows, rows).where("a < b").select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query("SELECT doc_id, CAST(len(list_distinct(list_filter(list_transform(regexp_split_to_array(text, '[,，\n#]'), lambda x: trim(x)), lambda x: x <> ''))[:50]) AS BIGINT) AS tags FROM documents")
@@ -574,7 +576,7 @@ WITH RECURSIVE r AS MATERIALIZED (SELECT source, doc_id, strlen(text) AS b, row_
 SELECT doc_id, volume FROM f""")
 def volume_plan(t):
     rows = t.documents.select("source", "doc_id", F.octet_length("text").cast("long").alias("b"))
-    return gate.volumes(rows, 65536, "source", "b", ["doc_id"], 1000).select("doc_id", "volume")
+    return packing.volumes(rows, 65536, "source", "b", ["doc_id"], 1000).select("doc_id", "volume")
 
 
 # --- scoring ------------------------------------------------------------------
@@ -610,7 +612,7 @@ def status_scores(t):
 @query()
 def greedy_best_match(t):
     rows = t.benchmark.select(F.floor(F.col("item_id") / 10).alias("case"), F.col("item_id").alias("id"), "text")
-    pairs = scoring.similar(rows, rows.withColumn("text", F.lower("text"))).select("case", F.col("a").alias("e"), F.col("b").alias("a"), F.round("similarity", 6).alias("score"))
+    pairs = scoring.alike(rows, rows.withColumn("text", F.lower("text"))).select("case", F.col("a").alias("e"), F.col("b").alias("a"), F.round("similarity", 6).alias("score"))
     return scoring.matched(pairs).where("taken").select("case", "e", "a", "score")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from palimpsest.functions import folders
 from palimpsest.functions import text as T
 from palimpsest.operators import canonical, capture, incremental, merge, objects, providers, scoring, web
 from palimpsest.sources import archives
@@ -46,7 +47,7 @@ def archive_candidates(t):
 @query("SELECT 'conversations' AS name, doc_id AS n FROM documents WHERE source = 'src1' UNION ALL SELECT 'evidence', conv_id FROM conversations WHERE turn = 0")
 def bundle_round_trip(t):
     """Written for one project and read again; a table without projects is whole, one that was not written is empty."""
-    path = archives.scratch(t.spark)
+    path = folders.scratch(t.spark)
     archives.write_bundle({"conversations": t.documents.select(F.col("source").alias("project_id"), F.col("doc_id").alias("n")), "evidence": t.conversations.where("turn = 0").select(F.col("conv_id").alias("n"))}, path, "src1")
     found = archives.read_bundle(t.spark, path, {"conversations": "project_id string, n long", "evidence": "n long", "messages": "n long"})
     out = None
@@ -59,7 +60,7 @@ def bundle_round_trip(t):
 @query("""WITH o AS (SELECT doc_id FROM documents WHERE source = 'src1') SELECT 'content_objects' AS name, count(*) AS rows FROM o UNION ALL SELECT 'content_versions', 2 * count(*) FROM o UNION ALL SELECT 'content_relations', count(*) FROM o WHERE doc_id + 20 IN (SELECT doc_id FROM o)""")
 def bundle_manifest(t):
     """A manifest's row counts: what belongs to a project's objects goes with them, a relation only with both of its ends."""
-    path, i = archives.scratch(t.spark), F.col("doc_id")
+    path, i = folders.scratch(t.spark), F.col("doc_id")
     things = t.documents.select(i.alias("id"), F.col("source").alias("project_id"))
     version = t.documents.select(i.alias("object_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("revision"))
     archives.write_bundle({"content_objects": things, "content_versions": version, "content_relations": t.documents.select(i.alias("from_id"), (i + 20).alias("to_id"))}, path, "src1")
@@ -140,7 +141,7 @@ def reassembled_chunks(t):
 @query("SELECT user_id AS id, max(ts) AS updated_at, max_by(event_type, ts) AS digest FROM events GROUP BY user_id")
 def stream_current(t):
     """Events drained twice from a stream into the log: nothing doubles, the newest version of each key is current."""
-    base = archives.scratch(t.spark)
+    base = folders.scratch(t.spark)
     schema = t.events.schema
     for _ in range(2):
         rows = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.folder).select(F.col("user_id").alias("id"), F.col("ts").alias("updated_at"), F.col("event_type").alias("digest"))
@@ -151,7 +152,7 @@ def stream_current(t):
 @query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_windows(t):
     """Daily counts of a stream with a watermark; all windows, closed or not."""
-    base = archives.scratch(t.spark)
+    base = folders.scratch(t.spark)
     rows = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder).withColumn("ts", F.col("ts").cast("timestamp"))
     write = lambda df, _: df.write.mode("overwrite").parquet(f"{base}/windows")
     ingest.windowed(rows).writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()

@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import io
 import json
-import re
-import tempfile
-import uuid
 import zipfile
 import zlib
 
@@ -104,16 +101,6 @@ def packed(rows: DataFrame, archive: str, name: str, payload: str) -> DataFrame:
     return keyed.repartition("path").sortWithinPartitions("path", "name").mapInArrow(run, schema).select("path", F.sha2("content", 256).alias("fingerprint"), "content")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder; only a local session may have none and gets a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
-    return f"{base.rstrip('/')}/palimpsest-{uuid.uuid4().hex}"
-
-
 def conversations(found: DataFrame) -> DataFrame:
     """fingerprint, name, raw (JSON) of every raw conversation in entries: own archives' raw.json and official exports; bad ones are skipped."""
     text = F.decode("payload", "UTF-8")

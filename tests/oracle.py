@@ -9,8 +9,11 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def plain(value):
-    if value is None or isinstance(value, float) and math.isnan(value):
-        return ""
+    """Text of a value; null, NaN and the empty string stay three values."""
+    if value is None:
+        return "\0null"
+    if isinstance(value, float) and math.isnan(value):
+        return "\0nan"
     if isinstance(value, float):
         return repr(round(value, 6))
     return str(value)

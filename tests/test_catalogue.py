@@ -1,6 +1,6 @@
 import pytest
 
-from palimpsest.plans import catalogue, governed, sourced  # noqa: F401
+from palimpsest.plans import catalogue, governed, sourced, stored  # noqa: F401
 
 from .oracle import FOLDER, actual, expected
 

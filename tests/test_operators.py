@@ -26,11 +26,6 @@ def test_budget_skips(spark):
     assert {r["id"]: r["taken"] for r in stopped.collect()} == {1: True, 2: False, 3: False, 4: False}
 
 
-def test_volumes(spark):
-    rows = spark.createDataFrame([("a", i, s) for i, s in enumerate((5, 4, 3, 6))], "k string, i int, s int")
-    assert [r["volume"] for r in gate.volumes(rows, 8, "k", "s", ["i"]).orderBy("i").collect()] == [0, 1, 1, 2]
-
-
 def test_fragments(spark):
     rows = spark.createDataFrame([("c", i, g, t) for i, (g, t) in enumerate([("a", "He"), ("a", "Hello"), ("a", "Hell"), ("a", " you"), ("b", "x")])], "k string, i int, g string, text string")
     assert [r["text"] for r in sequences.coalesced(rows, "k", "i", ["g"]).orderBy("first").collect()] == ["Hello you", "x"]
