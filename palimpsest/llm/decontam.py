@@ -1,14 +1,16 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
 
 An item of L words is held against every window of L words of a document.  Both
-get a 64-bit SimHash of their 5-word shingles, weighted by how often they occur.  The 64
-bits form BLOCKS blocks; fingerprints within RADIUS bits differ by at most RADIUS // BLOCKS
-bits in one block at least, so looking up each block's value and its neighbours
-within that many bits finds every fingerprint within the radius.  The tables hold, for each
-item size, block and value, the items with a value within reach.  Candidates are
-then confirmed by the exact weighted Jaccard similarity of their shingles, sum of
-least weights over sum of greatest, at 0.75 or more.  A window that shares no
-shingle with any item of its size has similarity 0 and is not looked up.
+get a 128-bit SimHash of their 5-word shingles, weighted by how often they occur.  The
+bits form BLOCKS blocks of 16; fingerprints within RADIUS bits differ by at most
+REACH = RADIUS // BLOCKS bits in one block at least.  A table for each item size holds
+every item under its blocks' values and their neighbours within SPREAD bits; a window
+asks for its own blocks' values and the neighbours within REACH - SPREAD bits, and so
+finds every fingerprint within the radius.  Of unrelated fingerprints 8 % share a block
+so closely, and their whole distance is compared then, which next to none passes.
+Candidates are confirmed by the exact weighted Jaccard similarity of their shingles,
+sum of least weights over sum of greatest, at 0.75 or more.  A window that shares
+no shingle with any item of its size has similarity 0 and is not looked up.
 
 The benchmark is the query set: it is broadcast in blocks of bounded size, one
 after the other, against all documents.
@@ -29,12 +31,14 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 
 POLY = tk.Poly(5)
-WORDS, RADIUS, BLOCKS = 5, 24, 8
+WORDS, RADIUS, BLOCKS, SPREAD = 5, 31, 8, 1
+REACH = RADIUS // BLOCKS
 #: Bounds of one broadcast block of the benchmark.
 ITEMS, ITEM_BYTES = 20_000, 32 << 20
-#: Windows that are fingerprinted at once.
-WINDOWS = 4096
-NEIGHBOURS = np.bitwise_count(np.arange(256)[:, None] ^ np.arange(256)[None, :]) <= RADIUS // BLOCKS
+#: Windows that are fingerprinted at once, cells of windows by items that are marked at once, and shingles that are compared at once.
+WINDOWS, CELLS, COMPARED = 4096, 1 << 22, 1 << 20
+#: Differences of two blocks, by how many bits they have.
+FLIPS = [np.flatnonzero(np.bitwise_count(np.arange(1 << 16)) <= k) for k in range(REACH + 1)]
 SCHEMA = "doc_id long, item_id long, start_word long, n_words long, distance long, common long, united long"
 
 
@@ -47,39 +51,78 @@ def shingled(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def marks(value: np.ndarray) -> np.ndarray:
-    """A row of 64 signs for each shingle."""
-    return np.unpackbits(tk.mix(value).view(np.uint8).reshape(-1, 8), axis=1).astype(np.int8) * 2 - 1
+    """A row of 128 signs for each shingle."""
+    both = np.stack([tk.mix(value), tk.mix(value ^ tk.U(0x9E3779B97F4A7C15))], -1)
+    return np.unpackbits(both.view(np.uint8).reshape(-1, 16), axis=1).astype(np.int8) * 2 - 1
 
 
 def fingerprint(sums: np.ndarray) -> np.ndarray:
-    """64 bits from rows of 64 sums."""
-    return np.packbits(sums > 0, axis=1).reshape(-1, 8)
+    """Two numbers of 64 bits from rows of 128 sums."""
+    return np.packbits(sums > 0, axis=1).view(np.uint64).reshape(-1, 2)
+
+
+def codes(sign: np.ndarray, bits: int) -> np.ndarray:
+    """Block numbers with the blocks' values and their neighbours within ``bits``, a row for each fingerprint."""
+    value = sign.view(np.uint16).reshape(-1, BLOCKS, 1).astype(np.int32) ^ FLIPS[bits].astype(np.int32)
+    return (value + (np.arange(BLOCKS, dtype=np.int32) << 16)[:, None]).reshape(len(sign), -1)
 
 
 class Sized:
-    """Items of one size: SimHash, shingle weights, and the tables of the multi-index."""
+    """Items of one size: SimHash, shingle weights, and the table of the multi-index."""
 
     def __init__(self, size: int, items: np.ndarray, bags: list[tuple[np.ndarray, np.ndarray]]):
-        self.size, self.items, self.bags = size, items, bags
-        self.shingle = np.unique(np.concatenate([keys for keys, _ in bags]))
-        sums = [(marks(keys).astype(np.int64) * times[:, None]).sum(0) for keys, times in bags]
-        sign = fingerprint(np.stack(sums))
-        self.sign = sign.view(np.uint64).ravel()
-        #: (block, value) -> the items with a value within reach there, as bits.
-        bits = np.zeros((BLOCKS, 256, -(-len(items) // 64) * 64), bool)
-        for block in range(BLOCKS):
-            bits[block, :, : len(items)] = NEIGHBOURS[:, sign[:, block]]
-        self.tables = np.packbits(bits, axis=2, bitorder="little").view(np.uint64)
+        self.size, self.items = size, items
+        keys, of = np.concatenate([k for k, _ in bags]), np.repeat(np.arange(len(bags)), [len(k) for k, _ in bags])
+        self.shingle, rank = np.unique(keys, return_inverse=True)
+        self.code, self.weight = of * len(self.shingle) + rank, np.concatenate([w for _, w in bags])  # sorted, as a bag's keys are
+        self.total = np.bincount(of, self.weight, len(bags)).astype(np.int64)
+        self.sign = np.concatenate([fingerprint((marks(k).astype(np.int64) * w[:, None]).sum(0)[None]) for k, w in bags])
+        entry = codes(self.sign, SPREAD)
+        order = np.argsort(entry, axis=None, kind="stable")
+        #: The table: block values in order, the item of each, and a bit for each value that is there.
+        self.value, self.item = entry.ravel()[order], (order // entry.shape[1]).astype(np.int32)
+        there = np.zeros(BLOCKS << 16, bool)
+        there[self.value] = True
+        self.there = np.packbits(there, bitorder="little")
 
     def near(self, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(index, item of this size, distance) of fingerprints within the radius of an item's, by looking up each block."""
-        found = self.tables[0][sign[:, 0]]
-        for block in range(1, BLOCKS):
-            found = found | self.tables[block][sign[:, block]]
-        at, item = np.nonzero(np.unpackbits(found.view(np.uint8), axis=1, bitorder="little"))
-        distance = np.bitwise_count(sign.view(np.uint64).ravel()[at] ^ self.sign[item])
-        close = distance <= RADIUS
-        return at[close], item[close], distance[close].astype(np.int64)
+        out = []
+        step = max(1, min(256, CELLS // len(self.items)))
+        for low in range(0, len(sign), step):
+            part = sign[low : low + step]
+            asked = codes(part, REACH - SPREAD)
+            at, k = np.nonzero((self.there[asked >> 3] >> (asked & 7)) & 1)
+            asked = asked[at, k]
+            first, last = np.searchsorted(self.value, asked), np.searchsorted(self.value, asked, "right")
+            count = last - first
+            entry = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(count) else np.zeros(0, np.int64)
+            met = np.zeros((len(part), len(self.items)), bool)
+            met[np.repeat(at, count), self.item[entry]] = True
+            at, item = np.nonzero(met)
+            distance = np.bitwise_count(part[at] ^ self.sign[item]).sum(1)
+            close = distance <= RADIUS
+            out.append((at[close] + low, item[close], distance[close].astype(np.int64)))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def common(self, values: np.ndarray, first: np.ndarray, width: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Sum of least weights of windows (first value, width) and items, pair by pair."""
+        rank = np.minimum(np.searchsorted(self.shingle, values), len(self.shingle) - 1)
+        rank = np.where(self.shingle[rank] == values, rank, -1)
+        out, done = np.zeros(len(first), np.int64), np.concatenate([[0], np.cumsum(width)])
+        low = 0
+        while low < len(first):
+            high = max(low + 1, int(np.searchsorted(done, done[low] + COMPARED, "right")) - 1)
+            pair = np.repeat(np.arange(low, high), width[low:high])
+            inside = rank[first[pair] + np.arange(len(pair)) - (done[pair] - done[low])]
+            pair, inside = pair[inside >= 0], inside[inside >= 0]
+            code = item[pair] * len(self.shingle) + inside
+            spot = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
+            held = self.code[spot] == code
+            key, times = np.unique(pair[held] * len(self.code) + spot[held], return_counts=True)
+            out += np.bincount(key // len(self.code), np.minimum(times, self.weight[key % len(self.code)]), len(first)).astype(np.int64)
+            low = high
+        return out
 
 
 class Index:
@@ -146,25 +189,16 @@ class Index:
             s, w = start[low : low + WINDOWS], width[low : low + WINDOWS]
             c = inside[s]
             a, b = int(c[0]), int((c + w).max())
-            sums = np.zeros((b - a + 1, 64), np.int32)
+            sums = np.zeros((b - a + 1, 128), np.int32)
             np.cumsum(marks(values[a:b]), axis=0, out=sums[1:])
             index, item, distance = sized.near(fingerprint(sums[c - a + w] - sums[c - a]))
-            for kind in np.unique(item * (sized.size + 1) + w[index]).tolist():
-                i, n = divmod(kind, sized.size + 1)
-                of = np.flatnonzero((item == i) & (w[index] == n))
-                keys, weights = sized.bags[i]
-                for part in np.array_split(of, -(-len(of) // WINDOWS)):
-                    shingles = values[c[index[part]][:, None] + np.arange(n)]
-                    spot = np.minimum(np.searchsorted(keys, shingles), len(keys) - 1)
-                    line, place = np.nonzero(keys[spot] == shingles)
-                    times = np.bincount(line * len(keys) + spot[line, place], minlength=len(part) * len(keys)).reshape(len(part), -1)
-                    common = np.minimum(times, weights).sum(1)
-                    united = n + int(weights.sum()) - common
-                    for k in np.flatnonzero(100 * common >= percent * united).tolist():
-                        begin = int(s[index[part[k]]])
-                        key, now = (int(row[begin]), int(sized.items[i])), (int(common[k]), int(united[k]), begin, int(distance[part[k]]))
-                        if key not in best or now[0] * best[key][1] > best[key][0] * now[1]:
-                            best[key] = now
+            common = sized.common(values[a:b], c[index] - a, w[index], item)
+            united = w[index] + sized.total[item] - common
+            for k in np.flatnonzero(100 * common >= percent * united).tolist():
+                begin = int(s[index[k]])
+                key, now = (int(row[begin]), int(sized.items[item[k]])), (int(common[k]), int(united[k]), begin, int(distance[k]))
+                if key not in best or now[0] * best[key][1] > best[key][0] * now[1]:
+                    best[key] = now
 
 
 def blocks(benchmark: DataFrame):

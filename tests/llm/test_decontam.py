@@ -71,14 +71,14 @@ def test_multi_index_is_complete():
     rng, items = np.random.default_rng(1), corpus()[1]
     index = decontam.Index([(i, t) for i, t in items if t])
     for sized in index.sizes:
-        own = sized.sign.view(np.uint8).reshape(-1, 8)
+        own = sized.sign.view(np.uint8).reshape(-1, 16)
         for _ in range(40):
-            flips = np.zeros((len(own), 64), np.uint8)
+            flips = np.zeros((len(own), 128), np.uint8)
             for row in flips:
-                row[rng.choice(64, rng.integers(0, 32), replace=False)] = 1
+                row[rng.choice(128, rng.integers(0, 45), replace=False)] = 1
             sign = own ^ np.packbits(flips, axis=1)
             want = {(a, b) for a in range(len(own)) for b in range(len(own)) if np.bitwise_count(sign[a] ^ own[b]).sum() <= decontam.RADIUS}
-            at, item, distance = sized.near(sign)
+            at, item, distance = sized.near(sign.view(np.uint64))
             assert set(zip(at.tolist(), item.tolist(), strict=True)) == want and (distance <= decontam.RADIUS).all()
 
 
@@ -93,11 +93,45 @@ def test_recall_of_the_radius():
                 gone += 1
                 other = [*words[: len(words) - gone], *(f"x{rnd.randrange(10**6)}" for _ in range(gone))]
             sized = decontam.Index([(1, " ".join(words))]).sizes[0]
-            found += len(sized.near(decontam.Index([(1, " ".join(other))]).sizes[0].sign.view(np.uint8).reshape(-1, 8))[0])
+            found += len(sized.near(decontam.Index([(1, " ".join(other))]).sizes[0].sign)[0])
             total += 1
+    print(f"recall of the radius at the least similarity: {found / total:.4f}")
     assert found >= 0.99 * total
 
 
+def test_few_unrelated_fingerprints_pass():
+    """Of random fingerprints the tables let less than a tenth through to the comparison of whole distances, and that lets none to the exact one."""
+    rng, rnd = np.random.default_rng(3), random.Random(3)
+    items = [(i, " ".join(f"w{rnd.randrange(10**6)}" for _ in range(30))) for i in range(200)]
+    [sized] = decontam.Index(items).sizes
+    sign = rng.integers(0, 1 << 63, (2000, 2), dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, (2000, 2), dtype=np.uint64)
+    value, own = sign.view(np.uint16).reshape(-1, 1, decontam.BLOCKS), sized.sign.view(np.uint16).reshape(1, -1, decontam.BLOCKS)
+    share = float((np.bitwise_count(value ^ own) <= decontam.REACH).any(2).mean())
+    print(f"random fingerprints that share a block: {share:.4f}")
+    assert share < 0.1 and not len(sized.near(sign)[0])
+
+
+def test_many_items_of_one_size():
+    """20,000 items of one size with a prompt line, against a document of 50 kB full of the line: seconds, and bounded memory."""
+    import resource
+    import time
+
+    rnd = random.Random(9)
+    line = "answer the question below with one of the four letters".split()
+    draw = lambda n: [f"x{rnd.randrange(10**5)}" for _ in range(n)]
+    items = [(i, " ".join(line + draw(20))) for i in range(20_000)]
+    index = decontam.Index(items)
+    words = []
+    while sum(map(len, words)) < 50_000:
+        words += line + draw(11)
+    text = " ".join([*words, items[777][1], *words[:40]]).encode()
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+    found = index.leaks(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 75)
+    took, grown = time.time() - began, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024
+    print(f"{took:.1f} s, {grown:.0f} MB more")
+    assert [(f[0], f[1]) for f in found] == [(0, 777)] and took < 60 and grown < 1000
+
+
 def test_line_of_all_items(spark):
     """A line that every item holds costs each document its windows, not its windows times the items."""
     line = "answer the question below with one of the four letters"
