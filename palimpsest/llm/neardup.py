@@ -171,6 +171,7 @@ def across(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     Shingles are ordered by how few documents hold them.  Two sets of the similarity
     share one of the first n - ceil(percent / 100 * n) + 1 of both, and at their
     first shared one enough shingles follow in both; other pairs cannot have it.
+    A shingle whose documents are all of one component brings none together.
     """
 
     def unpack(batches):
@@ -183,13 +184,13 @@ def across(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
     source = rows.join(texts.withColumnRenamed("doc_id", "id"), "id").select("id", "c", "z")
     full = tk.stored(source.mapInArrow(tk.tidy(unpack), "id long, c long, s array<long>"))
-    token = full.select("id", F.explode("s").alias("s"))
-    often = token.groupBy("s").agg(F.count("*").alias("k"))
+    token = full.select("id", "c", F.explode("s").alias("s"))
+    often = token.groupBy("s").agg(F.count("*").alias("k"), (F.min("c") < F.max("c")).alias("mixed"))
     # one document's shingles meet in its row
-    ranked = token.join(often, "s").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "s"))).alias("r"))
+    ranked = token.drop("c").join(often, "s").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "s", "mixed"))).alias("r"))
     n = F.size("r")
     ranked = ranked.select("id", n.alias("n"), F.posexplode(F.expr(f"slice(r, 1, size(r) - cast(ceil({percent} * size(r) / 100) AS int) + 1)")).alias("i", "r"))
-    prefix = tk.stored(ranked.where("r.k > 1").join(rows, "id").select("id", "n", "c", "i", F.col("r.s").alias("s")))
+    prefix = tk.stored(ranked.where("r.mixed").join(rows, "id").select("id", "n", "c", "i", F.col("r.s").alias("s")))
     tk.drop(full)
     other = prefix.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("i").alias("j"), "s")
     enough = f"1 + least(n - i - 1, m - j - 1) >= ceil({percent} * (n + m) / ({100 + percent}))"
