@@ -212,7 +212,7 @@ def sampled(source: DataFrame, parts: int, buckets: int) -> DataFrame:
                 k = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
                 at = off[:-1][doc] + position(k, size[doc])
                 name = POLY.ranges(POLY.prefix(part), at, at + V)
-                out.add(0, SPLIT, None, pack(strings(part, at[:: max(1, len(at) // SPLITS)], V)))
+                out.add(int(part_of(ids[row : row + 1], parts)[0]), SPLIT, None, pack(strings(part, at[:: max(1, len(at) // SPLITS)], V)))
                 out.names(ids[row + doc], k, name, buckets)
                 yield from out.full()
         yield from out.last()
