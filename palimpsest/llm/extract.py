@@ -12,7 +12,8 @@ styles and other elements without readable text are no blocks at all.
 
 Defined cases: a null or empty html has an empty text; a null url has the empty
 host; repeated rows are pages by themselves but count once for templates;
-unclosed tags end with their parent; unknown character references stay as written.
+unclosed tags end with their parent; unknown character references stay as written;
+a page that stands in a form as a whole is read as if the form were none.
 """
 
 from __future__ import annotations
@@ -41,8 +42,14 @@ CLASSES = set(
     "subscription signup login form search comment comments commentlist respond replies reply disqus discussion reactions share sharing social related recommended "
     "recommendations pagination pager skip toolbar legal copyright".split()
 )
-#: First parts of class names that tell what stands beside an element, not what it is.
+#: First parts of class names that tell what stands beside an element, not what it is; those that name it whatever follows; last parts that name a part or place of what stands in front.
 LAYOUT = set("has with no without is not".split())
+LEADS = set("ad ads advert adverts advertisement adsense sponsor sponsored promo related recommended recommendations cookie cookies consent gdpr newsletter pagination pager breadcrumb breadcrumbs disqus sidebar sidebars".split())
+PARTS = set(
+    "area author avatar bar block body bottom box btn button buttons card cards col column container content count counter date desktop feed field fixed form frame global group holder icon icons inline inner input "
+    "item items label large layer layout left link links list lists logo main meta mobile navigation outer overlay page panel pane placement primary region replies reply right row rows "
+    "secondary section site slot small social stream submit tab tabs text thread threads title toggle tools top tree ul unit units user users view wrap wrapper zone".split()
+)
 #: Elements whose end a start tag of the same kind implies.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 BLOCKS_CLOSE_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -56,9 +63,21 @@ MAIN_ROLE = re.compile(r"role\s*=\s*[\"']?main")
 WHOLE = set("html body article main".split())
 
 
-def junk(name: str, attributes: str, article: bool) -> bool:
-    """Whether an element is no content by its tag, role, class or id."""
-    if name in DROP or name == "header" and not article:
+def named(parts: list[str]) -> bool:
+    """Whether a name of several parts is that of something beside the article: it leads with it, or its last part that is no part or place is one (a comment-list, no share-holders)."""
+    if parts[0] in LAYOUT:
+        return False
+    if parts[0] in LEADS:
+        return True
+    last = len(parts) - 1
+    while last > 0 and parts[last] not in CLASSES and (parts[last] in PARTS or not parts[last].isalpha()):
+        last -= 1
+    return parts[last] in CLASSES
+
+
+def junk(name: str, attributes: str, article: bool, forms: bool = False) -> bool:
+    """Whether an element is no content by its tag, role, class or id; with ``forms``, a form is a container like others."""
+    if name in DROP and not (forms and name == "form") or name == "header" and not article:
         return True
     if not attributes or name in ("html", "body", "article", "main"):
         return False
@@ -68,8 +87,7 @@ def junk(name: str, attributes: str, article: bool) -> bool:
             return True
         if key in ("class", "id"):
             for token in value.split():
-                parts = SPLIT.split(token)
-                if token in CLASSES or parts[0] in CLASSES or parts[-1] in CLASSES and parts[0] not in LAYOUT:
+                if token in CLASSES or named(SPLIT.split(token)):
                     return True
     return False
 
@@ -85,7 +103,7 @@ class Element:
 JUNK, PLAIN, MAIN, ARTICLE = -1, 0, 1, 2
 
 
-def parse(page: str) -> tuple[list[str], list[int], list[tuple[int, int, int, bool]]]:
+def parse(page: str, forms: bool = False) -> tuple[list[str], list[int], list[tuple[int, int, int, bool]]]:
     """All text blocks of a page, their kinds, and (fingerprint, first block, end block, beside) of every element subtree that holds some.
 
     ``beside`` tells that the page marks its main text and the element stands outside of it.
@@ -170,7 +188,7 @@ def parse(page: str) -> tuple[list[str], list[int], list[tuple[int, int, int, bo
             at = stop.end() if stop else end
             continue
         parent = stack[-1].kind
-        if parent != JUNK and junk(name, attributes, parent > PLAIN):
+        if parent != JUNK and junk(name, attributes, parent > PLAIN, forms):
             if attributes.endswith("/"):
                 continue
             if name in INLINE:
@@ -197,6 +215,12 @@ def parse(page: str) -> tuple[list[str], list[int], list[tuple[int, int, int, bo
     return blocks, kinds, [(h, a, b, marked and kind <= PLAIN) for h, a, b, kind in trees]
 
 
+def read(page: str) -> tuple[list[str], list[int], list[tuple[int, int, int, bool]]]:
+    """``parse``; where nothing but forms is left, one of them holds the page, and forms count as containers."""
+    found = parse(page)
+    return parse(page, forms=True) if found[0] and max(found[1]) == JUNK and "<form" in page.lower() else found
+
+
 def imply(name: str, stack: list[Element], close) -> None:
     """Close the elements whose end the start tag ``name`` implies."""
     implied = CLOSES.get(name, set()) | ({"p"} if name in BLOCKS_CLOSE_P else set())
@@ -217,7 +241,7 @@ def parsed(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found = [parse(h or "") for h in batch.column("html").to_pylist()]
+            found = [read(h or "") for h in batch.column("html").to_pylist()]
             main = [hashlib.blake2b("\0".join(main_blocks(b, k)).encode("utf-8", "surrogatepass"), digest_size=8).digest() for b, k, _ in found]
             cols = [*(batch.column(c) for c in ("tag", "page_id", "url", "host")), pa.array([int.from_bytes(m, "little", signed=True) for m in main], pa.int64())]
             cols += [pa.array([f[0] for f in found], pa.list_(pa.string())), pa.array([f[1] for f in found], pa.list_(pa.int8()))]

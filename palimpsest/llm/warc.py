@@ -14,13 +14,16 @@ Defined cases: a null payload is empty; a null id is written as ``null`` and rea
 back as null, and never is the record others refer to; rows equal in id and
 payload share one type; a record with missing or repeated segments, a wrong length, bad
 framing or a wrong digest is returned with that ``status`` instead of ``complete``.
+Archives may be plain, or compressed as a whole or record by record; of a damaged
+one every record that is whole is read, and a row of the kind ``archive`` tells each
+gap, or that a file is too large to be read.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import zlib
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +32,8 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 
 SEGMENT_BYTES, CHUNK_BYTES, FILE_RECORDS = 16 << 10, 8 << 10, 1500
+#: Bytes of an archive that a task reads whole (a row holds 2 GB at most), and of what is inflated at a time.
+MAX_ARCHIVE, PIECE = 1 << 30, 1 << 16
 #: Tasks over which the pages of one payload spread.
 SLOTS = 64
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -111,28 +116,66 @@ def write(pages: DataFrame, path: str, dedup_bytes: int = 1000, segment_bytes: i
     rows.mapInArrow(tk.tidy(run), "value string").write.option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
-def unpacked(data: bytes) -> bytes:
-    """The bytes of a gzip file, as far as it is whole."""
+def members(data: bytes):
+    """(bytes, whole) of each gzip member of a file; a file that is not compressed is one.
+
+    Of a member that is cut or damaged come the bytes in front of the fault; reading
+    goes on at the next member.  Bytes between members are a member that is not whole.
+    """
+    if not data.startswith(b"\x1f\x8b"):
+        yield data, True
+        return
+    view, at = memoryview(data), 0
+    while at < len(data):
+        out, inflate, end, lost = [], zlib.decompressobj(31), at, data[at : at + 2] != b"\x1f\x8b"
+        try:
+            while not lost and not inflate.eof and end < len(data):
+                out.append(inflate.decompress(view[end : end + PIECE]))
+                end = min(end + PIECE, len(data)) - len(inflate.unused_data)
+        except zlib.error:
+            lost = True
+        if inflate.eof and not lost:
+            yield b"".join(out), True
+            at = end
+            continue
+        # the next member starts where one can be read from
+        at = data.find(b"\x1f\x8b\x08", at + 1)
+        while at >= 0 and not readable(view[at : at + PIECE]):
+            at = data.find(b"\x1f\x8b\x08", at + 1)
+        yield b"".join(out), False
+        if at < 0:
+            return
+
+
+def readable(start: memoryview) -> bool:
+    """Whether the bytes begin a gzip member with a record."""
     try:
-        return gzip.decompress(data)
-    except (EOFError, zlib.error):
-        return zlib.decompressobj(31).decompress(data)
+        return zlib.decompressobj(31).decompress(start, 64).startswith(b"WARC/")
+    except zlib.error:
+        return False
 
 
 def parse(data: bytes):
-    """(headers, block) of every record of an archive; the block of one that is cut short is None, and what follows no record's end is not read."""
-    at = 0
-    while data.startswith(b"WARC/", at):
-        end = data.find(b"\r\n\r\n", at)
+    """(headers, block) of every record of an archive; the block of one that is cut short is None, and so are headers and block of bytes between records."""
+    at = told = 0  # the bytes in front of ``told`` belong to a record that was given
+    while at < len(data):
+        end = data.find(b"\r\n\r\n", at) if data.startswith(b"WARC/", at) else -1
         if end < 0:
-            return
+            after = data.find(b"\r\n\r\nWARC/", at)
+            if at >= told and data[at : after if after >= 0 else len(data)].strip():
+                yield None, None
+            if after < 0:
+                return
+            at = after + 4
+            continue
         lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
         head = {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
         length = head.get("content-length", "")
         size = int(length) if length.isdecimal() else len(data)
         block = data[end + 4 : end + 4 + size]
-        yield head, block if len(block) == size else None
-        at = end + 4 + size + 4
+        whole = len(block) == size
+        yield head, block if whole else None
+        at, told = (end + 4 + size + 4, 0) if whole else (end + 4, end + 5)
 
 
 def settled(head_digest: str | None, block: bytes, total: int | None, whole: bool) -> tuple[int | None, str | None, str]:
@@ -166,31 +209,37 @@ def batch_of(rows: list[dict]) -> pa.RecordBatch:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Every record of the archives below ``path``, whole: origin, kind, page_id, refers_to, digest, payload_bytes, status."""
 
+    def rows(content: bytes):
+        for data, intact in members(content):
+            for head, block in parse(data):
+                if head is None:
+                    yield {"kind": "archive", "status": "damaged"}
+                    continue
+                kind, name = head.get("warc-type", "unknown"), head.get("warc-record-id", "").strip("<>")
+                digest = head.get("warc-payload-digest", "").removeprefix("sha1:") or None
+                segment, total = (int(head[k]) if head.get(k, "").isdecimal() else None for k in ("warc-segment-number", "warc-segment-total-length"))
+                row = {"origin": head.get("warc-segment-origin-id", name).strip("<>"), "kind": kind, "segment": segment, "total": total, "digest": digest}
+                row |= {"page_id": page_of(row["origin"]), "refers_to": page_of(head.get("warc-refers-to"))}
+                if block is None:
+                    row["status"] = "cut short"
+                    if segment is not None:  # its origin misses a segment
+                        row |= {"segment": 0, "block": b""}
+                elif segment is not None:
+                    row["block"] = block
+                elif kind == "revisit":
+                    row["status"] = "complete"
+                else:
+                    row["payload_bytes"], row["digest"], row["status"] = settled(digest, block, None, True)
+                yield row
+            if not intact:
+                yield {"kind": "archive", "status": "damaged"}
+
     def files(batches):
         for batch in batches:
             for content in batch.column("content"):
-                rows = []
-                for head, block in parse(unpacked(content.as_py())):
-                    kind, name = head.get("warc-type", "unknown"), head.get("warc-record-id", "").strip("<>")
-                    digest = head.get("warc-payload-digest", "").removeprefix("sha1:") or None
-                    segment, total = (int(head[k]) if k in head else None for k in ("warc-segment-number", "warc-segment-total-length"))
-                    row = {"origin": head.get("warc-segment-origin-id", name).strip("<>"), "kind": kind, "segment": segment, "total": total, "digest": digest}
-                    row |= {"page_id": page_of(row["origin"]), "refers_to": page_of(head.get("warc-refers-to"))}
-                    if block is None:
-                        row["status"] = "cut short"
-                        if segment is not None:  # its origin misses a segment
-                            row |= {"segment": 0, "block": b""}
-                    elif segment is not None:
-                        row["block"] = block
-                    elif kind == "revisit":
-                        row["status"] = "complete"
-                    else:
-                        row["payload_bytes"], row["digest"], row["status"] = settled(digest, block, None, True)
-                    rows.append(row)
-                    if len(rows) >= 200:
-                        yield batch_of(rows)
-                        rows = []
-                yield batch_of(rows)
+                every = rows(content.as_py())
+                while found := [*islice(every, 200)]:
+                    yield batch_of(found)
 
     def joined(batches):
         open_rows: list[dict] = []
@@ -213,7 +262,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             yield batch_of([close()])
 
     tk.tune(spark, 1)  # a file of at most FILE_RECORDS segments at a time
-    parsed = tk.stored(spark.read.format("binaryFile").load(path).select("content").mapInArrow(tk.tidy(files), FIELDS))
+    archives = spark.read.format("binaryFile").load(path)
+    large = archives.where(F.col("length") > MAX_ARCHIVE).select(*(F.lit({"kind": "archive", "status": "too large"}.get(c)).cast(t).alias(c) for c, t in zip(NAMES, (f.split()[1] for f in FIELDS.split(", ")), strict=True)))
+    parsed = tk.stored(archives.where(F.col("length") <= MAX_ARCHIVE).select("content").mapInArrow(tk.tidy(files), FIELDS).union(large))
     tk.tune(spark, 200)
     single = parsed.where("segment IS NULL")
     parts = parsed.where("segment IS NOT NULL").repartition("origin").sortWithinPartitions("origin", "segment").mapInArrow(tk.tidy(joined), FIELDS)

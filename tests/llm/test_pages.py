@@ -201,3 +201,55 @@ def test_many_pages_of_one_payload(spark):
     found = warc.roundtrip(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()
     assert {(r["page_id"], r["record_type"], r["refers_to"]) for r in found} == {(k, "response" if k == 299 else "revisit", None if k == 299 else 299) for k in range(300)}
     assert all(r["payload_bytes"] == len(big) and r["status"] == "complete" for r in found)
+
+
+def archived(*bodies):
+    """Records of pages 0, 1, ... as bytes."""
+    return [b"".join((r + "\n").encode() for r in warc.records(k, "http://a/", b, hashlib.sha1(b).hexdigest(), None, k, 1 << 20)) for k, b in enumerate(bodies)]
+
+
+def test_damaged_archives_keep_their_whole_records(spark, tmp_path):
+    """Members, plain files, trailing bytes, holes: every record that is whole is read, and each gap is told."""
+    rnd = random.Random(5)
+    five = archived(*(bytes(rnd.choice(b"abcdefgh \n") for _ in range(3000)) for _ in range(5)))
+    packed = [gzip.compress(r) for r in five]
+    hole = bytearray(packed[2])
+    hole[len(hole) // 2 : len(hole) // 2 + 40] = b"\x00" * 40
+    cases = {
+        "whole": (packed, [0, 1, 2, 3, 4], 0), "cut": ([*packed[:4], packed[4][:-6]], [0, 1, 2, 3], 1), "hole": ([*packed[:2], bytes(hole), *packed[3:]], [0, 1, 3, 4], 1),
+        "trailing": ([*packed, b"\x00" * 100], [0, 1, 2, 3, 4], 1), "plain": (five, [0, 1, 2, 3, 4], 0), "plain_hole": ([five[0], b"junk\r\n\r\n", *five[1:]], [0, 1, 2, 3, 4], 1),
+        "one_member": ([gzip.compress(b"".join(five))], [0, 1, 2, 3, 4], 0), "nothing": ([b""], [], 0), "no_archive": ([b"\x1f\x8b\x08nothing"], [], 1),
+    }
+    for name, (parts, pages, gaps) in cases.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc.gz").write_bytes(b"".join(parts))
+        rows = warc.read(spark, f"file://{tmp_path / name}").collect()
+        # the last record of a cut member has all its bytes but the checksum, or is told as cut short
+        good = sorted(r["page_id"] for r in rows if r["status"] == "complete")
+        assert [p for p in good if p in pages] == pages and len(good) <= len(pages) + (name == "cut"), name
+        assert sum(r["status"] == "damaged" for r in rows) == gaps, name
+
+
+def test_large_archives_are_refused_with_a_status(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "MAX_ARCHIVE", 1000)
+    (tmp_path / "small.warc").write_bytes(archived(b"x" * 10)[0])
+    (tmp_path / "large.warc").write_bytes(archived(b"y" * 5000)[0])
+    assert sorted(r["status"] for r in warc.read(spark, f"file://{tmp_path}").collect()) == ["complete", "too large"]
+
+
+@pytest.mark.parametrize("name", "share-holders legal-news search-results header-image comment-on-policy social-history notice-of-award menu-engineering has-sidebar".split())
+def test_names_that_only_begin_like_junk(name):
+    blocks, kinds, _ = extract.parse(f"<article><p>one</p><div class='{name}'><p>two</p></div><section id={name}>three</section></article>")
+    assert extract.main_blocks(blocks, kinds) == ["one", "two", "three"]
+
+
+@pytest.mark.parametrize("name", "ad-box ad-300x250 comment-list comments_area comment-thread share-buttons site-footer main-nav nav-links sidebar-left related-posts cookie-notice-text user-comments page-header newsletter-signup widget-2 post-share".split())
+def test_names_of_junk(name):
+    blocks, kinds, _ = extract.parse(f"<article><p>one</p><div class='{name}'><p>two</p></div><section id={name}>three</section></article>")
+    assert extract.main_blocks(blocks, kinds) == ["one"]
+
+
+def test_a_page_in_a_form(spark):
+    page = "<body><form action=/><div class=menu>m</div><div><h1>head</h1><p>text</p><input><select><option>o</select></div></form></body>"
+    rows = extract.extract(spark.createDataFrame([(1, "http://a/", page), (2, "http://a/", "<form><label>x</label></form><p>text</p>")], "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in rows} == {1: "head text", 2: "text"}
