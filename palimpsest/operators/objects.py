@@ -77,6 +77,59 @@ def restored(start: DataFrame, objects: DataFrame) -> DataFrame:
     return edges.join(have, "ref", "left").select("key", "ref", F.coalesce("present", F.lit(False)).alias("present"))
 
 
+def _below(rows: DataFrame, objects: DataFrame, sides: tuple[str, ...]) -> DataFrame:
+    """What hangs below the objects of a level: (conversation_id, at, a key a side), with ``at`` grown by the place among the refs; only what differs goes on.
+
+    A place is compared with the same place, so what follows an insertion differs; nodes are appended.
+    """
+    refs = objects.select("key", "refs").dropDuplicates(["key"])
+    out = None
+    for side in sides:
+        part = rows.where(F.col(side).isNotNull()).join(refs.withColumnRenamed("key", side), side).select("conversation_id", "at", F.posexplode("refs").alias("k", side))
+        part = part.select("conversation_id", F.concat("at", F.array("k")).alias("at"), side)
+        out = part if out is None else out.join(part, ["conversation_id", "at"], "full_outer")
+    return out if len(sides) == 1 else out.where(~F.col(sides[0]).eqNullSafe(F.col(sides[1])))
+
+
+def tree_difference(before: DataFrame, after: DataFrame, objects: DataFrame, size: int = 256) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Two sets of manifests (conversation_id, key) compared from the top: only chunks whose keys differ are read.
+
+    Changed nodes (conversation_id, ordinal, change, before, after), the keys read
+    (conversation_id, level, key), and those that are asked for and not there.
+    """
+    old, new = before.select("conversation_id", F.col("key").alias("before")), after.select("conversation_id", F.col("key").alias("after"))
+    manifest = old.join(new, "conversation_id", "full_outer").where(~F.col("before").eqNullSafe(F.col("after"))).withColumn("at", F.array().cast("array<int>"))
+    manifest = cut(manifest.select("conversation_id", "at", "before", "after"))
+    chunk = cut(_below(manifest, objects, ("before", "after")))
+    node = cut(_below(chunk, objects, ("before", "after")))
+    change = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").otherwise("updated")
+    ordinal = (F.element_at("at", 1).cast("long") * size + F.element_at("at", 2)).alias("ordinal")
+    read = None
+    for level, rows in (("manifest", manifest), ("chunk", chunk)):
+        part = rows.select("conversation_id", F.lit(level).alias("level"), F.explode(F.array_compact(F.array("before", "after"))).alias("key")).distinct()
+        read = part if read is None else read.union(part)
+    absent = read.join(objects.select("key"), "key", "left_anti").select("conversation_id", "level", "key")
+    return node.select("conversation_id", ordinal, change.alias("change"), "before", "after"), read, absent
+
+
+def restore(manifests: DataFrame, objects: DataFrame, payloads: DataFrame, size: int = 256) -> tuple[DataFrame, DataFrame]:
+    """Nodes (conversation_id, ordinal, key, payload) of conversations by their manifests (conversation_id, key), and (conversation_id, level, key) of what is missing at each level.
+
+    A conversation that misses anything is not restored: its nodes are left out.
+    """
+    top = manifests.select("conversation_id", F.array().cast("array<int>").alias("at"), "key")
+    chunk = cut(_below(top, objects, ("key",)))
+    node = cut(_below(chunk, objects, ("key",)))
+    there = objects.select("key").distinct()
+    absent = None
+    for level, rows, have in (("manifest", top, there), ("chunk", chunk, there), ("node", node, payloads.select("key").distinct())):
+        part = rows.join(have, "key", "left_anti").select("conversation_id", F.lit(level).alias("level"), "key").distinct()
+        absent = part if absent is None else absent.union(part)
+    absent = cut(absent)
+    whole = node.join(absent.select("conversation_id").distinct(), "conversation_id", "left_anti").join(payloads.select("key", "payload").dropDuplicates(["key"]), "key")
+    return whole.select("conversation_id", (F.element_at("at", 1).cast("long") * size + F.element_at("at", 2)).alias("ordinal"), "key", "payload"), absent
+
+
 def difference(before: DataFrame, after: DataFrame, key: str, sign: str) -> DataFrame:
     """(key, change): added, updated, removed, unchanged of two keyed tables."""
     old, new = before.select(key, F.col(sign).alias("old"), F.lit(1).alias("in_old")), after.select(key, F.col(sign).alias("new"), F.lit(1).alias("in_new"))

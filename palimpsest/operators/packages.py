@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions.text import parsed_uri
+
 from .objects import fingerprint
+from .records import issues
 
 
 def payload_hash(tables: dict[str, DataFrame]) -> str:
@@ -34,6 +37,74 @@ def package_issues(objects: DataFrame, versions: DataFrame, relations: DataFrame
     return found.union(err(origin.where("r IS NULL"), "PROMOTION_SOURCE_MISSING", "id")).union(err(origin.where("source_revision > r"), "PROMOTION_REVISION_INVALID", "id"))
 
 
+#: Formats of a package, and of the records of each collection; the version of all of them.
+FORMATS = {"package": "portable-package", "objects": "content-object", "versions": "content-version", "relations": "content-relation", "operations": "content-operation", "promotions": "content-promotion"}
+SCHEMA_VERSION = 1
+KEYS = {"objects": "id", "versions": "key", "relations": "id", "operations": "id", "promotions": "id"}
+
+
+def content_digest(*cols: str) -> Column:
+    """The hash that an object's record should bear."""
+    return F.concat(F.lit("sha256:"), F.sha2(F.to_json(F.struct(*sorted(cols)), {"ignoreNullFields": "false"}), 256))
+
+
+def envelope(tables: dict[str, DataFrame], project: str | None = None, unbound: bool = False) -> dict:
+    """What stands beside the records of a package: hash, id taken from it, and counts."""
+    digest = payload_hash(tables)
+    return {"format": FORMATS["package"], "schema_version": SCHEMA_VERSION, "package_id": f"capture-package:{digest[:24]}", "payload_hash": digest, "project": project, "unbound": unbound, "counts": {name: df.count() for name, df in tables.items()}}
+
+
+def record_issues(tables: dict[str, DataFrame], content: list[str]) -> DataFrame:
+    """(severity, code, item) of records by themselves and of the evidence that they cite.
+
+    Records bear format and schema_version; objects (id, title, revision, digest) hash
+    the columns ``content``; evidence stands in objects.evidence_uris (array),
+    relations.evidence_uri and promotions.source_evidence_uri.
+    """
+    found = None
+
+    def told(rows: DataFrame, code: str | Column, item: Column | str, severity: str = "error") -> None:
+        nonlocal found
+        part = rows.select(F.lit(severity).alias("severity"), (F.lit(code) if isinstance(code, str) else code).alias("code"), (F.col(item) if isinstance(item, str) else item).cast("string").alias("item"))
+        found = part if found is None else found.union(part)
+
+    for name, rows in tables.items():
+        key = F.coalesce(F.col(KEYS[name]).cast("string"), F.lit(""))
+        at = F.concat(F.lit(f"{name}."), key)
+        told(rows.where(key == ""), "MISSING_KEY", F.lit(f"{name}.{KEYS[name]}"))
+        told(rows.where(key != "").groupBy(key.alias("k")).count().where("count > 1"), "DUPLICATE_KEY", F.concat(F.lit(f"{name}."), "k"))
+        told(rows.where(~F.col("format").eqNullSafe(F.lit(FORMATS[name]))), "FORMAT_MISMATCH", at)
+        told(rows.where(~F.col("schema_version").eqNullSafe(F.lit(SCHEMA_VERSION))), "SCHEMA_VERSION_MISMATCH", at)
+    objects, versions = tables["objects"], tables["versions"]
+    told(issues(objects), "INVALID_CONTENT_OBJECT", F.concat(F.lit("objects."), F.col("id").cast("string"), F.lit("."), "path"))
+    told(objects.where(~F.col("digest").eqNullSafe(content_digest(*content))), "CONTENT_HASH_MISMATCH", F.concat(F.lit("objects."), F.col("id").cast("string")))
+    snapshot = versions.select(F.col("key").alias("id"), *(F.col(c) for c in versions.columns if c not in ("key", "id")))
+    told(issues(snapshot), "INVALID_VERSION_SNAPSHOT", F.concat(F.lit("versions."), F.col("id").cast("string"), F.lit("."), "path"))
+    cited = objects.select(F.explode("evidence_uris").alias("uri"), F.concat(F.lit("objects."), F.col("id").cast("string")).alias("at"))
+    cited = cited.union(tables["relations"].where("evidence_uri IS NOT NULL").select("evidence_uri", F.concat(F.lit("relations."), F.col("id").cast("string"))))
+    cited = cited.union(tables["promotions"].where("source_evidence_uri IS NOT NULL").select("source_evidence_uri", F.concat(F.lit("promotions."), F.col("id").cast("string"))))
+    cited = cited.withColumn("e", parsed_uri("uri")).where("e.kind = 'content'").withColumn("key", F.concat("e.id", F.lit(":v"), "e.part"))
+    seen = cited.join(versions.select("key", F.col("digest").alias("have"), F.lit(True).alias("there")).dropDuplicates(["key"]), "key", "left")
+    told(seen.where("there IS NULL"), "EXTERNAL_CONTENT_EVIDENCE", "at", "warning")
+    told(seen.where(F.col("there") & ~F.col("have").eqNullSafe(F.col("e.hash"))), "EVIDENCE_HASH_MISMATCH", "at")
+    return found
+
+
+def envelope_issues(told: dict, tables: dict[str, DataFrame]) -> DataFrame:
+    """(severity, code, item) of what stands beside the records: a hash and counts a table, and the scope of objects."""
+    objects, want = tables["objects"], envelope(tables)
+    rows = [
+        (told.get("format") != FORMATS["package"], "PACKAGE_FORMAT_MISMATCH", "format"), (told.get("schema_version") != SCHEMA_VERSION, "PACKAGE_SCHEMA_MISMATCH", "schemaVersion"),
+        (told.get("payload_hash") != want["payload_hash"], "PAYLOAD_HASH_MISMATCH", "payloadHash"), (told.get("package_id") != want["package_id"], "PACKAGE_ID_MISMATCH", "packageId"),
+        *(((told.get("counts") or {}).get(name) != n, "COUNT_MISMATCH", f"counts.{name}") for name, n in want["counts"].items()),
+    ]
+    found = objects.sparkSession.createDataFrame([("error", code, at) for wrong, code, at in rows if wrong], "severity string, code string, item string")
+    bound = objects.where(F.lit(bool(told.get("unbound"))) & (F.coalesce("project_id", F.lit("")) != "")).select(F.lit("error"), F.lit("SCOPE_UNBOUND_MISMATCH"), F.concat(F.lit("objects."), F.col("id").cast("string")))
+    project = told.get("project")
+    other = objects.where(F.lit(project is not None) & ~F.col("project_id").eqNullSafe(F.lit(project))).select(F.lit("error"), F.lit("SCOPE_PROJECT_MISMATCH"), F.concat(F.lit("objects."), F.col("id").cast("string")))
+    return found.union(bound).union(other)
+
+
 def preflight(handoffs: DataFrame) -> DataFrame:
     """(handoff_id, status, failures) of handoffs whose manifest, contract, receipt, state, gate and challenge stand in one row as structs."""
     differ = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))

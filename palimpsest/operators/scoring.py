@@ -85,9 +85,11 @@ def alike(one: DataFrame, two: DataFrame, by: str = "case", least: float = 0.55)
         first = F.array_sort(F.collect_list(F.struct("n", "token")))  # a text's tokens, at most MAX_TOKENS
         few = F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 1
         ranked = rows.join(often, [by, "token"]).groupBy(by, k, "size").agg(first.alias("ts"))
-        return ranked.select(by, k, F.col("size").alias(f"{k}_size"), F.explode(F.slice("ts", F.lit(1), few.cast("int"))["token"]).alias("token"))
+        return ranked.select(by, k, F.col("size").alias(f"{k}_size"), F.posexplode(F.slice("ts", F.lit(1), few.cast("int"))["token"]).alias(f"{k}_at", "token"))
 
     near = (F.col("b_size") >= F.col("a_size") * share - 1e-9) & (F.col("a_size") >= F.col("b_size") * share - 1e-9)
+    # at the first token that two texts share enough must follow in both
+    near &= 1 + F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at")) - 1 >= (F.col("a_size") + F.col("b_size")) * least / 2 - 1e-9
     met = rarest(each[0], "a").join(rarest(each[1], "b"), [by, "token"]).where(near).select(by, "a", "b")
     met = met.union(within(a, "a", b, "b")).union(within(b, "b", a, "a")).distinct()
     rows = met.join(a.select(by, "a", F.col("x").alias("x")), [by, "a"]).join(b.select(by, "b", F.col("x").alias("y")), [by, "b"])

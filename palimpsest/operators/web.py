@@ -65,3 +65,27 @@ def matched_assets(assets_: DataFrame, project: DataFrame, conversations: DataFr
     one = assets_.join(project, "project_id", "left_semi").select("key")
     two = assets_.select("key", F.explode("conversations").alias("conversation_id")).join(conversations, "conversation_id", "left_semi").select("key")
     return one.union(two).distinct()
+
+
+# Fields of a stored asset that may be kept.
+ASSET_FIELDS = ("key", "job_id", "asset_key", "file_id", "file_name", "mime_type", "size_bytes", "expected_bytes", "sha256", "archive_path", "bytes", "references", "diagnostics", "downloaded_at", "object_key")
+
+
+def stored_assets(rows: DataFrame) -> DataFrame:
+    """Asset records with the allowed fields only; of diagnostics (signing_endpoint, signing_attempts, binary_status, download_host) clamped parts without tokens and addresses.
+
+    At most ten attempts are kept, as surveyed; a null record of diagnostics stays null.
+    """
+    kept = rows.select(*(c for c in rows.columns if c in ASSET_FIELDS))
+    if "diagnostics" not in kept.columns:
+        return kept
+    message = lambda x: F.substring(F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), r"(?i)Bearer\s+\S+", "Bearer <redacted>"), r"(?i)https?://[^\s\"'<>]+", "<redacted-url>"), 1, 240)
+    d = F.col("diagnostics")
+    attempt = lambda a: F.struct(
+        F.coalesce(F.substring(a["label"], 1, 80), F.lit("unknown")).alias("label"), F.when(a["result"] == "success", "success").otherwise("failed").alias("result"), a["status"].try_cast("double").alias("status"), message(a["message"]).alias("message"),
+    )
+    clean = F.struct(
+        F.substring(d["signing_endpoint"], 1, 80).alias("signing_endpoint"), F.transform(F.slice(F.coalesce(d["signing_attempts"], F.array()), 1, 10), attempt).alias("signing_attempts"),
+        d["binary_status"].try_cast("double").alias("binary_status"), F.substring(F.regexp_replace(d["download_host"], r"(?i)[^a-z0-9.:-]", ""), 1, 160).alias("download_host"),
+    )
+    return kept.withColumn("diagnostics", F.when(d.isNotNull(), clean))

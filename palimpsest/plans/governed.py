@@ -127,8 +127,7 @@ def run_receipts(t):
 def memory_versions(t):
     from pyspark.sql import Window
 
-    one = t.events.where("user_id = 8")  # one user's versions
-    rows = one.select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("version"))
+    rows = t.events.select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("version"))
     return governance.versions_of(rows, "user_id", 8)
 
 
@@ -143,16 +142,17 @@ def gate_manifests(t):
     return governance.manifest(reported(t))
 
 
-def reported(t):
+def reported(t, project=None):
     verdict = F.element_at(F.array(*map(F.lit, ("INCLUDE", "EXCLUDE", "REVIEW"))), (F.col("doc_id") % 3 + 1).cast("int"))
-    return t.documents.select(F.col("source").alias("project_id"), F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("title"), F.col("lang").alias("text"), verdict.alias("decision"), F.lit("CODE").alias("reason"), F.col("n_chars").alias("tokens"))
+    return t.documents.select((F.col("source") if project is None else project).alias("project_id"), F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("title"), F.col("lang").alias("text"), verdict.alias("decision"), F.lit("CODE").alias("reason"), F.col("n_chars").alias("tokens"))
 
 
-@query("""SELECT source AS project_id, '# ' || source || chr(10) || chr(10) || '- Token budget: 2048' || chr(10) || '- Used: ' || CAST(coalesce(sum(n_chars) FILTER (doc_id % 3 = 0), 0) AS BIGINT) || chr(10) || chr(10) || '## Included' || chr(10) || chr(10) ||
+@query("""SELECT project_id, '# ' || project_id || chr(10) || chr(10) || '- Token budget: 2048' || chr(10) || '- Used: ' || CAST(coalesce(sum(n_chars) FILTER (doc_id % 3 = 0), 0) AS BIGINT) || chr(10) || chr(10) || '## Included' || chr(10) || chr(10) ||
  coalesce(string_agg('### ' || doc_id || chr(10) || chr(10) || lang, chr(10) || chr(10) ORDER BY doc_id) FILTER (doc_id % 3 = 0), '- None') || chr(10) || chr(10) || '## Review' || chr(10) || chr(10) || coalesce(string_agg('- ' || doc_id || ': CODE', chr(10) ORDER BY doc_id) FILTER (doc_id % 3 = 2), '- None')
- || chr(10) || chr(10) || '## Excluded' || chr(10) || chr(10) || coalesce(string_agg('- ' || doc_id || ': CODE', chr(10) ORDER BY doc_id) FILTER (doc_id % 3 = 1), '- None') || chr(10) AS markdown FROM documents WHERE doc_id % 10 = 1 GROUP BY source""")
+ || chr(10) || chr(10) || '## Excluded' || chr(10) || chr(10) || coalesce(string_agg('- ' || doc_id || ': CODE', chr(10) ORDER BY doc_id) FILTER (doc_id % 3 = 1), '- None') || chr(10) AS markdown FROM (SELECT *, source || '-' || doc_id // 1000 AS project_id FROM documents) GROUP BY project_id""")
 def gate_markdown(t):
-    return governance.gate_markdown(reported(t).where("id % 10 = 1"), 2048)  # an excerpt's worth: a report is what one budget holds
+    """A report for each source and thousand documents."""
+    return governance.gate_markdown(reported(t, F.concat_ws("-", "source", F.call_function("div", F.col("doc_id"), F.lit(1000)).cast("string"))), 2048)
 
 
 # --- providers ----------------------------------------------------------------
@@ -568,11 +568,11 @@ def bundle(t):
     messages = t.conversations.select(F.concat_ws(":", "conv_id", "turn").alias("key"), c.cast("string").alias("conversation_id"), F.concat(F.lit("n"), F.col("turn").cast("string")).alias("node_id"), "role", "text", F.lit(True).alias("active"), day(F.col("turn")).alias("created_at"), F.col("turn").alias("depth"))
     talks = t.conversations.select("conv_id").distinct().select(c.cast("string").alias("conversation_id"), F.lit("talk").alias("title"), F.when(c % 2 == 0, F.concat(F.lit("src"), (c % 8).cast("string"))).alias("project_id"), F.when(c % 2 == 0, F.concat(F.lit("Project "), (c % 8).cast("string"))).alias("project_title"), (c % 3 == 0).alias("archived"), day(c).alias("updated_at"), F.lit("e").alias("evidence_hash"))
     objects = t.documents.select(i.cast("string").alias("id"), F.when(i % 3 == 0, "flash").otherwise("note").alias("kind"), F.col("source").alias("project_id"), F.col("lang").alias("title"), F.col("text").alias("body"), F.array("lang").alias("tags"), F.when(i % 10 == 0, "trashed").otherwise("active").alias("status"), F.lit(1).alias("revision"), F.sha2("text", 256).alias("digest"), day(i).alias("updated_at"))
-    states = t.documents.where("doc_id < 8").select(F.col("source").alias("project_id"), (i + 1).alias("version")).dropDuplicates(["project_id"])
+    states = t.documents.groupBy(F.col("source").alias("project_id")).agg((F.min("doc_id") + 1).alias("version"))
     return api.Bundle(messages, talks, objects, states)
 
 
-@query("SELECT (SELECT count(DISTINCT conv_id) FROM conversations) AS conversations, (SELECT count(*) FROM conversations) AS messages, (SELECT count(*) FROM documents) AS content_objects, (SELECT count(DISTINCT source) FROM documents WHERE doc_id < 8) AS states, (SELECT count(DISTINCT p) FROM (SELECT 'src' || conv_id % 8 AS p FROM conversations WHERE conv_id % 2 = 0 UNION ALL SELECT source FROM documents)) AS projects")
+@query("SELECT (SELECT count(DISTINCT conv_id) FROM conversations) AS conversations, (SELECT count(*) FROM conversations) AS messages, (SELECT count(*) FROM documents) AS content_objects, (SELECT count(DISTINCT source) FROM documents) AS states, (SELECT count(DISTINCT p) FROM (SELECT 'src' || conv_id % 8 AS p FROM conversations WHERE conv_id % 2 = 0 UNION ALL SELECT source FROM documents)) AS projects")
 def tool_stats(t):
     return api.stats(bundle(t))
 
@@ -594,11 +594,11 @@ def tool_list_content(t):
     return api.list_content(bundle(t), 30, project="src1").select("id")
 
 
-@query("""SELECT CAST(doc_id AS VARCHAR) AS id, round(CAST(20 + 3 + least(5.0, epoch_ms(TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * doc_id) / 1e13) AS DOUBLE), 6) AS score FROM documents WHERE lang = 'en' AND doc_id % 10 <> 0 ORDER BY doc_id DESC LIMIT 20""")
+@query("""SELECT CAST(doc_id AS VARCHAR) AS id, round(CAST((CASE WHEN contains(lang, 'es') THEN 20 ELSE 0 END) + 3 + least(5.0, epoch_ms(TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * doc_id) / 1e13) AS DOUBLE), 6) AS score
+ FROM documents WHERE doc_id % 10 <> 0 AND list_contains(regexp_extract_all(lower(lang || chr(10) || text || chr(10) || lang), '[a-z0-9][a-z0-9_+.-]{1,63}'), 'es') ORDER BY score DESC, doc_id DESC LIMIT 200""")
 def tool_search_content(t):
-    rows = bundle(t)
-    rows.objects = rows.objects.withColumn("body", F.lit(""))  # so that the title alone decides
-    return api.search_content(rows, "en").select("id", "score")
+    """Titles, whole bodies and tags; the word is a language's title, and stands in texts of others."""
+    return api.search_content(bundle(t), "es", 200).select("id", "score")
 
 
 @query(r"SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN length(text) <= 200 THEN text ELSE regexp_replace(left(text, 182), '\s+$', '') || chr(10) || '…[truncated]' END AS body FROM documents WHERE doc_id = 7")
@@ -646,7 +646,7 @@ def tool_context_pack(t):
     return api.context_pack(bundle(t), "the and", 32768).select("key")
 
 
-@query("SELECT 'src1' AS project_id, 'decision' AS kind, min(doc_id) + 1 AS base_version, 1 AS evidence FROM documents WHERE doc_id < 8 AND source = 'src1'")
+@query("SELECT 'src1' AS project_id, 'decision' AS kind, min(doc_id) + 1 AS base_version, 1 AS evidence FROM documents WHERE source = 'src1'")
 def tool_propose(t):
     one = t.spark.createDataFrame([("change",)], "change string")
     cited = t.spark.createDataFrame([("archive://conversation/3/node/n0?evidence=e",), ("archive://conversation/3/node/none?evidence=e",)], "uri string")

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.functions import folders
-from palimpsest.operators import commits, graph, packing
+from palimpsest.functions import text as T
+from palimpsest.operators import commits, graph, index, objects, packages, packing, web
 from palimpsest.sources import archives, committed, sinks
+from palimpsest.sources.paged import PagedSource
+from palimpsest.streaming import jobs
 
-from .catalogue import ORACLE_SQL, L, messages, query
+from .catalogue import ORACLE_SQL, WORDS_SQL, L, messages, query
 
 # --- commits with compare-and-set ----------------------------------------------
 
@@ -137,3 +140,210 @@ def package_files(t):
         part = df.select(F.lit(name).alias("name"), F.col(df.columns[0]).alias("id"), F.col(df.columns[1]).alias("value"))
         out = part if out is None else out.union(part)
     return out
+
+
+# --- restores, differences, imports that go on -----------------------------------
+
+ORDINALS_SQL = "SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY source) AS n FROM documents"
+
+
+def trees(t):
+    """Documents of a source as nodes of a conversation: storage objects without and with the last two of each, and payloads by key."""
+    place = F.row_number().over(objects.Window.partitionBy("source").orderBy("doc_id")) - 1
+    n = F.count("*").over(objects.Window.partitionBy("source"))
+    nodes = t.documents.select(F.col("source").alias("conversation_id"), place.cast("long").alias("ordinal"), F.col("doc_id").cast("string").alias("node_id"), F.concat_ws(":", "doc_id", "text").alias("payload"), n.alias("n"))
+    old, new = objects.plan(nodes.where("ordinal < n - 2"), 8), objects.plan(nodes, 8)
+    return old, new, nodes.select(F.concat(F.lit("node:"), F.sha2("payload", 256)).alias("key"), "payload")
+
+
+def tops(plan):
+    return plan.where("kind = 'manifest'").select("conversation_id", "key")
+
+
+@query(f"""WITH o AS ({ORDINALS_SQL}) SELECT 'node' AS part, source AS id, k AS n, 'added' AS value FROM o WHERE k >= n - 2
+ UNION ALL SELECT 'read', source, CASE WHEN n > 2 THEN 2 ELSE 1 END, 'manifest' FROM o WHERE k = 0
+ UNION ALL SELECT 'read', source, (n - 1) // 8 - (n - 2) // 8 + 1 + CASE WHEN (n - 2) % 8 > 0 THEN 1 ELSE 0 END, 'chunk' FROM o WHERE k = 0""")
+def tree_changes(t):
+    """Two nodes appended to every conversation: what differs, and how many manifests and chunks were read for it."""
+    old, new, _ = trees(t)
+    changed, read, absent = objects.tree_difference(tops(old), tops(new), old.unionByName(new), 8)
+    counts = read.groupBy("conversation_id", "level").agg(F.count("*").alias("n"))
+    rows = changed.select(F.lit("node").alias("part"), F.col("conversation_id").alias("id"), L("ordinal", "n"), F.col("change").alias("value"))
+    return rows.union(counts.select(F.lit("read"), "conversation_id", "n", "level")).union(absent.select(F.lit("absent"), "conversation_id", F.lit(1).cast("long"), "level"))
+
+
+@query(f"""WITH o AS ({ORDINALS_SQL}), hurt AS (SELECT DISTINCT source FROM o WHERE doc_id % 50 = 7)
+ SELECT 'node' AS part, source AS id, k AS n, sha256(doc_id || ':' || text) AS value FROM o WHERE source NOT IN (SELECT source FROM hurt) UNION ALL SELECT 'absent', source, 1, 'node:' || sha256(doc_id || ':' || text) FROM o WHERE doc_id % 50 = 7""")
+def restored_conversations(t):
+    """Conversations restored from their manifests; the payloads of some nodes are gone, and what misses one is told and left out."""
+    _, new, payloads = trees(t)
+    kept = payloads.where("cast(substring_index(payload, ':', 1) AS long) % 50 <> 7")
+    nodes, absent = objects.restore(tops(new), new, kept, 8)
+    rows = nodes.select(F.lit("node").alias("part"), F.col("conversation_id").alias("id"), L("ordinal", "n"), F.sha2("payload", 256).alias("value"))
+    return rows.union(absent.select(F.lit("absent"), "conversation_id", F.lit(1).cast("long"), "key"))
+
+
+@query("""WITH d AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS line FROM documents)
+ SELECT lang || '.jsonl' AS file, line, CASE WHEN doc_id % 11 = 3 THEN 'not JSON' WHEN doc_id % 11 = 5 THEN 'not an object' WHEN doc_id % 11 = 7 THEN 'does not fit the schema' END AS reason, CASE WHEN doc_id % 11 NOT IN (3, 5, 7) THEN doc_id END AS id FROM d WHERE doc_id % 11 <> 9""")
+def line_imports(t):
+    """Documents as JSON lines, some broken in three ways, some blank: good rows and refused lines with their numbers."""
+    i, path = F.col("doc_id"), folders.scratch(t.spark)
+    good = F.to_json(F.struct(i.alias("id"), "text"))
+    line = F.when(i % 11 == 3, F.concat(F.lit("{"), good)).when(i % 11 == 5, "[1, 2]").when(i % 11 == 7, '{"id": {"a": 1}}').when(i % 11 == 9, "  ").otherwise(good)
+    sinks.write_files(t.documents.select(F.concat("lang", F.lit(".jsonl")).alias("file"), F.lpad(i.cast("string"), 12, "0").alias("name"), F.concat(line, F.lit("\n")).alias("payload")), path)
+    rows, bad = archives.json_lines(t.spark, f"{path}/{sinks.manifest(t.spark, path)['folder']}/files", "id long, text string")
+    file = F.substring_index("file", "/", -1).alias("file")
+    return rows.select(file, "line", F.lit(None).cast("string").alias("reason"), "id").union(bad.select(file, "line", "reason", F.lit(None).cast("long")))
+
+
+@query("""WITH c AS (SELECT DISTINCT conv_id FROM conversations) SELECT 'a' || conv_id % 3 || '.zip' AS path, 'c' || conv_id || '/raw.json' AS name, CASE WHEN conv_id % 4 = 0 THEN NULL ELSE 0 END AS position, CASE conv_id % 4 WHEN 0 THEN 'not JSON' WHEN 1 THEN 'no mapping' ELSE 'no id' END AS reason FROM c WHERE conv_id % 4 < 3
+ UNION ALL SELECT 'a' || conv_id || '.zip', '../x/raw.json', NULL, 'unsafe name' FROM c WHERE conv_id < 3""")
+def import_rejections(t):
+    """Conversations in archives, three of four damaged in one of three ways; every loss is told with its file and reason."""
+    i = F.col("conv_id")
+    name = F.concat(F.lit("c"), i.cast("string"), F.lit("/raw.json"))
+    text = F.when(i % 4 == 0, "{").when(i % 4 == 1, '{"id": "x"}').when(i % 4 == 2, '{"mapping": {}}').otherwise('{"id": "x", "mapping": {}}')
+    convs = t.conversations.select("conv_id").distinct()
+    rows = convs.select(F.concat(F.lit("a"), (i % 3).cast("string"), F.lit(".zip")).alias("a"), name.alias("n"), text.alias("p"))
+    bad = convs.where("conv_id < 3").select(F.concat(F.lit("a"), i.cast("string"), F.lit(".zip")), F.lit("../x/raw.json"), F.lit("{}"))
+    return archives.rejected(archives.entries(archives.packed(rows.union(bad), "a", "n", "p")))
+
+
+def paged(t, folder, by, rounds):
+    """Items of a paged source streamed into a table; each round reads the pages that are there by then, and goes on where the one before ended."""
+    t.spark.dataSource.register(PagedSource)
+    out, size = folders.scratch(t.spark), 50
+    for most in rounds:
+        path = folders.scratch(t.spark)
+        rows = t.documents.where(F.col("doc_id") < most) if most is not None else t.documents
+        page = F.concat(F.lit("page-"), F.lpad(F.call_function("div", F.col("doc_id"), F.lit(size)).cast("string"), 5, "0"), F.lit(".jsonl"))
+        sinks.write_files(rows.select(page.alias("file"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("name"), F.concat(F.to_json(F.struct("doc_id", "lang")), F.lit("\n")).alias("payload")), path)
+        at = f"{path}/{sinks.manifest(t.spark, path)['folder']}/files"
+        source = t.spark.readStream.format("paged").option("fetch", f"palimpsest.sources.paged:stored_{by}s").option("by", by).option("at", at).option("limit", 30).option("pages", 1_000_000).load()
+        source.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(f"{out}/rows").select("position", F.get_json_object("item", "$.doc_id").cast("long").alias("doc_id"), F.get_json_object("item", "$.lang").alias("lang"))
+
+
+PAGED_SQL = "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS position, doc_id, lang FROM documents"
+
+
+@query(PAGED_SQL)
+def offset_stream(t):
+    """Offset pages as a stream that is stopped after 175 items and goes on when there are more."""
+    return paged(t, "o", "offset", (175, None))
+
+
+@query(PAGED_SQL)
+def cursor_stream(t):
+    """Cursor pages as a stream; the last page of the first run grows before the second."""
+    return paged(t, "c", "cursor", (175, None))
+
+
+# --- jobs as a stream ------------------------------------------------------------
+
+KIND_SQL = "CASE event_type WHEN 'view' THEN 'found' WHEN 'click' THEN 'saved' WHEN 'purchase' THEN 'asset' WHEN 'signup' THEN CASE event_id % 3 WHEN 0 THEN 'indexed' WHEN 1 THEN 'exported' ELSE 'finished' END ELSE CASE WHEN event_id % 2 = 0 THEN 'failed' ELSE 'resumed' END END"
+WEEK = 7 * 24 * 3600 * 1000
+
+
+@query(f"""
+WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, event_id, epoch_ms(ts) AS at_ms, {KIND_SQL} AS kind, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS k FROM events),
+r AS (
+  SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS at_ms, CAST(0 AS BIGINT) AS seq, 'indexing' AS phase, '' AS before, CAST(0 AS BIGINT) AS found, CAST(0 AS BIGINT) AS saved, CAST(0 AS BIGINT) AS assets, CAST(0 AS BIGINT) AS ignored, CAST(0 AS BIGINT) AS pending, CAST(-1 AS BIGINT) AS told, CAST(NULL AS VARCHAR) AS reason FROM events
+  UNION ALL
+  SELECT user_id, k, at_ms, seq, next, CASE WHEN next = 'failed' AND phase <> 'failed' THEN phase ELSE before END, found + (f AND kind = 'found')::BIGINT, saved + (f AND kind = 'saved')::BIGINT, assets + (f AND kind = 'asset')::BIGINT,
+    ignored + (NOT f AND next = phase)::BIGINT, CASE WHEN why IS NULL THEN pending + f::BIGINT ELSE 0 END, CASE WHEN why IS NULL THEN told ELSE at_ms END, why
+  FROM (SELECT *, CASE WHEN next <> phase THEN kind WHEN f AND pending + 1 >= 3 THEN 'items' WHEN f AND at_ms - told >= {WEEK} THEN 'time' END AS why FROM (
+    SELECT r.user_id, e.k, e.at_ms, e.event_id AS seq, e.kind, r.phase, r.before, r.found, r.saved, r.assets, r.ignored, r.pending, CASE WHEN r.told < 0 THEN e.at_ms ELSE r.told END AS told,
+      (phase = 'indexing' AND kind = 'found') OR (phase = 'exporting' AND kind = 'saved') OR (phase = 'assets' AND kind = 'asset') AS f,
+      CASE WHEN kind = 'failed' AND phase NOT IN ('failed', 'done') THEN 'failed' WHEN kind = 'resumed' AND phase = 'failed' THEN before WHEN phase = 'indexing' AND kind = 'indexed' THEN 'exporting'
+        WHEN phase = 'exporting' AND kind = 'exported' THEN 'assets' WHEN phase = 'assets' AND kind = 'finished' THEN 'done' ELSE phase END AS next
+    FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)))
+SELECT CAST(user_id AS VARCHAR) AS job_id, at_ms, seq, phase, reason, found, saved, assets, ignored FROM r WHERE reason IS NOT NULL""")
+def job_transitions(t):
+    """Events of users as jobs of a state machine in the state store: every transition, and a row for each three items or week."""
+    base = folders.scratch(t.spark)
+    rows = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
+    rows = rows.select(F.col("user_id").alias("job_id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), F.expr(KIND_SQL).alias("kind"))
+    jobs.drained(jobs.transitions(rows, 3, WEEK), base).awaitTermination()
+    return t.spark.read.schema(jobs.OUTPUT).parquet(f"{base}/rows")
+
+
+# --- a stored index ----------------------------------------------------------------
+
+
+def indexed(t):
+    """An index of all turns built in two deltas, after which every seventh turn has another text, and every fifth is taken out."""
+    store, number = folders.scratch(t.spark), F.col("conv_id") * 31 + F.col("turn")
+    rows = messages(t)
+    index.add(t.spark, store, rows.where("turn = 0").select("key", "text"))
+    index.add(t.spark, store, rows.where("turn > 0").select("key", "text"))
+    index.add(t.spark, store, rows.where(number % 7 == 3).select("key", F.lit("The new text, and more").alias("text")))
+    index.remove(t.spark, store, rows.where(number % 5 == 2).select("key"))
+    return store
+
+
+INDEX_SQL = f"""SELECT concat_ws(':', conv_id, turn) AS key FROM conversations WHERE (conv_id * 31 + turn) % 5 <> 2
+ AND CASE WHEN (conv_id * 31 + turn) % 7 = 3 THEN true ELSE list_contains({WORDS_SQL}, 'the') AND list_contains({WORDS_SQL}, 'and') END"""
+
+
+@query(INDEX_SQL)
+def index_lookup(t):
+    """Turns that hold both words, by a stored index of which only the words' buckets are read."""
+    return index.holding_all(t.spark, indexed(t), "the and")
+
+
+@query(INDEX_SQL)
+def index_compacted(t):
+    """The same after the deltas were merged."""
+    store = indexed(t)
+    index.compact(t.spark, store)
+    return index.holding_all(t.spark, store, "the and")
+
+
+# --- packages by every rule, stored assets -----------------------------------------
+
+
+def damaged(t):
+    """A package of all documents in which each rule is broken by some of them."""
+    i = F.col("doc_id")
+    n = i.cast("string")
+    form = lambda name, bad: F.when(bad, "other").otherwise(packages.FORMATS[name]).alias("format")
+    one = F.lit(1).alias("schema_version")
+    base = t.documents.select(n.alias("id"), F.col("source").alias("project_id"), F.when(i % 13 == 0, "").otherwise(F.col("lang")).alias("title"), "text", F.lit(1).alias("revision"), "doc_id")
+    hashed = base.withColumn("digest", packages.content_digest("id", "project_id", "title", "text", "revision"))
+    bad = F.when(i % 11 == 0, F.concat("digest", F.lit("x"))).otherwise(F.col("digest"))
+    cited = F.array(T.content_uri(n, F.when(i % 5 == 0, 9).otherwise(1).cast("string"), F.when(i % 7 == 0, "sha256:no").otherwise(F.col("digest"))))
+    things = hashed.select("id", "project_id", "title", "text", "revision", bad.alias("digest"), form("objects", i % 17 == 0), F.when(i % 19 == 0, 2).otherwise(1).alias("schema_version"), cited.alias("evidence_uris"))
+    versions = hashed.select(F.concat(n, F.lit(":v1")).alias("key"), n.alias("object_id"), "title", "revision", "digest", form("versions", F.lit(False)), one)
+    none = F.lit(None).cast("string")
+    relations = t.documents.select(F.when(i % 23 != 0, n).alias("id"), form("relations", F.lit(False)), one, none.alias("evidence_uri"))
+    operations = t.documents.select(F.call_function("div", i, F.lit(2)).cast("string").alias("id"), form("operations", F.lit(False)), one)
+    promotions = t.documents.select(n.alias("id"), form("promotions", F.lit(False)), one, none.alias("source_evidence_uri"))
+    return {"objects": things, "versions": versions, "relations": relations, "operations": operations, "promotions": promotions}
+
+
+@query("""SELECT code, CAST(count(*) AS BIGINT) AS items FROM (
+ SELECT unnest([CASE WHEN doc_id % 13 = 0 THEN 'INVALID_CONTENT_OBJECT' END, CASE WHEN doc_id % 13 = 0 THEN 'INVALID_VERSION_SNAPSHOT' END, CASE WHEN doc_id % 19 = 0 THEN 'INVALID_CONTENT_OBJECT' END, CASE WHEN doc_id % 11 = 0 THEN 'CONTENT_HASH_MISMATCH' END,
+  CASE WHEN doc_id % 17 = 0 THEN 'FORMAT_MISMATCH' END, CASE WHEN doc_id % 19 = 0 THEN 'SCHEMA_VERSION_MISMATCH' END, CASE WHEN doc_id % 23 = 0 THEN 'MISSING_KEY' END, CASE WHEN doc_id % 5 = 0 THEN 'EXTERNAL_CONTENT_EVIDENCE' END, CASE WHEN doc_id % 7 = 0 AND doc_id % 5 > 0 THEN 'EVIDENCE_HASH_MISMATCH' END]) AS code FROM documents
+ UNION ALL SELECT 'DUPLICATE_KEY' FROM documents GROUP BY doc_id // 2 HAVING count(*) > 1
+ UNION ALL SELECT unnest(['PACKAGE_FORMAT_MISMATCH', 'PAYLOAD_HASH_MISMATCH', 'PACKAGE_ID_MISMATCH', 'COUNT_MISMATCH']) UNION ALL SELECT 'SCOPE_UNBOUND_MISMATCH' FROM documents) WHERE code IS NOT NULL GROUP BY code""")
+def package_records(t):
+    """How often each rule is broken, by records, citations and what stands beside them."""
+    rows = damaged(t)
+    told = packages.envelope(rows) | {"format": "x", "payload_hash": "0", "package_id": "capture-package:1", "unbound": True}
+    told["counts"] = told["counts"] | {"promotions": -1}
+    found = packages.record_issues(rows, ["id", "project_id", "title", "text", "revision"]).union(packages.envelope_issues(told, rows))
+    return found.groupBy("code").agg(F.count("*").alias("items"))
+
+
+@query("""SELECT doc_id AS key, lang AS file_name, CASE WHEN doc_id % 3 > 0 THEN 'e' || doc_id || '|' || CASE WHEN doc_id % 2 = 0 THEN 'success' ELSE 'failed' END || '|x Bearer <redacted> <redacted-url> y|' || CASE WHEN doc_id % 2 = 0 THEN '200.0' ELSE '' END || '|a.example.org:80' END AS diagnostics FROM documents""")
+def stored_asset_records(t):
+    """Asset records with fields, tokens and addresses that are not to be kept."""
+    i = F.col("doc_id")
+    attempt = F.struct(F.lit("sign").alias("label"), F.when(i % 2 == 0, "success").otherwise("odd").alias("result"), F.when(i % 2 == 0, "200").otherwise("n/a").alias("status"), F.lit("x Bearer abc.def https://a.example.org/p?q=1 y").alias("message"))
+    about = F.struct(F.concat(F.lit("e"), i.cast("string")).alias("signing_endpoint"), F.array(attempt).alias("signing_attempts"), F.lit("7").alias("binary_status"), F.lit("a.exa_mple.org:80/").alias("download_host"))
+    rows = web.stored_assets(t.documents.select(i.alias("key"), F.col("lang").alias("file_name"), F.lit("https://secret").alias("download_url"), F.when(i % 3 > 0, about).alias("diagnostics")))
+    d = F.col("diagnostics")
+    a = d["signing_attempts"][0]
+    text = F.concat_ws("|", d["signing_endpoint"], a["result"], a["message"], F.coalesce(a["status"].cast("string"), F.lit("")), d["download_host"])
+    return rows.select("key", "file_name", F.when(d.isNotNull(), text).alias("diagnostics"), *(F.col(c) for c in rows.columns if c not in ("key", "file_name", "diagnostics")))

@@ -8,9 +8,11 @@ import zipfile
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators.canonical import cut
+
 # Names of the conversation files of an official export, and the bounds of an archive.
 EXPORT = r"(^|/)(shared_)?conversations(-\d+)?\.json$"
 MAX_ENTRY, MAX_ARCHIVE = 64 << 20, 512 << 20
@@ -119,11 +121,40 @@ def own_candidates(found: DataFrame) -> DataFrame:
     return part("canonical.json").where(F.get_json_object("canonical", "$.conversationId").isNotNull()).join(part("raw.json"), ["fingerprint", "folder"]).join(part("source-metadata.json"), ["fingerprint", "folder"], "left")
 
 
-def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
-    """JSON lines; strict fails at the first bad line, else bad lines stand in ``_corrupt_record``."""
-    if strict:
-        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    return spark.read.schema(schema + ", _corrupt_record string").option("mode", "PERMISSIVE").json(path)
+def json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """JSON lines: rows (file, line, and the columns), and (file, line, reason, text) of the lines that are refused.  Lines count from 1; blank ones are skipped.
+
+    Spark reads a file in blocks; a line's number is its place in its block after
+    the lines of the blocks in front, which are counted in a first pass.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a block
+    placed = lines.join(cut(blocks.select("file", "block", "first", before.alias("before"))), ["file", "block"])
+    placed = placed.select("file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line"), "value").where(F.trim("value") != "")
+    parsed = placed.withColumn("v", F.try_parse_json("value")).withColumn("row", F.from_json("value", schema + ", _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}))
+    kind = F.schema_of_variant("v")
+    reason = F.when(F.col("v").isNull(), "not JSON").when(~kind.startswith("OBJECT"), "not an object").when(F.col("row._corrupt_record").isNotNull(), "does not fit the schema")
+    parsed = parsed.withColumn("reason", reason)
+    return parsed.where("reason IS NULL").select("file", "line", "row.*").drop("_corrupt_record"), parsed.where("reason IS NOT NULL").select("file", "line", "reason", F.col("value").alias("text"))
+
+
+def rejected(found: DataFrame) -> DataFrame:
+    """(path, name, position, reason) of what an import of entries leaves out: unreadable entries, files that are no JSON, items that are no conversations.
+
+    With ``conversations`` it splits the items of all conversation files; position is the item's place in its file, null for a whole entry.
+    """
+    text = F.decode("payload", "UTF-8")
+    whole = found.where("error IS NOT NULL").select("path", "name", F.lit(None).cast("int").alias("position"), F.col("error").alias("reason"))
+    good = found.where("error IS NULL AND payload IS NOT NULL").where(F.col("name").rlike(EXPORT) | F.col("name").rlike(r"(^|/)raw\.json$")).select("path", "name", text.alias("text"), F.try_parse_json(text).alias("v"))
+    export = good.where(F.col("name").rlike(EXPORT))
+    listed = F.coalesce(F.from_json("text", "array<string>"), F.from_json(F.get_json_object("text", "$.conversations"), "array<string>"))
+    broken = good.where("v IS NULL").select("path", "name", F.lit(None).cast("int"), F.lit("not JSON"))
+    no_list = export.where(F.col("v").isNotNull() & listed.isNull()).select("path", "name", F.lit(None).cast("int"), F.lit("no list of conversations"))
+    item = export.where("v IS NOT NULL").select("path", "name", F.posexplode(listed).alias("position", "raw"))
+    item = item.union(good.where(F.col("v").isNotNull() & ~F.col("name").rlike(EXPORT)).select("path", "name", F.lit(0), "text"))
+    reason = F.when(F.get_json_object("raw", "$.mapping").isNull(), "no mapping").when(F.coalesce(F.get_json_object("raw", "$.id"), F.get_json_object("raw", "$.conversation_id")).isNull(), "no id")
+    return whole.union(broken).union(no_list).union(item.select("path", "name", "position", reason.alias("reason")).where("reason IS NOT NULL"))
 
 
 #: Tables that belong to rows of another: (column, table, its key); a row stays if all of them do.

@@ -1,6 +1,8 @@
 """A paged source: offset pages read in parallel by a fetch function that the user names as ``module:function``.
 
-``fetch(offset, limit)`` returns ``(items, total)``, items as JSON-ready values.
+``fetch(offset, limit)`` returns ``(items, total)``, items as JSON-ready values;
+with the option ``at``, its value goes in front of the arguments.  Read as a
+stream, the source keeps its place in the query's checkpoint.
 Transient failures are tried again with growing waits; a task retry reads its pages again.
 """
 
@@ -9,8 +11,11 @@ from __future__ import annotations
 import importlib
 import json
 import time
+from functools import partial
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyarrow import fs
+
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition, SimpleDataSourceStreamReader
 
 RETRIES = (408, 409, 429)
 
@@ -26,19 +31,51 @@ def fetched(fetch, offset: int, limit: int, attempts: int = 4, pause: float = 0.
             time.sleep(min(15.0, getattr(error, "retry_after", None) or pause * 2**attempt))
 
 
+def stored_page(at: str, number: int) -> list | None:
+    """Items of a page of a stored response, ``page-00000.jsonl`` and on below ``at``; None behind the last."""
+    system, root = fs.FileSystem.from_uri(at) if "://" in at or at.startswith("file:") else (fs.LocalFileSystem(), at)
+    path = f"{root}/page-{number:05}.jsonl"
+    if system.get_file_info(path).type == fs.FileType.NotFound:
+        return None
+    with system.open_input_stream(path) as stream:
+        return [json.loads(line) for line in stream.read().decode().split("\n") if line]
+
+
+def stored_offsets(at: str, offset: int, limit: int):
+    """Offset pages of stored responses, all but the last of one size."""
+    size, low, high = len(stored_page(at, 0) or []), 0, 1
+    while stored_page(at, high) is not None:
+        low, high = high, 2 * high
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if stored_page(at, middle) is not None else (low, middle)
+    total, items = low * size + len(stored_page(at, low) or []), []
+    while len(items) < limit and offset + len(items) < total:
+        number, skip = divmod(offset + len(items), size)
+        items += stored_page(at, number)[skip : skip + limit - len(items)]
+    return items, total
+
+
+def stored_cursors(at: str, cursor: str | None, limit: int):
+    """Stored responses as cursor pages: the cursor is the number of the next one."""
+    number = int(cursor or 0)
+    return stored_page(at, number) or [], str(number + 1) if stored_page(at, number + 1) is not None else None
+
+
 class Page(InputPartition):
-    def __init__(self, offset: int):
+    def __init__(self, offset: int, limit: int = 0):
         super().__init__(offset)
-        self.offset = offset
+        self.offset, self.limit = offset, limit
 
 
 class PagedReader(DataSourceReader):
     def __init__(self, options):
         module, _, name = options["fetch"].partition(":")
-        self.module, self.name, self.limit = module, name, int(options.get("limit", "100"))
+        self.module, self.name, self.limit, self.at = module, name, int(options.get("limit", "100")), options.get("at")
 
     def _fetch(self):
-        return getattr(importlib.import_module(self.module), self.name)
+        fetch = getattr(importlib.import_module(self.module), self.name)
+        return fetch if self.at is None else partial(fetch, self.at)
 
     def partitions(self):
         _, total = fetched(self._fetch(), 0, 1)
@@ -73,6 +110,75 @@ class CursorReader(PagedReader):
             seen.add(cursor)
 
 
+class OffsetStream(DataSourceStreamReader):
+    """Pages as a stream: offsets are positions, so a restart goes on behind the last committed one; the pages of a micro-batch are read in parallel."""
+
+    def __init__(self, options):
+        self.pages, self.told = PagedReader(options), 0
+
+    def initialOffset(self):
+        return {"position": 0}
+
+    def latestOffset(self):
+        _, total = fetched(self.pages._fetch(), 0, 1)
+        self.told = max(self.told, total)  # a source that shrinks takes nothing back
+        return {"position": self.told}
+
+    def partitions(self, start, end):
+        return [Page(at, min(self.pages.limit, end["position"] - at)) for at in range(start["position"], end["position"], self.pages.limit)]
+
+    def read(self, partition):
+        items, _ = fetched(self.pages._fetch(), partition.offset, partition.limit)
+        if len(items) < partition.limit:
+            raise ValueError(f"{len(items)} of {partition.limit} items at {partition.offset}")
+        for k, item in enumerate(items[: partition.limit]):
+            yield partition.offset + k, json.dumps(item)
+
+
+class CursorStream(SimpleDataSourceStreamReader):
+    """Cursor pages as a stream: an offset is a page's cursor and how many of its items are behind it.
+
+    The last page, which names no further one, is asked again: what is new on it goes on behind the items already read.
+    A micro-batch follows at most ``pages`` pages (100), as their items pass the driver; the next one goes on behind them.
+    """
+
+    def __init__(self, options):
+        self.pages, self.most = PagedReader(options), int(options.get("pages", "100"))
+
+    def initialOffset(self):
+        return {"cursor": None, "behind": 0, "position": 0}
+
+    def _page(self, start):
+        items, following = fetched(self.pages._fetch(), start["cursor"], self.pages.limit)
+        fresh, at = items[start["behind"] :], start["position"]
+        rows = [(at + k, json.dumps(item)) for k, item in enumerate(fresh)]
+        if following in (None, ""):
+            return rows, {"cursor": start["cursor"], "behind": len(items), "position": at + len(fresh)}
+        if following == start["cursor"]:
+            raise ValueError(f"cursor {following!r} came again")
+        return rows, {"cursor": following, "behind": 0, "position": at + len(fresh)}
+
+    def read(self, start):
+        rows, now = [], start
+        for _ in range(self.most):
+            found, following = self._page(now)
+            rows += found
+            ended, now = following["cursor"] == now["cursor"], following
+            if ended:
+                break
+        return iter(rows), now
+
+    def readBetweenOffsets(self, start, end):
+        """The same rows again after a failure; the last page may have grown meanwhile, so rows end where the batch ended."""
+        now = start
+        while now["position"] < end["position"]:
+            rows, following = self._page(now)
+            yield from rows[: end["position"] - now["position"]]
+            if following == now:
+                raise ValueError("items that were read are gone")
+            now = following
+
+
 class PagedSource(DataSource):
     """``spark.dataSource.register(PagedSource)``, then ``spark.read.format("paged").option("fetch", "module:function").load()``; ``.option("by", "cursor")`` follows cursors."""
 
@@ -85,3 +191,9 @@ class PagedSource(DataSource):
 
     def reader(self, schema):
         return CursorReader(self.options) if self.options.get("by") == "cursor" else PagedReader(self.options)
+
+    def streamReader(self, schema):
+        return super().streamReader(schema) if self.options.get("by") == "cursor" else OffsetStream(self.options)  # not implemented: Spark asks for the simple reader
+
+    def simpleStreamReader(self, schema):
+        return CursorStream(self.options)

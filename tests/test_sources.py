@@ -135,3 +135,36 @@ def test_propose(spark, bundle):
     cited = spark.createDataFrame([("archive://conversation/c1/node/n1?evidence=h1",), ("archive://nothing",)], "uri string")
     row = api.propose(bundle, "p1", "task", change, cited).first()
     assert row["base_version"] == 3 and row["evidence"] == ["archive://conversation/c1/node/n1?evidence=h1"]
+
+
+def test_lines_are_numbered_across_blocks(spark, tmp_path):
+    """A file that is read in several blocks; every kind of bad line is told with its number."""
+    lines = [json.dumps({"id": k, "text": "x" * (k % 90)}) for k in range(3000)]
+    for k in range(0, 3000, 97):
+        lines[k] = ["{", "7", '{"id": "no number"}', "   ", ""][k % 5]
+    (tmp_path / "a.jsonl").write_text("\n".join(lines) + "\n")
+    (tmp_path / "b.jsonl").write_text('{"id": 1}\nnot')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows, bad = archives.json_lines(spark, f"file://{tmp_path}", "id long, text string")
+        good = {(r["file"][-7:], r["line"], r["id"]) for r in rows.collect()}
+        told = {(r["file"][-7:], r["line"]): r["reason"] for r in bad.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    reasons = ["not JSON", "not an object", "does not fit the schema", None, None]
+    assert told == {("a.jsonl", k + 1): reasons[k % 5] for k in range(0, 3000, 97) if reasons[k % 5]} | {("b.jsonl", 2): "not JSON"}
+    assert good == {("a.jsonl", k + 1, k) for k in range(3000) if k % 97} | {("b.jsonl", 1, 1)}
+
+
+def test_stream_of_pages_goes_on_after_a_restart(spark, tmp_path):
+    spark.dataSource.register(PagedSource)
+    for by, steps in (("offset", (7, 7, 25, 26)), ("cursor", (7, 7, 25, 26))):
+        source = tmp_path / by
+        source.mkdir()
+        for n in steps:
+            for page in range(-(-n // 10)):
+                (source / f"page-{page:05}.jsonl").write_text("".join(f'{{"n": {k}}}\n' for k in range(page * 10, min(n, page * 10 + 10))))
+            rows = spark.readStream.format("paged").option("fetch", f"palimpsest.sources.paged:stored_{by}s").option("by", by).option("at", str(source)).option("limit", 4).load()
+            rows.writeStream.format("parquet").option("path", f"file://{tmp_path}/{by}-out").option("checkpointLocation", f"file://{tmp_path}/{by}-at").trigger(availableNow=True).start().awaitTermination()
+        got = sorted((r["position"], json.loads(r["item"])["n"]) for r in spark.read.parquet(f"file://{tmp_path}/{by}-out").collect())
+        assert got == [(k, k) for k in range(26)], by
