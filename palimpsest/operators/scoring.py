@@ -114,6 +114,56 @@ def matched(pairs: DataFrame, by: str = "case", least: float = 0.55) -> DataFram
     return ordered(pairs, by, ["e", F.desc("score"), "a"], step, lambda: (frozenset(), None, False), "taken boolean")
 
 
+def listed(expected: DataFrame, actual: DataFrame, by: str = "case") -> DataFrame:
+    """(by, score) of lists of texts (id in order, text): the harmonic mean of precision and recall of the greedy best matches; both empty is no row."""
+    pairs = alike(expected, actual, by).select(by, F.col("a").alias("e"), F.col("b").alias("a"), F.col("similarity").alias("score"))
+    weight = matched(pairs, by).where("taken").groupBy(by).agg(F.sum("score").alias("w"))
+    count = lambda df, name: df.groupBy(by).agg(F.count("*").alias(name))
+    rows = count(expected, "e").join(count(actual, "a"), by, "full_outer").join(weight, by, "left")
+    w = F.coalesce("w", F.lit(0.0))
+    return rows.select(by, F.when((F.coalesce("e", F.lit(0)) == 0) | (F.coalesce("a", F.lit(0)) == 0) | (w == 0), 0.0).otherwise(2 * w / (F.col("a") + F.col("e"))).alias("score"))
+
+
+def evaluated(expected: DataFrame, answers: DataFrame, known: DataFrame) -> DataFrame:
+    """(case, identity, status, decisions, tasks, actions, evidence, score, critical, verdict): answers of receivers held against their answer keys.
+
+    Both have case, project_id, project_title, summary, phase, health, progress,
+    decisions and tasks (arrays of id, title, status, priority), blockers,
+    next_actions and evidence (arrays of texts); known: uri of evidence that is there.
+    An answer that is missing scores as an empty one.  ``critical`` lists a wrong
+    project, ids that the key does not have, and evidence that is not there.
+    """
+    fields = ("project_id", "project_title", "summary", "phase", "health", "progress")
+    both = cut(expected.select("case", *(F.col(c).alias(f"e_{c}") for c in fields)).join(answers.select("case", *(F.col(c).alias(f"a_{c}") for c in fields)), "case", "left"))
+    answers = answers.join(expected.select("case"), "case", "left_semi")
+    same = lambda c: squeezed(f"e_{c}") == squeezed(f"a_{c}")
+    identity = F.when(same("project_id"), 5.0).otherwise(0.0) + F.when(same("project_title"), 5.0).otherwise(0.0)
+    status = sum((status_field(f"e_{c}", f"a_{c}", kind) for c, kind in (("phase", "text"), ("health", "exact"), ("progress", "number"))), status_field("e_summary", "a_summary"))
+    out = both.select("case", identity.alias("identity"), status.alias("status"), F.when(~same("project_id"), "project").alias("wrong_project"))
+
+    def points(rows: DataFrame, score: Column, name: str, most: float) -> None:
+        """What a case has no row for is right: nothing was expected, and nothing given."""
+        nonlocal out
+        out = out.join(rows.select("case", score.alias(name)), "case", "left").withColumn(name, F.coalesce(name, F.lit(most)))
+
+    for name, task in (("decisions", False), ("tasks", True)):
+        e, a = (df.select("case", F.inline(name)).dropDuplicates(["case", "id"]) for df in (expected, answers))
+        points(records(e, a, 20.0, task), F.col("score"), name, 20.0)
+        extra = a.join(e.select("case", "id"), ["case", "id"], "left_anti").select("case", F.lit(f"unsupported_{name}").alias(f"extra_{name}")).distinct()
+        out = out.join(extra, "case", "left")
+    item = lambda df, name: df.select("case", F.posexplode(name).alias("id", "text"))
+    for name in ("blockers", "next_actions"):
+        points(listed(item(expected, name), item(answers, name)), 7.5 * F.col("score"), name, 7.5)
+    uri = lambda df: df.select("case", F.explode("evidence").alias("uri")).distinct()
+    points(evidence(uri(expected), uri(answers), known), F.col("score"), "evidence", 15.0)
+    bad = uri(answers).join(known.select("uri"), "uri", "left_anti").select("case", F.lit("invalid_evidence").alias("bad_evidence")).distinct()
+    out = out.join(bad, "case", "left").withColumn("actions", F.col("blockers") + F.col("next_actions"))
+    names = ("identity", "status", "decisions", "tasks", "actions", "evidence")
+    total = F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), sum((F.col(c) for c in names), F.lit(0.0)))), 2)
+    critical = F.array_compact(F.array("wrong_project", "extra_decisions", "extra_tasks", "bad_evidence"))
+    return out.select("case", *(F.round(c, 2).alias(c) for c in names), total.alias("score"), critical.alias("critical"), verdict(total, F.size(critical) > 0).alias("verdict"))
+
+
 def failures(text):
     """Flags of a failure taxonomy found in a report's text."""
     low = F.lower(text)

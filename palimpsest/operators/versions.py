@@ -186,3 +186,31 @@ def verified_handoff(rows: DataFrame, again: DataFrame) -> DataFrame:
     both = old.join(new, "one")  # a row each
     each = F.explode(F.array(*(F.struct(F.lit(x).alias("part"), F.col(f"old_{x}").eqNullSafe(F.col(f"new_{x}")).alias("ok")) for x in parts)))
     return both.select(F.col("old_id").alias("handoff_id"), each.alias("p")).select("handoff_id", "p.part", "p.ok")
+
+
+def verified_answers(handoffs: DataFrame, kits: DataFrame, receipts: DataFrame, evaluated: DataFrame) -> DataFrame:
+    """(handoff_id, status, failures, score, verdict) of handoffs whose receivers answered.
+
+    handoffs: handoff_id, package_hash, payload_hash, preflight (PASS or not); kits and
+    receipts: handoff_id of the private kit and of the receiver's receipt as they lie
+    beside the handoff ``case``, with their hashes, the receipt's status and mutated flag; evaluated: case, score, verdict, critical.
+    An answer is scored only if nothing stands against it: BLOCKED else, VERIFIED_PASS with the verdict PASS, VERIFIED_FAIL with another.
+    """
+    h = handoffs.select(F.col("handoff_id").alias("case"), "package_hash", "payload_hash", "preflight")
+    k = kits.select("case", F.struct("handoff_id", "package_hash", "payload_hash").alias("kit"))
+    r = receipts.select("case", F.struct("handoff_id", "package_hash", "status", "mutated").alias("receipt"))
+    rows = h.join(k, "case", "left").join(r, "case", "left").join(evaluated.select("case", "score", "verdict", F.col("critical").alias("wrong")), "case", "left")
+    differ = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
+    kit, receipt = F.col("kit").isNotNull(), F.col("receipt").isNotNull()
+    tests = [
+        (F.col("preflight") != "PASS", "PREFLIGHT_NOT_PASSED"), (~kit, "VERIFICATION_KIT_INVALID"), (~receipt, "RECEIVER_RECEIPT_INVALID"), (F.col("score").isNull(), "RESPONSE_INVALID_JSON"),
+        (kit & differ("kit.handoff_id", "case"), "VERIFICATION_KIT_HANDOFF_MISMATCH"), (kit & differ("kit.package_hash", "package_hash"), "RECEIVER_PACKAGE_HASH_MISMATCH"), (kit & differ("kit.payload_hash", "payload_hash"), "RECEIVER_PAYLOAD_ROOT_MISMATCH"),
+        (receipt & (F.col("receipt.status") != "PASS"), "RECEIVER_PREFLIGHT_NOT_PASSED"), (receipt & differ("receipt.handoff_id", "case"), "RECEIVER_RECEIPT_HANDOFF_MISMATCH"),
+        (receipt & differ("receipt.package_hash", "package_hash"), "RECEIVER_RECEIPT_PACKAGE_MISMATCH"), (receipt & F.coalesce("receipt.mutated", F.lit(True)), "APPROVED_STATE_MUTATION_CLAIM"),
+    ]
+    against = F.array_compact(F.array(*(F.when(F.coalesce(test, F.lit(True)), code) for test, code in tests)))
+    rows = rows.withColumn("against", against).withColumn("open", F.size("against") == 0)
+    failed = F.array_compact(F.array(F.when(F.col("verdict") != "PASS", "CONTINUITY_BENCHMARK_FAILED"), F.when(F.size("wrong") > 0, "CRITICAL_CONTINUITY_ERROR")))
+    status = F.when(~F.col("open"), "BLOCKED").when(F.size(failed) > 0, "VERIFIED_FAIL").otherwise("VERIFIED_PASS")
+    only = lambda c: F.when(F.col("open"), F.col(c)).alias(c)
+    return rows.select(F.col("case").alias("handoff_id"), status.alias("status"), F.when(F.col("open"), failed).otherwise(F.col("against")).alias("failures"), only("score"), only("verdict"))

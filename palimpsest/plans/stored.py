@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import folders
 from palimpsest.functions import text as T
-from palimpsest.operators import commits, graph, index, objects, packages, packing, web
+from palimpsest.operators import commits, graph, index, objects, packages, packing, scoring, versions, web
 from palimpsest.sources import archives, committed, sinks
 from palimpsest.sources.paged import PagedSource
 from palimpsest.streaming import jobs
@@ -246,7 +246,7 @@ WEEK = 7 * 24 * 3600 * 1000
 
 
 @query(f"""
-WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, event_id, epoch_ms(ts) AS at_ms, {KIND_SQL} AS kind, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS k FROM events),
+WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, event_id, epoch_us(ts) // 1000 AS at_ms, {KIND_SQL} AS kind, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS k FROM events),
 r AS (
   SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS at_ms, CAST(0 AS BIGINT) AS seq, 'indexing' AS phase, '' AS before, CAST(0 AS BIGINT) AS found, CAST(0 AS BIGINT) AS saved, CAST(0 AS BIGINT) AS assets, CAST(0 AS BIGINT) AS ignored, CAST(0 AS BIGINT) AS pending, CAST(-1 AS BIGINT) AS told, CAST(NULL AS VARCHAR) AS reason FROM events
   UNION ALL
@@ -347,3 +347,51 @@ def stored_asset_records(t):
     a = d["signing_attempts"][0]
     text = F.concat_ws("|", d["signing_endpoint"], a["result"], a["message"], F.coalesce(a["status"].cast("string"), F.lit("")), d["download_host"])
     return rows.select("key", "file_name", F.when(d.isNotNull(), text).alias("diagnostics"), *(F.col(c) for c in rows.columns if c not in ("key", "file_name", "diagnostics")))
+
+
+# --- answers of receivers ----------------------------------------------------------
+
+
+def answered(t):
+    """Documents as cases: answer keys and answers that miss a decision, name one too many, cite what is not there, or leave out blockers."""
+    i = F.col("doc_id")
+    none, texts = F.array().cast("array<string>"), lambda *x: F.array(*map(F.lit, x))
+    record = lambda id_, title: F.struct(id_.alias("id"), title.alias("title"), F.lit("active").alias("status"), F.lit("high").alias("priority"))
+    one, odd = record(F.lit("d1"), F.col("lang")), record(F.lit("zz"), F.lit("invented"))
+    no_records = F.filter(F.array(one), lambda _: F.lit(False))
+    base = {"project_title": F.lit("The Project"), "summary": F.lit(None).cast("string"), "phase": F.col("lang"), "progress": F.lit(5.0), "tasks": F.array(one), "next_actions": none}
+    key = base | {"project_id": F.col("source"), "health": F.lit("good"), "decisions": F.array(one, record(F.lit("d2"), F.lit("second"))), "blockers": texts("wait for the review"), "evidence": texts("u1")}
+    answer = base | {
+        "project_id": F.when(i % 11 == 0, "other").otherwise(F.col("source")), "health": F.when(i % 4 == 0, "Good ").otherwise("bad"), "decisions": F.when(i % 5 == 0, F.array(one, odd)).when(i % 2 == 0, F.array(one)).otherwise(key["decisions"]),
+        "blockers": F.when(i % 3 == 0, texts("Wait for the  review")).otherwise(none), "evidence": F.when(i % 7 == 0, texts("u9")).otherwise(texts("u1")),
+    }
+    rows = lambda cols, docs: docs.select(i.alias("case"), *(c.alias(n) for n, c in cols.items()))
+    return rows(key | {"tasks": no_records}, t.documents), rows(answer | {"tasks": no_records}, t.documents.where(i % 13 > 0)), t.spark.createDataFrame([("u1",)], "uri string")
+
+
+EVALUATED_SQL = """SELECT *, CASE WHEN len(critical) > 0 THEN 'FAIL' WHEN score >= 85 THEN 'PASS' WHEN score >= 65 THEN 'PARTIAL' ELSE 'FAIL' END AS verdict FROM (
+ SELECT *, round(identity + status + decisions + tasks + actions + evidence, 2) AS score FROM (SELECT doc_id AS "case",
+ CASE WHEN doc_id % 13 = 0 THEN 0.0 WHEN doc_id % 11 = 0 THEN 5.0 ELSE 10.0 END AS identity, CASE WHEN doc_id % 13 = 0 THEN 5.0 WHEN doc_id % 4 = 0 THEN 20.0 ELSE 15.0 END AS status,
+ CASE WHEN doc_id % 13 = 0 THEN 0.0 WHEN doc_id % 5 = 0 OR doc_id % 2 = 0 THEN 10.0 ELSE 20.0 END AS decisions, 20.0 AS tasks, 7.5 + CASE WHEN doc_id % 13 > 0 AND doc_id % 3 = 0 THEN 7.5 ELSE 0.0 END AS actions,
+ CASE WHEN doc_id % 13 = 0 OR doc_id % 7 = 0 THEN 0.0 ELSE 15.0 END AS evidence,
+ list_filter([CASE WHEN doc_id % 13 = 0 OR doc_id % 11 = 0 THEN 'project' END, CASE WHEN doc_id % 13 > 0 AND doc_id % 5 = 0 THEN 'unsupported_decisions' END, CASE WHEN doc_id % 13 > 0 AND doc_id % 7 = 0 THEN 'invalid_evidence' END], lambda x: x IS NOT NULL) AS critical FROM documents))"""
+
+
+@query(f"""SELECT "case", identity, status, decisions, tasks, actions, evidence, score, array_to_string(critical, ',') AS critical, verdict FROM ({EVALUATED_SQL})""")
+def evaluated_answers(t):
+    """Six dimensions, critical errors and the verdict of every answer; a case without an answer scores as an empty one."""
+    return scoring.evaluated(*answered(t)).withColumn("critical", F.array_join("critical", ","))
+
+
+@query(f"""SELECT handoff_id, CASE WHEN against <> '' THEN 'BLOCKED' WHEN verdict = 'PASS' AND len(critical) = 0 THEN 'VERIFIED_PASS' ELSE 'VERIFIED_FAIL' END AS status,
+ CASE WHEN against <> '' THEN against ELSE concat_ws(',', CASE WHEN verdict <> 'PASS' THEN 'CONTINUITY_BENCHMARK_FAILED' END, CASE WHEN len(critical) > 0 THEN 'CRITICAL_CONTINUITY_ERROR' END) END AS failures, CASE WHEN against = '' THEN score END AS score
+ FROM (SELECT "case" AS handoff_id, score, verdict, critical, concat_ws(',', CASE WHEN "case" % 17 = 0 THEN 'PREFLIGHT_NOT_PASSED' END, CASE WHEN "case" % 19 = 0 THEN 'VERIFICATION_KIT_INVALID' END, CASE WHEN "case" % 23 = 0 AND "case" % 19 > 0 THEN 'RECEIVER_PACKAGE_HASH_MISMATCH' END,
+ CASE WHEN "case" % 29 = 0 THEN 'RECEIVER_PREFLIGHT_NOT_PASSED' END, CASE WHEN "case" % 31 = 0 THEN 'APPROVED_STATE_MUTATION_CLAIM' END) AS against FROM ({EVALUATED_SQL}))""")
+def verified_handoffs(t):
+    """Handoffs with their kits, receipts and evaluated answers: blocked, failed or verified."""
+    i, one = F.col("doc_id"), F.lit("h")
+    sent = t.documents.select(i.alias("handoff_id"), one.alias("package_hash"), one.alias("payload_hash"), F.when(i % 17 == 0, "BLOCKED").otherwise("PASS").alias("preflight"))
+    kits = t.documents.where(i % 19 > 0).select(i.alias("case"), i.alias("handoff_id"), F.when(i % 23 == 0, "x").otherwise("h").alias("package_hash"), one.alias("payload_hash"))
+    told = t.documents.select(i.alias("case"), i.alias("handoff_id"), one.alias("package_hash"), F.when(i % 29 == 0, "BLOCKED").otherwise("PASS").alias("status"), (i % 31 == 0).alias("mutated"))
+    found = versions.verified_answers(sent, kits, told, scoring.evaluated(*answered(t)))
+    return found.select("handoff_id", "status", F.array_join("failures", ",").alias("failures"), "score")
