@@ -81,3 +81,24 @@ def test_odd_rows(odd, empty):
     kept = neardup.keep(odd)
     assert kept.columns == odd.columns and kept.where("doc_id IN (6, 8)").count() == 0 and kept.count() == odd.count() - 2
     assert neardup.groups(empty).count() == 0
+
+
+def test_a_common_passage_in_few_components(spark):
+    """Thousands of copies that share a long passage, in few components: tokens of one component bring none together, and none is lost."""
+    rnd = random.Random(12)
+    line = [f"legal{i}" for i in range(30)]
+    rows = []
+    for family in range(4):
+        own = [f"f{family}x{i}" for i in range(8 + family)]
+        for k in range(600):
+            words = line + own
+            words[rnd.randrange(len(words))] = f"o{family}k{k % 40}"
+            rows.append((len(rows), " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in neardup.groups(docs).collect()}
+    sets = {}
+    for i, t in rows:
+        sets.setdefault(shingles(t), i)
+    # equal sets are one, so that the brute force compares different texts only
+    want = brute([(i, next(t for j, t in rows if j == i)) for i in sets.values()])
+    assert all(found[i] == want[sets[shingles(t)]] for i, t in rows)

@@ -95,4 +95,5 @@ def test_held_out_labels(spark):
     model = quality.train(spark, docs, labels.where(half == 0))
     judged = quality.judge(docs, model).join(labels.where(half == 1), "doc_id")
     good, bad = (judged.where(f"quality = {q}").agg(F.avg(F.col("kept").cast("int"))).first()[0] for q in (1, 0))
-    assert good > 0.9 and good > bad
+    print(f"kept of good {good:.3f}, of bad {bad:.3f}")
+    assert good > 0.9 and (good + 1 - bad) / 2 >= 0.9  # balanced accuracy
