@@ -23,6 +23,7 @@ import html as references
 import re
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -235,16 +236,17 @@ def main_blocks(blocks: list[str], kinds: list[int]) -> list[str]:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """tag (a row's own number), page_id, url, host, main (fingerprint of the main text), blocks, kinds, trees."""
-    schema = "tag long, page_id long, url string, host string, main long, blocks array<string>, kinds array<tinyint>, trees array<struct<h: long, a: int, b: int, beside: boolean>>"
+    """tag (a row's own number), page_id, url, host, main (fingerprint of the main text), blocks (compressed, a line each), kinds, trees."""
+    schema = "tag long, page_id long, url string, host string, main long, blocks binary, kinds array<tinyint>, trees array<struct<h: long, a: int, b: int, beside: boolean>>"
     tree = pa.list_(pa.struct([("h", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("beside", pa.bool_())]))
 
     def run(batches):
+        press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             found = [read(h or "") for h in batch.column("html").to_pylist()]
             main = [hashlib.blake2b("\0".join(main_blocks(b, k)).encode("utf-8", "surrogatepass"), digest_size=8).digest() for b, k, _ in found]
             cols = [*(batch.column(c) for c in ("tag", "page_id", "url", "host")), pa.array([int.from_bytes(m, "little", signed=True) for m in main], pa.int64())]
-            cols += [pa.array([f[0] for f in found], pa.list_(pa.string())), pa.array([f[1] for f in found], pa.list_(pa.int8()))]
+            cols += [pa.array([press.compress("\n".join(f[0]).encode()) for f in found], pa.binary()), pa.array([f[1] for f in found], pa.list_(pa.int8()))]  # no block holds a line end
             cols.append(pa.array([[{"h": h, "a": a, "b": b, "beside": o} for h, a, b, o in f[2]] for f in found], tree))
             yield pa.RecordBatch.from_arrays(cols, ["tag", "page_id", "url", "host", "main", "blocks", "kinds", "trees"])
 
@@ -253,6 +255,23 @@ def parsed(pages: DataFrame) -> DataFrame:
     return source.mapInArrow(tk.tidy(run), schema)
 
 
+def assembled(rows: DataFrame) -> DataFrame:
+    """page_id, url, text, n_chars, n_templates: first the templates ``gone`` go, then what the rules refuse, and what is not of the best kind left."""
+
+    def run(batches):
+        lift = zstandard.ZstdDecompressor()
+        for batch in batches:
+            texts = []
+            for packed, kinds, gone in zip(*(batch.column(c).to_pylist() for c in ("blocks", "kinds", "gone")), strict=True):
+                blocks = lift.decompress(packed).decode().split("\n") if kinds else []
+                left = [i for i in range(len(kinds)) if not any(g["a"] <= i < g["b"] for g in gone or ())]
+                texts.append(" ".join(main_blocks([blocks[i] for i in left], [kinds[i] for i in left])))
+            cols = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(g or ()) for g in batch.column("gone").to_pylist()], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["page_id", "url", "text", "n_chars", "n_templates"])
+
+    return rows.select("page_id", "url", "blocks", "kinds", "gone").mapInArrow(tk.tidy(run), "page_id long, url string, text string, n_chars long, n_templates long")
+
+
 def templates(rows: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(site, h, anywhere): subtrees that recur on many pages, with differing main texts, of a host; ``anywhere`` if within the main text too."""
     seen = rows.select(F.xxhash64("host").alias("site"), "main", "trees")
@@ -269,12 +288,4 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     found = tk.stored(templates(rows, min_pages, min_share))
     spans = rows.select("tag", F.xxhash64("host").alias("site"), F.explode("trees").alias("t")).select("tag", "site", F.col("t.h").alias("h"), "t.a", "t.b", "t.beside")
     gone = spans.join(found, ["site", "h"]).where("anywhere OR beside").groupBy("tag").agg(F.collect_list(F.struct("a", "b")).alias("gone"))
-    # first the templates go, then what the rules refuse
-    left = rows.join(gone, "tag", "left").select(
-        "page_id", "url", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_templates"),
-        F.expr("filter(arrays_zip(blocks, kinds), (x, i) -> gone IS NULL OR NOT exists(gone, g -> g.a <= i AND i < g.b))").alias("left"),
-    )
-    left = left.withColumn("want", F.array_max("left.kinds"))
-    text = F.when(F.col("want") > JUNK, F.array_join(F.expr("transform(filter(left, x -> x.kinds = want), x -> x.blocks)"), " ")).otherwise("")
-    out = left.select("page_id", "url", text.alias("text"), "n_templates")
-    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_templates")
+    return assembled(rows.join(gone, "tag", "left"))
