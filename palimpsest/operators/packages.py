@@ -93,6 +93,7 @@ def record_issues(tables: dict[str, DataFrame], content: list[str]) -> DataFrame
 def envelope_issues(told: dict, tables: dict[str, DataFrame]) -> DataFrame:
     """(severity, code, item) of what stands beside the records: a hash and counts a table, and the scope of objects."""
     objects, want = tables["objects"], envelope(tables)
+    # Codes of what is wrong with a package.
     rows = [
         (told.get("format") != FORMATS["package"], "PACKAGE_FORMAT_MISMATCH", "format"), (told.get("schema_version") != SCHEMA_VERSION, "PACKAGE_SCHEMA_MISMATCH", "schemaVersion"),
         (told.get("payload_hash") != want["payload_hash"], "PAYLOAD_HASH_MISMATCH", "payloadHash"), (told.get("package_id") != want["package_id"], "PACKAGE_ID_MISMATCH", "packageId"),

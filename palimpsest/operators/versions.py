@@ -202,6 +202,7 @@ def verified_answers(handoffs: DataFrame, kits: DataFrame, receipts: DataFrame,
     rows = h.join(k, "case", "left").join(r, "case", "left").join(evaluated.select("case", "score", "verdict", F.col("critical").alias("wrong")), "case", "left")
     differ = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
     kit, receipt = F.col("kit").isNotNull(), F.col("receipt").isNotNull()
+    # Codes of what stands against a handoff.
     tests = [
         (F.col("preflight") != "PASS", "PREFLIGHT_NOT_PASSED"), (~kit, "VERIFICATION_KIT_INVALID"), (~receipt, "RECEIVER_RECEIPT_INVALID"), (F.col("score").isNull(), "RESPONSE_INVALID_JSON"),
         (kit & differ("kit.handoff_id", "case"), "VERIFICATION_KIT_HANDOFF_MISMATCH"), (kit & differ("kit.package_hash", "package_hash"), "RECEIVER_PACKAGE_HASH_MISMATCH"), (kit & differ("kit.payload_hash", "payload_hash"), "RECEIVER_PAYLOAD_ROOT_MISMATCH"),
