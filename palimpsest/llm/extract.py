@@ -241,7 +241,7 @@ def parsed(pages: DataFrame) -> DataFrame:
     tree = pa.list_(pa.struct([("h", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("beside", pa.bool_())]))
 
     def run(batches):
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=12)
         for batch in batches:
             found = [read(h or "") for h in batch.column("html").to_pylist()]
             main = [hashlib.blake2b("\0".join(main_blocks(b, k)).encode("utf-8", "surrogatepass"), digest_size=8).digest() for b, k, _ in found]
