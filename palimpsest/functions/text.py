@@ -120,11 +120,15 @@ def slug(x: Column | str, limit: int = 120) -> Column:
     return F.substring(F.regexp_replace(out, "^-+|-+$", ""), 1, limit)
 
 
-def safe_filename(x: Column | str, limit: int = 80, fallback: str = "untitled") -> Column:
-    """A name that every common file system takes: no reserved characters, device names, or dots and spaces at its end."""
+def safe_filename(x: Column | str, limit: int = 80, fallback: str = "untitled", devices: bool = True) -> Column:
+    """A name that every common file system takes: no reserved characters, device names, or dots and spaces at its end.
+
+    Without ``devices`` the names of devices (con, aux) are names like others, and get no underscore.
+    """
     out = F.regexp_replace(clean(x, 500), r'[<>:"/\\|?*\x00-\x1f]+', "-")
     out = F.regexp_replace(F.substring(F.regexp_replace(out, r"\s+", " "), 1, limit), r"[. ]+$", "")
-    out = F.when(out.rlike("(?i)^(con|prn|aux|nul|com[1-9]|lpt[1-9])$"), F.concat(F.lit("_"), out)).otherwise(out)
+    if devices:
+        out = F.when(out.rlike("(?i)^(con|prn|aux|nul|com[1-9]|lpt[1-9])$"), F.concat(F.lit("_"), out)).otherwise(out)
     return F.when(out == "", fallback).otherwise(out)
 
 
