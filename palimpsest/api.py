@@ -93,9 +93,14 @@ def memory_gate(b: Bundle, project: str, now: str, budget: int = 2048, policy: s
     return gate.evaluate(gate.candidates(b.states.where(F.col("project_id") == project)), project, now, budget, policy, target)
 
 
-def context_pack(b: Bundle, query: str, budget: int = 8192, per_conversation: int = 3, most: int = 2000) -> DataFrame:
-    """Excerpts in rank order while they fit, at most ``per_conversation`` of one conversation (key, tokens, taken, used)."""
-    from palimpsest.operators.sequences import capped
+def context_pack(b: Bundle, query: str, budget: int = 8192, per_conversation: int = 3, most: int | None = None) -> DataFrame:
+    """Excerpts in rank order while they fit, at most ``per_conversation`` of one conversation (key, tokens, taken, used).
+
+    All messages found are ranked, unless ``most`` bounds them.  An excerpt costs a
+    token at least, so no more than ``budget`` of them fit: only the costs of those
+    first ones meet in one task, and what stands behind them is not taken.
+    """
+    from palimpsest.operators.sequences import capped, numbered
 
     if budget not in (2048, 8192, 32768):
         raise ValueError("budgets are 2048, 8192 or 32768")
@@ -103,7 +108,11 @@ def context_pack(b: Bundle, query: str, budget: int = 8192, per_conversation: in
     found = search.search(rows, query, most, "updated_at", "key", "whole", phrase_only=True)
     kept = capped(found, "conversation_id", [F.desc("score"), "key"], per_conversation)
     cost = kept.select(F.lit(1).alias("pack"), "key", "conversation_id", "score", T.clip("text", 4000).alias("excerpt")).withColumn("tokens", T.estimate("excerpt"))
-    return gate.stopped(cost, budget, "pack", "tokens", [F.desc("score"), "key"])
+    placed = numbered(cost, [F.desc("score"), "key"], "place")
+    held = gate.stopped(placed.where(F.col("place") <= budget).select("pack", "place", "tokens"), budget, "pack", "tokens", ["place"])
+    last = held.agg(F.max("used").alias("last"))
+    judged = placed.join(held.select("place", "taken", "used"), "place", "left").crossJoin(F.broadcast(last))  # one row
+    return judged.withColumns({"taken": F.coalesce("taken", F.lit(False)), "used": F.coalesce("used", "last")}).drop("place", "last")
 
 
 def propose(b: Bundle, project: str, kind: str, change: DataFrame, cited: DataFrame) -> DataFrame:
