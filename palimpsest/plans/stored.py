@@ -190,8 +190,8 @@ def line_imports(t):
     i, path = F.col("doc_id"), folders.scratch(t.spark)
     good = F.to_json(F.struct(i.alias("id"), "text"))
     line = F.when(i % 11 == 3, F.concat(F.lit("{"), good)).when(i % 11 == 5, "[1, 2]").when(i % 11 == 7, '{"id": {"a": 1}}').when(i % 11 == 9, "  ").otherwise(good)
-    sinks.write_files(t.documents.select(F.concat("lang", F.lit(".jsonl")).alias("file"), F.lpad(i.cast("string"), 12, "0").alias("name"), F.concat(line, F.lit("\n")).alias("payload")), path)
-    rows, bad = archives.json_lines(t.spark, f"{path}/{sinks.manifest(t.spark, path)['folder']}/files", "id long, text string")
+    sinks.write_files(t.documents.select(F.concat("lang", F.lit(".jsonl")).alias("file"), F.lpad(i.cast("string"), 12, "0").alias("name"), line.alias("payload")), path, "lines", in_order=True)
+    rows, bad = archives.json_lines(t.spark, f"{path}/{sinks.manifest(t.spark, path)['folder']}/files", "id long, text string", parts=True)
     file = F.substring_index("file", "/", -1).alias("file")
     return rows.select(file, "line", F.lit(None).cast("string").alias("reason"), "id").union(bad.select(file, "line", "reason", F.lit(None).cast("long")))
 

@@ -121,16 +121,19 @@ def own_candidates(found: DataFrame) -> DataFrame:
     return part("canonical.json").where(F.get_json_object("canonical", "$.conversationId").isNotNull()).join(part("raw.json"), ["fingerprint", "folder"]).join(part("source-metadata.json"), ["fingerprint", "folder"], "left")
 
 
-def json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+def json_lines(spark: SparkSession, path: str, schema: str, parts: bool = False) -> tuple[DataFrame, DataFrame]:
     """JSON lines: rows (file, line, and the columns), and (file, line, reason, text) of the lines that are refused.  Lines count from 1; blank ones are skipped.
 
     Spark reads a file in blocks; a line's number is its place in its block after
-    the lines of the blocks in front, which are counted in a first pass.
+    the lines of the blocks in front, which are counted in a first pass.  With
+    ``parts`` a folder below the path is one file, its parts in the order of their names.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
-    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a block
-    placed = lines.join(cut(blocks.select("file", "block", "first", before.alias("before"))), ["file", "block"])
+    part = F.col("_metadata.file_path")
+    read = spark.read.option("recursiveFileLookup", "true" if parts else "false").text(path)
+    lines = read.select("value", (F.regexp_replace(part, "/[^/]*$", "") if parts else part).alias("file"), part.alias("part"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    blocks = lines.groupBy("file", "part", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("part", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a block
+    placed = lines.join(F.broadcast(cut(blocks.select("part", "block", "first", before.alias("before")))), ["part", "block"])  # a row a block: the lines stay where they are read
     placed = placed.select("file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line"), "value").where(F.trim("value") != "")
     parsed = placed.withColumn("v", F.try_parse_json("value")).withColumn("row", F.from_json("value", schema + ", _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}))
     kind = F.schema_of_variant("v")

@@ -147,12 +147,21 @@ class FilesSink(DataSource):
         return FilesWriter(self.options)
 
 
-def write_files(rows: DataFrame, path: str, kind: str = "text") -> None:
-    """Write rows (file, name, payload): a file's rows meet in one task, in the order of their names; lines of a record file stay in their tasks."""
+def write_files(rows: DataFrame, path: str, kind: str = "text", in_order: bool = False) -> None:
+    """Write rows (file, name, payload): a file's rows meet in one task, in the order of their names; lines of a record file stay in their tasks.
+
+    With ``in_order`` the lines of a record file are dealt to tasks by ranges of
+    their names, which should differ: its parts, one after the other, have them in
+    that order, and no task has more of a large file than its share of all lines.
+    """
     spark = rows.sparkSession
     spark.dataSource.register(FilesSink)
     rows = rows.select(F.col("file").cast("string").alias("file"), F.col("name").cast("string").alias("name"), F.col("payload").cast("binary").alias("payload"))
-    rows = rows.sortWithinPartitions("file", "name") if kind == "lines" else rows.repartition("file").sortWithinPartitions("file", "name")
+    if kind != "lines":
+        rows = rows.repartition("file")
+    elif in_order:
+        rows = rows.repartitionByRange("file", "name")
+    rows = rows.sortWithinPartitions("file", "name")
     rows.write.format("files").option("kind", kind).mode("append").save(path)
 
 
