@@ -216,7 +216,7 @@ def paged(t, folder, by, rounds):
     for most in rounds:
         path = folders.scratch(t.spark)
         rows = t.documents.where(F.col("doc_id") < most) if most is not None else t.documents
-        page = F.concat(F.lit("page-"), F.lpad(F.call_function("div", F.col("doc_id"), F.lit(size)).cast("string"), 5, "0"), F.lit(".jsonl"))
+        page = F.format_string("page-%05d.jsonl", F.call_function("div", F.col("doc_id"), F.lit(size)))  # longer numbers stay whole
         sinks.write_files(rows.select(page.alias("file"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("name"), F.concat(F.to_json(F.struct("doc_id", "lang")), F.lit("\n")).alias("payload")), path)
         at = f"{path}/{sinks.manifest(t.spark, path)['folder']}/files"
         source = t.spark.readStream.format("paged").option("fetch", f"palimpsest.sources.paged:stored_{by}s").option("by", by).option("at", at).option("limit", 30).option("pages", 1_000_000).load()

@@ -4,6 +4,7 @@
 with the option ``at``, its value goes in front of the arguments.  Read as a
 stream, the source keeps its place in the query's checkpoint.
 Transient failures are tried again with growing waits; a task retry reads its pages again.
+A read has at most ``tasks`` tasks (256), however many pages there are: each asks for several, one after the other.
 """
 
 from __future__ import annotations
@@ -31,25 +32,44 @@ def fetched(fetch, offset: int, limit: int, attempts: int = 4, pause: float = 0.
             time.sleep(min(15.0, getattr(error, "retry_after", None) or pause * 2**attempt))
 
 
-def stored_page(at: str, number: int) -> list | None:
-    """Items of a page of a stored response, ``page-00000.jsonl`` and on below ``at``; None behind the last."""
+def stored(at: str, number: int) -> tuple[fs.FileSystem, str] | None:
+    """Where a page of a stored response is, ``page-00000.jsonl`` and on below ``at``; None behind the last."""
     system, root = fs.FileSystem.from_uri(at) if "://" in at or at.startswith("file:") else (fs.LocalFileSystem(), at)
     path = f"{root}/page-{number:05}.jsonl"
-    if system.get_file_info(path).type == fs.FileType.NotFound:
+    return None if system.get_file_info(path).type == fs.FileType.NotFound else (system, path)
+
+
+def stored_page(at: str, number: int) -> list | None:
+    """Items of a page of a stored response; None behind the last."""
+    if (found := stored(at, number)) is None:
         return None
-    with system.open_input_stream(path) as stream:
+    with found[0].open_input_stream(found[1]) as stream:
         return [json.loads(line) for line in stream.read().decode().split("\n") if line]
 
 
-def stored_offsets(at: str, offset: int, limit: int):
-    """Offset pages of stored responses, all but the last of one size."""
-    size, low, high = len(stored_page(at, 0) or []), 0, 1
-    while stored_page(at, high) is not None:
-        low, high = high, 2 * high
+#: The last page that this process has seen of a stored response: the next request looks on from there.
+SEEN: dict[str, int] = {}
+
+
+def last_page(at: str) -> int:
+    """The number of the last page, found without reading one."""
+    low, step = SEEN.get(at, 0), 1
+    if low and stored(at, low) is None:  # pages were taken away
+        low = 0
+    while stored(at, low + step) is not None:
+        low, step = low + step, 2 * step
+    high = low + step
     while high - low > 1:
         middle = (low + high) // 2
-        low, high = (middle, high) if stored_page(at, middle) is not None else (low, middle)
-    total, items = low * size + len(stored_page(at, low) or []), []
+        low, high = (middle, high) if stored(at, middle) is not None else (low, middle)
+    SEEN[at] = low
+    return low
+
+
+def stored_offsets(at: str, offset: int, limit: int):
+    """Offset pages of stored responses, all but the last of one size."""
+    low, size = last_page(at), len(stored_page(at, 0) or [])
+    total, items = low * size + (len(stored_page(at, low) or []) if low else size), []
     while len(items) < limit and offset + len(items) < total:
         number, skip = divmod(offset + len(items), size)
         items += stored_page(at, number)[skip : skip + limit - len(items)]
@@ -59,10 +79,12 @@ def stored_offsets(at: str, offset: int, limit: int):
 def stored_cursors(at: str, cursor: str | None, limit: int):
     """Stored responses as cursor pages: the cursor is the number of the next one."""
     number = int(cursor or 0)
-    return stored_page(at, number) or [], str(number + 1) if stored_page(at, number + 1) is not None else None
+    return stored_page(at, number) or [], str(number + 1) if stored(at, number + 1) else None
 
 
 class Page(InputPartition):
+    """Positions from ``offset`` on, ``limit`` of them, that one task asks for in one request or, one after the other, in several."""
+
     def __init__(self, offset: int, limit: int = 0):
         super().__init__(offset)
         self.offset, self.limit = offset, limit
@@ -72,19 +94,26 @@ class PagedReader(DataSourceReader):
     def __init__(self, options):
         module, _, name = options["fetch"].partition(":")
         self.module, self.name, self.limit, self.at = module, name, int(options.get("limit", "100")), options.get("at")
+        self.tasks = int(options.get("tasks", "256"))
 
     def _fetch(self):
         fetch = getattr(importlib.import_module(self.module), self.name)
         return fetch if self.at is None else partial(fetch, self.at)
 
+    def dealt(self, start: int, end: int) -> list[Page]:
+        """Positions dealt to at most ``tasks`` tasks, whole requests to each: a task costs more than a request."""
+        each = self.limit * max(1, -(-(end - start) // (self.limit * self.tasks)))
+        return [Page(at, min(each, end - at)) for at in range(start, end, each)]
+
     def partitions(self):
         _, total = fetched(self._fetch(), 0, 1)
-        return [Page(at) for at in range(0, max(1, total), self.limit)]
+        return self.dealt(0, max(1, total))
 
     def read(self, partition):
-        items, _ = fetched(self._fetch(), partition.offset, self.limit)
-        for k, item in enumerate(items):
-            yield partition.offset + k, json.dumps(item)
+        for at in range(partition.offset, partition.offset + partition.limit, self.limit):
+            items, _ = fetched(self._fetch(), at, self.limit)
+            for k, item in enumerate(items):
+                yield at + k, json.dumps(item)
 
 
 class CursorReader(PagedReader):
@@ -125,14 +154,17 @@ class OffsetStream(DataSourceStreamReader):
         return {"position": self.told}
 
     def partitions(self, start, end):
-        return [Page(at, min(self.pages.limit, end["position"] - at)) for at in range(start["position"], end["position"], self.pages.limit)]
+        return self.pages.dealt(start["position"], end["position"])
 
     def read(self, partition):
-        items, _ = fetched(self.pages._fetch(), partition.offset, partition.limit)
-        if len(items) < partition.limit:
-            raise ValueError(f"{len(items)} of {partition.limit} items at {partition.offset}")
-        for k, item in enumerate(items[: partition.limit]):
-            yield partition.offset + k, json.dumps(item)
+        fetch, end = self.pages._fetch(), partition.offset + partition.limit
+        for at in range(partition.offset, end, self.pages.limit):
+            wanted = min(self.pages.limit, end - at)
+            items, _ = fetched(fetch, at, wanted)
+            if len(items) < wanted:
+                raise ValueError(f"{len(items)} of {wanted} items at {at}")
+            for k, item in enumerate(items[:wanted]):
+                yield at + k, json.dumps(item)
 
 
 class CursorStream(SimpleDataSourceStreamReader):
