@@ -54,27 +54,58 @@ def entered(sizes: np.ndarray, capacity: int, reserve: int) -> tuple[int, int]:
     return (int(np.searchsorted(np.cumsum(sizes), capacity - reserve, "right")), 1) if reserve else (0, 0)
 
 
-def numbered(sizes: np.ndarray, capacity: int, before: int, start: int, volume: int) -> np.ndarray:
-    """Volumes of a segment's rows: ``before`` up to the row ``start``, where ``volume`` starts."""
-    out = np.full(len(sizes), before, np.int64)
-    starts, following = [], nexts(sizes, capacity).tolist()
-    while start < len(sizes):
-        starts.append(start)
-        start = following[start]
-    if starts:
-        out[starts[0] :] = volume + np.searchsorted(starts, np.arange(starts[0], len(sizes)), "right") - 1
-    return out
+class Numbered:
+    """Volumes of a segment's rows, batch by batch: ``before`` up to the row ``start``, where ``volume`` starts; without a ``start`` the segment is its key's first.
+
+    What is kept between batches is the open volume, and the sums in front of it and of the next row.
+    """
+
+    def __init__(self, capacity: int, reserve: int, planned: tuple[int, int, int] | None):
+        self.capacity, self.sum = capacity, 0
+        self.volume, self.start, self.first = planned or (0, None if reserve else 0, 0)
+        self.front = -reserve if planned is None and reserve else None
+
+    def __call__(self, sizes: np.ndarray) -> np.ndarray:
+        n, out = len(sizes), np.empty(len(sizes), np.int64)
+        behind = self.sum + np.cumsum(sizes)
+        at = 0
+        if self.front is None:  # in front of the first volume that starts here
+            at = min(n, self.start)
+            out[:at], self.start = self.volume, self.start - at
+            if at < n:
+                self.front, self.volume = int(behind[at] - sizes[at]), self.first
+                out[at] = self.first
+                at += 1
+        while at < n:
+            end = at + int(np.searchsorted(behind[at:], self.front + self.capacity, "right"))
+            out[at:end] = self.volume
+            if end < n:  # this row opens a volume, and stands in it whatever its size
+                self.front, self.volume = int(behind[end] - sizes[end]), self.volume + 1
+                out[end] = self.volume
+            at = end + 1
+        self.sum = int(behind[-1]) if n else self.sum
+        return out
+
+
+def encoded(keys: pa.Array) -> np.ndarray:
+    """A number for each key; null keys are one key."""
+    return np.asarray(keys.dictionary_encode(null_encoding="encode").indices)
+
+
+def cuts(code: np.ndarray) -> np.ndarray:
+    """Where runs of equal codes start, and the end."""
+    return np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1], [True]]))
 
 
 def segments(table: pa.Table, key: str, size: str):
     """(place, first row, sizes) of the runs of one key in a partition; place 0 is the first, 1 the last, None between."""
     if not table.num_rows:
         return
-    code = np.asarray(table.column(key).combine_chunks().dictionary_encode(null_encoding="encode").indices)
+    code = encoded(table.column(key).combine_chunks())
     sizes = np.asarray(table.column(size).combine_chunks().cast(pa.int64()).fill_null(0))
-    cuts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1], [True]]))
-    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-        yield 0 if not k else 1 if k == len(cuts) - 2 else None, int(a), sizes[a:b]
+    ends = cuts(code)
+    for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+        yield 0 if not k else 1 if k == len(ends) - 2 else None, int(a), sizes[a:b]
 
 
 def volumes(rows: DataFrame, capacity: int, key: str, size: str, order: list, reserve: int = 0) -> DataFrame:
@@ -91,13 +122,15 @@ def volumes(rows: DataFrame, capacity: int, key: str, size: str, order: list, re
         table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
         for place, a, sizes in segments(table, key, size) if table else ():
             if place is not None:
-                columns = [[TaskContext.get().partitionId()], [place], table.column(key).slice(a, 1).combine_chunks(), [int(sizes.sum())]]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), columns[2], pa.array(columns[3], pa.int64())], ["part", "place", "key", "total"])
+                columns = [[TaskContext.get().partitionId()], [place], [a], table.column(key).slice(a, 1).combine_chunks(), [int(sizes.sum())]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in columns[:2]), pa.array(columns[2], pa.int64()), columns[3], pa.array(columns[4], pa.int64())], ["part", "place", "at", "key", "total"])
 
     # at most two rows a partition; keys that span partitions become chains of segments
     chains: list[list[tuple[int, int, int]]] = []
     before: tuple | None = None
-    for part, place, name, total in sorted((tuple(r) for r in narrow.mapInArrow(outer, f"part int, place int, key {kind}, total long").collect()), key=lambda r: r[:2]):
+    first = {}
+    for part, place, at, name, total in sorted((tuple(r) for r in narrow.mapInArrow(outer, f"part int, place int, at long, key {kind}, total long").collect()), key=lambda r: r[:2]):
+        first[part, place] = at
         if before is None or before[0] == part or before[1] != name:
             chains.append([])
         chains[-1].append((part, place, total))
@@ -106,22 +139,23 @@ def volumes(rows: DataFrame, capacity: int, key: str, size: str, order: list, re
     where = {(part, place): (c, k, sum(t for _, _, t in chain[:k]), k + 1 < len(chain)) for c, chain in enumerate(chains) for k, (part, place, _) in enumerate(chain)}
     plan = _chained(narrow, key, size, capacity, reserve, where, max(map(len, chains))) if chains else {}
 
+    planned = {(part, first[part, place]): told for (part, place), told in plan.items()}
+
     def run(batches):
-        batches = list(batches)
-        if not batches:
-            return
-        table, out, part = pa.Table.from_batches(batches), [], TaskContext.get().partitionId()
-        for place, _, sizes in segments(table, key, size):
-            if (part, place) in plan:
-                out.append(numbered(sizes, capacity, *plan[part, place]))
-            elif sizes.sum() + reserve <= capacity:
-                out.append(np.zeros(len(sizes), np.int64))
-            else:
-                out.append(numbered(sizes, capacity, 0, *entered(sizes, capacity, reserve)))
-        volume, done = np.concatenate(out), 0
+        """Rows stream: a task holds one batch, and of its key the open volume."""
+        part, done, last, now = TaskContext.get().partitionId(), 0, None, None
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(volume[done : done + batch.num_rows])], [*batch.schema.names, "volume"])
-            done += batch.num_rows
+            if not batch.num_rows:
+                continue
+            names = batch.column(key)
+            sizes, out = np.asarray(batch.column(size).cast(pa.int64()).fill_null(0)), []
+            ends = cuts(encoded(names))
+            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                if a or now is None or len(cuts(encoded(pa.concat_arrays([last, names.slice(0, 1)])))) > 2:
+                    now = Numbered(capacity, reserve, planned.get((part, done + a)))
+                out.append(now(sizes[a:b]))
+            last, done = names.slice(batch.num_rows - 1, 1), done + batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out))], [*batch.schema.names, "volume"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
     return base.mapInArrow(run, f"{schema}, volume long")

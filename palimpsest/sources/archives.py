@@ -38,7 +38,8 @@ def entries(archives: DataFrame, max_entry: int = MAX_ENTRY, max_archive: int =
 
     def run(batches):
         for batch in batches:
-            for path, print_, content in zip(*(batch.column(c).to_pylist() for c in ("path", "fingerprint", "content")), strict=True):
+            for path, print_, content in zip(*(batch.column(c) for c in ("path", "fingerprint", "content")), strict=True):
+                path, print_, content = path.as_py(), print_.as_py(), content.as_py()  # one archive at a time
                 if not content.startswith(b"PK"):
                     yield row(path, print_, path.rsplit("/", 1)[-1], len(content), zlib.crc32(content), content, None)
                     continue
