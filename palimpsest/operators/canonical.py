@@ -120,21 +120,23 @@ def branch(nodes_: DataFrame, heads_: DataFrame, rounds: int = 40) -> tuple[Data
     of n nodes takes about log2(n) joins; whoever still has an ancestor after
     all of a conversation's nodes are passed stands above a cycle.
     """
-    ids = nodes_.select("conversation_id", "node_id", "parent_id")
+    ids = cut(nodes_.select("conversation_id", "node_id", "parent_id"))  # read by every join below, and parsed from whole texts
     known = ids.select("conversation_id", F.col("node_id").alias("parent_id"), F.lit(True).alias("exists"))
     up = ids.join(known, ["conversation_id", "parent_id"], "left").select("conversation_id", "node_id", "parent_id", F.when(F.col("exists"), F.col("parent_id")).alias("jump"), F.lit(1).cast("long").alias("steps"))
-    broken = up.where("parent_id IS NOT NULL AND jump IS NULL").select("conversation_id", "node_id")
+    up = cut(up)
     # membership: the set of nodes reached from the current node doubles each round
     reached = heads_.join(ids, [heads_.conversation_id == ids.conversation_id, heads_.current_node == ids.node_id]).select(heads_.conversation_id, "node_id", F.lit(0).cast("long").alias("depth"))
-    size, k, longest = 0, 0, ids.groupBy("conversation_id").count().agg(F.max("count")).first()[0] or 0
-    leap = up.select("conversation_id", "node_id", "jump")
+    k, longest = 0, ids.groupBy("conversation_id").count().agg(F.max("count")).first()[0] or 0
+    leap = up.where("jump IS NOT NULL").select("conversation_id", "node_id", "jump")  # who has no further ancestor leads nowhere
     while 2**k <= max(1, longest) * 2 and k < rounds:
-        more = reached.join(leap, ["conversation_id", "node_id"]).where("jump IS NOT NULL").select("conversation_id", F.col("jump").alias("node_id"), (F.col("depth") + 2**k).alias("depth"))
+        more = reached.join(leap, ["conversation_id", "node_id"]).select("conversation_id", F.col("jump").alias("node_id"), (F.col("depth") + 2**k).alias("depth"))
         reached = reached.union(more).groupBy("conversation_id", "node_id").agg(F.min("depth").alias("depth"))
         far = leap.select("conversation_id", F.col("node_id").alias("jump"), F.col("jump").alias("next"))
-        leap = leap.join(far, ["conversation_id", "jump"], "left").select("conversation_id", "node_id", F.col("next").alias("jump"))
+        leap = leap.join(far, ["conversation_id", "jump"]).select("conversation_id", "node_id", F.col("next").alias("jump"))
         k += 1
         reached, leap = cut(reached), cut(leap)  # both are used twice a round
+        if leap.isEmpty():  # all chains have been passed; those of a cycle never end
+            break
     path = reached
     tops = path.join(up, ["conversation_id", "node_id"])
     trace = tops.groupBy("conversation_id").agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .canonical import branch
+from .canonical import branch, cut
 
 READABLE = ("user", "user_voice_transcript", "assistant_final", "assistant_voice_transcript")
 
@@ -22,6 +22,7 @@ def issues(nodes: DataFrame, heads: DataFrame) -> DataFrame:
 
 def report(nodes: DataFrame, heads: DataFrame, verified: bool = True) -> DataFrame:
     """Counters and status (COMPLETE, PARTIAL, FAILED) of every conversation."""
+    nodes, heads = cut(nodes), cut(heads)  # parsed from whole texts, and read by each part of the report
     path, trace = branch(nodes, heads)
     active = nodes.join(path, ["conversation_id", "node_id"], "left").withColumn("active", F.col("depth").isNotNull() & F.col("is_message"))
     real = F.col("is_message") & (F.col("message_id").isNotNull() | (F.size("content") > 0))

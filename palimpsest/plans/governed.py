@@ -273,10 +273,8 @@ def forked_traces(t):
 @query("SELECT 'd' || doc_id AS conversation_id, 6 AS total_nodes, 2 AS active_messages, CASE WHEN doc_id % 8 = 6 THEN 2 ELSE 1 END AS user_messages, CASE WHEN doc_id % 8 = 0 THEN 1 ELSE 0 END AS final_messages, CASE WHEN doc_id % 10 = 0 THEN 2 ELSE 0 END AS missing FROM documents")
 def forked_integrity(t):
     r = forked(t)
-    nodes, heads = canonical.nodes(r), canonical.heads(r)
-    missing = integrity.issues(nodes, heads).where("code = 'MISSING_PARENT'").groupBy("conversation_id").agg(F.count("*").alias("missing"))
-    rows = integrity.report(nodes, heads).join(missing, "conversation_id", "left")
-    return rows.select("conversation_id", "total_nodes", "active_messages", "user_messages", "final_messages", F.coalesce("missing", F.lit(0)).alias("missing"))
+    rows = integrity.report(canonical.nodes(r), canonical.heads(r))
+    return rows.select("conversation_id", "total_nodes", "active_messages", "user_messages", "final_messages", F.col("orphan_nodes").alias("missing"))
 
 
 # --- jobs ---------------------------------------------------------------------
